@@ -1,0 +1,120 @@
+"""Vectorised rolling fingerprints and content-defined anchors over sequences of 64-bit symbols."""
+
+from __future__ import annotations
+
+import numpy as np
+
+U = np.uint64
+BASE = 0x9E3779B97F4A7C15 | 1
+BACK = pow(BASE, -1, 1 << 64)
+_powers = {"n": 0, "up": np.zeros(0, U), "down": np.zeros(0, U)}
+#: A random-looking symbol for each byte value, the same in every process.
+BYTES = np.random.Generator(np.random.PCG64(20240607)).integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
+#: The same with A-Z folded to a-z.
+FOLDED = BYTES.copy()
+FOLDED[65:91] = BYTES[97:123]
+#: Which bytes separate words: space and 0x09 to 0x0D.
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    if _powers["n"] < n:
+        n = max(n, 1 << 20)
+        for k, b in (("up", BASE), ("down", BACK)):
+            x = np.full(n, b, U)
+            x[0] = 1
+            _powers[k] = np.cumprod(x, dtype=U)
+        _powers["n"] = n
+    return _powers["up"], _powers["down"]
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """The 64-bit finaliser of MurmurHash3; changes ``x``."""
+    x ^= x >> U(33)
+    x *= U(0xFF51AFD7ED558CCD)
+    x ^= x >> U(33)
+    x *= U(0xC4CEB9FE1A85EC53)
+    x ^= x >> U(33)
+    return x
+
+
+def prefix(symbols: np.ndarray) -> np.ndarray:
+    """Polynomial prefix sums modulo 2**64: any span's fingerprint comes from two of them."""
+    out = np.zeros(len(symbols) + 1, U)
+    np.cumsum(symbols * powers(len(symbols) + 1)[0][: len(symbols)], dtype=U, out=out[1:])
+    return out
+
+
+def span(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Fingerprints of ``[start, end)``; equal for equal sequences wherever they stand."""
+    return mix((sums[end] - sums[start]) * powers(len(sums))[1][start] + (end - start).astype(U) * U(0xD6E8FEB86659FD93))
+
+
+def grams(sums: np.ndarray, k: int) -> np.ndarray:
+    """The fingerprint of every k consecutive symbols; the same as :func:`span` gives."""
+    n = max(0, len(sums) - k)
+    return mix((sums[k:] - sums[: len(sums) - k])[:n] * powers(len(sums))[1][:n] + U(k * 0xD6E8FEB86659FD93 % (1 << 64)))
+
+
+def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
+    """Minimum of each w consecutive values, by block-wise running minima in both directions."""
+    n = len(x) - w + 1
+    if n <= 0:
+        return x[:0]
+    blocks = -(-len(x) // w)
+    y = np.full(blocks * w, np.iinfo(np.uint64).max, U)
+    y[: len(x)] = x
+    y = y.reshape(blocks, w)
+    ahead = np.minimum.accumulate(y, axis=1).ravel()
+    behind = np.minimum.accumulate(y[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
+
+
+def anchored(sums: np.ndarray, offsets: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of ``window`` symbols that lie in one document, as runs that share an anchor.
+
+    The anchor of a window is the least of its k-grams (leftmost on ties), so equal windows have equal anchors at equal
+    distances, wherever they stand. Returns for each run its first and last window start, the anchor's fingerprint and the
+    fingerprint of the whole stretch that its windows cover. About 2 runs begin in each window's length.
+    """
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, U), np.zeros(0, U)
+    n = len(sums) - 1
+    if n < window:
+        return none
+    h = grams(sums, k)
+    at = sliding_min((h & U(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=U), window - k + 1)
+    at = (at & U(0xFFFFFFFF)).astype(np.int64)
+    step = np.zeros(n + 1, np.int32)
+    a, b = offsets[:-1], offsets[1:] - window + 1
+    ok = b > a
+    np.add.at(step, a[ok], 1)
+    np.add.at(step, b[ok], -1)
+    starts = np.flatnonzero(np.cumsum(step)[: len(at)] > 0)
+    if not len(starts):
+        return none
+    anchor = at[starts]
+    cut = np.flatnonzero((starts[1:] != starts[:-1] + 1) | (anchor[1:] != anchor[:-1])) + 1
+    first, last = starts[np.r_[0, cut]], starts[np.r_[cut - 1, len(starts) - 1]]
+    return first, last, h[anchor[np.r_[0, cut]]], span(sums, first, last + window)
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words in the bytes of some documents, and each document's first word (``n + 1`` positions)."""
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
+    inside = ~SPACE[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    before, after = np.r_[False, inside[:-1]], np.r_[inside[1:], False]
+    start = np.flatnonzero(inside & (~before | edge[:-1]))
+    end = np.flatnonzero(inside & (~after | edge[1:])) + 1
+    return start, end, np.searchsorted(start, offsets)
+
+
+def covered(starts: np.ndarray, length: int, n: int) -> np.ndarray:
+    """Which of n positions lie in a stretch of ``length`` that begins at one of ``starts`` (distinct)."""
+    step = np.zeros(n + 1, np.int32)
+    step[starts] += 1
+    np.subtract.at(step, np.minimum(starts + length, n), 1)
+    return np.cumsum(step[:n]) > 0
