@@ -1,6 +1,25 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import line_dedup, substring_dedup, suffix_dedup
+from . import ann, bpe, decontaminate, jaccard_join, line_dedup, substring_dedup, suffix_dedup, url_filter
 
-QUERIES = {f.__name__: f for f in (suffix_dedup.op1_suffix_dedup, substring_dedup.op2_substring_dedup, line_dedup.op10_line_dedup)}
-ORACLES = {"op2_substring_dedup": substring_dedup.ORACLE, "op10_line_dedup": line_dedup.ORACLE}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        suffix_dedup.op1_suffix_dedup,
+        substring_dedup.op2_substring_dedup,
+        bpe.op4_bpe,
+        decontaminate.op6_decontaminate,
+        ann.op7_ann,
+        url_filter.op8_url_filter,
+        jaccard_join.op9_jaccard_join,
+        line_dedup.op10_line_dedup,
+    )
+}
+#: Without SQL: op1 (byte windows), op4 (tokenizer) and op7 (approximate); tests hold these against brute force.
+ORACLES = {
+    "op2_substring_dedup": substring_dedup.ORACLE,
+    "op6_decontaminate": decontaminate.ORACLE,
+    "op8_url_filter": url_filter.ORACLE,
+    "op9_jaccard_join": jaccard_join.ORACLE,
+    "op10_line_dedup": line_dedup.ORACLE,
+}
