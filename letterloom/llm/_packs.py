@@ -28,9 +28,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-PACK_BYTES = 4 << 20
+PACK_BYTES = 2 << 20
 #: Bytes of fingerprints that one bucket should hold; the number of buckets follows the input from it.
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 8 << 20
 ASK = "bucket int, pack long, blob binary"
 
 
