@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._session import checkpoints
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Everything but words, before folding.
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -77,6 +79,7 @@ def positions(docs: DataFrame, bits: dict[int, Column], payload) -> DataFrame:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> DataFrame:
     """Per document: ``doc_id, n_words, n_hit`` and ``items`` (the ids, as strings, of items with a window in it, sorted)."""
+    checkpoints(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text").cast("string")).alias("w"))
     windows = item_windows(benchmark, length)
     # Every shingle of every window, with its place in it.

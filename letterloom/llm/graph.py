@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._session import checkpoints
+
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, label`` for every node of the undirected edges ``a, b``: the least node of its component.
@@ -13,6 +15,7 @@ def components(edges: DataFrame) -> DataFrame:
     rounds. All steps are joins and partial aggregations; the driver sees one number a round. Every round is cut by a
     checkpoint, so that lost executors cost one round.
     """
+    checkpoints(edges.sparkSession)
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct().checkpoint()
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")).checkpoint()
     while True:

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from . import _packs as P
 from . import _rolling as R
 from ._runs import Family
+from ._session import checkpoints
 from .graph import components
 
 NO_ID = np.iinfo(np.int64).max
@@ -175,6 +176,7 @@ def linked(x: list[tuple[bytes, int, np.ndarray]], y: list[tuple[bytes, int, np.
 
 def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """Per document: ``doc_id, n_shingles, component_id`` (least id reachable) and ``n_links`` (other shingle sets it is linked with)."""
+    checkpoints(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = classified(docs, size, percent).checkpoint()
     classes = (

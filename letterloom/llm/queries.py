@@ -1,13 +1,15 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import ann, bpe, decontaminate, jaccard_join, line_dedup, substring_dedup, suffix_dedup, url_filter
+from . import ann, bpe, decontaminate, jaccard_join, language, line_dedup, substring_dedup, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     f.__name__: f
     for f in (
         suffix_dedup.op1_suffix_dedup,
         substring_dedup.op2_substring_dedup,
+        language.op3_language,
         bpe.op4_bpe,
+        toxicity.op5_toxicity,
         decontaminate.op6_decontaminate,
         ann.op7_ann,
         url_filter.op8_url_filter,
@@ -15,7 +17,7 @@ QUERIES = {
         line_dedup.op10_line_dedup,
     )
 }
-#: Without SQL: op1 (byte windows), op4 (tokenizer) and op7 (approximate); tests hold these against brute force.
+#: Without SQL: op1 (byte windows), op3 and op5 (learnt), op4 (tokenizer) and op7 (approximate); tests hold these against brute force.
 ORACLES = {
     "op2_substring_dedup": substring_dedup.ORACLE,
     "op6_decontaminate": decontaminate.ORACLE,
