@@ -9,6 +9,7 @@ Scores are computed in double precision from the float vectors.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
@@ -86,7 +87,7 @@ def cosine_query(rows: DataFrame, vector: Sequence[float], k: int, where: dict |
     """The k nearest that match, with ``distance``: a filter, one pass and a bounded sort. Payload comes by a join on the k keys."""
     if k < 1:
         raise ValueError("k must be at least 1")
-    query = F.array(*[F.lit(float(v)) for v in vector])
+    query = F.from_json(F.lit(json.dumps([float(v) for v in vector])), "array<double>")
     return rows.where(matches(where)).withColumn("distance", 1 - similarity("embedding", query)).orderBy("distance", order).limit(k)
 
 

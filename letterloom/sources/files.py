@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Callable, Iterator
+from urllib.parse import unquote, urlparse
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -27,12 +28,17 @@ class ExtractorUnavailable(RuntimeError):
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """Files under ``root`` with a known suffix, none of them in a ``.meta`` folder: ``source_file`` (relative), ``suffix, department, office, stem, content``.
 
-    ``content`` is only read where it is used. Use ``orderBy('source_file')`` where order matters.
+    ``content`` is only read where it is used. Use ``orderBy('source_file')`` where order matters. The file source skips files of no bytes; their
+    names come from its listing and join by union, without content.
     """
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
     schema = "path string, modificationTime timestamp, length bigint, content binary"
     files = spark.read.schema(schema).format("binaryFile").option("recursiveFileLookup", True).load(root)
+    top = urlparse(base).path
+    listed = [(f"{base}/{unquote(urlparse(f).path)[len(top) + 1:]}",) for f in files.inputFiles()]
+    empty = spark.createDataFrame(listed, "path string").join(files.select("path"), "path", "left_anti")
+    files = files.select("path", "content", "length").unionByName(empty.select("path", F.lit(b"").alias("content"), F.lit(0).cast("long").alias("length")))
     rel = F.substring("path", len(base) + 2, 1 << 20)
     files = files.select(rel.alias("source_file"), F.lower(F.regexp_extract("path", r"(\.[^./]+)\z", 1)).alias("suffix"), "content", "length")
     files = files.where(F.col("suffix").isin(*SUFFIXES) & ~F.array_contains(F.split("source_file", "/"), ".meta"))
