@@ -53,8 +53,10 @@ def span(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 def grams(sums: np.ndarray, k: int) -> np.ndarray:
     """The fingerprint of every k consecutive symbols; the same as :func:`span` gives."""
-    n = max(0, len(sums) - k)
-    return mix((sums[k:] - sums[: len(sums) - k])[:n] * powers(len(sums))[1][:n] + U(k * 0xD6E8FEB86659FD93 % (1 << 64)))
+    n = len(sums) - k
+    if n <= 0:
+        return np.zeros(0, U)
+    return mix((sums[k:] - sums[:n]) * powers(len(sums))[1][:n] + U(k * 0xD6E8FEB86659FD93 % (1 << 64)))
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:

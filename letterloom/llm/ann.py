@@ -13,7 +13,7 @@ Bounds: codebooks are fitted on at most ``SAMPLE`` vectors, those with the small
 
 Rows: vectors that are null, zero, or hold a null or non-finite component take no part, nor do those whose length is not the most common one
 (ties: the smaller); null ids take no part; equal scores go to the smaller id; rows that share an id are all candidates, except for
-the query of that id. Other columns are ignored. An empty table gives no rows.
+the queries of that id, each of which gets a list of its own. Other columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 SAMPLE = 20_000
 SHARD = 1 << 17
 QUERIES = 256  # of a block in a shard
-SCHEMA = "query_id long, vec_id long, score double"
-OUT = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+SCHEMA = "query_id long, query long, vec_id long, score double"
+OUT = pa.schema([("query_id", pa.int64()), ("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
 def eta(d: int, threshold: float = 0.2) -> float:
@@ -77,7 +77,7 @@ def train(x: np.ndarray, m: int, weight: float, rounds: int = 8, seed: int = 7)
     return books
 
 
-def scan(ids: np.ndarray, x: np.ndarray, code: np.ndarray, books: np.ndarray, qid: np.ndarray, q: np.ndarray, k: int, rerank: int):
+def scan(ids: np.ndarray, x: np.ndarray, code: np.ndarray, books: np.ndarray, qid: np.ndarray, number: np.ndarray, q: np.ndarray, k: int, rerank: int):
     """Top k of one shard for some queries. Rows stand in the order of their ids, so ties go to the smaller one."""
     m, n = code.shape[1], len(ids)
     if m % 2:
@@ -93,14 +93,14 @@ def scan(ids: np.ndarray, x: np.ndarray, code: np.ndarray, books: np.ndarray, qi
         key = joined[0][wide[0]]
         for row, t in zip(wide[1:], joined[1:], strict=True):
             key += t[row]
-        key = (key << 24) - np.arange(n)  # equal sums: the smaller id first
+        key = (key << 24) - np.arange(n)  # equal sums: the smaller id first; a shard has far fewer than 2**24 rows
         keep = rerank + 1  # one may be the query itself
         best = np.argpartition(-key, keep)[:keep] if n > keep else np.arange(n)
         best = best[ids[best] != qid[i]]
         best.sort()
         score = (x[best] * q[i]).sum(1) / (norm[best] * np.sqrt((q[i] * q[i]).sum()))
         top = np.lexsort((ids[best], -score))[:k]
-        yield np.full(len(top), qid[i]), ids[best][top], score[top]
+        yield np.full(len(top), qid[i]), np.full(len(top), number[i]), ids[best][top], score[top]
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = 128, threshold: float = 0.2) -> DataFrame:
@@ -121,7 +121,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = 128,
     books = train(sample, m, weight)
     shards = max(-(-n // SHARD), min(48, -(-n // 1024)))
     base = v.select("vec_id", "x", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"))
-    asking = v.where(F.col("vec_id") % every == 0).select("vec_id", "x", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    asking = v.where(F.col("vec_id") % every == 0).select("vec_id", "x", F.monotonically_increasing_id().alias("query"))
+    asking = asking.select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
 
     def matrix(t: pa.Table) -> np.ndarray:
         return np.asarray(pa.concat_arrays(t.column("x").chunks).flatten()).reshape(-1, d) if t.num_rows else np.zeros((0, d))
@@ -136,14 +137,13 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = 128,
         found = []
         for i in range(0, right.num_rows, QUERIES):
             block = right.slice(i, QUERIES)
-            found += scan(ids, x, code, books, np.asarray(block.column("vec_id")), matrix(block), k, rerank)
-        q, c, s = (np.concatenate(z) for z in zip(*found, strict=True))
-        return pa.table([pa.array(q), pa.array(c), pa.array(s)], schema=OUT)
+            found += scan(ids, x, code, books, np.asarray(block.column("vec_id")), np.asarray(block.column("query")), matrix(block), k, rerank)
+        return pa.table([pa.array(np.concatenate(z)) for z in zip(*found, strict=True)], schema=OUT)
 
     found = base.groupBy("shard").cogroup(asking.groupBy("shard")).applyInArrow(search, SCHEMA)
     # At most k rows of each shard meet for a query: merged with partial aggregation, k kept.
     pairs = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("v"))))
-    top = found.groupBy("query_id").agg(F.slice(pairs, 1, k).alias("top"))
+    top = found.groupBy("query_id", "query").agg(F.slice(pairs, 1, k).alias("top"))
     return top.select("query_id", F.posexplode("top").alias("p", "t")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("t.v").alias("vec_id"), (-F.col("t.s")).alias("score"))
 
 
