@@ -66,3 +66,8 @@ def store_batch(letters: DataFrame, embedding=None) -> DataFrame:
     return letters.select(
         F.struct("source_file", "segment_index").alias("pos"), "letter_id", F.col("text").alias("document"), "department", "office", "letter_type", "subject", "source_file", "needs_review", extra.alias("extra"), vector.alias("embedding"),
     )
+
+
+def write_auto_metadata(letters: DataFrame, path: str) -> None:
+    """The extracted fields, before corrections, as JSON lines. Only called where it is asked for: listing letters writes nothing."""
+    letters.drop("text").write.mode("overwrite").json(path)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import os
 import re
 from dataclasses import dataclass, field
 from pathlib import Path
@@ -42,6 +43,12 @@ class Settings:
     model: str = "default"
     layout: Layout = field(default_factory=Layout)
 
+    @classmethod
+    def from_env(cls, env: dict[str, str] | None = None) -> Settings:
+        e = os.environ if env is None else env
+        layout = Layout(e.get("DOCX_FONT_NAME", Layout.font), int(e.get("DOCX_FONT_SIZE_PT", Layout.size_pt)), float(e.get("DOCX_MARGIN_CM", Layout.margin_cm)), float(e.get("DOCX_LINE_SPACING", Layout.line_spacing)))
+        return cls(e.get("DATA_DIR", "data/letters"), e.get("STORE_DIR", "letter_store"), int(e.get("TOP_K", "5")), float(e.get("GENERATION_TEMPERATURE", "0.2")), e.get("CHAT_MODEL", "default"), layout)
+
 
 def doc_id_of(relative: str) -> str:
     return base64.urlsafe_b64encode(relative.encode()).decode()

@@ -181,6 +181,12 @@ def bm25_topk(spark, sf_dir):
     return retrieve.top(retrieve.bm25(t, TERMS), "bm25", 20).select("letter_id", F.round("bm25", 6).alias("score"))
 
 
+@query(f"WITH {candidates('true', False)}, {STATS}, s AS (SELECT letter_id, {bm25_sql()} AS b FROM c WHERE list_has_any(toks, {TERMS})) SELECT letter_id, round(b, 5) AS score FROM s")
+def bm25_postings(spark, sf_dir):
+    t = retrieve.with_tokens(letters(spark, sf_dir)).select("letter_id", "tokens", "n_terms")
+    return retrieve.bm25_from_postings(retrieve.postings(t), t.select("letter_id", "n_terms"), TERMS).select("letter_id", F.round("bm25", 5).alias("score"))
+
+
 # Vectors.
 COSINE = "list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = 0))"
 

@@ -109,3 +109,29 @@ def test_stream(spark, tmp_path):
         q = stream_into(store, text_file_stream(spark, str(tmp_path / "in")), str(tmp_path / "c"))
         q.awaitTermination()
     assert [(r.letter_id, r.department, r.subject) for r in store.rows().collect()] == [("a__seg000", "d", "एक")]
+
+
+def test_http(service):
+    import json
+    import threading
+    import urllib.request
+
+    from letterloom.plans import http
+
+    server = http.serve(service, port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    with urllib.request.urlopen(f"http://127.0.0.1:{server.server_port}/api/departments") as r:
+        assert "education" in json.loads(r.read())
+    server.shutdown()
+    status, _, body = http.answer(service, "GET", "/api/admin/search?q=land+tax&top_k=2", b"")
+    assert status == 200 and json.loads(body)[0]["letter_id"] == "tax__seg000"
+    assert http.answer(service, "GET", "/api/admin/documents/%25%25", b"")[0] == 400
+    assert http.answer(service, "DELETE", "/api/admin/letters/nobody", b"")[0] == 404
+    assert http.answer(service, "POST", "/api/generate", b"{}")[0] == 400 and http.answer(service, "GET", "/nowhere", b"")[0] == 404
+    status, _, body = http.answer(service, "POST", "/api/export/docx", json.dumps({"draft": "x"}).encode())
+    assert status == 200 and body[:2] == b"PK"
+
+
+def test_settings():
+    s = Settings.from_env({"TOP_K": "7", "DOCX_MARGIN_CM": "3"})
+    assert s.top_k == 7 and s.layout.margin_cm == 3.0 and s.layout.size_pt == 12
