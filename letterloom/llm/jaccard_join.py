@@ -69,17 +69,22 @@ def classified(docs: DataFrame, size: int, percent: int) -> DataFrame:
     n = P.bucket_count(total)  # a fingerprint of 8 bytes for each word of some six bytes
     packs = P.packed(docs)
 
+    def short(prints):
+        """Bucket and 40 further bits: enough to count by. Two shingles that share them count as one here, everywhere alike, which can
+        move them in the order but not change an overlap, as sets are compared by whole fingerprints."""
+        return P.to_buckets(prints, n).astype(R.U) << R.U(40) | prints & R.U((1 << 40) - 1)
+
     def own(table):
         sets = shingle_sets(table, size)
-        return sets, *np.unique(np.concatenate(sets) if sets else np.zeros(0, R.U), return_counts=True)
+        key, count = np.unique(short(np.concatenate(sets)) if sets else np.zeros(0, R.U), return_counts=True)
+        return sets, key, count, np.searchsorted(key, np.arange(n + 1, dtype=R.U) << R.U(40))
 
     def ask(pack, table):
-        _, key, count = own(table)
-        c = P.cuts(key, n)
+        _, key, count, c = own(table)
         for b in np.flatnonzero(np.diff(c)):
             k, m = key[c[b] : c[b + 1]], count[c[b] : c[b + 1]].astype(np.int32)
             more = np.flatnonzero(m > 1).astype(np.int32)
-            yield int(b), np.array([len(k), len(more)], np.int32).tobytes() + k.tobytes() + more.tobytes() + m[more].tobytes()
+            yield int(b), np.array([len(k), len(more)], np.int32).tobytes() + more.tobytes() + m[more].tobytes() + k.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
     def answer(bucket, rows):
         def fold(held, at, new):
@@ -88,8 +93,10 @@ def classified(docs: DataFrame, size: int, percent: int) -> DataFrame:
         runs, batches = Family(fold), []
         for pack, blob in rows:
             m, more = np.frombuffer(blob, np.int32, 2)
-            key, count = np.frombuffer(blob, R.U, m, 8), np.ones(m, np.int64)
-            count[np.frombuffer(blob, np.int32, more, 8 + 8 * m)] = np.frombuffer(blob, np.int32, more, 8 + 8 * m + 4 * more)
+            wide, count = np.zeros((m, 8), np.uint8), np.ones(m, np.int64)
+            wide[:, :5] = np.frombuffer(blob, np.uint8, 5 * m, 8 + 8 * more).reshape(-1, 5)
+            key = wide.view(R.U).ravel()
+            count[np.frombuffer(blob, np.int32, more, 8)] = np.frombuffer(blob, np.int32, more, 8 + 4 * more)
             batches.append((pack, key))
             runs.add(key, count)
         for pack, key in batches:
@@ -98,8 +105,8 @@ def classified(docs: DataFrame, size: int, percent: int) -> DataFrame:
             yield pack, at.astype(np.int32).tobytes() + np.minimum(count[at], 2**31 - 1).astype(np.int32).tobytes()
 
     def classify(pack, table, told):
-        sets, key, _ = own(table)
-        c, frequency = P.cuts(key, n), np.ones(len(key), np.int64)
+        sets, key, _, c = own(table)
+        frequency = np.ones(len(key), np.int64)
         for b, x in told[0].items():
             at, f = np.frombuffer(x, np.int32).reshape(2, -1)
             frequency[c[b] + at] = f
@@ -111,7 +118,7 @@ def classified(docs: DataFrame, size: int, percent: int) -> DataFrame:
             if name is None or name in seen:
                 continue
             seen.add(name)
-            f = frequency[np.searchsorted(key, s)]
+            f = frequency[np.searchsorted(key, short(s))]
             often = f > 1
             if (k := int(often.sum())) >= least_overlap(len(s), percent):
                 order = np.lexsort((s[often], f[often]))
