@@ -120,9 +120,16 @@ def to_buckets(keys: np.ndarray, n: int) -> np.ndarray:
     return (((keys >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)).astype(np.int64)
 
 
-def cuts(sorted_keys: np.ndarray, n: int) -> np.ndarray:
-    """Where each bucket begins among sorted keys (``n + 1`` positions)."""
-    return np.searchsorted(to_buckets(sorted_keys, n), np.arange(n + 1))
+def slices(sorted_keys: np.ndarray, n: int) -> dict[int, slice]:
+    """Where each bucket that occurs stands among sorted keys; the work follows the keys, not the number of buckets."""
+    return stretches(to_buckets(sorted_keys, n))
+
+
+def stretches(buckets: np.ndarray) -> dict[int, slice]:
+    if not len(buckets):
+        return {}
+    at = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1]])
+    return {b: slice(i, j) for b, i, j in zip(buckets[at].tolist(), at.tolist(), [*at[1:].tolist(), len(buckets)], strict=True)}
 
 
 def asked(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:

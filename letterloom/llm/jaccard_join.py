@@ -77,14 +77,14 @@ def classified(docs: DataFrame, size: int, percent: int) -> DataFrame:
     def own(table):
         sets = shingle_sets(table, size)
         key, count = np.unique(short(np.concatenate(sets)) if sets else np.zeros(0, R.U), return_counts=True)
-        return sets, key, count, np.searchsorted(key, np.arange(n + 1, dtype=R.U) << R.U(40))
+        return sets, key, count, P.stretches((key >> R.U(40)).astype(np.int64))
 
     def ask(pack, table):
-        _, key, count, c = own(table)
-        for b in np.flatnonzero(np.diff(c)):
-            k, m = key[c[b] : c[b + 1]], count[c[b] : c[b + 1]].astype(np.int32)
+        _, key, count, stands = own(table)
+        for b, s in stands.items():
+            k, m = key[s], count[s].astype(np.int32)
             more = np.flatnonzero(m > 1).astype(np.int32)
-            yield int(b), np.array([len(k), len(more)], np.int32).tobytes() + more.tobytes() + m[more].tobytes() + k.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+            yield b, np.array([len(k), len(more)], np.int32).tobytes() + more.tobytes() + m[more].tobytes() + k.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
 
     def answer(bucket, rows):
         def fold(held, at, new):
@@ -105,11 +105,11 @@ def classified(docs: DataFrame, size: int, percent: int) -> DataFrame:
             yield pack, at.astype(np.int32).tobytes() + np.minimum(count[at], 2**31 - 1).astype(np.int32).tobytes()
 
     def classify(pack, table, told):
-        sets, key, _, c = own(table)
+        sets, key, _, stands = own(table)
         frequency = np.ones(len(key), np.int64)
         for b, x in told[0].items():
             at, f = np.frombuffer(x, np.int32).reshape(2, -1)
-            frequency[c[b] + at] = f
+            frequency[stands[b].start + at] = f
         names, shared, n_prefix, seen = [], [], [], set()
         for s in sets:
             name = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None

@@ -70,10 +70,8 @@ def line_dedup(docs: DataFrame, least: int = 20, copies: int = 3, carry: bool =
     def ask(pack, table):
         _, h, d, _ = keys_of(table, least)
         key, count, largest = distinct(h, d, P.doc_ids(table, LEAST_ID))
-        c = P.cuts(key, n)
-        for b in np.flatnonzero(np.diff(c)):
-            s = slice(c[b], c[b + 1])
-            yield int(b), key[s].tobytes() + largest[s].tobytes() + count[s].astype(np.int32).tobytes()
+        for b, s in P.slices(key, n).items():
+            yield b, key[s].tobytes() + largest[s].tobytes() + count[s].astype(np.int32).tobytes()
 
     def answer(bucket, rows):
         def fold(held, at, new):

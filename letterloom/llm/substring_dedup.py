@@ -61,11 +61,11 @@ class Block:
 
     def told(self, replies: dict[int, bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
         """For each entry: its first holder in all documents, and the flags."""
-        c = P.cuts(self.anchor, n)
+        at = P.slices(self.anchor, n)
         first, flags = np.full(len(self.anchor), NO_ID), np.zeros(len(self.anchor), np.uint8)
         for b, x in replies.items():
-            m = c[b + 1] - c[b]
-            first[c[b] : c[b + 1]], flags[c[b] : c[b + 1]] = np.frombuffer(x, np.int64, m), np.frombuffer(x, np.uint8, m, 8 * m)
+            m = at[b].stop - at[b].start
+            first[at[b]], flags[at[b]] = np.frombuffer(x, np.int64, m), np.frombuffer(x, np.uint8, m, 8 * m)
         return first, flags
 
     def windows(self, occurrences: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -122,10 +122,8 @@ def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 5) -> DataFra
 
     def ask_phrases(pack, table):
         x = Block(table, window, gram)
-        c = P.cuts(x.anchor, n1)
-        for b in np.flatnonzero(np.diff(c)):
-            s = slice(c[b], c[b + 1])
-            yield int(b), x.anchor[s].tobytes() + x.phrase[s].tobytes() + x.holder[s].tobytes()
+        for b, s in P.slices(x.anchor, n1).items():
+            yield b, x.anchor[s].tobytes() + x.phrase[s].tobytes() + x.holder[s].tobytes()
 
     def open_windows(x, flags):
         """Windows of the open phrases that this block holds first: distinct fingerprints and the smallest id of each."""
@@ -139,10 +137,8 @@ def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 5) -> DataFra
     def ask_windows(pack, table, told):
         x = Block(table, window, gram)
         prints, ids = open_windows(x, x.told(told, n1)[1])
-        c = P.cuts(prints, n2)
-        for b in np.flatnonzero(np.diff(c)):
-            s = slice(c[b], c[b + 1])
-            yield int(b), prints[s].tobytes() + ids[s].tobytes()
+        for b, s in P.slices(prints, n2).items():
+            yield b, prints[s].tobytes() + ids[s].tobytes()
 
     def cut(pack, table, told):
         x = Block(table, window, gram)
@@ -153,9 +149,9 @@ def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 5) -> DataFra
         factors = [ranges(x.first[whole], x.last[whole] + 1)]
         if told[1]:
             prints, _ = open_windows(x, flags)
-            c, least = P.cuts(prints, n2), np.full(len(prints), NO_ID)
+            stands, least = P.slices(prints, n2), np.full(len(prints), NO_ID)
             for b, ids in told[1].items():
-                least[c[b] : c[b + 1]] = np.frombuffer(ids, np.int64)
+                least[stands[b]] = np.frombuffer(ids, np.int64)
             # A phrase that no earlier document holds whole, in the document that holds it first: its windows were entered here.
             p, prints_of, doc = x.windows(np.flatnonzero(known & ~whole & ((flags[x.entry] & OPEN) > 0)))
             at = np.searchsorted(prints, prints_of)

@@ -58,9 +58,9 @@ class Batch:
         self.entry[order] = np.cumsum(new) - 1
 
     def flags(self, told: dict[int, bytes], n: int) -> np.ndarray:
-        c, out = P.cuts(self.anchor, n), np.zeros(len(self.anchor), np.uint8)
+        at, out = P.slices(self.anchor, n), np.zeros(len(self.anchor), np.uint8)
         for b, x in told.items():
-            out[c[b] : c[b + 1]] = np.frombuffer(x, np.uint8)
+            out[at[b]] = np.frombuffer(x, np.uint8)
         return out
 
     def starts(self, occurrences: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,10 +129,9 @@ def suffix_dedup(docs: DataFrame, window: int = 400, gram: int = 64) -> DataFram
 
     def ask_anchors(pack, table):
         x = Batch(table, window, gram)
-        c, m = P.cuts(x.anchor, n1), np.minimum(x.count, 2).astype(np.uint8)
-        for b in np.flatnonzero(np.diff(c)):
-            s = slice(c[b], c[b + 1])
-            yield int(b), x.anchor[s].tobytes() + x.stretch[s].tobytes() + m[s].tobytes()
+        m = np.minimum(x.count, 2).astype(np.uint8)
+        for b, s in P.slices(x.anchor, n1).items():
+            yield b, x.anchor[s].tobytes() + x.stretch[s].tobytes() + m[s].tobytes()
 
     def open_windows(x, told):
         """Windows of the open stretches that this pack represents: distinct fingerprints, and how often each occurs."""
@@ -141,10 +140,9 @@ def suffix_dedup(docs: DataFrame, window: int = 400, gram: int = 64) -> DataFram
 
     def ask_windows(pack, table, told):
         prints, count = open_windows(Batch(table, window, gram), told)
-        c, m = P.cuts(prints, n2), np.minimum(count, 2).astype(np.uint8)
-        for b in np.flatnonzero(np.diff(c)):
-            s = slice(c[b], c[b + 1])
-            yield int(b), prints[s].tobytes() + m[s].tobytes()
+        m = np.minimum(count, 2).astype(np.uint8)
+        for b, s in P.slices(prints, n2).items():
+            yield b, prints[s].tobytes() + m[s].tobytes()
 
     def cut(pack, table, told):
         x = Batch(table, window, gram)
@@ -154,9 +152,9 @@ def suffix_dedup(docs: DataFrame, window: int = 400, gram: int = 64) -> DataFram
         dup = [ranges(x.first[whole] + (base := np.array([b for b, _ in x.parts], np.int64)[x.part[whole]]), x.last[whole] + 1 + base)]
         if told[1]:
             prints, _ = open_windows(x, told[0])
-            c, repeated = P.cuts(prints, n2), np.zeros(len(prints), bool)
+            at, repeated = P.slices(prints, n2), np.zeros(len(prints), bool)
             for b, bits in told[1].items():
-                repeated[c[b] : c[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=c[b + 1] - c[b]).astype(bool)
+                repeated[at[b]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=at[b].stop - at[b].start).astype(bool)
             pos, own = x.starts(np.flatnonzero((of & (DUP | OPEN)) == OPEN))
             dup.append(pos[repeated[np.searchsorted(prints, own)]] if len(prints) else pos[:0])
         gone = R.covered(np.unique(np.concatenate(dup)), window, len(x.data))
