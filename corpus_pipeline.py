@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from letterloom.llm import bpe, decontaminate, jaccard_join, line_dedup, toxicity
 from letterloom.llm._session import checkpoints
+from letterloom.ship import ship
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,6 +56,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     checkpoints(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:

@@ -19,6 +19,7 @@ from ..operators.generate import build_messages, reference_section
 from ..operators.metadata import with_overrides
 from ..operators.retrieve import retrieve, two_stage
 from ..operators.store import Store, build_filter
+from ..ship import ship
 from ..sources.files import SUFFIXES, sidecars
 from .ingest import document_rollup, ingest, store_batch, summary
 
@@ -71,6 +72,7 @@ class Service:
 
     def __init__(self, spark: SparkSession, settings: Settings, embedder: Embedder | None = None, chat=None, pdf=None, ocr=None):
         self.spark, self.settings, self.embedder, self.chat, self.pdf, self.ocr = spark, settings, embedder or HashEmbedder(), chat, pdf, ocr
+        ship(spark)
         self.root = Path(settings.data_dir)
         self.store = Store(spark, settings.store_dir, self.embedder.model_name, self.embedder.dimension())
 
