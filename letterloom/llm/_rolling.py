@@ -98,7 +98,8 @@ def anchored(sums: np.ndarray, offsets: np.ndarray, window: int, k: int) -> tupl
     anchor = at[starts]
     cut = np.flatnonzero((starts[1:] != starts[:-1] + 1) | (anchor[1:] != anchor[:-1])) + 1
     first, last = starts[np.r_[0, cut]], starts[np.r_[cut - 1, len(starts) - 1]]
-    return first, last, h[anchor[np.r_[0, cut]]], span(sums, first, last + window)
+    # Least values crowd at the low end; mixed again they fill the range that buckets cut.
+    return first, last, mix(h[anchor[np.r_[0, cut]]] + U(1)), span(sums, first, last + window)
 
 
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
