@@ -101,7 +101,7 @@ def texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(offsets: np.ndarray, target: int = 1 << 20) -> list[tuple[int, int]]:
+def chunks(offsets: np.ndarray, target: int = 1 << 18) -> list[tuple[int, int]]:
     """Ranges of documents of about ``target`` bytes each, so that working arrays stay small."""
     out, first = [], 0
     for i in range(1, len(offsets)):

@@ -20,7 +20,7 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if _powers["n"] < n:
-        n = max(n, 1 << 20)
+        n = max(n, 1 << 18)
         for k, b in (("up", BASE), ("down", BACK)):
             x = np.full(n, b, U)
             x[0] = 1
