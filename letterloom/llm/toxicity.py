@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick after folding disguises.
 
 Method. Texts are lower-cased; homoglyphs and digits fold to the Latin letters they stand for, and so do a few signs between
-letters; everything else that is not a letter ends a word. The lexicon has whole words and word beginnings, with their log
+letters; everything else that is not a letter ends a word. The lexicon has whole words and beginnings of other words, with their log
 odds between toxic and other documents as weights. One Aho-Corasick automaton finds all of them; a word counts once, by its heaviest
 entry, and not at all inside an exception phrase (two words, one of them in the lexicon, seen mostly in documents that are not toxic). The sum
 over ``words + SMOOTH`` is the density x, and ``x / (x + t)`` the score; t is the cut with the fewest errors on the sample.
@@ -31,8 +31,8 @@ SAMPLE = 20_000
 ENTRIES = 512
 SMOOTH = 20
 STEMS = (4, 5, 6)
-#: Least evidence for an entry: a chance below one in a million, as many thousand words are tried.
-EVIDENCE = 24.0
+#: Least evidence for an entry: a chance below one in ten million, as hundreds of thousands of words are tried.
+EVIDENCE = 30.0
 
 # Letters and digits that are used in place of Latin letters (Cyrillic, Greek, digits).
 LOOKALIKES = {
@@ -144,9 +144,12 @@ def counted(sample: DataFrame, features) -> DataFrame:
     return sample.select("text", "toxic").mapInArrow(run, "f string, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
 
 
-def word_features(text: str | None) -> set[str]:
-    words = {w for w in fold(text or "").split() if 3 <= len(w) <= 40}
-    return words | {f"{w[:n]}*" for w in words for n in STEMS if len(w) > n}
+def words_of(text: str | None) -> set[str]:
+    return {w for w in fold(text or "").split() if 3 <= len(w) <= 40}
+
+
+def shingle_hash(seed: int):
+    return lambda i: F.xxhash64(F.lit(seed), F.get("w", i), F.get("w", i + 1), F.get("w", i + 2))
 
 
 def fit(docs: DataFrame, labels: DataFrame, teaches: Column) -> Model:
@@ -156,11 +159,15 @@ def fit(docs: DataFrame, labels: DataFrame, teaches: Column) -> Model:
     checkpoints(docs.sparkSession)
     P.arrow_limits(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = docs.join(F.broadcast(known), "doc_id")  # at most SAMPLE rows of 12 bytes are broadcast
-    # Copies would make a document's own words look like evidence: one of those with the same least shingle stays.
+    # Copies, near ones too, would make a document's own words look like evidence: of those that share one of four least shingles one stays.
     words = F.split(F.lower("text"), r"\s+")
-    shingles = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
-    sample = sample.withColumn("w", words).withColumn("k", F.array_min(shingles)).dropDuplicates(["k"]).select("doc_id", "text", "toxic").checkpoint()
+    starts = F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0)))
+    keys = docs.join(F.broadcast(known), "doc_id").withColumn("w", words)  # at most SAMPLE rows of 12 bytes are broadcast
+    keys = keys.select("doc_id", "toxic", *[F.array_min(F.transform(starts, shingle_hash(seed))).alias(f"k{seed}") for seed in range(4)])
+    for seed in range(4):
+        keys = keys.dropDuplicates([f"k{seed}"])
+    keys = keys.select("doc_id", "toxic").checkpoint()
+    sample = docs.join(F.broadcast(keys), "doc_id").checkpoint()
     n = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         return Model()
@@ -169,8 +176,19 @@ def fit(docs: DataFrame, labels: DataFrame, teaches: Column) -> Model:
     share = n[1] / (n[1] + n[0])
     # Twice the log-likelihood ratio against independence; the term of the other side is left out where it is empty.
     gain = 2 * (F.col("pos") * F.log(F.col("pos") / (both * share)) + F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / (both * (1 - share)))).otherwise(0))
-    table = counted(sample, word_features).where("pos >= 3 AND pos >= 4 * neg").withColumn("w", weight).where((F.col("w") >= 2.5) & (gain >= EVIDENCE))
-    model = Model({r.f: r.w for r in table.orderBy(F.desc(F.col("pos") * F.col("w")), "f").limit(ENTRIES).collect()})
+
+    def telling(table: DataFrame) -> list:
+        kept = table.where("pos >= 3 AND pos >= 4 * neg").withColumn("w", weight).where((F.col("w") >= 2.5) & (gain >= EVIDENCE))
+        return kept.orderBy(F.desc(F.col("pos") * F.col("w")), "f").limit(ENTRIES // 2).collect()
+
+    model = Model({r.f: r.w for r in telling(counted(sample, words_of))})
+    known_words = frozenset(model.weights)
+
+    def beginnings(text):
+        """Of words that are not entries themselves: a beginning must tell something that no entry tells."""
+        return {f"{w[:n]}*" for w in words_of(text) - known_words for n in STEMS if len(w) > n}
+
+    model.weights |= {r.f: r.w for r in telling(counted(sample, beginnings))}
 
     def phrases(text):
         found, folded = model.hits(text)
