@@ -59,10 +59,10 @@ def path_of(root: Path, doc_id: str) -> Path:
     """The file of a document id, which must lie inside ``root``."""
     try:
         relative = base64.b64decode(doc_id.encode("ascii"), altchars=b"-_", validate=True).decode()
-    except ValueError as e:
+        path = (root / relative).resolve()
+    except (ValueError, OSError) as e:
         raise BadRequest("not a document id") from e
-    path = (root / relative).resolve()
-    if not path.is_relative_to(root.resolve()) or "\0" in relative:
+    if not path.is_relative_to(root.resolve()):
         raise BadRequest("outside the data folder")
     return path
 
