@@ -236,7 +236,8 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     least = joined.join(classes.select(F.col("class").alias("node"), "least"), "node").groupBy("label").agg(F.min("least").alias("component_id"))
     degree = links.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
     found = joined.join(least, "label").join(degree, "node").select(F.col("node").alias("class"), "component_id", "n_links")
-    alone = classes.select("class", "least").join(found, "class", "left").select("class", F.coalesce("component_id", "least").alias("component_id"), "n_links")
+    # Cut here, the last join has nothing above or below it, so Spark may split the rows of a class that a third of all documents share.
+    alone = classes.select("class", "least").join(found, "class", "left").select("class", F.coalesce("component_id", "least").alias("component_id"), "n_links").checkpoint()
     return rows.select("doc_id", "n_shingles", "class").join(alone, "class", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
