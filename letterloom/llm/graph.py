@@ -20,7 +20,8 @@ def components(edges: DataFrame) -> DataFrame:
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")).checkpoint()
     while True:
         near = both.join(labels, both.a == labels.node).groupBy(F.col("b").alias("n")).agg(F.min("label").alias("near"))
-        low = labels.join(near, labels.node == near.n).select("node", "label", F.least("label", "near").alias("low"))
+        # Cut here, so that Spark may split the next join where many nodes have one label.
+        low = labels.join(near, labels.node == near.n).select("node", "label", F.least("label", "near").alias("low")).checkpoint()
         up = low.select(F.col("node").alias("n"), F.col("low").alias("up"))
         new = low.join(up, low.low == up.n).select("node", "up", (F.col("up") != F.col("label")).alias("moved")).checkpoint()
         if not new.where("moved").limit(1).count():
