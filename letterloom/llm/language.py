@@ -78,7 +78,7 @@ def fit(docs: DataFrame, teaches: Column) -> Profiles:
     if not sizes:
         return Profiles([], np.zeros(0, np.int64), np.zeros((0, 0), np.int64))
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, SAMPLE / r.n)])
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.get(F.array(F.element_at(share, F.col("lang"))), F.lit(0)) * (1 << 20))
+    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
 
     def count(batches):
         total: dict[str, list] = {}
