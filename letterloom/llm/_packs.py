@@ -18,6 +18,7 @@ checkpointed first, which the queries here never need as they read tables.
 
 from __future__ import annotations
 
+import ctypes
 import io
 import math
 
@@ -28,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+LIBC = ctypes.CDLL(None)
 PACK_BYTES = 2 << 20
 #: Bytes of fingerprints that one bucket should hold; the number of buckets follows the input from it.
 BUCKET_BYTES = 8 << 20
@@ -89,6 +91,13 @@ def packed(df: DataFrame, target: int = PACK_BYTES) -> DataFrame:
     return df.mapInArrow(pack, "pack long, body binary")
 
 
+def trim() -> None:
+    """Give freed memory back to the system: Python workers live on through many stages, and what they hold adds up."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(LIBC, "malloc_trim"):
+        LIBC.malloc_trim(0)
+
+
 def texts(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """All UTF-8 bytes of the pack's texts, and the ``n + 1`` offsets of the texts in them; null counts as empty."""
     col = table.column("text").cast(pa.large_string())
@@ -144,6 +153,7 @@ def ask(packs: DataFrame, f) -> DataFrame:
         for batch in batches:
             for pack, body in zip(batch.column("pack").to_pylist(), batch.column("body"), strict=True):
                 yield asked([(b, pack, x) for b, x in f(pack, load(body.as_py()))])
+                trim()
 
     return packs.mapInArrow(run, ASK)
 
@@ -155,6 +165,7 @@ def ask_again(packs: DataFrame, answers: DataFrame, f) -> DataFrame:
         out = []
         for pack, body in zip(left.column("pack").to_pylist(), left.column("body"), strict=True):
             out += [(b, pack, x) for b, x in f(pack, load(body.as_py()), replies(right))]
+        trim()
         return pa.Table.from_batches([asked(out)])
 
     return packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(run, ASK)
@@ -168,7 +179,9 @@ def answer(questions: DataFrame, f) -> DataFrame:
             return pa.Table.from_batches([asked([])])
         bucket = table.column("bucket")[0].as_py()
         rows = sorted(zip(table.column("pack").to_pylist(), table.column("blob").to_pylist(), strict=True), key=lambda x: x[0])
-        return pa.Table.from_batches([asked([(bucket, p, x) for p, x in f(bucket, rows)])])
+        out = pa.Table.from_batches([asked([(bucket, p, x) for p, x in f(bucket, rows)])])
+        trim()
+        return out
 
     return questions.groupBy("bucket").applyInArrow(run, ASK)
 
@@ -191,6 +204,7 @@ def apply(packs: DataFrame, answers: list[DataFrame], f, schema: str, out: pa.Sc
         for b, x in replies(right).items():
             got[b % n][b // n] = x
         done = [f(p, load(x.as_py()), got) for p, x in zip(left.column("pack").to_pylist(), left.column("body"), strict=True)]
+        trim()
         return pa.concat_tables([t.cast(out) for t in done]) if done else out.empty_table()
 
     return packs.groupBy("pack").cogroup(told.groupBy("pack")).applyInArrow(run, schema)

@@ -126,7 +126,7 @@ def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
 
 
-def bpe_round_trip(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
+def bpe_round_trip(docs: DataFrame, ranks: dict[bytes, int], pack_bytes: int = PACK_BYTES) -> DataFrame:
     """Per document: ``doc_id, token_ids`` (little-endian unsigned 32-bit integers) and ``decoded`` (the bytes of these tokens)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if sorted(ranks.values()) != list(range(len(ranks))):
@@ -134,7 +134,7 @@ def bpe_round_trip(docs: DataFrame, ranks: dict[bytes, int]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(tuple(t for t, _ in sorted(ranks.items(), key=lambda x: x[1])))
     kind = np.uint16 if len(ranks) <= 1 << 16 else np.uint32
     n = P.bucket_count(P.text_bytes(docs))
-    packs = P.packed(docs, PACK_BYTES)
+    packs = P.packed(docs, pack_bytes)
 
     def ask(pack, table):
         x = Words(table)
