@@ -43,7 +43,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id``, the token ids (little-endian 32-bit) and digests of them and of what they decode to."""
     ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    coded = bpe.bpe_round_trip(docs, ranks)
+    coded = bpe.bpe_round_trip(docs, ranks, 2 << 20)  # smaller packs: workers also hold what earlier stages left
     return coded.select(
         "doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), "token_ids",
         F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
