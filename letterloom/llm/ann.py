@@ -4,12 +4,14 @@ Method. Vectors are scaled to length 1, so that largest inner product means larg
 each pair of dimensions (four bits each) is trained and assigned under the anisotropic loss: of a vector's residual, the part parallel to
 the vector counts ``eta`` times the rest, as it is what shifts large inner products. Rows are dealt into shards by a hash of their id;
 every shard indexes all its rows. Each query's table of inner products with the centres (two four-bit tables are joined to one
-byte-wide table) is summed over the codes of a shard; the ``rerank`` best go to the exact measure in double precision, and the
-best of all shards are merged. The queries visit every shard in blocks, since no partitioning keeps recall on vectors without
-clusters; nothing is skipped, so only the quantiser can lose a neighbour.
+byte-wide table) is summed over the codes of a shard; the ``rerank`` best go to the exact measure in double precision, which gives a
+k-th score. By the angle between a row and its code (:func:`least_sum`) it is known how far a sum can be from the row's inner product:
+every other row that can still reach the k-th score goes to the exact measure too. The best of all shards are merged. The queries visit
+every shard in blocks, since no partitioning keeps recall on vectors without clusters. No neighbour is lost: what codes do not tell
+apart costs time.
 
 Bounds: codebooks are fitted on at most ``SAMPLE`` vectors, those with the smallest hashes; they are 16 x d doubles. A shard has about
-``SHARD`` rows.
+``SHARD`` rows, whatever the table's size; the exact measure takes ``RERANK`` rows at once.
 
 Rows: vectors that are null, zero, or hold a null or non-finite component take no part, nor do those whose length is not the most common one
 (ties: the smaller); null ids take no part; equal scores go to the smaller id; rows that share an id are all candidates, except for
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 SAMPLE = 20_000
 SHARD = 1 << 17
 QUERIES = 256  # of a block in a shard
+RERANK = 8192
 SCHEMA = "query_id long, query long, vec_id long, score double"
 OUT = pa.schema([("query_id", pa.int64()), ("query", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
@@ -77,7 +80,23 @@ def train(x: np.ndarray, m: int, weight: float, rounds: int = 8, seed: int = 7)
     return books
 
 
-def scan(ids: np.ndarray, x: np.ndarray, code: np.ndarray, books: np.ndarray, qid: np.ndarray, number: np.ndarray, q: np.ndarray, k: int, rerank: int):
+def spread(unit: np.ndarray, code: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The parts of each row's code along the row and across it, as lengths; the first may be negative."""
+    c = books[np.arange(len(books)), code].reshape(unit.shape)
+    along = (c * unit).sum(1)
+    return along, np.sqrt(((c - along[:, None] * unit) ** 2).sum(1))
+
+
+def least_sum(score: float, along: np.ndarray, across: np.ndarray) -> np.ndarray:
+    """The least inner product of a query with each row's code, if with the row itself it is ``score`` or more (all of length 1 but the codes).
+
+    With the row it is t, with the code then at least ``along t - across sqrt(1 - t^2)``, which is convex in t.
+    """
+    t = np.clip(-along / np.maximum(np.hypot(along, across), 1e-300), min(score, 1.0), 1.0)
+    return along * t - across * np.sqrt(1 - t * t)
+
+
+def scan(ids: np.ndarray, x: np.ndarray, code: np.ndarray, books: np.ndarray, along: np.ndarray, across: np.ndarray, qid: np.ndarray, number: np.ndarray, q: np.ndarray, k: int, rerank: int):
     """Top k of one shard for some queries. Rows stand in the order of their ids, so ties go to the smaller one."""
     m, n = code.shape[1], len(ids)
     if m % 2:
@@ -85,22 +104,37 @@ def scan(ids: np.ndarray, x: np.ndarray, code: np.ndarray, books: np.ndarray, qi
     wide = np.ascontiguousarray((code[:, 0::2] | code[:, 1::2] << 4).T)
     norm = np.sqrt((x * x).sum(1))
     for i in range(len(q)):
-        unit = q[i] / np.sqrt((q[i] * q[i]).sum())
-        table = np.einsum("mks,ms->mk", books[:m], unit.reshape(m, -1))
+        length = np.sqrt((q[i] * q[i]).sum())
+        table = np.einsum("mks,ms->mk", books[:m], (q[i] / length).reshape(m, -1))
         table = np.concatenate([table, np.zeros((len(books) - m, 16))])
         table = np.round(table * (1 << 20)).astype(np.int64)
         joined = (table[0::2, None, :] + table[1::2, :, None]).reshape(len(wide), 256)
-        key = joined[0][wide[0]]
+        total = joined[0][wide[0]]
         for row, t in zip(wide[1:], joined[1:], strict=True):
-            key += t[row]
-        key = (key << 24) - np.arange(n)  # equal sums: the smaller id first; a shard has far fewer than 2**24 rows
-        keep = rerank + 1  # one may be the query itself
-        best = np.argpartition(-key, keep)[:keep] if n > keep else np.arange(n)
-        best = best[ids[best] != qid[i]]
-        best.sort()
-        score = (x[best] * q[i]).sum(1) / (norm[best] * np.sqrt((q[i] * q[i]).sum()))
-        top = np.lexsort((ids[best], -score))[:k]
-        yield np.full(len(top), qid[i]), np.full(len(top), number[i]), ids[best][top], score[top]
+            total += t[row]
+        open_ = np.ones(n, bool)
+        open_[np.searchsorted(ids, qid[i], "left") : np.searchsorted(ids, qid[i], "right")] = False
+        near, best = np.zeros(0, np.int64), np.zeros(0)
+
+        def measure(rows):
+            nonlocal near, best
+            for a in range(0, len(rows), RERANK):
+                r = rows[a : a + RERANK]
+                score = (x[r] * q[i]).sum(1) / (norm[r] * length)
+                near, best = np.r_[near, r], np.r_[best, score]
+                top = np.lexsort((ids[near], -best))[:k]
+                near, best = near[top], best[top]
+
+        key = (total << 24) - np.arange(n)  # equal sums: the smaller id first; a shard has far fewer than 2**24 rows
+        first = np.flatnonzero(open_)
+        keep = max(rerank, k)
+        first = first[np.argpartition(-key[first], keep)[:keep]] if len(first) > keep else first
+        measure(first)
+        open_[first] = False
+        if open_.any():  # so there are k
+            slack = m / 2 + 2  # each table entry is rounded to half a unit; the rest is rounding in double precision
+            measure(np.flatnonzero(open_ & (total >= least_sum(best[-1], along, across) * (1 << 20) - slack)))
+        yield np.full(len(near), qid[i]), np.full(len(near), number[i]), ids[near], best
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = 128, threshold: float = 0.2) -> DataFrame:
@@ -119,7 +153,7 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = 128,
     sample /= np.sqrt((sample * sample).sum(1))[:, None]
     m, weight = d // 2 if d % 2 == 0 else d, eta(d, threshold)
     books = train(sample, m, weight)
-    shards = max(-(-n // SHARD), min(48, -(-n // 1024)))
+    shards = -(-n // SHARD)
     base = v.select("vec_id", "x", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"))
     asking = v.where(F.col("vec_id") % every == 0).select("vec_id", "x", F.monotonically_increasing_id().alias("query"))
     asking = asking.select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
@@ -133,11 +167,16 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = 128,
         left = left.sort_by("vec_id")
         ids, x = np.asarray(left.column("vec_id")), matrix(left)
         unit = x / np.sqrt((x * x).sum(1))[:, None]
-        code = np.concatenate([assign(unit[i : i + 4096], books, weight) for i in range(0, len(x), 4096)])
+        code, along, across = [], [], []
+        for i in range(0, len(x), 4096):
+            code.append(assign(unit[i : i + 4096], books, weight))
+            for held, part in zip((along, across), spread(unit[i : i + 4096], code[-1], books), strict=True):
+                held.append(part)
+        code, along, across = (np.concatenate(held) for held in (code, along, across))
         found = []
         for i in range(0, right.num_rows, QUERIES):
             block = right.slice(i, QUERIES)
-            found += scan(ids, x, code, books, np.asarray(block.column("vec_id")), np.asarray(block.column("query")), matrix(block), k, rerank)
+            found += scan(ids, x, code, books, along, across, np.asarray(block.column("vec_id")), np.asarray(block.column("query")), matrix(block), k, rerank)
         return pa.table([pa.array(np.concatenate(z)) for z in zip(*found, strict=True)], schema=OUT)
 
     found = base.groupBy("shard").cogroup(asking.groupBy("shard")).applyInArrow(search, SCHEMA)

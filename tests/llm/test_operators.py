@@ -365,6 +365,30 @@ def test_nearest(spark):
     assert ann.nearest(df.where("vec_id IN (0, 1, 2)")).count() == 2  # all candidates, if fewer
 
 
+def test_nearest_in_a_group_that_codes_do_not_resolve(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1200, 16))
+    x[rng.permutation(1200)[:400]] = x[7] + 1e-3 * rng.normal(size=(400, 16))
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = ann.nearest(df, every=10, rerank=20).toPandas()
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    for i in range(0, 1200, 10):
+        score = unit @ unit[i]
+        score[i] = -2
+        assert list(got[got.query_id == i].sort_values("rank").vec_id) == np.argsort(-score)[:5].tolist()
+
+
+def test_least_sum_is_a_bound():
+    rng = np.random.default_rng(6)
+    x, q, c = rng.normal(size=(3, 20_000, 3))
+    x, q = x / np.linalg.norm(x, axis=1)[:, None], q / np.linalg.norm(q, axis=1)[:, None]
+    along, across = ann.spread(x, np.zeros((20_000, 1), np.uint8), c[:1, None])
+    score = (x * q).sum(1)
+    for least in (-1.0, -0.5, 0.0, 0.5, 0.99):
+        reach = score >= least
+        assert reach.any() and ((q @ c[0])[reach] >= ann.least_sum(least, along, across)[reach] - 1e-9).all()
+
+
 def test_anisotropic_codes_favour_the_parallel_part():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(800, 16))
