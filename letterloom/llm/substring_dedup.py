@@ -6,7 +6,7 @@ space keeps the indexes of all blocks, so a document is parsed against every ref
 
 1. greedy step: a phrase that an earlier document holds whole is a factor;
 2. factor boundaries: phrases that share only their anchor with others are where factors begin and end. They are checked window
-   by window against the windows that the first holder of each such phrase enters.
+   by window against the windows that the first holders of each such phrase (in each block where a row with the least ``doc_id`` holds it) enter.
 
 Factors, joined and overlapping, make the duplicate spans. Copies fold inside each block before they are sent.
 
@@ -77,26 +77,26 @@ class Block:
 
 def answer_phrases(bucket: int, rows: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
     def fold_phrase(held, at, new):
-        less = new[0] < held[0][at]
-        for h, x in zip(held, new, strict=True):
-            h[at[less]] = x[less]
+        held[0][at] = np.minimum(held[0][at], new[0])
 
     def fold_anchor(held, at, new):
         held[1][at] |= new[1] | (held[0][at] != new[0])
 
     phrases, anchors, blocks = Family(fold_phrase), Family(fold_anchor), []
-    for i, (pack, blob) in enumerate(rows):
+    for pack, blob in rows:
         n = len(blob) // 24
         k, r, d = np.frombuffer(blob, R.U, n), np.frombuffer(blob, R.U, n, 8 * n), np.frombuffer(blob, np.int64, n, 16 * n)
-        blocks.append((pack, k, r))
+        blocks.append((pack, k, r, d))
         o = np.argsort(r)
-        phrases.add(r[o], d[o], np.full(n, i))
+        phrases.add(r[o], d[o])
         where = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
         anchors.add(k[where], r[where], np.diff(np.r_[where, n]) > 1)
-    return [
-        (pack, phrases.find(r, 0, NO_ID).tobytes() + (OPEN * anchors.find(k, 1, False) + FIRST * (phrases.find(r, 1, -1) == i)).astype(np.uint8).tobytes())
-        for i, (pack, k, r) in enumerate(blocks)
-    ]
+    out = []
+    for pack, k, r, d in blocks:
+        # Every block whose least holder is the least of all asks for its windows: rows in several blocks can share an id.
+        least = phrases.find(r, 0, NO_ID)
+        out.append((pack, least.tobytes() + (OPEN * anchors.find(k, 1, False) + FIRST * ((d == least) & (d != NO_ID))).astype(np.uint8).tobytes()))
+    return out
 
 
 def answer_windows(bucket: int, rows: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
@@ -126,7 +126,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 5) -> DataFra
             yield b, x.anchor[s].tobytes() + x.phrase[s].tobytes() + x.holder[s].tobytes()
 
     def open_windows(x, flags):
-        """Windows of the open phrases that this block holds first: distinct fingerprints and the smallest id of each."""
+        """Windows of the open phrases that no document holds before this block's: distinct fingerprints and the smallest id of each."""
         _, prints, doc = x.windows(x.some[(flags & (OPEN | FIRST)) == OPEN | FIRST])
         ids = x.ids[doc]
         o = np.lexsort((ids, prints))
@@ -152,7 +152,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 5) -> DataFra
             stands, least = P.slices(prints, n2), np.full(len(prints), NO_ID)
             for b, ids in told[1].items():
                 least[stands[b]] = np.frombuffer(ids, np.int64)
-            # A phrase that no earlier document holds whole, in the document that holds it first: its windows were entered here.
+            # A phrase that no earlier document holds whole, in a document with the least id that holds it: its windows were entered here.
             p, prints_of, doc = x.windows(np.flatnonzero(known & ~whole & ((flags[x.entry] & OPEN) > 0)))
             at = np.searchsorted(prints, prints_of)
             at[at == len(prints)] = 0

@@ -105,6 +105,18 @@ def test_substring(spark, monkeypatch, target):
         assert (got[i].n_words, sum(s.end - s.start for s in got[i].spans), bytes(got[i].kept)) == (n, lost, kept), i
 
 
+def test_substring_of_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(_packs.packed, "__defaults__", (1 << 11,))
+    shared = passage(61, 40)
+    long = f"{passage(62, 300)} {shared} {passage(63, 300)}"
+    texts, ids = [long, f"{passage(64, 300)} {shared} {passage(65, 300)}", long, long], [9, 1, 9, None]
+    df = frame(spark, texts, ids, 4)
+    assert _packs.packed(df).count() == 4
+    got = sorted((str(r.doc_id), sum(s.end - s.start for s in r.spans), bytes(r.kept)) for r in substring_dedup.substring_dedup(df).collect())
+    assert got == sorted((str(i), lost, kept) for i, (_, lost, kept) in zip(ids, brute_substring(texts, ids), strict=True))
+    assert [n for i, n, _ in got if i == "9"] == [40, 40]
+
+
 # op10
 
 
