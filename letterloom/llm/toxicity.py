@@ -6,8 +6,8 @@ odds between toxic and other documents as weights. One Aho-Corasick automaton fi
 entry, and not at all inside an exception phrase (two words, one of them in the lexicon, seen mostly in documents that are not toxic). The sum
 over ``words + SMOOTH`` is the density x, and ``x / (x + t)`` the score; t is the cut with the fewest errors on the sample.
 
-Bounds: the lexicon is fitted on at most ``SAMPLE`` labelled documents (smallest hashes of their ids) and has at most ``ENTRIES`` entries and
-as many exceptions. Scoring reads each whole text once, in its scan task.
+Bounds: the lexicon is fitted on at most ``SAMPLE`` labelled documents (smallest hashes of their ids) and keeps every entry and
+exception that passes the test of evidence, of any length; the sample bounds their number, and a lexicon over ``ENTRIES`` is logged. Scoring reads each whole text once, in its scan task.
 
 Rows: every input row gives one row; null and empty texts score 0; if a ``doc_id`` has several labels the largest counts; null labels
 and ids don't teach; with no toxic label to learn from everything scores 0. Other columns are ignored, or carried where rows are filtered.
@@ -15,6 +15,7 @@ and ids don't teach; with no toxic label to learn from everything scores 0. Othe
 
 from __future__ import annotations
 
+import logging
 import re
 from dataclasses import dataclass, field
 
@@ -27,8 +28,11 @@ from pyspark.sql import functions as F
 from . import _packs as P
 from ._session import checkpoints
 
+LOG = logging.getLogger(__name__)
 SAMPLE = 20_000
+#: A usual lexicon is no larger; nothing is cut there.
 ENTRIES = 512
+HELD = 16 << 20  # letters of features that a task sums before it sends them
 SMOOTH = 20
 STEMS = (4, 5, 6)
 #: Least evidence for an entry: a chance below one in ten million, as hundreds of thousands of words are tried.
@@ -129,13 +133,16 @@ def counted(sample: DataFrame, features) -> DataFrame:
 
     def run(batches):
         total: dict[str, list[int]] = {}
+        size = 0
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for f in features(text):
-                    total.setdefault(f, [0, 0])[1 - y] += 1
-            if len(total) > 200_000:
+                    if f not in total:
+                        total[f], size = [0, 0], size + len(f)
+                    total[f][1 - y] += 1
+            if len(total) > 200_000 or size > HELD:
                 yield rows(total)
-                total = {}
+                total, size = {}, 0
         yield rows(total)
 
     def rows(total):
@@ -145,7 +152,7 @@ def counted(sample: DataFrame, features) -> DataFrame:
 
 
 def words_of(text: str | None) -> set[str]:
-    return {w for w in fold(text or "").split() if 3 <= len(w) <= 40}
+    return set(fold(text or "").split())
 
 
 def shingle_hash(seed: int):
@@ -179,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, teaches: Column) -> Model:
 
     def telling(table: DataFrame) -> list:
         kept = table.where("pos >= 3 AND pos >= 4 * neg").withColumn("w", weight).where((F.col("w") >= 2.5) & (gain >= EVIDENCE))
-        return kept.orderBy(F.desc(F.col("pos") * F.col("w")), "f").limit(ENTRIES // 2).collect()
+        return kept.orderBy(F.desc(F.col("pos") * F.col("w")), "f").collect()
 
     model = Model({r.f: r.w for r in telling(counted(sample, words_of))})
     known_words = frozenset(model.weights)
@@ -194,8 +201,9 @@ def fit(docs: DataFrame, labels: DataFrame, teaches: Column) -> Model:
         found, folded = model.hits(text)
         return {" ".join(p) for at in found for p in pairs(folded, at)}
 
-    odd = counted(sample, phrases).where((F.col("neg") >= 3) & (F.col("neg") * n[1] > F.col("pos") * n[0])).orderBy(F.desc("neg"), "f").limit(ENTRIES).collect()
+    odd = counted(sample, phrases).where((F.col("neg") >= 3) & (F.col("neg") * n[1] > F.col("pos") * n[0])).orderBy(F.desc("neg"), "f").collect()
     model.exceptions = frozenset(tuple(r.f.split(" ")) for r in odd)
+    (LOG.warning if len(model.weights) > ENTRIES else LOG.info)("lexicon: %d words, %d beginnings, %d exceptions", len(known_words), len(model.weights) - len(known_words), len(odd))
 
     def densities(batches):
         for batch in batches:

@@ -341,6 +341,22 @@ def test_toxicity(spark):
     assert model.score("the grobian") == 0 and model.score("a grobian") > 0
 
 
+def test_toxicity_keeps_every_entry_with_evidence(spark):
+    rnd = random.Random(8)
+    plain = ["".join(rnd.choices("abcdefghi", k=4)) for _ in range(300)]
+    bad = [a + b + c for a in "mnpqrst" for b in "uvwxyz" for c in "klmnpqr"][:290] + ["zu", "k" * 45]
+    rows, labels = [], []
+    for i in range(1600):
+        x = rnd.choices(plain, k=20)
+        if i % 4 == 0:
+            x += [bad[(i // 4 * 15 + j) % len(bad)] for j in range(15)]
+            rnd.shuffle(x)
+        rows.append((i, " ".join(x)))
+        labels.append((i, int(i % 4 == 0)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    assert set(bad) <= set(toxicity.fit(docs, marks, F.lit(True)).weights)
+
+
 def test_toxicity_held_out(spark):
     sf = SF.replace("0.001", "0.01")
     got = queries.QUERIES["op5_toxicity"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out")
