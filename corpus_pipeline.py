@@ -8,7 +8,7 @@ stages but the last return the columns of ``documents``.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from letterloom.llm import bpe, decontaminate, jaccard_join, line_dedup, toxicity
@@ -16,6 +16,14 @@ from letterloom.llm._session import checkpoints
 from letterloom.ship import ship
 
 
+#: Rows are named by their texts' fingerprints where ids can be null or repeated.
+KEY = "text_key"
+
+
+def text_key() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go. Learns from labels outside the held-out fold only."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), toxicity.fold_of(5) != 0)
@@ -29,15 +37,21 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 or more, that with the least id stays; those without an id stay."""
-    gone = jaccard_join.jaccard_join(docs).where("component_id <> doc_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of documents linked by a Jaccard similarity of 0.8 or more, that with the least id stays; those without an id and repeats of the least id stay.
+
+    Rows that share an id are judged each by its own text.
+    """
+    keyed = docs.withColumn(KEY, text_key())
+    gone = jaccard_join.jaccard_join(keyed, carry=(KEY,)).where("component_id <> doc_id").select("doc_id", KEY).distinct()
+    return keyed.join(gone, ["doc_id", KEY], "left_anti").select(docs.columns)
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark window go; those without an id stay."""
-    gone = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("n_hit > 0").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Documents with a benchmark window go, each judged by its own text, whatever its id."""
+    keyed = docs.withColumn(KEY, text_key())
+    told = decontaminate.contamination(keyed.select(F.col(KEY).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    gone = told.where("n_hit > 0").select(F.col("doc_id").alias(KEY)).distinct()
+    return keyed.join(gone, KEY, "left_anti").select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,6 +66,8 @@ def least_overlap(n: int, percent: int) -> int:
 
 def classified(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Steps 1 and 2: per document its class and, once a pack and class, the shared shingles in global order."""
+    carried = docs.columns[2:]
+    out = pa.schema([*OUT, *[(c, pa.int64()) for c in carried]])
     total = P.text_bytes(docs)
     n = P.bucket_count(total)  # a fingerprint of 8 bytes for each word of some six bytes
     packs = P.packed(docs)
@@ -127,9 +129,9 @@ def classified(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 order = np.lexsort((s[often], f[often]))
                 shared[-1] = s[often][order].tobytes()
                 n_prefix[-1] = len(s) - least_overlap(len(s), percent) + 1 - (len(s) - k)
-        return pa.table({"doc_id": table.column("doc_id"), "n_shingles": [len(s) for s in sets], "class": names, "shared": shared, "n_prefix": n_prefix}, schema=OUT)
+        return pa.table({"doc_id": table.column("doc_id"), "n_shingles": [len(s) for s in sets], "class": names, "shared": shared, "n_prefix": n_prefix} | {c: table.column(c) for c in carried}, schema=out)
 
-    return P.apply(packs, [P.answer(P.ask(packs, ask), answer)], classify, SCHEMA, OUT)
+    return P.apply(packs, [P.answer(P.ask(packs, ask), answer)], classify, SCHEMA + "".join(f", {c} long" for c in carried), out)
 
 
 def overlaps(x: list[np.ndarray], y: list[np.ndarray] | None) -> np.ndarray:
@@ -184,10 +186,10 @@ def linked(x: list[tuple[bytes, int, np.ndarray]], y: list[tuple[bytes, int, np.
         yield names[v], names[root[v]], int(degree[v])
 
 
-def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """Per document: ``doc_id, n_shingles, component_id`` (least id reachable) and ``n_links`` (other shingle sets it is linked with)."""
+def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Per document: ``doc_id, n_shingles, component_id`` (least id reachable), ``n_links`` (other shingle sets it is linked with) and the long columns ``carry``."""
     checkpoints(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     rows = classified(docs, size, percent).checkpoint()
     classes = (
         rows.where("class IS NOT NULL").groupBy("class")
@@ -241,8 +243,8 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame
     found = joined.join(least, "label").join(degree, "node").select(F.col("node").alias("class"), "component_id", "n_links")
     # Cut here, the last join has nothing above or below it, so Spark may split the rows of a class that a third of all documents share.
     alone = classes.select("class", "least").join(found, "class", "left").select("class", F.coalesce("component_id", "least").alias("component_id"), "n_links").checkpoint()
-    return rows.select("doc_id", "n_shingles", "class").join(alone, "class", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+    return rows.select("doc_id", "n_shingles", "class", *carry).join(alone, "class", "left").select(
+        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), *carry,
     )
 
 

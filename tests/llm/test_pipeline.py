@@ -44,3 +44,14 @@ def test_stages_keep_columns_and_odd_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, SF)
     assert empty.count() == 0
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    item = max((r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if r.text), key=len)
+    same, other = " ".join(f"word{i}" for i in range(40)), " ".join(f"other{i}" for i in range(40))
+    schema = "doc_id long, text string"
+    near = spark.createDataFrame([(1, same), (5, same), (5, other), (6, f"{same} x")], schema)
+    assert sorted(map(tuple, corpus_pipeline.near_duplicates(spark, near, SF).collect())) == [(1, same), (5, other)]
+    hit = spark.createDataFrame([(None, item), (7, f"so {item}"), (7, other), (None, other), (8, None)], schema)
+    left = corpus_pipeline.contaminated(spark, hit, SF).collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in left) == [("7", other), ("8", "None"), ("None", other)]
