@@ -46,7 +46,7 @@ def main(argv: list[str] | None = None) -> int:
     service = Service(spark, Settings(args.data, args.store), chat=ChatClient(args.host) if args.command == "generate" else None)
     if args.command == "ingest":
         found = service.reindex()
-        print(f"{found['letters_found']} letters, {found['letters_indexed']} indexed, {found['needs_review']} to review")
+        print(f"{found['letters_found']} letters, {found['letters_indexed']} indexed, {found['needs_review']} to review, {found['files_skipped']} files skipped (PDF without a reader)")
         review = service.store.rows().where("needs_review").orderBy("ord")
         for r in review.select("letter_id", "source_file").limit(20).collect():  # a report of the first 20
             print(f"  {r.letter_id}  {r.source_file}")

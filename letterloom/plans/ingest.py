@@ -35,6 +35,11 @@ def ingest(spark: SparkSession, root: str, overrides: DataFrame | None = None, p
     return finish(cut.unionByName(plain), overrides, qualified)
 
 
+def skipped(spark: SparkSession, root: str, pdf: src.Extractor | None) -> DataFrame:
+    """``source_file`` of the files that :func:`ingest` leaves out: PDFs, where no callable reads them."""
+    return src.scan(spark, root).where(F.lit(pdf is None) & (F.col("suffix") == ".pdf")).select("source_file")
+
+
 def finish(cut: DataFrame, overrides: DataFrame | None = None, qualified: bool = False) -> DataFrame:
     named = cut.select("*", *src.path_fields("source_file"))
     stem = F.regexp_replace("source_file", r"\.[^./]*\z", "") if qualified else F.col("stem")

@@ -20,8 +20,8 @@ from ..operators.metadata import with_overrides
 from ..operators.retrieve import retrieve, two_stage
 from ..operators.store import Store, build_filter
 from ..ship import ship
-from ..sources.files import SUFFIXES, sidecars
-from .ingest import document_rollup, ingest, store_batch, summary
+from ..sources.files import ExtractorUnavailable, SUFFIXES, sidecars
+from .ingest import document_rollup, ingest, skipped, store_batch, summary
 
 SLUG = re.compile(r"[A-Za-z0-9_-]+\Z")
 EDITABLE = ("department", "office", "letter_type", "subject")
@@ -142,6 +142,8 @@ class Service:
             raise BadRequest("department and office take letters, digits, _ and -")
         if Path(name).suffix.lower() not in SUFFIXES:
             raise BadRequest(f"suffix must be one of {', '.join(SUFFIXES)}")
+        if Path(name).suffix.lower() == ".pdf" and self.pdf is None:
+            raise ExtractorUnavailable(f"{name}: no PDF extractor was given")
         path = self.root / department / office / name
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_bytes(content)
@@ -155,12 +157,15 @@ class Service:
         return found
 
     def reindex(self, prune: bool = False) -> dict:
+        """The summary, and ``files_skipped``: PDFs without a callable that reads them, whose letters stay when pruning."""
+        left_out = [r.source_file for r in skipped(self.spark, str(self.root), self.pdf).collect()]
         letters = self.letters_from_source().persist()
         try:
             self.store.upsert(store_batch(letters, self._vector()))
             if prune:
-                self.store._keep(self.store.rows().join(letters.select("letter_id"), "letter_id", "left_semi"))
-            return summary(letters).first().asDict()
+                there = letters.select("letter_id").union(self.store.rows().where(F.col("source_file").isin(left_out)).select("letter_id"))
+                self.store._keep(self.store.rows().join(there, "letter_id", "left_semi"))
+            return summary(letters).first().asDict() | {"files_skipped": len(left_out)}
         finally:
             letters.unpersist()
 

@@ -135,3 +135,14 @@ def test_http(service):
 def test_settings():
     s = Settings.from_env({"TOP_K": "7", "DOCX_MARGIN_CM": "3"})
     assert s.top_k == 7 and s.layout.margin_cm == 3.0 and s.layout.size_pt == 12
+
+
+def test_pdf_without_a_reader_is_not_silent(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "scan.pdf").write_bytes(b"%PDF")
+    s = Service(spark, Settings(str(tmp_path / "in"), str(tmp_path / "s")), pdf=lambda b: [[[("a letter of more than twenty signs", None)]]])
+    assert s.reindex()["files_skipped"] == 0 and s.store.rows().count() > 0
+    kept, s.pdf = s.store.rows().count(), None
+    assert s.reindex(prune=True)["files_skipped"] == 1 and s.store.rows().count() == kept
+    with pytest.raises(files.ExtractorUnavailable):
+        s.upload("health", "desk", "new.pdf", b"%PDF")
