@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _packs as P
-from . import _rolling as R
+from . import _prints as R
 
 #: Larger packs than elsewhere: the share of distinct words falls with the size.
 PACK_BYTES = 4 << 20
@@ -102,28 +102,49 @@ def pre_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 class Words:
-    """A pack's distinct pre-tokens in the order of their fingerprints, and each text's pre-tokens as numbers of these."""
+    """A pack's distinct pre-tokens in the order of their fingerprints, and each text's pre-tokens as numbers of these.
+
+    Fingerprints only find what may be equal: every pre-token is compared with the one that stands for it, byte by byte.
+    """
 
     def __init__(self, table: pa.Table):
         self.data, self.offsets = P.texts(table)
-        prints, start, end, bounds = [np.zeros(0, R.U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)]
-        total = 0
+        start, end, bounds, total = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)], 0
         for a, b in P.chunks(self.offsets):
             at = self.offsets[a : b + 1] - self.offsets[a]
-            part = self.data[self.offsets[a] : self.offsets[b]]
-            begin, first = pre_tokens(part, at)
+            begin, first = pre_tokens(self.data[self.offsets[a] : self.offsets[b]], at)
             stop = np.r_[begin[1:], at[-1:]] if len(begin) else begin
-            prints.append(R.span(R.prefix(R.BYTES[part]), begin, stop))
             start.append(begin + self.offsets[a]), end.append(stop + self.offsets[a]), bounds.append(first[1:] + total)
             total += len(begin)
-        self.bounds = np.concatenate(bounds)
-        self.prints, some, self.number = np.unique(np.concatenate(prints), return_index=True, return_inverse=True)
-        self.start, self.end = np.concatenate(start)[some], np.concatenate(end)[some]
-
-
-def ranges(start: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """All positions of stretches, one after another."""
-    return np.arange(n.sum()) + np.repeat(start - (np.cumsum(n) - n), n)
+        self.bounds, start, end = np.concatenate(bounds), np.concatenate(start), np.concatenate(end)
+        eight = R.eights(self.data)
+        prints = R.spans(eight, start, end)
+        self.prints, some, self.number = np.unique(prints, return_index=True, return_inverse=True)
+        odd = np.flatnonzero(unequal(eight, start, end, some[self.number]))
+        if len(odd):  # one fingerprint, several texts: these get numbers of their own
+            new: dict[bytes, int] = {}
+            for i in odd.tolist():
+                self.number[i] = len(some) + new.setdefault(self.data[start[i] : end[i]].tobytes(), len(new))
+            first = np.unique(self.number[odd], return_index=True)[1]
+            some = np.r_[some, odd[first]]
+            order = np.argsort(prints[some], kind="stable")
+            self.prints, some, self.number = prints[some][order], some[order], np.argsort(order)[self.number]
+        self.start, self.end = start[some], end[some]
+
+
+def unequal(eight: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which spans differ from their ``other`` (a place in the same arrays)."""
+    n = end - start
+    out = n != n[other]
+    short = R.FIRST[np.minimum(n, 8)]
+    out |= (eight[np.minimum(start, len(eight) - 1)] ^ eight[np.minimum(start[other], len(eight) - 1)]) & short != 0 if len(eight) else False
+    left, at = np.flatnonzero((n > 8) & ~out), 8
+    while len(left):
+        step = np.minimum(at, n[left] - 8)
+        out[left] = eight[start[left] + step] != eight[start[other[left]] + step]
+        at += 8
+        left = left[(n[left] > at) & ~out[left]]
+    return out
 
 
 def bpe_round_trip(docs: DataFrame, ranks: dict[bytes, int], pack_bytes: int = PACK_BYTES) -> DataFrame:
@@ -141,7 +162,7 @@ def bpe_round_trip(docs: DataFrame, ranks: dict[bytes, int], pack_bytes: int = P
         press = zstandard.ZstdCompressor(6).compress
         for b, s in P.slices(x.prints, n).items():
             size = x.end[s] - x.start[s]
-            yield b, press(np.array([len(size)], np.uint32).tobytes() + size.astype(np.uint32).tobytes() + x.data[ranges(x.start[s], size)].tobytes())
+            yield b, press(np.array([len(size)], np.uint32).tobytes() + size.astype(np.uint32).tobytes() + x.data[R.ranges(x.start[s], x.end[s])].tobytes())
 
     def answer(bucket, rows):
         encode, known, press, unpress = encoder(shared.value)._encode_single_piece, {}, zstandard.ZstdCompressor(6).compress, zstandard.ZstdDecompressor().decompress
@@ -171,9 +192,9 @@ def bpe_round_trip(docs: DataFrame, ranks: dict[bytes, int], pack_bytes: int = P
         coded, decoded = [], []
         for a, b in P.chunks(x.offsets):
             number = x.number[x.bounds[a] : x.bounds[b]]
-            run = ids[ranges(where[number], count[number])].astype("<u4")
+            run = ids[R.ranges(where[number], where[number] + count[number])].astype("<u4")
             ends = np.r_[0, np.cumsum(count[number])][x.bounds[a : b + 1] - x.bounds[a]]
-            raw = flat[ranges(begin[run], size[run])]
+            raw = flat[R.ranges(begin[run], begin[run] + size[run])]
             stops = np.r_[0, np.cumsum(size[run])][ends]
             coded += [run[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)]
             decoded += [raw[i:j].tobytes() for i, j in zip(stops[:-1], stops[1:], strict=True)]

@@ -2,9 +2,11 @@
 
 Method.
 1. Global order. Each pack sends its distinct shingles once; buckets count in how many documents each stands. The order is by this
-   frequency (ties: by hash), so what many documents share comes last. Shingles of one document can't add to any overlap.
+   frequency, in steps of a factor of two (ties: by hash), so what many documents share comes last. A shingle travels as a number of 64 bits, its step
+   in the upper six and its hash below, so these numbers stand in the global order. Shingles of one document can't add to any overlap.
 2. Classes. Documents with equal sets fold into a class with one representative, before anything is joined. A document with fewer than
-   80 % of its shingles in other documents can't have a partner and drops out.
+   80 % of its shingles in other documents can't have a partner and drops out, nor can one of three shingles and fewer; classes of these go by the
+   shingles themselves.
 3. Candidates. Partners share a shingle among the first ``n - ceil(0.8 n) + 1`` in global order. Instead of pairs, each such
    shingle gives a link to its least holder; connected classes make a *unit*, so rows grow with the shingles, not with pairs.
 4. Vertical partitioning. In a unit, the global order is cut into fragments of ``FRAGMENT`` shingles; each fragment's partial
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _packs as P
-from . import _rolling as R
+from . import _prints as R
 from ._runs import Family
 from ._session import checkpoints
 from .graph import components
@@ -47,19 +49,25 @@ def shingle_sets(table: pa.Table, size: int) -> list[np.ndarray]:
     data, offsets = P.texts(table)
     out = []
     for a, b in P.chunks(offsets):
-        at = offsets[a : b + 1]
-        part = data[at[0] : at[-1]]
-        start, end, first = R.words(part, at - at[0])
-        sums = R.prefix(R.span(R.prefix(R.FOLDED[part]), start, end))
-        grams = R.grams(sums, size)
-        for i, j in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
-            if j - i >= size:
-                out.append(np.unique(grams[i : j - size + 1]))
-            else:
-                out.append(R.span(sums, np.array([i]), np.array([j])) if j > i else np.zeros(0, R.U))
+        at = offsets[a : b + 1] - offsets[a]
+        part = R.LOW[data[offsets[a] : offsets[b]]]
+        start, end, first = R.words(part, at)
+        word = R.spans(R.eights(part), start, end)
+        grams = R.grams(word, size)
+        short = np.flatnonzero((first[1:] > first[:-1]) & (first[1:] - first[:-1] < size))
+        whole = dict(zip(short.tolist(), R.stretches(word, 1, first[short], first[short + 1])[:, None], strict=True))
+        for k, (i, j) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+            out.append(np.unique(grams[i : j - size + 1]) if j - i >= size else whole.get(k, np.zeros(0, R.U)))
     return out
 
 
+def few(text: str, size: int) -> bytes:
+    """The distinct shingles of a text as they are, for sets so small that a chance fingerprint would count."""
+    words = text.encode().lower().split()  # of bytes: A-Z only, and the six separators
+    every = {b" ".join(words[i : i + size]) for i in range(max(len(words) - size + 1, 1))}
+    return b"\n".join(sorted(every))
+
+
 def least_overlap(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
@@ -116,8 +124,9 @@ def classified(docs: DataFrame, size: int, percent: int) -> DataFrame:
             step, f = np.frombuffer(unpress(x), np.int32).reshape(2, -1)
             frequency[stands[b].start + np.cumsum(step)] = f
         names, shared, n_prefix, seen = [], [], [], set()
-        for s in sets:
-            name = hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
+        for s, text in zip(sets, table.column("text"), strict=True):
+            alone = len(s) * (100 - percent) < percent  # no other set can reach the similarity
+            name = hashlib.blake2b(few(text.as_py(), size) if alone else s.tobytes(), digest_size=16).digest() if len(s) else None
             names.append(name)
             shared.append(None), n_prefix.append(None)
             if name is None or name in seen:
@@ -126,16 +135,16 @@ def classified(docs: DataFrame, size: int, percent: int) -> DataFrame:
             f = frequency[np.searchsorted(key, short(s))]
             often = f > 1
             if (k := int(often.sum())) >= least_overlap(len(s), percent):
-                order = np.lexsort((s[often], f[often]))
-                shared[-1] = s[often][order].tobytes()
-                n_prefix[-1] = len(s) - least_overlap(len(s), percent) + 1 - (len(s) - k)
+                step = np.log2(f[often]).astype(R.U)
+                shared[-1] = b"" if alone else np.sort(step << R.U(58) | s[often] >> R.U(6)).tobytes()
+                n_prefix[-1] = 0 if alone else len(s) - least_overlap(len(s), percent) + 1 - (len(s) - k)
         return pa.table({"doc_id": table.column("doc_id"), "n_shingles": [len(s) for s in sets], "class": names, "shared": shared, "n_prefix": n_prefix} | {c: table.column(c) for c in carried}, schema=out)
 
     return P.apply(packs, [P.answer(P.ask(packs, ask), answer)], classify, SCHEMA + "".join(f", {c} long" for c in carried), out)
 
 
 def overlaps(x: list[np.ndarray], y: list[np.ndarray] | None) -> np.ndarray:
-    """Common shingles of each pair, summed over fragments of the order (here: of the hashes that stand in two or more sets)."""
+    """Common shingles of each pair, counted in each fragment of the global order (of what stands in two or more sets) and summed."""
     sets = x + (y or [])
     flat = np.concatenate(sets)
     key, index, count = np.unique(flat, return_inverse=True, return_counts=True)
@@ -201,7 +210,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, carry: tuple
         for batch in batches:
             token, name = [np.zeros(0, np.int64)], []
             for c, s, k in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                token.append(np.frombuffer(s, np.int64, k))
+                token.append(np.frombuffer(s, np.int64)[:k])
                 name += [c] * k
             yield pa.record_batch({"token": pa.array(np.concatenate(token)), "class": pa.array(name, pa.binary())})
 

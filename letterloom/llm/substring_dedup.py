@@ -1,17 +1,19 @@
 """Repeated 13-word windows, by relative Lempel-Ziv parsing against all earlier documents.
 
-Method. Each pack of documents is a reference block, and its index holds one entry per *phrase*: the run of windows that share
-an anchor (the least 5-word gram of a window), with the smallest ``doc_id`` that holds it. Every bucket of the fingerprint
-space keeps the indexes of all blocks, so a document is parsed against every reference block at once:
+Method. Each pack of documents is a reference block. Its index holds an entry for each *phrase*: the run of windows that share an anchor (the least
+5-word gram of a window), with the smallest ``doc_id`` that holds it. A factor can only begin where a reference block has the same
+anchor, so buckets of anchors hold the indexes of all blocks, and a document is parsed against every one at once:
 
-1. greedy step: a phrase that an earlier document holds whole is a factor;
-2. factor boundaries: phrases that share only their anchor with others are where factors begin and end. They are checked window
-   by window against the windows that the first holders of each such phrase (in each block where a row with the least ``doc_id`` holds it) enter.
+1. greedy step: a phrase that an earlier document holds whole is copied whole, the longest factor that its anchor allows;
+2. factor boundaries: a phrase that shares its anchor with others, but that no earlier document holds whole, is where factors begin and end. One copy of it
+   goes to a bucket as text, is compared word by word with the reference texts on both sides of the anchor (sorted, see :mod:`._suffixes`), and every
+   start from which a reference of an earlier document matches 13 words and more is part of a factor. Anchors in more than ``HOT`` different
+   phrases could fill a bucket; their windows are dealt out one by one, by 128-bit fingerprints.
 
 Factors, joined and overlapping, make the duplicate spans. Copies fold inside each block before they are sent.
 
 Rows: every input row gives one row; null text has no words; a null ``doc_id`` is neither smaller nor larger than another, so such
-a document keeps its words and takes none from others; other columns are ignored.
+a document keeps its words and takes none from others; rows that share an id take nothing from each other; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,11 +24,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _packs as P
-from . import _rolling as R
-from ._runs import Family
-from .suffix_dedup import ranges
+from . import _prints as R
+from ._suffixes import SuffixArray, columns, equal_windows
 
-WHOLE, OPEN, FIRST = 1, 2, 4
+#: Of a phrase: its anchor stands in others, too; this pack holds it in a document with the least id; its anchor is in over ``HOT``.
+OPEN, FIRST, MANY = 1, 2, 4
+#: Different phrases of an anchor that are compared in one task.
+HOT = 4096
 NO_ID = np.iinfo(np.int64).max
 OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 SCHEMA = "doc_id long, n_words long, spans array<struct<start: long, end: long>>, kept binary"
@@ -38,18 +42,21 @@ class Block:
     def __init__(self, table: pa.Table, window: int, gram: int):
         self.window, self.ids = window, P.doc_ids(table, NO_ID)
         self.data, self.offsets = P.texts(table)
-        prints, bounds, total = [np.zeros(0, R.U)], [np.zeros(1, np.int64)], 0
+        prints, starts, ends, bounds, total = [np.zeros(0, R.U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)], 0
         for a, b in P.chunks(self.offsets):
-            at = self.offsets[a : b + 1]
-            part = self.data[at[0] : at[-1]]
-            start, end, first = R.words(part, at - at[0])
-            prints.append(R.span(R.prefix(R.BYTES[part]), start, end))
-            bounds.append(first[1:] + total)
+            at = self.offsets[a : b + 1] - self.offsets[a]
+            part = self.data[self.offsets[a] : self.offsets[b]]
+            start, end, first = R.words(part, at)
+            prints.append(R.spans(R.eights(part), start, end))
+            starts.append(start + self.offsets[a]), ends.append(end + self.offsets[a]), bounds.append(first[1:] + total)
             total += len(start)
-        self.bounds = np.concatenate(bounds)  # each document's first word
-        self.sums = R.prefix(np.concatenate(prints))
-        self.first, self.last, anchor, phrase = R.anchored(self.sums, self.bounds, window, gram)
+        word = np.concatenate(prints)
+        self.start, self.end, self.bounds = np.concatenate(starts), np.concatenate(ends), np.concatenate(bounds)
+        self.grams, short = R.grams(word, window), R.grams(word, gram)
+        self.first, self.last, self.at = R.anchored(short, gram, self.bounds, window)
         self.doc = np.searchsorted(self.bounds, self.first, side="right") - 1
+        anchor = R.join(short[self.at], np.ones(len(self.at), R.U))
+        phrase = R.stretches(self.grams, window, self.first, self.last + window)
         holder = self.ids[self.doc]
         order = np.lexsort((holder, phrase, anchor))
         k, r = anchor[order], phrase[order]
@@ -61,63 +68,112 @@ class Block:
 
     def told(self, replies: dict[int, bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
         """For each entry: its first holder in all documents, and the flags."""
-        at = P.slices(self.anchor, n)
-        first, flags = np.full(len(self.anchor), NO_ID), np.zeros(len(self.anchor), np.uint8)
-        for b, x in replies.items():
-            m = at[b].stop - at[b].start
-            first[at[b]], flags[at[b]] = np.frombuffer(x, np.int64, m), np.frombuffer(x, np.uint8, m, 8 * m)
+        first, flags = self.holder.copy(), np.zeros(len(self.anchor), np.uint8)
+        for b, s in P.slices(self.anchor, n).items():
+            m = s.stop - s.start
+            flags[s] = np.frombuffer(replies[b], np.uint8, m)
+            earlier = np.flatnonzero((flags[s] & FIRST) == 0) + s.start
+            first[earlier] = np.frombuffer(replies[b], np.int64, -1, m)
         return first, flags
 
-    def windows(self, occurrences: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Window starts in some phrases, their fingerprints and documents."""
-        a, b = self.first[occurrences], self.last[occurrences] + 1
-        p = ranges(a, b)
-        return p, R.span(self.sums, p, p + self.window), np.repeat(self.doc[occurrences], b - a)
+    def open(self, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        mine = ((flags & (OPEN | FIRST)) == OPEN | FIRST) & (self.holder != NO_ID)
+        return np.flatnonzero(mine & ((flags & MANY) == 0)), np.flatnonzero(mine & ((flags & MANY) > 0))
 
+    def ask_text(self, entries: np.ndarray, n: int):
+        x = self.some[entries]
+        a, b = self.start[self.first[x]], self.end[self.last[x] + self.window - 1]
+        head = [self.anchor[entries], self.holder[entries], (b - a).astype(np.uint32), (self.at - self.first)[x].astype(np.uint8), (self.at - self.last)[x].astype(np.uint8)]
+        for k, s in P.slices(self.anchor[entries], n).items():
+            yield k, b"".join([np.uint32(s.stop - s.start).tobytes(), *[h[s].tobytes() for h in head], self.data[R.ranges(a[s], b[s])].tobytes()])
 
-def answer_phrases(bucket: int, rows: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
-    def fold_phrase(held, at, new):
-        held[0][at] = np.minimum(held[0][at], new[0])
+    def windows(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct windows of some entries: two fingerprints and the least id of each; and of each window its place there and its start."""
+        x = self.some[entries]
+        p = R.ranges(self.first[x], self.last[x] + 1)
+        ids = np.repeat(self.holder[entries], (self.last - self.first)[x] + 1)
+        a, b = self.grams[p], R.join(self.grams[p] ^ R.ODD, np.repeat(self.anchor[entries], (self.last - self.first)[x] + 1))
+        order = np.lexsort((ids, b, a))
+        a, b = a[order], b[order]
+        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
+        place = np.empty(len(a), np.int64)
+        place[order] = np.cumsum(new) - 1
+        return a[new], b[new], ids[order[new]], place, p
 
-    def fold_anchor(held, at, new):
-        held[1][at] |= new[1] | (held[0][at] != new[0])
 
-    phrases, anchors, blocks = Family(fold_phrase), Family(fold_anchor), []
-    for pack, blob in rows:
+def gathered(rows: list[tuple[int, bytes]]):
+    """All entries ``(key, key, id)`` of some packs in the order of their keys and ids: keys, ids, pack numbers, which are new, and the order."""
+    k, r, d, src = [np.zeros(0, R.U)], [np.zeros(0, R.U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, (_, blob) in enumerate(rows):
         n = len(blob) // 24
-        k, r, d = np.frombuffer(blob, R.U, n), np.frombuffer(blob, R.U, n, 8 * n), np.frombuffer(blob, np.int64, n, 16 * n)
-        blocks.append((pack, k, r, d))
-        o = np.argsort(r)
-        phrases.add(r[o], d[o])
-        where = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        anchors.add(k[where], r[where], np.diff(np.r_[where, n]) > 1)
-    out = []
-    for pack, k, r, d in blocks:
-        # Every block whose least holder is the least of all asks for its windows: rows in several blocks can share an id.
-        least = phrases.find(r, 0, NO_ID)
-        out.append((pack, least.tobytes() + (OPEN * anchors.find(k, 1, False) + FIRST * ((d == least) & (d != NO_ID))).astype(np.uint8).tobytes()))
+        k.append(np.frombuffer(blob, R.U, n)), r.append(np.frombuffer(blob, R.U, n, 8 * n)), d.append(np.frombuffer(blob, np.int64, n, 16 * n)), src.append(np.full(n, i))
+    k, r, d, src = map(np.concatenate, (k, r, d, src))
+    order = np.lexsort((d, r, k))
+    k, r, d, src = k[order], r[order], d[order], src[order]
+    return k, d, src, np.r_[True, (k[1:] != k[:-1]) | (r[1:] != r[:-1])] if len(k) else np.zeros(0, bool), order
+
+
+def answer_phrases(rows: list[tuple[int, bytes]], most: int) -> list[tuple[int, bytes]]:
+    """Flags of each entry, and the least id of all holders for those whose pack has no document with it."""
+    k, d, src, new, order = gathered(rows)
+    if not len(k):
+        return []
+    where, group = np.flatnonzero(new), np.cumsum(new) - 1
+    head = np.r_[True, k[where][1:] != k[where][:-1]]
+    n = np.diff(np.r_[np.flatnonzero(head), len(where)])[np.cumsum(head) - 1]
+    least = d[where][group]
+    flags = (OPEN * (n > 1) | MANY * (n > most))[group] | FIRST * (d == least)  # rows in several packs can share an id
+    told, first = np.empty(len(k), np.uint8), np.empty(len(k), np.int64)
+    told[order], first[order] = flags, least
+    ends, out = np.cumsum(np.bincount(src, minlength=len(rows))), []
+    for (pack, _), a, b in zip(rows, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+        out.append((pack, told[a:b].tobytes() + first[a:b][(told[a:b] & FIRST) == 0].tobytes()))
     return out
 
 
-def answer_windows(bucket: int, rows: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
-    def fold(held, at, new):
-        held[0][at] = np.minimum(held[0][at], new[0])
+def answer_windows(rows: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
+    """Which windows an earlier document holds, as bits."""
+    k, d, src, new, order = gathered(rows)
+    if not len(k):
+        return []
+    earlier = np.empty(len(k), bool)
+    earlier[order] = d[np.flatnonzero(new)][np.cumsum(new) - 1] < d
+    ends = np.cumsum(np.bincount(src, minlength=len(rows)))
+    return [(pack, np.packbits(earlier[a:b]).tobytes()) for (pack, _), a, b in zip(rows, [0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+
 
-    windows, blocks = Family(fold), []
-    for pack, blob in rows:
-        n = len(blob) // 16
-        p = np.frombuffer(blob, R.U, n)
-        blocks.append((pack, p))
-        windows.add(p, np.frombuffer(blob, np.int64, n, 8 * n))
-    return [(pack, windows.find(p, 0, NO_ID).tobytes()) for pack, p in blocks]
+def answer_text(rows: list[tuple[int, bytes]], window: int) -> list[tuple[int, bytes]]:
+    """For each entry, bits for its windows in order of their starts: those that an earlier document holds."""
+    parts, texts, counts = [], [], []
+    for _, blob in rows:
+        n, at, own = int(np.frombuffer(blob, np.uint32, 1)[0]), 4, []
+        for kind in (R.U, np.int64, np.uint32, np.uint8, np.uint8):
+            own.append(np.frombuffer(blob, kind, n, at))
+            at += n * own[-1].itemsize
+        parts.append(own), texts.append(np.frombuffer(blob, np.uint8, -1, at)), counts.append(n)
+    anchor, holder, size, high, low = map(np.concatenate, zip(*parts, strict=True))
+    data, high, low = np.concatenate(texts), high.astype(np.int64), low.astype(np.int64)
+    start, end, first = R.words(data, np.r_[0, np.cumsum(size, dtype=np.int64)])
+    word = R.spans(R.eights(data), start, end)
+    at = first[:-1] + high
+    left, right = SuffixArray(anchor, columns(word, first[:-1], at, backwards=True), 1), SuffixArray(anchor, columns(word, at, first[1:]), 1)
+    many = high - low + 1
+    begin = np.cumsum(many) - many
+    earlier = np.zeros(int(many.sum()), bool)
+    for o, some, number in equal_windows(left, right, low, high, first[1:] - at, window):
+        least = np.full(number.max() + 1, NO_ID)
+        np.minimum.at(least, number, holder[some])
+        earlier[begin[some] + high[some] - o] = least[number] < holder[some]
+    cut, ends = np.r_[begin, len(earlier)], np.cumsum(counts)
+    return [(pack, np.packbits(earlier[cut[a] : cut[b]]).tobytes()) for (pack, _), a, b in zip(rows, [0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
-def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 5) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 5, most: int = HOT) -> DataFrame:
     """Per document: ``doc_id, n_words, spans`` (the removed word ranges) and ``kept`` (the words that remain, joined by a space)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = P.text_bytes(docs)
-    # A word of some six bytes; a phrase of 24 bytes for each four or five words; windows of 16 bytes for some of the words.
-    n1, n2 = P.bucket_count(total * 24 / 27), P.bucket_count(total)
+    # A word of some six bytes; a phrase of 24 bytes for each four or five words; some phrases go as text, of hot anchors as windows.
+    n1, n2, n3 = P.bucket_count(total * 24 / 27), P.bucket_count(total), P.bucket_count(total)
     packs = P.packed(docs)
 
     def ask_phrases(pack, table):
@@ -125,40 +181,43 @@ def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 5) -> DataFra
         for b, s in P.slices(x.anchor, n1).items():
             yield b, x.anchor[s].tobytes() + x.phrase[s].tobytes() + x.holder[s].tobytes()
 
-    def open_windows(x, flags):
-        """Windows of the open phrases that no document holds before this block's: distinct fingerprints and the smallest id of each."""
-        _, prints, doc = x.windows(x.some[(flags & (OPEN | FIRST)) == OPEN | FIRST])
-        ids = x.ids[doc]
-        o = np.lexsort((ids, prints))
-        prints, ids = prints[o], ids[o]
-        new = np.r_[True, prints[1:] != prints[:-1]] if len(prints) else np.zeros(0, bool)
-        return prints[new], ids[new]
-
-    def ask_windows(pack, table, told):
+    def ask_open(pack, table, told):
         x = Block(table, window, gram)
-        prints, ids = open_windows(x, x.told(told, n1)[1])
-        for b, s in P.slices(prints, n2).items():
-            yield b, prints[s].tobytes() + ids[s].tobytes()
+        text, many = x.open(x.told(told, n1)[1])
+        yield from x.ask_text(text, n2)
+        a, c, ids, _, _ = x.windows(many)
+        for b, s in P.slices(a, n3).items():
+            yield n2 + b, a[s].tobytes() + c[s].tobytes() + ids[s].tobytes()
+
+    def answer_open(bucket, rows):
+        return answer_text(rows, window) if bucket < n2 else answer_windows(rows)
 
     def cut(pack, table, told):
         x = Block(table, window, gram)
         first, flags = x.told(told[0], n1)
         own = x.ids[x.doc]
-        known = own != NO_ID
-        whole = known & (first[x.entry] < own) if len(own) else known
-        factors = [ranges(x.first[whole], x.last[whole] + 1)]
-        if told[1]:
-            prints, _ = open_windows(x, flags)
-            stands, least = P.slices(prints, n2), np.full(len(prints), NO_ID)
-            for b, ids in told[1].items():
-                least[stands[b]] = np.frombuffer(ids, np.int64)
-            # A phrase that no earlier document holds whole, in a document with the least id that holds it: its windows were entered here.
-            p, prints_of, doc = x.windows(np.flatnonzero(known & ~whole & ((flags[x.entry] & OPEN) > 0)))
-            at = np.searchsorted(prints, prints_of)
-            at[at == len(prints)] = 0
-            if len(prints):
-                factors.append(p[(prints[at] == prints_of) & (least[at] < x.ids[doc])])
-        gone = R.covered(np.unique(np.concatenate(factors)), window, x.bounds[-1])
+        whole = np.flatnonzero((own != NO_ID) & (first[x.entry] < own))
+        held = np.zeros(int(x.bounds[-1]), bool)  # starts that an earlier document has
+        # Of open phrases, for the documents with the least id that holds them (others have them whole).
+        text, many = x.open(flags)
+        some, bits = np.zeros(len(x.anchor), bool), np.zeros(len(held), bool)
+        some[text] = some[many] = True
+        for b, s in P.slices(x.anchor[text], n2).items():
+            y = x.some[text[s]]
+            p = R.ranges(x.first[y], x.last[y] + 1)
+            bits[p] = np.unpackbits(np.frombuffer(told[1][b], np.uint8), count=len(p)).astype(bool)
+        a, _, ids, place, p = x.windows(many)
+        earlier = np.zeros(len(a), bool)
+        for b, s in P.slices(a, n3).items():
+            earlier[s] = np.unpackbits(np.frombuffer(told[1][n2 + b], np.uint8), count=s.stop - s.start).astype(bool)
+        # The first of equal windows here can have a larger id than another pack's, or a smaller one than its equals here.
+        bits[p] = earlier[place] | (ids[place] < np.repeat(x.holder[many], (x.last - x.first)[x.some[many]] + 1))
+        same = np.flatnonzero(some[x.entry] & (first[x.entry] == own))
+        of = x.some[x.entry[same]]  # the occurrence that was asked for; one phrase may stand several times
+        n = (x.last - x.first)[same] + 1
+        held[R.ranges(x.first[same], x.last[same] + 1)] = bits[R.ranges(x.first[of], x.first[of] + n)]
+        held[R.ranges(x.first[whole], x.last[whole] + 1)] = True
+        gone = R.covered(np.flatnonzero(held), window, len(held))
         text, spans, ends, kept = x.data.tobytes(), [], [0], []
         for i, (a, b) in enumerate(zip(x.bounds[:-1], x.bounds[1:], strict=True)):
             words, g = text[x.offsets[i] : x.offsets[i + 1]].split(), gone[a:b]
@@ -174,9 +233,9 @@ def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 5) -> DataFra
         pairs = pa.StructArray.from_arrays([pa.array(edge[0::2]), pa.array(edge[1::2])], ["start", "end"])
         return pa.table({"doc_id": table.column("doc_id"), "n_words": pa.array(np.diff(x.bounds)), "spans": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs), "kept": pa.array(kept, pa.binary())})
 
-    phrases = P.answer(P.ask(packs, ask_phrases), answer_phrases)
-    windows = P.answer(P.ask_again(packs, phrases, ask_windows), answer_windows)
-    return P.apply(packs, [phrases, windows], cut, SCHEMA, OUT)
+    phrases = P.answer(P.ask(packs, ask_phrases), lambda bucket, rows: answer_phrases(rows, most))
+    opened = P.answer(P.ask_again(packs, phrases, ask_open), answer_open)
+    return P.apply(packs, [phrases, opened], cut, SCHEMA, OUT)
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
@@ -184,7 +243,6 @@ def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
     lost = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return done.select("doc_id", "n_words", lost.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 
-
 ORACLE = r"""
 WITH w AS (
   SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)

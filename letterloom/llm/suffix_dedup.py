@@ -1,16 +1,19 @@
 """Substrings of at least 400 bytes that occur twice, found by a logarithmic family of sparse suffix arrays.
 
-Method. Each pack of documents is a batch. Its suffix array is sparse: instead of every suffix it holds one entry per
-anchor (the least 64-byte gram of a 400-byte window), about one in 170 bytes, ordered by fingerprint rather than by
-alphabet; equal 400-byte prefixes are adjacent in either order. Batches are merge-scanned one after another against the
-levels of a family (:mod:`._runs`), whose equal-sized levels merge geometrically; each bucket of the fingerprint space keeps
-its own family. Two rounds decide every window exactly:
+Method. A batch of documents gets a sparse suffix array: instead of every suffix it holds one per *anchor* (the least 64-byte gram of a
+256-byte window), about one in 80 bytes, which is enough, since equal windows have equal anchors at equal distances. All windows of an anchor make
+a *stretch*. Two rounds decide every window exactly:
 
-1. by anchor: an anchor seen once has no repeated window; a stretch (all windows of an anchor) seen twice is repeated as a
-   whole; only anchors that stand in *different* stretches stay open;
-2. by window: one representative of each open stretch enters its windows, one suffix each, into a second family.
+1. by anchor: suffixes with one anchor meet in a bucket. A stretch that occurs twice is repeated as a whole, a single anchor has no
+   repeated window, and anchors that stand in different stretches stay open;
+2. by suffix: one copy of each open stretch goes to a bucket as text. The suffixes from the anchors on, and the texts before them, are sorted
+   (:mod:`._suffixes`), and the common prefixes of neighbours give the classes of equal windows. An anchor that stands in more than
+   ``HOT`` different stretches could fill a bucket by itself; its windows are dealt out one by one instead, by 128-bit fingerprints.
 
-Copies are folded inside each batch first, so a passage held by a third of all documents costs each batch one entry.
+Copies are folded inside each pack first, so a passage held by a third of all documents costs each pack one entry.
+
+:class:`SuffixIndex` keeps the arrays between batches: a new batch is merge-scanned against the levels on disk, becomes a level itself, and
+equal levels merge, so n batches leave at most log2(n) + 1 levels.
 
 Rows: every input row gives one row; null or empty text gives no spans; repeated ``doc_id`` values are separate documents;
 texts under the window length are kept whole; other columns are ignored.
@@ -24,141 +27,232 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _packs as P
-from . import _rolling as R
-from ._runs import Family
+from . import _prints as R
+from ._suffixes import SuffixArray, columns, equal_windows
 
-DUP, OPEN, FIRST = 1, 2, 4
-OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
-SCHEMA = "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
+#: Of a stretch: it occurs twice; its anchor stands in others, too; this pack speaks for it; two documents hold it; its anchor is in over ``HOT``.
+DUP, OPEN, FIRST, SHARED, MANY = 1, 2, 4, 8, 16
+#: Different stretches of an anchor that are compared in one task.
+HOT = 1024
+GRAM = 64
+#: Shared passages are reported from this length on (some 40 words).
+LEAST = 256
+OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("longest_shared", pa.int64()), ("kept", pa.binary())])
+SCHEMA = "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, longest_shared long, kept binary"
 
 
 class Batch:
-    """The sparse suffix array of a pack: its distinct (anchor, stretch) entries, and where they stand."""
+    """A pack's sparse suffix array: its distinct (anchor, stretch) entries, and where they stand."""
 
-    def __init__(self, table: pa.Table, window: int, gram: int):
-        self.window = window
+    def __init__(self, table: pa.Table, window: int, least: int):
+        self.window, self.least = window, least
         self.data, self.offsets = P.texts(table)
-        self.parts, first, last, anchor, stretch, part = [], [], [], [], [], []
+        self.parts, found = [], []
         for a, b in P.chunks(self.offsets):
-            at = self.offsets[a : b + 1]
-            sums = R.prefix(R.BYTES[self.data[at[0] : at[-1]]])
-            f, l, k, r = R.anchored(sums, at - at[0], window, gram)  # noqa: E741
-            first.append(f), last.append(l), anchor.append(k), stretch.append(r), part.append(np.full(len(f), len(self.parts)))
-            self.parts.append((at[0], sums))
-        join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-        self.first, self.last, self.part = join(first, np.int64), join(last, np.int64), join(part, np.int64)
-        anchor, stretch = join(anchor, R.U), join(stretch, R.U)
+            at = self.offsets[a : b + 1] - self.offsets[a]
+            gram = R.byte_grams(self.data[self.offsets[a] : self.offsets[b]], GRAM)
+            first, last, anchor = R.anchored(gram, GRAM, at, least)
+            doc = np.searchsorted(at, first, side="right") - 1
+            end = np.minimum(last + window, at[doc + 1])
+            base = self.offsets[a]
+            found.append((first + base, last + base, anchor + base, end + base, doc + a, np.full(len(first), len(self.parts)), gram[anchor], R.stretches(gram, GRAM, first, end)))
+            self.parts.append((base, gram))
+        none = [np.zeros(0, np.int64)] * 6 + [np.zeros(0, R.U)] * 2
+        self.first, self.last, self.at, self.end, self.doc, self.part, anchor, stretch = map(np.concatenate, zip(*found, strict=True)) if found else none
+        # Least grams crowd at the low end of the range that buckets cut; joined once more they fill it.
+        anchor = R.join(anchor, np.ones_like(anchor))
         order = np.lexsort((stretch, anchor))
-        k, r = anchor[order], stretch[order]
+        k, r, doc = anchor[order], stretch[order], self.doc[order]
         new = np.r_[True, (k[1:] != k[:-1]) | (r[1:] != r[:-1])] if len(k) else np.zeros(0, bool)
         where = np.flatnonzero(new)
         self.anchor, self.stretch, self.some = k[where], r[where], order[where]
-        self.count = np.diff(np.r_[where, len(k)])
+        self.flags = np.zeros(len(where), np.uint8)
+        if len(where):
+            self.flags |= DUP * (np.diff(np.r_[where, len(k)]) > 1).astype(np.uint8)
+            self.flags |= SHARED * (np.minimum.reduceat(doc, where) != np.maximum.reduceat(doc, where)).astype(np.uint8)
         self.entry = np.empty(len(k), np.int64)  # of each occurrence
         self.entry[order] = np.cumsum(new) - 1
 
-    def flags(self, told: dict[int, bytes], n: int) -> np.ndarray:
+    def ask(self, n: int):
+        for b, s in P.slices(self.anchor, n).items():
+            yield b, self.anchor[s].tobytes() + self.stretch[s].tobytes() + self.flags[s].tobytes()
+
+    def told(self, replies: dict[int, bytes], n: int) -> np.ndarray:
         at, out = P.slices(self.anchor, n), np.zeros(len(self.anchor), np.uint8)
-        for b, x in told.items():
+        for b, x in replies.items():
             out[at[b]] = np.frombuffer(x, np.uint8)
         return out
 
-    def starts(self, occurrences: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All window starts in some occurrences (positions in the pack), and their fingerprints."""
-        pos, prints = [np.zeros(0, np.int64)], [np.zeros(0, R.U)]
-        for i, (base, sums) in enumerate(self.parts):
-            own = occurrences[self.part[occurrences] == i]
-            p = ranges(self.first[own], self.last[own] + 1)
-            pos.append(p + base)
-            prints.append(R.span(sums, p, p + self.window))
-        return np.concatenate(pos), np.concatenate(prints)
-
+    def open(self, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The open entries that this pack speaks for: those to compare as text, and those of hot anchors."""
+        mine = (flags & (OPEN | FIRST)) == OPEN | FIRST
+        return np.flatnonzero(mine & ((flags & MANY) == 0)), np.flatnonzero(mine & ((flags & MANY) > 0))
 
-def ranges(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """All integers of the ranges ``[a, b)``, one after another."""
-    n = b - a
-    if not len(n) or not n.sum():
-        return np.zeros(0, np.int64)
-    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(a, n)
+    def ask_text(self, entries: np.ndarray, flags: np.ndarray, n: int):
+        x = self.some[entries]
+        size = self.end[x] - self.first[x]
+        head = [self.anchor[entries], size.astype(np.uint16), (self.at - self.first)[x].astype(np.uint16), (self.at - self.last)[x].astype(np.uint16), self.doc[x].astype(np.uint32), flags[entries]]
+        for b, s in P.slices(self.anchor[entries], n).items():
+            own = x[s]
+            yield b, b"".join([np.uint32(len(own)).tobytes(), *[h[s].tobytes() for h in head], self.data[R.ranges(self.first[own], self.end[own])].tobytes()])
 
+    def windows(self, entries: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """All windows of ``size`` bytes of some entries: two fingerprints of each, its start and its entry (a place in ``entries``)."""
+        x, out = self.some[entries], []
+        for i, (base, gram) in enumerate(self.parts):
+            own = np.flatnonzero(self.part[x] == i)
+            a, b = self.first[x[own]], np.minimum(self.last[x[own]], self.end[x[own]] - size) + 1
+            b = np.maximum(a, b)
+            p, e = R.ranges(a, b) - base, np.repeat(own, b - a)
+            if len(p):
+                other = gram[::-1]  # read from the other end
+                out.append((R.stretches(gram, GRAM, p, p + size), R.stretches(other, GRAM, len(gram) - 1 - (p + size - GRAM), len(gram) - 1 - p + GRAM), p + base, e))
+        none = [np.zeros(0, R.U)] * 2 + [np.zeros(0, np.int64)] * 2
+        return tuple(map(np.concatenate, zip(*out, strict=True))) if out else tuple(none)
 
-def answer_anchors(bucket: int, rows: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
-    def fold_stretch(held, at, new):
-        held[0][at] = np.minimum(held[0][at] + new[0], 2)
+    def hot(self, entries: np.ndarray, flags: np.ndarray):
+        """For each length: the distinct windows of hot anchors, as two fingerprints and flags; and of each window its place there and its start."""
+        for size in (self.window, self.least):
+            a, b, p, e = self.windows(entries, size)
+            a = R.join(a, np.full_like(a, size))
+            order = np.lexsort((b, a))
+            a, b, doc, own = a[order], b[order], self.doc[self.some[entries]][e[order]], flags[entries][e[order]]
+            new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
+            where, place = np.flatnonzero(new), np.empty(len(a), np.int64)
+            place[order] = np.cumsum(new) - 1
+            told = np.zeros(len(where), np.uint8)
+            if len(where):
+                told |= np.bitwise_or.reduceat(own, where) & (DUP | SHARED)
+                told |= DUP * (np.diff(np.r_[where, len(a)]) > 1).astype(np.uint8)
+                told |= SHARED * (np.minimum.reduceat(doc, where) != np.maximum.reduceat(doc, where)).astype(np.uint8)
+            yield a[where], b[where], told, place, p
 
-    def fold_anchor(held, at, new):
-        held[1][at] |= new[1] | (held[0][at] != new[0])
 
-    stretches, anchors = Family(fold_stretch), Family(fold_anchor)
-    batches = []
-    for i, (pack, blob) in enumerate(rows):
+def folded(rows: list[tuple[int, bytes]]):
+    """All entries ``(key, key, flags)`` of some packs in the order of their keys: keys, flags, pack number, which are new, and the order."""
+    k, r, f, src = [np.zeros(0, R.U)], [np.zeros(0, R.U)], [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
+    for i, (_, blob) in enumerate(rows):
         n = len(blob) // 17
-        k, r, m = np.frombuffer(blob, R.U, n), np.frombuffer(blob, R.U, n, 8 * n), np.frombuffer(blob, np.uint8, n, 16 * n)
-        batches.append((pack, k, r))
-        o = np.argsort(r)
-        stretches.add(r[o], m[o].astype(np.int64), np.full(n, i))
-        where = np.flatnonzero(np.r_[True, k[1:] != k[:-1]])
-        anchors.add(k[where], r[where], np.diff(np.r_[where, n]) > 1)
-    out = []
-    for i, (pack, k, r) in enumerate(batches):
-        flags = DUP * (stretches.find(r, 0, 0) > 1) + OPEN * anchors.find(k, 1, False) + FIRST * (stretches.find(r, 1, -1) == i)
-        out.append((pack, flags.astype(np.uint8).tobytes()))
-    return out
+        k.append(np.frombuffer(blob, R.U, n)), r.append(np.frombuffer(blob, R.U, n, 8 * n)), f.append(np.frombuffer(blob, np.uint8, n, 16 * n)), src.append(np.full(n, i))
+    k, r, f, src = map(np.concatenate, (k, r, f, src))
+    order = np.lexsort((r, k))  # stable: of equals the first pack stands first
+    k, r, f, src = k[order], r[order], f[order], src[order]
+    new = np.r_[True, (k[1:] != k[:-1]) | (r[1:] != r[:-1])] if len(k) else np.zeros(0, bool)
+    where = np.flatnonzero(new)
+    both = np.bitwise_or.reduceat(f, where) if len(where) else f
+    several = np.diff(np.r_[where, len(k)]) > 1  # in two packs, so in two documents
+    both = both & (DUP | SHARED) | (DUP | SHARED) * several.astype(np.uint8)
+    return k, both, src, new, order
+
+
+def shares(rows: list[tuple[int, bytes]], order: np.ndarray, src: np.ndarray, told: np.ndarray):
+    """``told``, in sorted order, back to the packs in the order of their questions."""
+    out = np.empty(len(order), told.dtype)
+    out[order] = told
+    ends = np.cumsum(np.bincount(src, minlength=len(rows)))
+    return [(pack, out[a:b].tobytes()) for (pack, _), a, b in zip(rows, [0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
-def answer_windows(bucket: int, rows: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
-    def fold(held, at, new):
-        held[0][at] = np.minimum(held[0][at] + new[0], 2)
+def answer_anchors(rows: list[tuple[int, bytes]], most: int) -> list[tuple[int, bytes]]:
+    k, both, src, new, order = folded(rows)
+    if not len(k):
+        return []
+    where = np.flatnonzero(new)
+    head = np.r_[True, k[where][1:] != k[where][:-1]]
+    n = np.diff(np.r_[np.flatnonzero(head), len(where)])[np.cumsum(head) - 1]  # different stretches of the anchor
+    flags = both | OPEN * (n > 1).astype(np.uint8) | MANY * (n > most).astype(np.uint8)
+    told = flags[np.cumsum(new) - 1]
+    told[where] |= FIRST
+    return shares(rows, order, src, told)
 
-    windows, batches = Family(fold), []
-    for pack, blob in rows:
-        n = len(blob) // 9
-        p, m = np.frombuffer(blob, R.U, n), np.frombuffer(blob, np.uint8, n, 8 * n)
-        batches.append((pack, p))
-        windows.add(p, m)
-    return [(pack, np.packbits(windows.find(p, 0, 0) > 1).tobytes()) for pack, p in batches]
 
+def answer_hot(rows: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
+    k, both, src, new, order = folded(rows)
+    return shares(rows, order, src, both[np.cumsum(new) - 1]) if len(k) else []
 
-def suffix_dedup(docs: DataFrame, window: int = 400, gram: int = 64) -> DataFrame:
-    """Per document: ``doc_id, n_bytes, spans`` (the maximal removed byte ranges) and ``kept`` (the bytes that remain)."""
+
+def answer_text(rows: list[tuple[int, bytes]], window: int, least: int) -> list[tuple[int, bytes]]:
+    """For each entry, bits for its windows in order of their starts: those of ``window`` bytes that occur twice, then those of ``least`` that two documents hold."""
+    parts, texts, counts = [], [], []
+    for i, (_, blob) in enumerate(rows):
+        n, at, own = int(np.frombuffer(blob, np.uint32, 1)[0]), 4, []
+        for kind in (R.U, np.uint16, np.uint16, np.uint16, np.uint32, np.uint8):
+            own.append(np.frombuffer(blob, kind, n, at))
+            at += n * own[-1].itemsize
+        parts.append([*own, np.full(n, i, np.int64)]), texts.append(np.frombuffer(blob, np.uint8, -1, at)), counts.append(n)
+    anchor, size, high, low, doc, flags, src = map(np.concatenate, zip(*parts, strict=True))
+    size, high, low, doc = size.astype(np.int64), high.astype(np.int64), low.astype(np.int64), src << 32 | doc.astype(np.int64)
+    data, end = np.concatenate(texts), np.cumsum(size)
+    start, n = end - size, len(size)
+    left = SuffixArray(anchor, columns(data, start, start + high, backwards=True), 8)
+    right = SuffixArray(anchor, columns(data, start + high, end), 8)
+    many = high - low + 1
+    at = np.cumsum(many) - many
+    dup, shared = np.zeros(int(many.sum()), bool), np.zeros(int(many.sum()), bool)
+    for o, rows_, number in equal_windows(left, right, low, high, size - high, window):
+        count = np.bincount(number, 1 + (flags[rows_] & DUP))
+        dup[at[rows_] + high[rows_] - o] = count[number] > 1
+    for o, rows_, number in equal_windows(left, right, low, high, size - high, least):
+        some, most = np.full(number.max() + 1, np.iinfo(np.int64).max), np.full(number.max() + 1, -1)
+        np.minimum.at(some, number, doc[rows_]), np.maximum.at(most, number, doc[rows_])
+        two = some != most
+        two[number[(flags[rows_] & SHARED) > 0]] = True
+        shared[at[rows_] + high[rows_] - o] = two[number]
+    out, ends = [], np.cumsum(counts)
+    cut = np.r_[at, len(dup)]
+    for (pack, _), a, b in zip(rows, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+        out.append((pack, np.packbits(dup[cut[a] : cut[b]]).tobytes() + np.packbits(shared[cut[a] : cut[b]]).tobytes()))
+    return out
+
+
+def suffix_dedup(docs: DataFrame, window: int = 400, least: int = LEAST, most: int = HOT) -> DataFrame:
+    """Per document: ``doc_id, n_bytes, spans`` (the maximal removed byte ranges), ``longest_shared`` (the length of the longest stretch whose strings
+    of ``least`` bytes all stand in other documents as well; 0 without one) and ``kept`` (the bytes that remain)."""
+    if not GRAM <= least <= window < 1 << 15:
+        raise ValueError(f"{GRAM} <= least <= window must hold")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = P.text_bytes(docs)
-    # An entry of 17 bytes for about half a window's bytes; at worst a representative window, 9 bytes, for each byte.
-    n1, n2 = P.bucket_count(total * 17 / (window / 2.2)), P.bucket_count(total)
+    # An entry of 17 bytes for some 80; open stretches make up to six times the text, but most stretches are not open; hot windows are rarer still.
+    n1, n2, n3 = P.bucket_count(total * 17 / 80), P.bucket_count(total), P.bucket_count(total)
     packs = P.packed(docs)
 
     def ask_anchors(pack, table):
-        x = Batch(table, window, gram)
-        m = np.minimum(x.count, 2).astype(np.uint8)
-        for b, s in P.slices(x.anchor, n1).items():
-            yield b, x.anchor[s].tobytes() + x.stretch[s].tobytes() + m[s].tobytes()
-
-    def open_windows(x, told):
-        """Windows of the open stretches that this pack represents: distinct fingerprints, and how often each occurs."""
-        flags = x.flags(told, n1)
-        return np.unique(x.starts(x.some[(flags & (OPEN | FIRST)) == OPEN | FIRST])[1], return_counts=True)
-
-    def ask_windows(pack, table, told):
-        prints, count = open_windows(Batch(table, window, gram), told)
-        m = np.minimum(count, 2).astype(np.uint8)
-        for b, s in P.slices(prints, n2).items():
-            yield b, prints[s].tobytes() + m[s].tobytes()
+        yield from Batch(table, window, least).ask(n1)
+
+    def ask_open(pack, table, told):
+        x = Batch(table, window, least)
+        flags = x.told(told, n1)
+        text, many = x.open(flags)
+        yield from x.ask_text(text, flags, n2)
+        for i, (a, b, f, _, _) in enumerate(x.hot(many, flags)):
+            for k, s in P.slices(a, n3).items():
+                yield n2 + i * n3 + k, a[s].tobytes() + b[s].tobytes() + f[s].tobytes()
+
+    def answer_open(bucket, rows):
+        return answer_text(rows, window, least) if bucket < n2 else answer_hot(rows)
 
     def cut(pack, table, told):
-        x = Batch(table, window, gram)
-        flags = x.flags(told[0], n1)
+        x = Batch(table, window, least)
+        flags = x.told(told[0], n1)
         of = flags[x.entry]
+        text, many = x.open(flags)
+        dup, shared = np.zeros(len(x.data), bool), np.zeros(len(x.data), bool)  # of starts
         whole = np.flatnonzero(of & DUP)
-        dup = [ranges(x.first[whole] + (base := np.array([b for b, _ in x.parts], np.int64)[x.part[whole]]), x.last[whole] + 1 + base)]
-        if told[1]:
-            prints, _ = open_windows(x, told[0])
-            at, repeated = P.slices(prints, n2), np.zeros(len(prints), bool)
-            for b, bits in told[1].items():
-                repeated[at[b]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=at[b].stop - at[b].start).astype(bool)
-            pos, own = x.starts(np.flatnonzero((of & (DUP | OPEN)) == OPEN))
-            dup.append(pos[repeated[np.searchsorted(prints, own)]] if len(prints) else pos[:0])
-        gone = R.covered(np.unique(np.concatenate(dup)), window, len(x.data))
-        spans, ends, kept = [], [0], []
+        dup[R.ranges(x.first[whole], np.maximum(x.first[whole], np.minimum(x.last[whole], x.end[whole] - window) + 1))] = True
+        whole = np.flatnonzero(of & SHARED)
+        shared[R.ranges(x.first[whole], x.last[whole] + 1)] = True
+        for b, s in P.slices(x.anchor[text], n2).items():
+            own = x.some[text[s]]
+            p = R.ranges(x.first[own], x.last[own] + 1)
+            bits = np.unpackbits(np.frombuffer(told[1][b], np.uint8).reshape(2, -1), axis=1, count=len(p)).astype(bool)
+            dup[p[bits[0]]] = True
+            shared[p[bits[1]]] = True
+        for i, (a, _, f, place, p) in enumerate(x.hot(many, flags)):
+            for b, s in P.slices(a, n3).items():
+                f[s] = np.frombuffer(told[1][n2 + i * n3 + b], np.uint8)
+            [dup, shared][i][p[(f[place] & [DUP, SHARED][i]) > 0]] = True
+        gone = R.covered(np.flatnonzero(dup), window, len(x.data))
+        spans, ends, kept, longest = [], [0], [], []
         for a, b in zip(x.offsets[:-1], x.offsets[1:], strict=True):
             g = gone[a:b]
             if g.any():
@@ -169,18 +263,21 @@ def suffix_dedup(docs: DataFrame, window: int = 400, gram: int = 64) -> DataFram
             else:
                 kept.append(x.data[a:b].tobytes())
                 ends.append(ends[-1])
+            edge = np.flatnonzero(np.diff(np.r_[False, shared[a:b], False]))
+            longest.append(int((edge[1::2] - edge[0::2]).max()) + least - 1 if len(edge) else 0)
         edge = np.concatenate(spans).astype(np.int64) if spans else np.zeros(0, np.int64)
         pairs = pa.StructArray.from_arrays([pa.array(edge[0::2]), pa.array(edge[1::2])], ["start", "end"])
-        return pa.table({"doc_id": table.column("doc_id"), "n_bytes": pa.array(np.diff(x.offsets)), "spans": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs), "kept": pa.array(kept, pa.binary())})
+        return pa.table({"doc_id": table.column("doc_id"), "n_bytes": pa.array(np.diff(x.offsets)), "spans": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs), "longest_shared": pa.array(longest, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
-    anchors = P.answer(P.ask(packs, ask_anchors), answer_anchors)
-    windows = P.answer(P.ask_again(packs, anchors, ask_windows), answer_windows)
-    return P.apply(packs, [anchors, windows], cut, SCHEMA, OUT)
+    anchors = P.answer(P.ask(packs, ask_anchors), lambda bucket, rows: answer_anchors(rows, most))
+    opened = P.answer(P.ask_again(packs, anchors, ask_open), answer_open)
+    return P.apply(packs, [anchors, opened], cut, SCHEMA, OUT)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """Beside the contract's columns ``longest_shared``: passages of over 50 words can be shorter than the 400 bytes that are removed."""
     done = suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return done.select(
         "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
-        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "longest_shared",
     )

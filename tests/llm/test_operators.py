@@ -13,7 +13,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from letterloom.llm import _packs, _rolling, _runs, ann, bpe, decontaminate, graph, jaccard_join, language, line_dedup, queries, substring_dedup, suffix_dedup, toxicity, url_filter
+from letterloom.llm import _packs, _prints, _runs, _suffixes, ann, bpe, decontaminate, graph, jaccard_join, language, line_dedup, queries, substring_dedup, suffix_dedup, toxicity, url_filter
 from tests.test_queries import SF, expected, same
 
 DOCS = "doc_id long, text string, lang string, pack int, label string, n int"  # with names that the operators use themselves
@@ -65,13 +65,34 @@ def brute_suffix(texts, w=400):
     return out
 
 
-@pytest.mark.parametrize("target", [1 << 11, 1 << 21])
-def test_suffix(spark, monkeypatch, target):
+def brute_shared(texts, w=256):
+    """The longest stretch whose strings of w bytes all stand in other texts as well."""
+    data, held, out = [(t or "").encode() for t in texts], defaultdict(set), []
+    for i, b in enumerate(data):
+        for j in range(len(b) - w + 1):
+            held[b[j : j + w]].add(i)
+    for b in data:
+        best = run = 0
+        for j in range(len(b) - w + 1):
+            run = run + 1 if len(held[b[j : j + w]]) > 1 else 0
+            best = max(best, run)
+        out.append(best + w - 1 if best else 0)
+    return out
+
+
+def many_surroundings():
+    """One passage in many different texts, so that its first and last anchors have many surroundings."""
+    return [f"{passage(100 + i, 30)} {passage(70, 60)} {passage(500 + i, 30)}" for i in range(20)] + [f"{passage(900 + i, 20)} {passage(71, 42)} {passage(950 + i, 20)}" for i in range(4)]
+
+
+@pytest.mark.parametrize(("target", "most"), [(1 << 11, suffix_dedup.HOT), (1 << 21, suffix_dedup.HOT), (1 << 11, 3), (1 << 21, 3)])
+def test_suffix(spark, monkeypatch, target, most):
     monkeypatch.setattr(_packs.packed, "__defaults__", (target,))
-    texts = odd_texts()
-    got = rows_of(suffix_dedup.suffix_dedup(frame(spark, texts)))
-    for i, (n, spans, kept) in enumerate(brute_suffix(texts)):
-        assert (got[i].n_bytes, [(s.start, s.end) for s in got[i].spans], bytes(got[i].kept)) == (n, spans, kept), i
+    texts = odd_texts() + many_surroundings()
+    got = rows_of(suffix_dedup.suffix_dedup(frame(spark, texts), most=most))
+    for i, ((n, spans, kept), longest) in enumerate(zip(brute_suffix(texts), brute_shared(texts), strict=True)):
+        assert (got[i].n_bytes, [(s.start, s.end) for s in got[i].spans], bytes(got[i].kept), got[i].longest_shared) == (n, spans, kept, longest), i
+    assert got[len(texts) - 1].longest_shared >= 256
 
 
 # op2
@@ -95,12 +116,13 @@ def brute_substring(texts, ids, w=13):
     return out
 
 
-@pytest.mark.parametrize("target", [1 << 11, 1 << 21])
-def test_substring(spark, monkeypatch, target):
+@pytest.mark.parametrize(("target", "most"), [(1 << 11, substring_dedup.HOT), (1 << 21, substring_dedup.HOT), (1 << 11, 2), (1 << 21, 2)])
+def test_substring(spark, monkeypatch, target, most):
     monkeypatch.setattr(_packs.packed, "__defaults__", (target,))
-    texts = odd_texts() + [passage(1, 90), passage(9, 30)]
+    texts = odd_texts() + many_surroundings() + [passage(1, 90), passage(9, 30)]
     ids = [*range(100, 100 + len(texts) - 2), None, 7]
-    got = {r.doc_id: r for r in substring_dedup.substring_dedup(frame(spark, texts, ids)).collect()}
+    random.Random(3).shuffle(ids)
+    got = {r.doc_id: r for r in substring_dedup.substring_dedup(frame(spark, texts, ids), most=most).collect()}
     for i, (n, lost, kept) in zip(ids, brute_substring(texts, ids), strict=True):
         assert (got[i].n_words, sum(s.end - s.start for s in got[i].spans), bytes(got[i].kept)) == (n, lost, kept), i
 
@@ -496,11 +518,84 @@ def test_family_of_runs():
     assert f.find(every, 0, 0).tolist() == [want[i] for i in range(300)]
 
 
-def test_rolling():
+def test_prints():
     rng = np.random.default_rng(0)
     x = rng.integers(0, 3, 200).astype(np.uint64) + np.uint64(1)
-    sums = _rolling.prefix(x)
-    assert (_rolling.grams(sums, 7) == _rolling.span(sums, np.arange(194), np.arange(194) + 7)).all()
+    for k in (1, 2, 5, 7, 13):
+        g = _prints.grams(x, k)
+        held = {}
+        for i in range(201 - k):
+            held.setdefault(tuple(x[i : i + k].tolist()), set()).add(int(g[i]))
+        assert len(g) == 201 - k and all(len(v) == 1 for v in held.values()) and len({next(iter(v)) for v in held.values()}) == len(held)
     for w in (1, 5, 200):
-        assert _rolling.sliding_min(x, w).tolist() == [min(x[i : i + w]) for i in range(200 - w + 1)]
-    assert pd.Series(_rolling.words(np.frombuffer(b" ab c\td", np.uint8), np.array([0, 2, 2, 7]))[2]).tolist() == [0, 1, 1, 4]
+        assert _prints.sliding_min(x, w).tolist() == [min(x[i : i + w]) for i in range(200 - w + 1)]
+    assert pd.Series(_prints.words(np.frombuffer(b" ab c\td", np.uint8), np.array([0, 2, 2, 7]))[2]).tolist() == [0, 1, 1, 4]
+
+
+def test_spans_tell_texts_apart():
+    rnd = random.Random(2)
+    data = np.frombuffer(bytes(rnd.choices(b"ab\0", k=4000)), np.uint8)
+    a = np.array([rnd.randrange(3900) for _ in range(20_000)])
+    b = a + np.array([rnd.randrange(90) for _ in a])
+    got, held = _prints.spans(_prints.eights(data), a, b), {}
+    for i, j, p in zip(a.tolist(), b.tolist(), got.tolist(), strict=True):
+        assert held.setdefault(data[i:j].tobytes(), p) == p
+    assert len(set(held.values())) == len(held)
+    gram = _prints.byte_grams(data, 64)
+    assert len(gram) == 4000 - 63 and len(_prints.byte_grams(data[:63], 64)) == 0
+    size = _prints.stretches(gram, 64, np.array([0, 100]), np.array([64, 300]))
+    assert len(size) == 2 and _prints.stretches(gram[100:], 64, np.array([0]), np.array([200]))[0] == size[1]
+
+
+def thue_morse(n, a, b):
+    return [(a, b)[bin(i).count("1") % 2] for i in range(n)]
+
+
+def test_words_that_defeat_polynomials(spark, monkeypatch):
+    """Sums of powers modulo 2**64 are equal for these, whatever the base."""
+    monkeypatch.setattr(_packs.packed, "__defaults__", (1 << 12,))
+    tail = passage(81, 12)
+    for n in (1024, 2048, 8192):
+        x, y = "".join(thue_morse(n, "a", "b")), "".join(thue_morse(n, "b", "a"))
+        texts = [f"{x} {tail}", f"{y} {tail}", " ".join(thue_morse(n, "ab", "cd")), " ".join(thue_morse(n, "cd", "ab")), x, y]
+        ids = [*range(6)]
+        got = rows_of(suffix_dedup.suffix_dedup(frame(spark, texts)))
+        assert [(got[i].n_bytes, [(s.start, s.end) for s in got[i].spans], bytes(got[i].kept)) for i in ids] == brute_suffix(texts)
+        got = rows_of(substring_dedup.substring_dedup(frame(spark, texts)))
+        assert [(got[i].n_words, sum(s.end - s.start for s in got[i].spans), bytes(got[i].kept)) for i in ids] == brute_substring(texts, ids)
+        got = rows_of(bpe.bpe_round_trip(frame(spark, texts), {bytes([i]): i for i in range(256)}))
+        assert [bytes(got[i].decoded).decode() for i in ids] == texts
+        got = rows_of(jaccard_join.jaccard_join(frame(spark, texts)))
+        assert [(got[i].n_shingles, got[i].component_id) for i in ids] == brute_jaccard(texts)[0]
+
+
+def test_pre_tokens_with_one_fingerprint_stay_apart(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["aa bb cc aa", "dd bb " + "long" * 9 + " " + "lonG" * 9, "", "bb aa"]
+    table = pa.table({"text": texts})
+    monkeypatch.setattr(bpe.R, "spans", lambda eight, a, b: np.minimum(b - a, 3).astype(np.uint64))
+    x = bpe.Words(table)
+    words = [x.data[a:b].tobytes().decode() for a, b in zip(x.start, x.end, strict=True)]
+    assert (x.prints[1:] >= x.prints[:-1]).all() and len(set(words)) == len(words)
+    assert ["".join(words[i] for i in x.number[a:b]) for a, b in zip(x.bounds[:-1], x.bounds[1:], strict=True)] == texts
+
+
+@pytest.mark.parametrize("unit", [np.uint8, np.uint64])
+def test_equal_windows(unit):
+    rng = np.random.default_rng(4)
+    n, w = 60, 9
+    high, size = rng.integers(0, 6, n), rng.integers(0, 14, n) + 3
+    low, texts = rng.integers(0, high + 1), [rng.integers(0, 2, s).astype(unit) for s in high + size]
+    data, end = np.concatenate(texts), np.cumsum(high + size)
+    start, group = end - high - size, rng.integers(0, 3, n).astype(np.uint64)
+    per = 8 // np.dtype(unit).itemsize
+    left = _suffixes.SuffixArray(group, _suffixes.columns(data, start, start + high, True), per)
+    right = _suffixes.SuffixArray(group, _suffixes.columns(data, start + high, end), per)
+    seen = 0
+    for o, rows, number in _suffixes.equal_windows(left, right, low, high, size, w):
+        assert rows.tolist() == [i for i in range(n) if low[i] <= o <= high[i] and size[i] >= w - o]
+        key = [(group[i], o, texts[i][high[i] - o : high[i] - o + w].tobytes()) for i in rows]
+        assert len(set(zip(key, number.tolist(), strict=True))) == len(set(key)) == len(set(number.tolist()))
+        seen += len(rows)
+    assert seen > 50
