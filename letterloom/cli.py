@@ -1,14 +1,16 @@
-"""``python -m letterloom.cli ingest|generate|inspect``"""
+"""``python -m letterloom.cli ingest|generate|inspect|web``; what has no option comes from the environment, see :class:`Settings`."""
 
 from __future__ import annotations
 
 import argparse
 import sys
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .operators.generate import ChatClient
+from .plans.http import serve
 from .plans.service import Service, Settings
 
 
@@ -26,8 +28,8 @@ def facts_of(pairs: list[str]) -> dict[str, str]:
 
 def main(argv: list[str] | None = None) -> int:
     top = argparse.ArgumentParser(prog="letterloom")
-    top.add_argument("--data", default="data/letters")
-    top.add_argument("--store", default="letter_store")
+    top.add_argument("--data")
+    top.add_argument("--store")
     commands = top.add_subparsers(dest="command", required=True)
     commands.add_parser("ingest")
     g = commands.add_parser("generate")
@@ -36,15 +38,24 @@ def main(argv: list[str] | None = None) -> int:
     g.add_argument("--letter-type")
     g.add_argument("--fact", action="append", default=[])
     g.add_argument("--top-k", type=int)
-    g.add_argument("--host", default="http://localhost:11434")
+    g.add_argument("--host")
     g.add_argument("--docx")
     i = commands.add_parser("inspect")
     i.add_argument("--id")
     i.add_argument("--all", action="store_true")
+    w = commands.add_parser("web")
+    w.add_argument("--address", default="127.0.0.1")
+    w.add_argument("--port", type=int, default=8000)
     args = top.parse_args(argv)
+    given = {"data_dir": args.data, "store_dir": args.store, "host": getattr(args, "host", None)}
+    settings = replace(Settings.from_env(), **{k: v for k, v in given.items() if v is not None})
     spark = SparkSession.builder.getOrCreate()
-    service = Service(spark, Settings(args.data, args.store), chat=ChatClient(args.host) if args.command == "generate" else None)
-    if args.command == "ingest":
+    service = Service(spark, settings, chat=ChatClient(settings.host) if args.command in ("generate", "web") else None)
+    if args.command == "web":
+        server = serve(service, args.address, args.port)
+        print(f"http://{args.address}:{server.server_port}/")
+        server.serve_forever()
+    elif args.command == "ingest":
         found = service.reindex()
         print(f"{found['letters_found']} letters, {found['letters_indexed']} indexed, {found['needs_review']} to review, {found['files_skipped']} files skipped (PDF without a reader)")
         review = service.store.rows().where("needs_review").orderBy("ord")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # The code points that count as white space.
 WS = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+#: The same signs as text, for trimming.
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 # Where a text breaks into lines.
 NL = r"\r\n|[\n\x0b\f\r\x1c-\x1e\x85\u2028\u2029]"
 TOKEN = r"[\p{L}\p{N}_]+"
@@ -17,8 +19,8 @@ def col(c: Column | str) -> Column:
 
 
 def ws_strip(c: Column | str) -> Column:
-    """Without white space of any kind at either end (``trim`` knows the blank only)."""
-    return F.regexp_replace(F.regexp_replace(col(c), rf"\A{WS}+", ""), rf"(?<!{WS}){WS}+\z", "")
+    """Without white space of any kind at either end (``trim`` by itself knows the blank only)."""
+    return F.btrim(col(c), F.lit(BLANKS))
 
 
 def is_blank(c: Column | str) -> Column:
@@ -42,7 +44,9 @@ def text_lines(c: Column | str) -> Column:
 
 def clean_line(c: Column | str) -> Column:
     """No blanks or tabs before a break, runs of them as one blank (a single tab stays), stripped."""
-    return ws_strip(F.regexp_replace(F.regexp_replace(col(c), r"(?<![ \t])[ \t]+(?=\n|\z)", ""), r"[ \t]{2,}", " "))
+    c = col(c)
+    broken = F.when(c.contains("\n"), F.regexp_replace(c, r"(?<![ \t])[ \t]+(?=\n)", "")).otherwise(c)  # stripping does the end
+    return ws_strip(F.regexp_replace(broken, r"[ \t]{2,}", " "))
 
 
 def clean_lines(lines: Column | str) -> Column:

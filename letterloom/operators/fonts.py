@@ -51,39 +51,50 @@ def group_runs(runs: DataFrame, keys: Sequence[str] = ("source_file", "line_no")
     return grouped.select(*keys, "group_no", "legacy", first.alias("font_name"), F.array_join(F.transform("p", lambda x: x["t"]), "").alias("text"))
 
 
-# The mapping below follows the public keyboard chart of the font family: which key prints which sign. It is data: a fuller table for
-# another font is read from a file with :func:`read_mapping`. Order matters: longer keys stand before the keys that begin them.
+# The chart below says which key prints which sign, by kind, as the keyboard of the font family shows it. It is data: a table for another font is read
+# from a file with :func:`read_mapping`.
 # Key, sign.
-KEYS: list[tuple[str, str]] = [
-    ("iz", "प्र"), ("vks", "ओ"), ("vkS", "औ"), ("vk", "आ"), ("{k", "क्ष"), ("=k", "त्र"), ("Jh", "श्री"),
-    ("'k", "श"), ("\"k", "ष"), ("Hk", "भ"), ("?k", "घ"), ("/k", "ध"), ("[k", "ख"), (".k", "ण"), ("Fk", "थ"), ("Lk", "स"),
-    ("ks", "ो"), ("kS", "ौ"), ("Å", "ऊ"), ("Ã", "ई"), ("b", "इ"), (",s", "ऐ"), (",", "ए"), ("m", "उ"), ("v", "अ"),
-    ("d", "क"), ("x", "ग"), ("p", "च"), ("N", "छ"), ("t", "ज"), ("V", "ट"), ("B", "ठ"), ("M", "ड"), ("<", "ढ"), ("r", "त"), ("n", "द"),
-    ("u", "न"), ("i", "प"), ("Q", "फ"), ("c", "ब"), ("e", "म"), (";", "य"), ("j", "र"), ("y", "ल"), ("o", "व"), ("l", "स"), ("g", "ह"), ("J", "श्र"),
-    ("D", "क्"), ("X", "ग्"), ("P", "च्"), ("T", "ज्"), ("R", "त्"), ("U", "न्"), ("I", "प्"), ("C", "ब्"), ("E", "म्"), ("¸", "य्"), ("Y", "ल्"), ("O", "व्"), ("L", "स्"),
-    ("'", "श्"), ("\"", "ष्"), ("H", "भ्"), ("F", "थ्"), ("/", "ध्"), ("[", "ख्"), (".", "ण्"),
-    ("k", "ा"), ("h", "ी"), ("q", "ु"), ("w", "ू"), ("`", "ृ"), ("s", "े"), ("S", "ै"), ("a", "ं"), ("¡", "ँ"), ("~", "्"), ("z", "्र"), ("A", "।"), ("&", "-"), ("]", ","), ("-", "."),
+VOWELS = [("v", "अ"), ("vk", "आ"), ("b", "इ"), ("bZ", "ई"), ("Ã", "ई"), ("m", "उ"), ("Å", "ऊ"), ("_", "ऋ"), (",", "ए"), (",s", "ऐ"), ("vks", "ओ"), ("vkS", "औ")]
+CONSONANTS = [
+    ("d", "क"), ("[k", "ख"), ("x", "ग"), ("?k", "घ"), ("³", "ङ"), ("p", "च"), ("N", "छ"), ("t", "ज"), (">", "झ"), ("¥", "ञ"), ("V", "ट"), ("B", "ठ"), ("M", "ड"), ("<", "ढ"), (".k", "ण"),
+    ("r", "त"), ("Fk", "थ"), ("n", "द"), ("/k", "ध"), ("u", "न"), ("i", "प"), ("Q", "फ"), ("c", "ब"), ("Hk", "भ"), ("e", "म"), (";", "य"), ("j", "र"), ("y", "ल"), ("o", "व"),
+    ("'k", "श"), ("\"k", "ष"), ("l", "स"), ("g", "ह"),
 ]
+HALVES = [
+    ("D", "क्"), ("[", "ख्"), ("£", "ख्"), ("X", "ग्"), ("?", "घ्"), ("Ä", "घ्"), ("P", "च्"), ("T", "ज्"), ("÷", "झ्"), (".", "ण्"), ("R", "त्"), ("F", "थ्"), ("/", "ध्"), ("U", "न्"), ("I", "प्"), ("¶", "फ्"), ("C", "ब्"),
+    ("H", "भ्"), ("E", "म्"), ("¸", "य्"), ("Y", "ल्"), ("O", "व्"), ("'", "श्"), ("\"", "ष्"), ("L", "स्"), ("º", "ह्"),
+]
+CONJUNCTS = [
+    ("{", "क्ष्"), ("{k", "क्ष"), ("«", "त्र्"), ("=", "त्र्"), ("=k", "त्र"), ("K", "ज्ञ"), ("J", "श्र"), ("Jh", "श्री"), ("|", "द्य"), ("}", "द्व"), (")", "द्ध"), ("í", "द्द"), ("æ", "द्र"), ("–", "दृ"), ("Ø", "क्र"), ("Ñ", "कृ"), ("—", "कृ"), ("ô", "क्क"),
+    ("Ý", "फ्र"), ("ç", "प्र"), ("Á", "प्र"), ("iz", "प्र"), ("Ù", "त्त्"), ("Ùk", "त्त"), ("é", "न्न"), ("ê", "ट्ट"), ("ë", "ट्ठ"), ("ì", "ड्ड"), ("à", "ह्न"), ("á", "ह्य"), ("â", "हृ"), ("ã", "ह्म"), ("#", "रु"), (":", "रू"), ("ª", "्र"), ("z", "्र"), ("Lk", "स"),
+]
+SIGNS = [("k", "ा"), ("h", "ी"), ("q", "ु"), ("w", "ू"), ("`", "ृ"), ("s", "े"), ("S", "ै"), ("ks", "ो"), ("kS", "ौ"), ("‚", "ॉ"), ("W", "ॅ"), ("a", "ं"), ("¡", "ँ"), ("%", "ः"), ("~", "्"), ("+", "़"), ("±", "Zं")]
+DIGITS = [("å", "०"), ("ƒ", "१"), ("„", "२"), ("…", "३"), ("†", "४"), ("‡", "५"), ("ˆ", "६"), ("‰", "७"), ("Š", "८"), ("‹", "९")]
+MARKS = [("A", "।"), ("&", "-"), ("]", ","), ("-", "."), ("\\", "?"), ("^", "‘"), ("*", "’"), ("Þ", "“"), ("ß", "”"), ("¼", "("), ("½", ")"), ("¿", "{"), ("À", "}"), ("¾", "="), ("@", "/"), ("$", "+")]
+#: Longer keys stand before the keys that begin them.
+KEYS: list[tuple[str, str]] = sorted(VOWELS + CONSONANTS + HALVES + CONJUNCTS + SIGNS + DIGITS + MARKS, key=lambda x: -len(x[0]))
 MATRA = "ािीुूृेैोौंँः"
 CONSONANT = "\u0915-\u0939\u0958-\u095f"
 
 
 class Decoder:
-    """Ordered rewriting: the table's keys, in order, then three rules about the order of signs.
+    """One pass over the text, in which at each place the first key of the table that stands there prints its sign; then rules about the order of signs.
 
     ``f`` (the i-sign, typed before its cluster) moves behind the cluster; ``Z`` (the upper r, typed after its syllable) moves before it as
-    ``र्``. Each rule is one bounded regular expression pass, so every input ends.
+    ``र्``; a half letter and a bar make the whole letter. Each rule is one bounded regular expression pass, so every input ends.
     """
 
     def __init__(self, table: Iterable[tuple[str, str]] = KEYS):
         self.table = list(table)
+        self.signs: dict[str, str] = {}
+        for key, sign in self.table:
+            self.signs.setdefault(key, sign)
 
     def __call__(self, raw: str | None) -> str | None:
         if not raw:
             return raw
-        text = raw
-        for key, sign in self.table:
-            text = text.replace(key, sign)
+        text = re.sub("|".join(re.escape(k) for k, _ in self.table), lambda m: self.signs[m[0]], raw) if self.table else raw
+        text = text.replace("्ा", "")
         text = re.sub(rf"f((?:[{CONSONANT}]़?्)*[{CONSONANT}]़?)", r"\1ि", text).replace("f", "ि")
         text = re.sub(rf"((?:[{CONSONANT}]़?्)*[{CONSONANT}]़?)([{MATRA}]*)Z", r"र्\1\2", text)
         text = re.sub(rf"^([{MATRA}]*)Z", r"र्\1", text).replace("Z", "र्")

@@ -1,14 +1,16 @@
 """Splitting a file of many letters where its header line comes back.
 
-The boundary is a line that a file repeats (at least three times, longer than four signs) and that carries the reference labels. All
-windows and joins are on ``source_file``, so one shuffle serves them.
+The boundary is a line that a file repeats (at least three times, longer than four signs) and that carries the reference labels. A file's lines
+are one array in one row (:func:`files_of` collects them, one shuffle on ``source_file``; scans that have arrays need none); counting
+lines, choosing the header and cutting all happen inside the row. Lines are numbered from 0 without gaps.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ws_strip
@@ -21,45 +23,78 @@ LEAST_LENGTH = 5
 LOOK_BACK = 2
 
 
+def files_of(lines: DataFrame) -> DataFrame:
+    """``source_file, lines``: all lines of a file, in order, as structs of the other columns."""
+    rest = [c for c in lines.columns if c != "source_file"]
+    return lines.groupBy("source_file").agg(F.array_sort(F.collect_list(F.struct("line_no", *[c for c in rest if c != "line_no"]))).alias("lines"))
+
+
 def line_frequency(lines: DataFrame) -> DataFrame:
     """``source_file, line, n, first_line_no`` of stripped lines longer than four signs."""
     stripped = lines.select("source_file", "line_no", ws_strip("text").alias("line")).where(F.length("line") >= LEAST_LENGTH)
     return stripped.groupBy("source_file", "line").agg(F.count("*").alias("n"), F.min("line_no").alias("first_line_no"))
 
 
-def anchor_text(lines: DataFrame, required: Sequence[str] = REQUIRED, copies: int = LEAST_COPIES) -> DataFrame:
-    """``source_file, anchor_text``: the most frequent candidate, the first of equals. Files without one have no row."""
-    found = line_frequency(lines).where(F.col("n") >= copies)
-    for word in required:
-        found = found.where(F.col("line").contains(word))
-    return found.groupBy("source_file").agg(F.max_by("line", F.struct("n", -F.col("first_line_no"))).alias("anchor_text"))
+def chosen(stripped: Column, required: Sequence[str], copies: int) -> Column:
+    """Of an array of stripped lines the most frequent that can be a header, the first of equals; null without one.
 
+    Sorted by line and place, equal lines stand together, so one pass counts them and keeps the best.
+    """
+    numbered = F.transform(stripped, lambda x, i: F.struct(x.alias("line"), i.alias("i")))
+    fits = lambda x: reduce(lambda a, b: a & b, (x["line"].contains(w) for w in required), F.length(x["line"]) >= LEAST_LENGTH)
+    none = F.struct(F.lit(0).alias("n"), F.lit(0).alias("before"), F.lit(None).cast("string").alias("line"))
+    start = F.struct(F.lit(None).cast("string").alias("line"), F.lit(0).alias("n"), F.lit(0).alias("i"), none.alias("best"))
 
-def anchors(lines: DataFrame, required: Sequence[str] = REQUIRED, copies: int = LEAST_COPIES) -> DataFrame:
-    """``source_file, line_no, anchor_no`` (from 0), ``anchor_text``"""
-    text = anchor_text(lines, required, copies)
-    found = lines.select("source_file", "line_no", ws_strip("text").alias("line")).join(text, "source_file").where("line = anchor_text")
-    number = F.row_number().over(Window.partitionBy("source_file").orderBy("line_no")) - 1
-    return found.select("source_file", "line_no", number.alias("anchor_no"), "anchor_text")
+    def step(s: Column, x: Column) -> Column:
+        same = s["line"].eqNullSafe(x["line"])
+        n, first = F.when(same, s["n"] + 1).otherwise(1), F.when(same, s["i"]).otherwise(x["i"])
+        now = F.struct(n.alias("n"), (-first).alias("before"), x["line"].alias("line"))
+        return F.struct(x["line"].alias("line"), n.alias("n"), first.alias("i"), F.when(n >= copies, F.greatest(s["best"], now)).otherwise(s["best"]).alias("best"))
 
+    return F.aggregate(F.array_sort(F.filter(numbered, fits)), start, step, lambda s: s["best"]["line"])
+
+
+def marked(files: DataFrame, required: Sequence[str] = REQUIRED, copies: int = LEAST_COPIES) -> DataFrame:
+    """``files`` with ``anchor_text`` and ``anchor_lines``, the numbers of the lines that are it."""
+    files = files.withColumn("_stripped", F.transform("lines", lambda x: ws_strip(x["text"])))
+    files = files.withColumn("anchor_text", chosen(F.col("_stripped"), required, copies))
+    at = F.filter(F.transform("_stripped", lambda x, i: F.when(x == F.col("anchor_text"), i)), lambda i: i.isNotNull())
+    return files.withColumn("anchor_lines", at).drop("_stripped")
 
-def segments(lines: DataFrame, required: Sequence[str] = REQUIRED, copies: int = LEAST_COPIES) -> DataFrame:
-    """``source_file, segment_index, start_line, end_line`` (both inclusive), ``anchor_text, gated``.
+
+def cut(files: DataFrame, required: Sequence[str] = REQUIRED, copies: int = LEAST_COPIES) -> DataFrame:
+    """``source_file, segment_index, start_line, end_line`` (both inclusive), ``anchor_text, gated, lines`` (those of the segment).
 
     Segment i starts at ``greatest(a_i - 2, i)`` and ends before the next; a file without an anchor is one segment. Lines before the first
     start belong to none, and a file without lines has no segment.
     """
-    size = lines.groupBy("source_file").agg((F.max("line_no") + 1).alias("n"))
-    a = anchors(lines, required, copies)
-    all_ = size.join(a, "source_file", "left").withColumn("segment_index", F.coalesce("anchor_no", F.lit(0)))
-    all_ = all_.withColumn("start_line", F.when(F.col("anchor_no").isNull(), 0).otherwise(F.greatest(F.col("line_no") - LOOK_BACK, F.col("anchor_no"))))
-    after = F.lead("start_line").over(Window.partitionBy("source_file").orderBy("segment_index"))
-    return all_.select(
-        "source_file", F.col("segment_index").cast("int").alias("segment_index"), F.col("start_line").cast("int").alias("start_line"),
-        (F.coalesce(after, "n") - 1).cast("int").alias("end_line"), "anchor_text", F.col("anchor_no").isNull().alias("gated"),
+    files = marked(files, required, copies).where(F.size("lines") > 0)
+    starts = F.transform("anchor_lines", lambda a, i: F.greatest(a - LOOK_BACK, i))
+    files = files.withColumn("starts", F.when(F.col("anchor_text").isNull(), F.array(F.lit(0))).otherwise(starts))
+    files = files.withColumn("ends", F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("lines"))))
+    each = files.select("*", F.posexplode("starts").alias("segment_index", "start_line"))
+    end = F.get("ends", F.col("segment_index"))
+    return each.select(
+        "source_file", "segment_index", "start_line", (end - 1).alias("end_line"), "anchor_text", F.col("anchor_text").isNull().alias("gated"),
+        F.slice("lines", F.col("start_line") + 1, end - F.col("start_line")).alias("lines"),
     )
 
 
+def anchor_text(lines: DataFrame, required: Sequence[str] = REQUIRED, copies: int = LEAST_COPIES) -> DataFrame:
+    """``source_file, anchor_text``: files without one have no row."""
+    return marked(files_of(lines), required, copies).where("anchor_text IS NOT NULL").select("source_file", "anchor_text")
+
+
+def anchors(lines: DataFrame, required: Sequence[str] = REQUIRED, copies: int = LEAST_COPIES) -> DataFrame:
+    """``source_file, line_no, anchor_no`` (from 0), ``anchor_text``"""
+    return marked(files_of(lines), required, copies).select("source_file", F.posexplode("anchor_lines").alias("anchor_no", "line_no"), "anchor_text")
+
+
+def segments(lines: DataFrame, required: Sequence[str] = REQUIRED, copies: int = LEAST_COPIES) -> DataFrame:
+    """The bounds that :func:`cut` finds, for lines in rows."""
+    return cut(files_of(lines), required, copies).drop("lines")
+
+
 def assigned(lines: DataFrame, bounds: DataFrame) -> DataFrame:
     """Every line that belongs to a segment, with ``segment_index``: a running count of starts instead of a range join."""
     starts = bounds.select("source_file", F.col("start_line").alias("line_no"), F.lit(1).alias("starts"))
@@ -75,6 +110,12 @@ def segment_flags(lines: DataFrame, bounds: DataFrame) -> DataFrame:
     )
 
 
+def least_plausibility(lines: Column) -> Column:
+    """The least ``min_plausibility`` of an array of lines that are not blank; 1 without any."""
+    scores = F.transform(F.filter(lines, lambda x: F.length(ws_strip(x["text"])) > 0), lambda x: x["min_plausibility"])
+    return F.coalesce(F.array_min(scores), F.lit(1.0))
+
+
 def segment_lines(lines: DataFrame, bounds: DataFrame) -> DataFrame:
     """``source_file, segment_index, lines`` (in order) and ``min_plausibility`` if the lines have one."""
     parts = F.array_sort(F.collect_list(F.struct("line_no", "text")))

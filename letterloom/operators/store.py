@@ -1,10 +1,12 @@
 """A versioned Parquet store of letters with their vectors.
 
-``root/v<n>`` holds version n, and ``root/CURRENT`` names the one that counts. A change writes a new version and then replaces the pointer by
-a rename through Hadoop's file system, so readers see one version or the other, and what is being read is never overwritten. One writer
-at a time. Filters reach the scan as Parquet predicates since the fields are columns of their own; ``partition_by`` adds pruning.
+``root/v<n>`` holds what version n changed: ``rows`` (new or replaced letters) and ``gone`` (ids whose older rows no longer count). Its header,
+``root/v<n>/HEADER``, is put in place last, by a rename to a name that is not taken, and lists the versions that make up the state; the newest version with a
+header is the current one. Nothing is ever overwritten or removed by a change, so a writer that dies at any moment leaves the version before it, and
+readers see one version or the other. One writer at a time. After ``CHAIN`` changes the next one writes the state as a whole.
 
-Scores are computed in double precision from the float vectors.
+Filters reach the scan as Parquet predicates since the fields are columns of their own; ``partition_by`` adds pruning. Scores are computed in double
+precision from the float vectors.
 """
 
 from __future__ import annotations
@@ -24,6 +26,10 @@ SCHEMA = (
 )
 
 
+#: Changes on top of a whole before the next whole.
+CHAIN = 8
+
+
 class EmbeddingModelMismatch(ValueError):
     """The store was built with another model or dimension."""
 
@@ -56,21 +62,23 @@ def without_matches(rows: DataFrame, where: dict) -> DataFrame:
     return rows.where(~F.coalesce(matches(where), F.lit(False)))
 
 
-def upserted(base: DataFrame, batch: DataFrame, key: str = "letter_id", order: str = "ord", pos: str = "pos") -> DataFrame:
-    """``base`` with the batch's rows in place of those with the same key, which keep their ``order``; new ones follow in batch order.
+def changes(base: DataFrame, batch: DataFrame, key: str = "letter_id", order: str = "ord", pos: str = "pos") -> DataFrame:
+    """The batch's rows as they stand in the store: of a key's rows the last counts; known keys keep their ``order``, new ones follow in batch order.
 
-    Of a key's rows in the batch the last counts. New numbers rise in batch order and have gaps: a range-partitioned sort and the row's
-    place in its partition give them without bringing rows together.
+    New numbers rise in batch order and have gaps: a range-partitioned sort and the row's place in its partition give them without bringing
+    rows together.
     """
-    columns = [c for c in base.columns if c != order]
-    last = batch.withColumn("_last", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(pos)))).where("_last = 1")
-    first = batch.groupBy(key).agg(F.min(pos).alias("_first"))
-    last = last.join(first, key)
-    held = base.select(key, order)
-    changed = last.join(held, key).select(order, *columns)
+    columns, w = [c for c in base.columns if c != order], Window.partitionBy(key)
+    last = batch.withColumn("_first", F.min(pos).over(w)).withColumn("_last", F.row_number().over(w.orderBy(F.desc(pos)))).where("_last = 1")
     top = base.agg(F.coalesce(F.max(order), F.lit(-1)).alias("m")).first().m
-    fresh = last.join(held, key, "left_anti").orderBy("_first").withColumn(order, F.monotonically_increasing_id() + F.lit(top + 1)).select(order, *columns)
-    return base.join(last.select(key), key, "left_anti").select(order, *columns).unionByName(changed).unionByName(fresh).select(*base.columns)
+    held = last.join(base.select(key, F.col(order).alias("_held")), key, "left").orderBy("_first")
+    number = F.coalesce("_held", F.monotonically_increasing_id() + F.lit(top + 1))
+    return held.select(number.alias(order), *columns).select(*base.columns)
+
+
+def upserted(base: DataFrame, batch: DataFrame, key: str = "letter_id", order: str = "ord", pos: str = "pos") -> DataFrame:
+    """``base`` with the batch's rows in place of those with the same key. The batch is read twice; it should be a table or a checkpoint."""
+    return base.join(batch.select(key), key, "left_anti").select(*base.columns).unionByName(changes(base, batch, key, order, pos))
 
 
 def dot(a: Column | str, b: Column | str) -> Column:
@@ -96,49 +104,90 @@ class Store:
         self.spark, self.root, self.model, self.dimension, self.partition_by = spark, root.rstrip("/"), embedding_model, dimension, list(partition_by)
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-        if (version := self.version()) is not None:
-            head = spark.read.json(f"{self.root}/v{version}/header").first()
-            if (head.embedding_model, head.embedding_dimension) != (embedding_model, dimension):
-                raise EmbeddingModelMismatch(f"store has {head.embedding_model} ({head.embedding_dimension}), asked for {embedding_model} ({dimension})")
-        else:
-            self._commit(spark.createDataFrame([], SCHEMA))
+        if (head := self._head()) is None:
+            self._commit([], rows=spark.createDataFrame([], SCHEMA))
+        elif (head["embedding_model"], head["embedding_dimension"]) != (embedding_model, dimension):
+            raise EmbeddingModelMismatch(f"store has {head['embedding_model']} ({head['embedding_dimension']}), asked for {embedding_model} ({dimension})")
+
+    def _versions(self) -> list[int]:
+        """All version folders, complete or not, newest first."""
+        root = self._path(self.root)
+        names = [f.getPath().getName() for f in self._fs.listStatus(root)] if self._fs.exists(root) else []
+        return sorted((int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()), reverse=True)
+
+    def _head(self) -> dict | None:
+        for v in self._versions():
+            header = self._path(f"{self.root}/v{v}/HEADER")
+            if self._fs.exists(header):
+                return json.loads(self.spark.read.text(header.toString()).first().value)
+        return None
 
     def version(self) -> int | None:
-        pointer = self._path(f"{self.root}/CURRENT")
-        return int(self.spark.read.text(pointer.toString()).first().value) if self._fs.exists(pointer) else None
+        return None if (head := self._head()) is None else head["version"]
 
     def rows(self) -> DataFrame:
-        return self.spark.read.schema(SCHEMA).parquet(f"{self.root}/v{self.version()}/rows")
-
-    def _commit(self, rows: DataFrame) -> None:
-        version = -1 if (now := self.version()) is None else now
-        target = f"{self.root}/v{version + 1}"
-        writer = rows.write.mode("overwrite")
-        (writer.partitionBy(*self.partition_by) if self.partition_by else writer).parquet(f"{target}/rows")
-        head = "struct<version:int,embedding_model:string,embedding_dimension:int>"
-        self.spark.createDataFrame([(version + 1, self.model, self.dimension)], head).coalesce(1).write.mode("overwrite").json(f"{target}/header")
-        staged, pointer = self._path(f"{self.root}/.CURRENT"), self._path(f"{self.root}/CURRENT")
+        """Of each letter the row of the newest version that has one, unless a version since says that it is gone."""
+        chain = self._head()["chain"]
+        read = lambda v: self.spark.read.schema(SCHEMA).parquet(f"{self.root}/v{v}/rows")
+        if len(chain) == 1:
+            return read(chain[0])
+        every = reduce(DataFrame.unionByName, (read(v).withColumn("_v", F.lit(v)) for v in chain))
+        gone = reduce(DataFrame.unionByName, (self.spark.read.schema("letter_id string").parquet(f"{self.root}/v{v}/gone").withColumn("_gone", F.lit(v)) for v in chain[1:]))
+        gone = gone.groupBy("letter_id").agg(F.max("_gone").alias("_gone"))
+        return every.join(gone, "letter_id", "left").where(F.col("_gone").isNull() | (F.col("_gone") <= F.col("_v"))).select(*read(chain[0]).columns)
+
+    def _commit(self, chain: list[int], rows: DataFrame | None = None, gone: DataFrame | None = None, version: int | None = None) -> None:
+        version = max(self._versions(), default=-1) + 1 if version is None else version
+        target = f"{self.root}/v{version}"
+        if rows is None:
+            rows = self.spark.createDataFrame([], SCHEMA)
+        (rows.write.partitionBy(*self.partition_by) if self.partition_by else rows.write).parquet(f"{target}/rows")
+        if gone is not None:
+            gone.select("letter_id").distinct().write.parquet(f"{target}/gone")
+        head = {"version": version, "chain": [*chain, version], "embedding_model": self.model, "embedding_dimension": self.dimension}
+        staged, header = self._path(f"{target}/.HEADER"), self._path(f"{target}/HEADER")
         out = self._fs.create(staged, True)
-        out.write(str(version + 1).encode())
+        out.write(json.dumps(head).encode())
         out.close()
-        self._fs.delete(pointer, False)
-        if not self._fs.rename(staged, pointer):
-            raise OSError(f"cannot set {pointer.toString()}")
+        if not self._fs.rename(staged, header):
+            raise OSError(f"cannot set {header.toString()}")
+
+    def _change(self, rows: DataFrame | None, gone: DataFrame, version: int | None = None) -> None:
+        """Rows that count from now on, and the ids whose older rows don't; as a change, or as a new whole after ``CHAIN`` of them."""
+        chain = self._head()["chain"]
+        if len(chain) <= CHAIN and self.count():
+            return self._commit(chain, rows, gone, version)
+        whole = self.rows().join(gone.select("letter_id"), "letter_id", "left_anti")
+        self._commit([], whole.unionByName(rows) if rows is not None else whole, version=version)
 
     def upsert(self, batch: DataFrame) -> None:
-        """``batch`` has the store's columns but ``ord``, and ``pos``, its order. An empty batch writes nothing."""
+        """``batch`` has the store's columns but ``ord``, and ``pos``, its order. An empty batch leaves no new version.
+
+        The batch is written down first, so that its vectors are computed once.
+        """
+        version = max(self._versions()) + 1
+        written = f"{self.root}/v{version}/batch"
+        batch.write.parquet(written)
+        batch = self.spark.read.schema(batch.schema).parquet(written)
         if batch.limit(1).count():
-            self._commit(upserted(self.rows(), batch))
+            self._change(changes(self.rows(), batch), batch, version)
+            self._fs.delete(self._path(written), True)
+        else:
+            self._fs.delete(self._path(f"{self.root}/v{version}"), True)
 
     def delete_ids(self, ids: Iterable[str]) -> None:
-        self._keep(without_ids(self.rows(), self.spark.createDataFrame([(i,) for i in ids], "letter_id string")))
+        self._remove(self.rows().join(self.spark.createDataFrame([(i,) for i in ids], "letter_id string"), "letter_id", "left_semi"))
 
     def delete_where(self, where: dict) -> None:
-        self._keep(without_matches(self.rows(), where))
+        self._remove(self.rows().where(matches(where)))
+
+    def keep_ids(self, ids: DataFrame) -> None:
+        """Only letters in ``ids`` (``letter_id``) stay."""
+        self._remove(without_ids(self.rows(), ids))
 
-    def _keep(self, kept: DataFrame) -> None:
-        if kept.count() != self.count():  # nothing gone: no new version
-            self._commit(kept)
+    def _remove(self, rows: DataFrame) -> None:
+        if rows.limit(1).count():  # nothing gone: no new version
+            self._change(None, rows)
 
     def count(self) -> int:
         return self.rows().count()
@@ -156,6 +205,10 @@ class Store:
         return cosine_query(self.rows(), vector, k, where)
 
     def prune(self, keep: int = 2) -> None:
-        """Remove all but the newest versions."""
-        for v in range(max(0, self.version() - keep + 1)):
-            self._fs.delete(self._path(f"{self.root}/v{v}"), True)
+        """Remove what neither the current version nor the ``keep - 1`` before it are made of, and what writers that died left."""
+        heads = [self._path(f"{self.root}/v{v}/HEADER") for v in self._versions()]
+        heads = [json.loads(self.spark.read.text(h.toString()).first().value) for h in heads if self._fs.exists(h)]
+        needed = {v for head in heads[:keep] for v in head["chain"]}
+        for v in self._versions():
+            if v not in needed and v < heads[0]["version"]:
+                self._fs.delete(self._path(f"{self.root}/v{v}"), True)

@@ -26,6 +26,21 @@ def exported(write, draft: str, suffix: str) -> bytes:
         return write(draft, str(Path(folder) / f"letter.{suffix}")).read_bytes()
 
 
+PAGE = b"""<!doctype html><meta charset="utf-8"><title>Letters</title>
+<style>body{font:16px sans-serif;max-width:50em;margin:2em auto}textarea{width:100%}pre{white-space:pre-wrap;background:#f4f4f4;padding:1em}</style>
+<h1>Letters</h1>
+<form id="search"><input name="q" placeholder="search" required> <button>Search</button></form>
+<form id="draft"><textarea name="request" rows="4" placeholder="what to write" required></textarea><select name="department"><option value="">any department</option></select>
+<select name="letter_type"><option value="">any type</option></select> <button>Draft</button></form><pre id="out"></pre>
+<script>
+const out = document.getElementById("out"), show = async r => out.textContent = JSON.stringify(await r.json(), null, 2);
+const fill = async (path, name) => { for (const v of await (await fetch(path)).json()) document.querySelector(`[name=${name}]`).add(new Option(v)); };
+fill("/api/departments", "department"); fill("/api/letter-types", "letter_type");
+document.getElementById("search").onsubmit = e => { e.preventDefault(); fetch("/api/admin/search?" + new URLSearchParams(new FormData(e.target))).then(show); };
+document.getElementById("draft").onsubmit = e => { e.preventDefault(); fetch("/api/generate", {method: "POST", body: JSON.stringify(Object.fromEntries(new FormData(e.target)))}).then(show); };
+</script>
+"""
+
 #: method, path (named parts in braces), answer from (service, parts, query, body)
 ROUTES: list[Route] = [
     ("GET", "/api/departments", lambda s, p, q, b: s.departments()),
@@ -49,6 +64,8 @@ def answer(service: Service, method: str, target: str, body: bytes) -> tuple[int
     """Status, content type and content."""
     url = urlparse(target)
     query = {k: v[-1] for k, v in parse_qs(url.query).items()}
+    if (method, url.path) == ("GET", "/"):
+        return 200, "text/html; charset=utf-8", PAGE
     for verb, path, act in ROUTES:
         match = re.fullmatch(re.sub(r"\{(\w+)\}", r"(?P<\1>[^/]+)", path), url.path)
         if verb == method and match:

@@ -10,29 +10,29 @@ from ..functions.text import clean_lines, letter_id
 from ..operators.embed import hash_embedding
 from ..operators.fonts import KEYS
 from ..operators.metadata import extract, with_overrides
-from ..operators.segment import segment_lines, segments
+from ..operators.segment import cut, files_of, least_plausibility
 from ..sources import files as src
 
 
 def letters_of_lines(lines: DataFrame) -> DataFrame:
     """``source_file, segment_index, lines, min_line_plausibility`` of decoded lines; segments are found before lines are cleaned."""
-    cut = segment_lines(lines, segments(lines))
-    return cut.select("source_file", "segment_index", clean_lines("lines").alias("lines"), F.col("min_plausibility").alias("min_line_plausibility"))
+    found = cut(files_of(lines.select("source_file", "line_no", "text", "min_plausibility")))
+    return found.select("source_file", "segment_index", clean_lines(F.transform("lines", lambda x: x["text"])).alias("lines"), least_plausibility(F.col("lines")).alias("min_line_plausibility"))
 
 
-def ingest(spark: SparkSession, root: str, overrides: DataFrame | None = None, pdf: src.Extractor | None = None, ocr: src.Ocr | None = None, table=KEYS, qualified: bool = False) -> DataFrame:
-    """The ``letters`` relation of a folder tree.
+def ingest(spark: SparkSession, root: str, overrides: DataFrame | None = None, pdf: src.Extractor | None = None, ocr: src.Ocr | None = None, table=KEYS, qualified: bool = False, only: str | None = None) -> DataFrame:
+    """The ``letters`` relation of a folder tree, or of one file in it (``only``, a relative path).
 
     Text files are one letter each, never segmented or scored. ``letter_id`` is the file's stem and the segment's number; ``qualified`` takes the whole
     relative path instead of the stem, so that equal names in different folders stay apart.
     """
-    files = src.scan(spark, root)
+    files = src.scan(spark, root, only)
     runs = src.docx_runs(files)
     if pdf is not None:
         runs = runs.withColumn("ocr_plausibility", F.lit(None).cast("double")).unionByName(src.pdf_runs(files, pdf, ocr))
-    cut = letters_of_lines(src.decoded_lines(runs, table))
+    parts = letters_of_lines(src.decoded_lines(runs, table))
     plain = src.txt_lines(files).select("source_file", F.lit(0).alias("segment_index"), clean_lines("lines").alias("lines"), F.lit(1.0).alias("min_line_plausibility"))
-    return finish(cut.unionByName(plain), overrides, qualified)
+    return finish(parts.unionByName(plain), overrides, qualified)
 
 
 def skipped(spark: SparkSession, root: str, pdf: src.Extractor | None) -> DataFrame:
@@ -40,8 +40,8 @@ def skipped(spark: SparkSession, root: str, pdf: src.Extractor | None) -> DataFr
     return src.scan(spark, root).where(F.lit(pdf is None) & (F.col("suffix") == ".pdf")).select("source_file")
 
 
-def finish(cut: DataFrame, overrides: DataFrame | None = None, qualified: bool = False) -> DataFrame:
-    named = cut.select("*", *src.path_fields("source_file"))
+def finish(parts: DataFrame, overrides: DataFrame | None = None, qualified: bool = False) -> DataFrame:
+    named = parts.select("*", *src.path_fields("source_file"))
     stem = F.regexp_replace("source_file", r"\.[^./]*\z", "") if qualified else F.col("stem")
     letters = extract(named.withColumn("letter_id", letter_id(stem, "segment_index")).withColumn("text", F.array_join("lines", "\n"))).drop("lines", "stem")
     letters = with_overrides(letters, overrides) if overrides is not None else letters

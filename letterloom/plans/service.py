@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import encode_path, snippet
-from ..operators.embed import Embedder, HashEmbedder, embedding, hash_embedding
+from ..operators.embed import Embedder, HashEmbedder, embedding, hash_embedding, make_embedder
 from ..operators.export import Layout, write_docx, write_pdf
 from ..operators.generate import build_messages, reference_section
 from ..operators.metadata import with_overrides
@@ -43,12 +43,22 @@ class Settings:
     temperature: float = 0.2
     model: str = "default"
     layout: Layout = field(default_factory=Layout)
+    embedding_backend: str = "hash"
+    embedding_model: str = "default"
+    host: str = "http://localhost:11434"
+    context: int = 8192
 
     @classmethod
     def from_env(cls, env: dict[str, str] | None = None) -> Settings:
         e = os.environ if env is None else env
         layout = Layout(e.get("DOCX_FONT_NAME", Layout.font), int(e.get("DOCX_FONT_SIZE_PT", Layout.size_pt)), float(e.get("DOCX_MARGIN_CM", Layout.margin_cm)), float(e.get("DOCX_LINE_SPACING", Layout.line_spacing)))
-        return cls(e.get("DATA_DIR", "data/letters"), e.get("STORE_DIR", "letter_store"), int(e.get("TOP_K", "5")), float(e.get("GENERATION_TEMPERATURE", "0.2")), e.get("CHAT_MODEL", "default"), layout)
+        return cls(e.get("DATA_DIR", "data/letters"), e.get("STORE_DIR", "letter_store"), int(e.get("TOP_K", "5")), float(e.get("GENERATION_TEMPERATURE", "0.2")), e.get("CHAT_MODEL", "default"), layout,
+                   e.get("EMBEDDING_BACKEND", "hash"), e.get("EMBEDDING_MODEL", "default"), e.get("MODEL_HOST", cls.host), int(e.get("MODEL_CONTEXT", str(cls.context))))
+
+    def embedder(self) -> Embedder:
+        """The one that the settings name."""
+        options = {"hash": {}, "http": {"model_name": self.embedding_model, "host": self.host, "context": self.context}, "local": {"model_name": self.embedding_model}}
+        return make_embedder(self.embedding_backend, **options.get(self.embedding_backend, {}))
 
 
 def doc_id_of(relative: str) -> str:
@@ -71,7 +81,7 @@ class Service:
     """Overrides live beside the letters in ``.meta``; everything else that is asked often comes from the store."""
 
     def __init__(self, spark: SparkSession, settings: Settings, embedder: Embedder | None = None, chat=None, pdf=None, ocr=None):
-        self.spark, self.settings, self.embedder, self.chat, self.pdf, self.ocr = spark, settings, embedder or HashEmbedder(), chat, pdf, ocr
+        self.spark, self.settings, self.embedder, self.chat, self.pdf, self.ocr = spark, settings, embedder or settings.embedder(), chat, pdf, ocr
         ship(spark)
         self.root = Path(settings.data_dir)
         self.store = Store(spark, settings.store_dir, self.embedder.model_name, self.embedder.dimension())
@@ -83,8 +93,9 @@ class Service:
         meta = self.root / ".meta"
         return sidecars(self.spark, str(meta)) if meta.is_dir() and any(meta.glob("*.json")) else None
 
-    def letters_from_source(self) -> DataFrame:
-        return ingest(self.spark, str(self.root), self._overrides(), self.pdf, self.ocr)
+    def letters_from_source(self, only: str | None = None) -> DataFrame:
+        """Of the whole tree, or of one file (a relative path)."""
+        return ingest(self.spark, str(self.root), self._overrides(), self.pdf, self.ocr, only=only)
 
     def _rows(self) -> DataFrame:
         return self.store.rows().withColumn("text", F.col("document"))
@@ -124,7 +135,7 @@ class Service:
         path = path_of(self.root, doc_id)
         if not path.is_file():
             raise NotFound(doc_id)
-        return self.letters_from_source().where(F.col("source_file") == str(path.relative_to(self.root.resolve()))).orderBy("segment_index")
+        return self.letters_from_source(str(path.relative_to(self.root.resolve()))).orderBy("segment_index")
 
     def delete_document(self, doc_id: str) -> None:
         path = path_of(self.root, doc_id)
@@ -148,13 +159,16 @@ class Service:
         path.parent.mkdir(parents=True, exist_ok=True)
         path.write_bytes(content)
         source = str(path.relative_to(self.root))
-        letters = self.letters_from_source().where(F.col("source_file") == source)
-        found = summary(letters).first().asDict()
-        # Segments that the new file no longer has go.
-        gone = self.store.rows().where(F.col("source_file") == source).join(letters.select("letter_id"), "letter_id", "left_anti")
-        self.store.delete_ids([r.letter_id for r in gone.select("letter_id").collect()])
-        self.store.upsert(store_batch(letters, self._vector()))
-        return found
+        letters = self.letters_from_source(source).persist()
+        try:
+            found = summary(letters).first().asDict()
+            # Segments that the new file no longer has go.
+            gone = self.store.rows().where(F.col("source_file") == source).join(letters.select("letter_id"), "letter_id", "left_anti")
+            self.store.delete_ids([r.letter_id for r in gone.select("letter_id").collect()])
+            self.store.upsert(store_batch(letters, self._vector()))
+            return found
+        finally:
+            letters.unpersist()
 
     def reindex(self, prune: bool = False) -> dict:
         """The summary, and ``files_skipped``: PDFs without a callable that reads them, whose letters stay when pruning."""
@@ -164,7 +178,7 @@ class Service:
             self.store.upsert(store_batch(letters, self._vector()))
             if prune:
                 there = letters.select("letter_id").union(self.store.rows().where(F.col("source_file").isin(left_out)).select("letter_id"))
-                self.store._keep(self.store.rows().join(there, "letter_id", "left_semi"))
+                self.store.keep_ids(there)
             return summary(letters).first().asDict() | {"files_skipped": len(left_out)}
         finally:
             letters.unpersist()

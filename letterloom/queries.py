@@ -6,6 +6,9 @@ letters run on inline rows, as no table holds any. All queries read their whole
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 from collections.abc import Callable
 from pathlib import Path
@@ -45,8 +48,17 @@ def letters(spark, sf_dir):
 
 
 def with_vectors(spark, sf_dir):
+    """All letters; one without a vector has the empty one, whose cosine is 0."""
     e = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("letter_id"), "embedding")
-    return letters(spark, sf_dir).join(e, "letter_id")
+    return letters(spark, sf_dir).join(e, "letter_id", "left").withColumn("embedding", F.coalesce("embedding", F.array().cast("array<float>")))
+
+
+def in_two_departments(rows):
+    """Nine in ten letters in one department, so that a vote can be clear."""
+    return rows.withColumn("department", F.when(F.col("letter_id") % 10 < 9, "main").otherwise("other"))
+
+
+TWO = "CASE WHEN doc_id % 10 < 9 THEN 'main' ELSE 'other' END"
 
 
 def first_vector(spark, sf_dir):
@@ -93,8 +105,12 @@ LINES = f"SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY i
 
 
 def document_lines(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_file"), F.posexplode(tx.text_lines("text")).alias("line_no", "text"))
-    return d
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_file"), F.posexplode(tx.text_lines("text")).alias("line_no", "text"))
+
+
+def document_files(spark, sf_dir):
+    lines = F.transform(tx.text_lines("text"), lambda x: F.struct(x.alias("text")))
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_file"), lines.alias("lines"))
 
 
 @query(f"SELECT doc_id, count(*) AS n_lines, md5(string_agg(c, chr(10) ORDER BY i)) AS cleaned FROM (SELECT doc_id, i, {CLEAN} AS c FROM ({SPLIT}) WHERE {STRIP % 'line'} <> '') GROUP BY doc_id")
@@ -124,20 +140,19 @@ g AS (SELECT doc_id, segment_index, start_line, coalesce(lead(start_line) OVER (
 
 @query(f"WITH {ANCHORS} SELECT doc_id, line_no, anchor_no FROM a")
 def anchor_lines(spark, sf_dir):
-    a = segment.anchors(document_lines(spark, sf_dir), required=())
-    return a.select(F.col("source_file").alias("doc_id"), F.col("line_no").cast("long").alias("line_no"), F.col("anchor_no").cast("long").alias("anchor_no"))
+    a = segment.marked(document_files(spark, sf_dir), required=()).select(F.col("source_file").alias("doc_id"), F.posexplode("anchor_lines").alias("anchor_no", "line_no"))
+    return a.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("anchor_no").cast("long").alias("anchor_no"))
 
 
 @query(f"WITH {SEGMENTS} SELECT doc_id, segment_index::INT AS segment_index, start_line::INT AS start_line, end_line::INT AS end_line, gated FROM g")
 def segments(spark, sf_dir):
-    return segment.segments(document_lines(spark, sf_dir), required=()).select(F.col("source_file").alias("doc_id"), "segment_index", "start_line", "end_line", "gated")
+    return segment.cut(document_files(spark, sf_dir), required=()).select(F.col("source_file").alias("doc_id"), "segment_index", "start_line", "end_line", "gated")
 
 
 @query(f"WITH {SEGMENTS} SELECT g.doc_id, segment_index::INT AS segment_index, count(*) AS n_lines, md5(string_agg(line, chr(10) ORDER BY line_no)) AS body FROM g JOIN ln ON ln.doc_id = g.doc_id AND line_no BETWEEN start_line AND end_line GROUP BY ALL")
 def segment_text(spark, sf_dir):
-    lines = document_lines(spark, sf_dir)
-    s = segment.segment_lines(lines, segment.segments(lines, required=()))
-    return s.select(F.col("source_file").alias("doc_id"), "segment_index", F.size("lines").cast("long").alias("n_lines"), F.md5(F.array_join("lines", "\n")).alias("body"))
+    s = segment.cut(document_files(spark, sf_dir), required=())
+    return s.select(F.col("source_file").alias("doc_id"), "segment_index", F.size("lines").cast("long").alias("n_lines"), F.md5(F.array_join(F.transform("lines", lambda x: x["text"]), "\n")).alias("body"))
 
 
 # Terms and BM25.
@@ -150,9 +165,9 @@ def tokenize_counts(spark, sf_dir):
     return d.select("doc_id", F.size("t").cast("long").alias("n_terms"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"))
 
 
-def candidates(where="true", vectors=True):
-    join = "JOIN embeddings ON vec_id = doc_id" if vectors else ""
-    return f"c AS MATERIALIZED (SELECT doc_id AS letter_id, source AS department, lang AS letter_type, text, {'embedding, ' if vectors else ''}{TOKENS} AS toks FROM documents {join} WHERE {where})"
+def candidates(where="true", vectors=True, department="source"):
+    join = "LEFT JOIN embeddings ON vec_id = doc_id" if vectors else ""
+    return f"c AS MATERIALIZED (SELECT doc_id AS letter_id, {department} AS department, lang AS letter_type, text, {'embedding, ' if vectors else ''}{TOKENS} AS toks FROM documents {join} WHERE {where})"
 
 
 STATS = """st AS (SELECT count(*) AS n, avg(len(toks)) AS a FROM c),
@@ -215,8 +230,8 @@ def hash_embedding(spark, sf_dir):
 
 
 # Hybrid retrieval.
-def hybrid_cte(where="true"):
-    return f"""{candidates(where)}, {STATS}, s AS MATERIALIZED (SELECT letter_id, department, letter_type, text, {bm25_sql()} AS b, {COSINE} AS v FROM c),
+def hybrid_cte(where="true", department="source"):
+    return f"""{candidates(where, department=department)}, {STATS}, s AS MATERIALIZED (SELECT letter_id, department, letter_type, text, {bm25_sql()} AS b, coalesce({COSINE}, 0) AS v FROM c),
 r AS (SELECT *, row_number() OVER (ORDER BY b DESC, letter_id) AS r1, row_number() OVER (ORDER BY v DESC, letter_id) AS r2 FROM s),
 h AS (SELECT *, 1.0::DOUBLE / (60 + r1) + 1.0::DOUBLE / (60 + r2) AS f, row_number() OVER (ORDER BY 1.0::DOUBLE / (60 + r1) + 1.0::DOUBLE / (60 + r2) DESC, r1) AS rank FROM r)"""
 
@@ -260,6 +275,18 @@ def two_stage(spark, sf_dir):
     return shown(hits)
 
 
+@query(f"WITH {hybrid_cte(department=TWO)}, {VOTE} SELECT CASE WHEN share >= 0.6 THEN department END AS department, n, share::DOUBLE AS share FROM best")
+def auto_department_found(spark, sf_dir):
+    return retrieve.vote(retrieve.retrieve(in_two_departments(with_vectors(spark, sf_dir)), QUERY, first_vector(spark, sf_dir), 5))
+
+
+@query(f"WITH {hybrid_cte(f"lang = 'en' AND {TWO} = (WITH {hybrid_cte(department=TWO)}, {VOTE} SELECT department FROM best WHERE share >= 0.6)", TWO)} {HITS.format(5)}")
+def two_stage_found(spark, sf_dir):
+    """The vote is clear, so the second stage is filtered by department and type."""
+    hits, _, _ = retrieve.two_stage(in_two_departments(with_vectors(spark, sf_dir)), QUERY, first_vector(spark, sf_dir), 5, None, "en")
+    return shown(hits)
+
+
 # Store changes.
 @query("""WITH b AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'kept' ELSE 'revised' END AS text FROM labels), n AS (SELECT conv_id + 1000000000 AS doc_id, max(text) AS text FROM conversations GROUP BY conv_id)
 SELECT doc_id AS letter_id, md5(text) AS body FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM b) UNION ALL SELECT doc_id, md5(text) FROM b UNION ALL SELECT doc_id, md5(text) FROM n""")
@@ -312,16 +339,25 @@ def override_merge(spark, sf_dir):
     return metadata.with_overrides(letters(spark, sf_dir), o).select("letter_id", "department", "letter_type")
 
 
-@query("SELECT k, v FROM (VALUES ('department', 'b'), ('subject', 's'), ('note', 'n')) t(k, v)")
+def open_maps(spark, sf_dir):
+    """Each document's automatic fields and, from its label, corrections, some of them null or new."""
+    marks = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("string").alias("quality"), F.when(F.col("toxic") == 1, "toxic").alias("source"))
+    d = table(spark, sf_dir, "documents").join(marks.select("doc_id", F.create_map(F.lit("source"), "source", F.lit("quality"), "quality").alias("override")), "doc_id", "left")
+    return d.select("doc_id", F.create_map(F.lit("source"), "source", F.lit("lang"), F.nullif("lang", F.lit("es"))).alias("auto"), "override")
+
+
+AUTO = "SELECT d.doc_id, k, CASE k WHEN 'source' THEN source ELSE nullif(lang, 'es') END AS v FROM documents d, (VALUES ('source'), ('lang')) t(k)"
+NEW = "SELECT doc_id, k, CASE k WHEN 'quality' THEN quality::VARCHAR WHEN 'source' THEN CASE WHEN toxic = 1 THEN 'toxic' END END AS v FROM labels, (VALUES ('source'), ('quality')) t(k)"
+
+
+@query(f"SELECT doc_id, k, coalesce(n.v, a.v) AS v FROM ({AUTO}) a FULL JOIN (SELECT * FROM ({NEW}) WHERE v IS NOT NULL) n USING (doc_id, k)")
 def override_map(spark, sf_dir):
-    rows = spark.createDataFrame([({"department": "a", "subject": "s"}, {"department": "b", "subject": None, "note": "n"})], "auto map<string,string>, override map<string,string>")
-    return rows.select(F.explode(metadata.merged_map("auto", "override")).alias("k", "v"))
+    return open_maps(spark, sf_dir).select("doc_id", F.explode(metadata.merged_map("auto", "override")).alias("k", "v"))
 
 
-@query("SELECT k, v FROM (VALUES ('subject', 's')) t(k, v)")
+@query(f"SELECT doc_id, k, v FROM ({AUTO}) WHERE v IS NOT NULL")
 def scalar_metadata(spark, sf_dir):
-    rows = spark.createDataFrame([({"subject": "s", "context_reference": None},)], "m map<string,string>")
-    return rows.select(F.explode(metadata.scalar_metadata("m")).alias("k", "v"))
+    return open_maps(spark, sf_dir).select("doc_id", F.explode(metadata.scalar_metadata("auto")).alias("k", "v"))
 
 
 @query("SELECT doc_id AS letter_id, coalesce(l.quality, 0)::BOOLEAN AS needs_review, coalesce(nullif(source, 'src0'), 'unknown') AS department FROM documents LEFT JOIN labels l USING (doc_id)")
@@ -425,9 +461,12 @@ STOP_BY = rf"(trim(x) = '' OR regexp_matches(x, '{TO}'))"
 KIND = "CASE WHEN regexp_matches(t, 'आदेश|आरोप|अभिकथन|निलंबित|दोषी') THEN 'disciplinary_order' WHEN regexp_matches(t, 'अग्रसारित|अनुरोध|प्रेषित|अग्रलेख') THEN 'forwarding_request' ELSE 'general_correspondence' END"
 
 
-@query(rf"""WITH l AS ({L}), k AS (SELECT id, string_agg(x, chr(10) ORDER BY i) AS t FROM l GROUP BY id)
+METADATA = rf"""WITH l AS ({L}), k AS (SELECT id, string_agg(x, chr(10) ORDER BY i) AS t FROM l GROUP BY id)
 SELECT id AS letter_id, {labelled_sql('विषय', ':\\-।').replace('\\\\', '\\')} AS subject, {labelled_sql('प्रसंग', ':\\-।').replace('\\\\', '\\')} AS context_reference, {reference_sql(1)} AS reference_number, {reference_sql(2)} AS reference_date,
-{ahead_sql(TO, STOP_TO)} AS recipient_designation, {ahead_sql(r'^\s*प्रेषक\s*[,:]*\s*$', STOP_BY)} AS sender_designation, {KIND} AS letter_type FROM k""")
+{ahead_sql(TO, STOP_TO)} AS recipient_designation, {ahead_sql(r'^\s*प्रेषक\s*[,:]*\s*$', STOP_BY)} AS sender_designation, {KIND} AS letter_type FROM k"""
+
+
+@query(METADATA)
 def metadata_fields(spark, sf_dir):
     return metadata.extract(letter_rows(spark)).select("letter_id", *metadata.FIELDS, "letter_type")
 
@@ -437,18 +476,17 @@ def copy_to(spark, sf_dir):
     return metadata.extract(letter_rows(spark)).where(F.size("copy_to") > 0).select("letter_id", F.array_join("copy_to", "|").alias("copy_to"))
 
 
-CONFIDENCE = [
-    (1, "subject", True), (1, "context_reference", True), (1, "reference_number", True), (1, "reference_date", True), (1, "recipient_designation", True),
-    (2, "subject", True), (2, "reference_number", False), (2, "reference_date", False), (2, "recipient_designation", False), (2, "sender_designation", True), (4, "recipient_designation", False),
-]
+# Of the labels that occur in a letter: was a value found?
+LABELS = {"subject": r"^\s*विषय", "context_reference": r"^\s*प्रसंग", "reference_number": REF, "reference_date": REF, "recipient_designation": TO, "sender_designation": r"^\s*प्रेषक\s*[,:]*\s*$"}
+CONFIDENCE = " UNION ALL ".join(f"SELECT letter_id, '{f}' AS field, {f} IS NOT NULL AS ok FROM ({METADATA}) m WHERE EXISTS (SELECT 1 FROM ({L}) z WHERE z.id = m.letter_id AND regexp_matches(z.x, '{p}'))" for f, p in LABELS.items())
 
 
-@query(f"SELECT * FROM (VALUES {values(CONFIDENCE)}) t(letter_id, field, ok)")
+@query(CONFIDENCE)
 def field_confidence(spark, sf_dir):
     return metadata.extract(letter_rows(spark)).select("letter_id", F.explode("field_confidence").alias("field", "ok"))
 
 
-@query(f"SELECT letter_id, field FROM (VALUES {values(CONFIDENCE)}) t(letter_id, field, ok) WHERE NOT ok")
+@query(f"SELECT letter_id, field FROM ({CONFIDENCE}) WHERE NOT ok")
 def low_confidence_fields(spark, sf_dir):
     return metadata.extract(letter_rows(spark)).select("letter_id", F.explode("low_confidence_fields").alias("field"))
 
@@ -471,20 +509,24 @@ def plausibility(spark, sf_dir):
     return rows.select("id", F.round(pl.devanagari_ratio("t"), 6).alias("ratio"), pl.common_word_hits("t").alias("hits"), F.round(pl.malformed_ratio("t"), 6).alias("bad"), F.round(pl.plausibility("t"), 6).alias("score"))
 
 
-FONTS = [("DevLys 040", True), (" Kruti Dev 041", True), ("kruti dev", True), ("Mangal", False), ("Times New Roman", False), ("ABCDEF+DevLys", False), ("DV-TTYogesh", True), ("", False), (None, False)]
+FONTS = ["DevLys 040", " Kruti Dev 041", "kruti dev", "Mangal", "Times New Roman", "ABCDEF+DevLys", "DV-TTYogesh", "Mangal Kruti Dev", "Shusha02", "", None]
+
+
+def begins(words):
+    return f"len(list_filter([{', '.join(f"'{w}'" for w in words)}], lambda p: starts_with(lower(trim(font)), p))) > 0"
 
 
-@query(f"SELECT * FROM (VALUES {values(FONTS)}) t(font, legacy)")
+@query(f"SELECT font, coalesce({begins(fonts.LEGACY)} AND NOT {begins(fonts.PASSTHROUGH)}, false) AS legacy FROM (VALUES {values((f,) for f in FONTS)}) t(font)")
 def font_class(spark, sf_dir):
-    return spark.createDataFrame([(f,) for f, _ in FONTS], "font string").select("font", fonts.is_legacy_font("font").alias("legacy"))
+    return spark.createDataFrame([(f,) for f in FONTS], "font string").select("font", fonts.is_legacy_font("font").alias("legacy"))
 
 
-MARKS = [("", True), ("--- ._", True), (None, True), ("75", False), ("-7-", False)]
+MARKS = ["", "--- ._", None, "75", "-7-", " . ", "_", "।", "- / -"]
 
 
-@query(f"SELECT * FROM (VALUES {values(MARKS)}) t(v, placeholder)")
+@query(rf"SELECT v, v IS NULL OR regexp_full_match(v, '[.\-_\s]*') AS placeholder FROM (VALUES {values((v,) for v in MARKS)}) t(v)")
 def placeholder(spark, sf_dir):
-    return spark.createDataFrame([(v,) for v, _ in MARKS], "v string").select("v", metadata.is_placeholder("v").alias("placeholder"))
+    return spark.createDataFrame([(v,) for v in MARKS], "v string").select("v", metadata.is_placeholder("v").alias("placeholder"))
 
 
 OCR_WORDS = [(1, "सेवा", 90.0), (1, "में", 70.0), (1, " ", 95.0), (1, "x", -1.0), (2, "low", 40.0), (3, "", 10.0)]
@@ -496,31 +538,58 @@ def ocr_confidence(spark, sf_dir):
     return rows.select("page", pl.ocr_confidence("w").alias("o")).select("page", "o.mean", "o.low")
 
 
-# The public sample pairs of the font's keyboard.
-DECODED = [("Lkkj.k lekgj.kky;] Nijk", "सारण समाहरणालय, छपरा"), ("ftyk inkf/kdkjh", "जिला पदाधिकारी"), ("lsok esa]", "सेवा में,"), ("egk\"k;", "महाषय")]
+# Typed lines: clusters, upper and lower r, the i-sign, nukta, digits, marks; and the benchmark's texts, which mean nothing in the font.
+TYPED = ["fo|ky;", "LokLF;", 'jk"Vªh;', "deZpkjh oxZ", "Ldwy esa fdrkc]", "bZ'oj", "fnukad ƒ„&…†", "'kqØokj", "lM+d", "O;oLFkk¼[k½", "iz/kkuk/;kid", "", "kZf", "ff Z"]
 
 
-@query(f"SELECT * FROM (VALUES {values(DECODED)}) t(raw, decoded)")
-def legacy_decode(spark, sf_dir):
-    return spark.createDataFrame([(a,) for a, _ in DECODED], "raw string").select("raw", fonts.decode_legacy()("raw").alias("decoded"))
+def chart_sql(raw):
+    """The chart by one alternation over its keys, then the rules about the order of signs."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    keys = "|".join(re.sub(r"([^\w\s])", r"\\\1", k) if k.isascii() else k for k, _ in fonts.KEYS)
+    own = f"map([{', '.join(quoted(k) for k, _ in fonts.KEYS)}], [{', '.join(quoted(v) for _, v in fonts.KEYS)}])"
+    t = f"replace(array_to_string(list_transform(regexp_extract_all({raw}, {quoted('(?s)' + keys + '|.')}), lambda x: coalesce({own}[x], x)), ''), '्ा', '')"
+    c, m = f"[{fonts.CONSONANT}]़?", fonts.MATRA
+    t = f"replace(regexp_replace({t}, 'f((?:{c}्)*{c})', '\\1ि', 'g'), 'f', 'ि')"
+    t = f"regexp_replace({t}, '((?:{c}्)*{c})([{m}]*)Z', 'र्\\1\\2', 'g')"
+    t = f"replace(regexp_replace({t}, '^([{m}]*)Z', 'र्\\1'), 'Z', 'र्')"
+    t = f"regexp_replace(regexp_replace({t}, '्{{2,}}', '्', 'g'), '्([{m}])', '\\1', 'g')"
+    return f"regexp_replace({t}, '[ ,]([{''.join(x for x in m if x not in 'ंःँ')}])', '\\1', 'g')"
 
 
-def sample_tree() -> str:
-    root = Path(tempfile.mkdtemp(prefix="letterloom-sample-"))
-    export.write_docx("सेवा में,\nप्रबंधक\n\nविषय: नमूना", root / "education" / "office" / "letter.docx")
-    (root / "revenue").mkdir()
-    (root / "revenue" / "note.txt").write_text("विषय: सूचना\n\n  दो   शब्द \n", encoding="utf-8")
-    (root / ".meta").mkdir()
-    (root / ".meta" / "skip.txt").write_text("not a letter")
-    return str(root)
+@query(f"SELECT md5(raw) AS raw, {chart_sql('raw')} AS decoded FROM (SELECT text AS raw FROM benchmark UNION ALL VALUES {', '.join("('" + t.replace("'", "''") + "')" for t in TYPED)})")
+def legacy_decode(spark, sf_dir):
+    rows = table(spark, sf_dir, "benchmark").select(F.col("text").alias("raw")).unionAll(spark.createDataFrame([(t,) for t in TYPED], "raw string"))
+    return rows.select(F.md5("raw").alias("raw"), fonts.decode_legacy()("raw").alias("decoded"))
+
+
+def sample_tree(spark) -> str:
+    """A small tree of letters in a folder that executors can read: below the checkpoints, or in local mode a temporary one."""
+    docx = "सेवा में,\nप्रबंधक\n\nविषय: नमूना"
+    tree = {"revenue/note.txt": "विषय: सूचना\n\n  दो   शब्द \n".encode(), ".meta/skip.txt": b"not a letter"}
+    with tempfile.TemporaryDirectory(prefix="letterloom-sample-") as folder:
+        tree["education/office/letter.docx"] = export.write_docx(docx, Path(folder) / "letter.docx").read_bytes()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="letterloom-sample-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    root = f"{base.rstrip('/')}/letterloom-sample"
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for name, content in tree.items():
+        out = fs.create(path(f"{root}/{name}"), True)
+        out.write(content)
+        out.close()
+    return root
 
 
 @query()
 def docx_scan(spark, sf_dir):
     """A generated tree, as no test table holds files."""
-    return files.decoded_lines(files.docx_runs(files.scan(spark, sample_tree())))
+    return files.decoded_lines(files.docx_runs(files.scan(spark, sample_tree(spark))))
 
 
 @query()
 def ingest_tree(spark, sf_dir):
-    return ingest.ingest(spark, sample_tree()).select("letter_id", "department", "office", "source_file", "subject", "letter_type", "text", "needs_review")
+    return ingest.ingest(spark, sample_tree(spark)).select("letter_id", "department", "office", "source_file", "subject", "letter_type", "text", "needs_review")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Callable, Iterator
 from urllib.parse import unquote, urlparse
@@ -25,16 +26,18 @@ class ExtractorUnavailable(RuntimeError):
     """A format needs a callable that was not given."""
 
 
-def scan(spark: SparkSession, root: str) -> DataFrame:
+def scan(spark: SparkSession, root: str, only: str | None = None) -> DataFrame:
     """Files under ``root`` with a known suffix, none of them in a ``.meta`` folder: ``source_file`` (relative), ``suffix, department, office, stem, content``.
 
-    ``content`` is only read where it is used. Use ``orderBy('source_file')`` where order matters. The file source skips files of no bytes; their
+    ``only`` is the relative path of one file: nothing else is listed or read then. ``content`` is only read where it is used. Use ``orderBy('source_file')`` where order matters. The file source skips files of no bytes; their
     names come from its listing and join by union, without content.
     """
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
     schema = "path string, modificationTime timestamp, length bigint, content binary"
-    files = spark.read.schema(schema).format("binaryFile").option("recursiveFileLookup", True).load(root)
+    reader = spark.read.schema(schema).format("binaryFile")
+    exact = re.sub(r"([\\{}\[\]*?])", r"\\\1", only or "")  # a path that is loaded is a pattern
+    files = reader.load(f"{root.rstrip('/')}/{exact}") if only else reader.option("recursiveFileLookup", True).load(root)
     top = urlparse(base).path
     listed = [(f"{base}/{unquote(urlparse(f).path)[len(top) + 1:]}",) for f in files.inputFiles()]
     empty = spark.createDataFrame(listed, "path string").join(files.select("path"), "path", "left_anti")

@@ -132,6 +132,30 @@ def test_http(service):
     assert status == 200 and body[:2] == b"PK"
 
 
+def test_upload_reads_one_file(spark, tmp_path):
+    s = Service(spark, Settings(str(tmp_path / "in"), str(tmp_path / "s")))
+    s.upload("health", "ward", "a [1].txt", "विषय: एक".encode())
+    (tmp_path / "in" / "health" / "ward" / "broken.docx").write_bytes(b"not a document")
+    found = s.upload("health", "ward", "b.txt", "विषय: दो".encode())
+    assert found["letters_found"] == 1 and [r.subject for r in s.store.find().collect()] == ["एक", "दो"]
+    assert [r.subject for r in s.document(doc_id_of("health/ward/a [1].txt")).collect()] == ["एक"]
+
+
+def test_embedding_settings():
+    s = Settings.from_env({"EMBEDDING_BACKEND": "http", "EMBEDDING_MODEL": "m", "MODEL_HOST": "http://h:1/", "MODEL_CONTEXT": "512"})
+    e = s.embedder()
+    assert (type(e).__name__, e.model_name, e.host, e.context) == ("HttpEmbedder", "m", "http://h:1", 512)
+    assert Settings.from_env({}).embedder().dimension() == 64
+    with pytest.raises(ValueError):
+        Settings.from_env({"EMBEDDING_BACKEND": "none"}).embedder()
+
+
+def test_page():
+    from letterloom.plans.http import answer
+
+    assert answer(None, "GET", "/", b"")[:2] == (200, "text/html; charset=utf-8")
+
+
 def test_settings():
     s = Settings.from_env({"TOP_K": "7", "DOCX_MARGIN_CM": "3"})
     assert s.top_k == 7 and s.layout.margin_cm == 3.0 and s.layout.size_pt == 12

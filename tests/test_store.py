@@ -75,3 +75,43 @@ def test_filters_reach_the_scan(store):
     plan = store.rows().where(st.matches({"department": "edu"})).select("letter_id")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(department,edu)" in plan and "embedding" not in plan.split("ReadSchema")[1]
     assert store.rows().select(F.count("*")).first()[0] == 3
+
+
+def test_a_writer_that_dies_loses_nothing(spark, store):
+    version, before = store.version(), sorted(map(str, store.rows().collect()))
+    # Whatever was written before the header: rows, ids that are gone, a header that is not in place yet.
+    store.rows().limit(1).write.parquet(f"{store.root}/v{version + 1}/rows")
+    store.rows().select("letter_id").write.parquet(f"{store.root}/v{version + 1}/gone")
+    with open(f"{store.root}/v{version + 1}/.HEADER", "w") as f:
+        f.write("{")
+    again = st.Store(spark, store.root, "m", 2)
+    assert again.version() == version and sorted(map(str, again.rows().collect())) == before
+    again.upsert(batch(spark, ("z", "new", "edu", "f9", [1.0, 1.0])))
+    assert ids(again.find()) == ["a", "b", "c", "z"] and again.version() == version + 2
+
+
+def test_versions_stay_readable_and_changes_are_small(spark, store):
+    held = store.rows()
+    store.delete_ids(["b"])
+    store.upsert(batch(spark, ("b", "again", "rev", "f1", [0.0, 1.0]), ("a", "other", "rev", "f1", [0.0, 1.0])))
+    assert ids(held.orderBy("ord")) == ["a", "b", "c"] and ids(store.find()) == ["a", "c", "b"]  # b came back as a new letter
+    assert spark.read.parquet(f"{store.root}/v{store.version()}/rows").count() == 2
+    for i in range(st.CHAIN + 3):
+        store.upsert(batch(spark, (f"n{i}", "x", "edu", "f3", [1.0, 0.0])))
+    assert store.count() == 3 + st.CHAIN + 3 and len(store._head()["chain"]) <= st.CHAIN + 1
+    assert [r.letter_id for r in store.query([0.0, 1.0], 2).collect()] == ["a", "b"]
+    store.prune()
+    assert store.count() == 3 + st.CHAIN + 3
+
+
+def test_vectors_are_computed_once(spark, store):
+    calls = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<float>")
+    def embed(_):
+        calls.add(1)
+        return [1.0, 0.0]
+
+    rows = batch(spark, *[(f"k{i}", "t", "edu", "f5", None) for i in range(5)]).withColumn("embedding", embed("document"))
+    store.upsert(rows)
+    assert calls.value == 5 and store.count() == 8
