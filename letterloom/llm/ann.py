@@ -10,8 +10,9 @@ every other row that can still reach the k-th score goes to the exact measure to
 every shard in blocks, since no partitioning keeps recall on vectors without clusters. No neighbour is lost: what codes do not tell
 apart costs time.
 
-Bounds: codebooks are fitted on at most ``SAMPLE`` vectors, those with the smallest hashes; they are 16 x d doubles. A shard has about
-``SHARD`` rows, whatever the table's size; the exact measure takes ``RERANK`` rows at once.
+Bounds: codebooks are fitted on at most ``SAMPLE`` vectors and ``SAMPLE_BYTES``, those with the smallest hashes; they are 16 x d doubles. A shard has
+about ``SHARD_BYTES`` of vectors, whatever the table's size and width; the exact measure takes ``RERANK`` rows at once. :func:`build` gives the
+index as a table, which can be written and searched again.
 
 Rows: vectors that are null, zero, or hold a null or non-finite component take no part, nor do those whose length is not the most common one
 (ties: the smaller); null ids take no part; equal scores go to the smaller id; rows that share an id are all candidates, except for
@@ -20,13 +21,16 @@ the queries of that id, each of which gets a list of its own. Other columns are
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE = 20_000
-SHARD = 1 << 17
+SAMPLE_BYTES = 32 << 20
+SHARD_BYTES = 64 << 20  # as doubles
 QUERIES = 256  # of a block in a shard
 RERANK = 8192
 SCHEMA = "query_id long, query long, vec_id long, score double"
@@ -96,15 +100,20 @@ def least_sum(score: float, along: np.ndarray, across: np.ndarray) -> np.ndarray
     return along * t - across * np.sqrt(1 - t * t)
 
 
+def added(x: np.ndarray) -> np.ndarray:
+    """Sums of rows from left to right, so that scores are the same in every engine that adds in order."""
+    return np.add.accumulate(x, axis=1)[:, -1]
+
+
 def scan(ids: np.ndarray, x: np.ndarray, code: np.ndarray, books: np.ndarray, along: np.ndarray, across: np.ndarray, qid: np.ndarray, number: np.ndarray, q: np.ndarray, k: int, rerank: int):
     """Top k of one shard for some queries. Rows stand in the order of their ids, so ties go to the smaller one."""
     m, n = code.shape[1], len(ids)
     if m % 2:
         code, books = np.column_stack([code, np.zeros(n, np.uint8)]), np.concatenate([books, np.zeros_like(books[:1])])
     wide = np.ascontiguousarray((code[:, 0::2] | code[:, 1::2] << 4).T)
-    norm = np.sqrt((x * x).sum(1))
+    norm = np.sqrt(added(x * x))
     for i in range(len(q)):
-        length = np.sqrt((q[i] * q[i]).sum())
+        length = np.sqrt(added(q[i : i + 1] * q[i])[0])
         table = np.einsum("mks,ms->mk", books[:m], (q[i] / length).reshape(m, -1))
         table = np.concatenate([table, np.zeros((len(books) - m, 16))])
         table = np.round(table * (1 << 20)).astype(np.int64)
@@ -120,7 +129,7 @@ def scan(ids: np.ndarray, x: np.ndarray, code: np.ndarray, books: np.ndarray, al
             nonlocal near, best
             for a in range(0, len(rows), RERANK):
                 r = rows[a : a + RERANK]
-                score = (x[r] * q[i]).sum(1) / (norm[r] * length)
+                score = added(x[r] * q[i]) / (norm[r] * length)
                 near, best = np.r_[near, r], np.r_[best, score]
                 top = np.lexsort((ids[near], -best))[:k]
                 near, best = near[top], best[top]
@@ -137,54 +146,103 @@ def scan(ids: np.ndarray, x: np.ndarray, code: np.ndarray, books: np.ndarray, al
         yield np.full(len(near), qid[i]), np.full(len(near), number[i]), ids[near], best
 
 
-def nearest(vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = 128, threshold: float = 0.2) -> DataFrame:
-    """``query_id, rank, vec_id, score`` for the rows whose id is divisible by ``every``."""
-    spark = vectors.sparkSession
+@dataclass
+class Index:
+    """``rows``: ``shard, vec_id, x, code, along, across``, to be written as a table if it is searched more than once; ``books``: the centres."""
+
+    rows: DataFrame
+    books: np.ndarray
+    shards: int
+
+
+def usable(vectors: DataFrame) -> DataFrame:
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("x"))
     finite = F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != F.lit(float("inf"))))
-    v = v.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & finite & F.exists("x", lambda e: e != 0))
+    return v.where(F.col("vec_id").isNotNull() & F.col("x").isNotNull() & finite & F.exists("x", lambda e: e != 0))
+
+
+def matrix(column: pa.ChunkedArray, d: int) -> np.ndarray:
+    return np.asarray(pa.concat_arrays(column.chunks).flatten()).reshape(-1, d) if len(column) else np.zeros((0, d))
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.sqrt((x * x).sum(1))[:, None]
+
+
+def build(vectors: DataFrame, threshold: float = 0.2) -> Index | None:
+    """The index of all usable rows; None without any."""
+    v = usable(vectors)
     sizes = v.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
     if not sizes:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+        return None
     d, n = sizes[0]
     v = v.where(F.size("x") == d)
-    rows = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).collect()
-    sample = np.array([r.x for r in rows])
-    sample /= np.sqrt((sample * sample).sum(1))[:, None]
+    sample = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(1, min(SAMPLE, SAMPLE_BYTES // (8 * d)))).select("x").toArrow()
     m, weight = d // 2 if d % 2 == 0 else d, eta(d, threshold)
-    books = train(sample, m, weight)
-    shards = -(-n // SHARD)
-    base = v.select("vec_id", "x", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"))
-    asking = v.where(F.col("vec_id") % every == 0).select("vec_id", "x", F.monotonically_increasing_id().alias("query"))
-    asking = asking.select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    books = train(unit(matrix(sample.column("x"), d)), m, weight)
+
+    def encode(batches):
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            x = unit(matrix(t.column("x"), d))
+            code = assign(x, books, weight) if len(x) else np.zeros((0, m), np.uint8)
+            along, across = spread(x, code, books)
+            coded = pa.FixedSizeBinaryArray.from_buffers(pa.binary(m), len(x), [None, pa.py_buffer(code.tobytes())]).cast(pa.binary())
+            yield pa.record_batch({"vec_id": batch.column("vec_id"), "x": batch.column("x"), "code": coded, "along": pa.array(along), "across": pa.array(across)})
 
-    def matrix(t: pa.Table) -> np.ndarray:
-        return np.asarray(pa.concat_arrays(t.column("x").chunks).flatten()).reshape(-1, d) if t.num_rows else np.zeros((0, d))
+    shards = -(-n * d * 8 // SHARD_BYTES)
+    coded = v.mapInArrow(encode, "vec_id long, x array<double>, code binary, along double, across double")
+    return Index(coded.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")), books, shards)
 
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+
+def search(index: Index, queries: DataFrame, k: int = 5, rerank: int = 128) -> DataFrame:
+    """``query_id, rank, vec_id, score`` for the rows of ``queries`` (``vec_id, embedding``) that are as wide as the index."""
+    books, d = index.books, index.books.shape[0] * index.books.shape[2]
+    asking = usable(queries).where(F.size("x") == d).select("vec_id", "x", F.monotonically_increasing_id().alias("query"))
+    asking = asking.select("*", F.explode(F.sequence(F.lit(0), F.lit(index.shards - 1))).alias("shard"))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return OUT.empty_table()
         left = left.sort_by("vec_id")
-        ids, x = np.asarray(left.column("vec_id")), matrix(left)
-        unit = x / np.sqrt((x * x).sum(1))[:, None]
-        code, along, across = [], [], []
-        for i in range(0, len(x), 4096):
-            code.append(assign(unit[i : i + 4096], books, weight))
-            for held, part in zip((along, across), spread(unit[i : i + 4096], code[-1], books), strict=True):
-                held.append(part)
-        code, along, across = (np.concatenate(held) for held in (code, along, across))
-        found = []
+        ids, x, along, across = np.asarray(left.column("vec_id")), matrix(left.column("x"), d), np.asarray(left.column("along")), np.asarray(left.column("across"))
+        code, found = np.frombuffer(b"".join(left.column("code").to_pylist()), np.uint8).reshape(len(ids), -1), []
         for i in range(0, right.num_rows, QUERIES):
             block = right.slice(i, QUERIES)
-            found += scan(ids, x, code, books, along, across, np.asarray(block.column("vec_id")), np.asarray(block.column("query")), matrix(block), k, rerank)
+            found += scan(ids, x, code, books, along, across, np.asarray(block.column("vec_id")), np.asarray(block.column("query")), matrix(block.column("x"), d), k, rerank)
         return pa.table([pa.array(np.concatenate(z)) for z in zip(*found, strict=True)], schema=OUT)
 
-    found = base.groupBy("shard").cogroup(asking.groupBy("shard")).applyInArrow(search, SCHEMA)
+    found = index.rows.groupBy("shard").cogroup(asking.groupBy("shard")).applyInArrow(run, SCHEMA)
     # At most k rows of each shard meet for a query: merged with partial aggregation, k kept.
     pairs = F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("v"))))
     top = found.groupBy("query_id", "query").agg(F.slice(pairs, 1, k).alias("top"))
     return top.select("query_id", F.posexplode("top").alias("p", "t")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("t.v").alias("vec_id"), (-F.col("t.s")).alias("score"))
 
 
+def nearest(vectors: DataFrame, every: int = 50, k: int = 5, rerank: int = 128, threshold: float = 0.2) -> DataFrame:
+    """``query_id, rank, vec_id, score`` for the rows whose id is divisible by ``every``."""
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    index = build(vectors, threshold)
+    if index is None:
+        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return search(index, vectors.where(F.col("vec_id") % every == 0), k, rerank)
+
+
 def op7_ann(spark, sf_dir: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+# All pairs of a query and a row, measured by sums from left to right.
+ORACLE = """
+WITH v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0
+), n AS (SELECT vec_id, x, sqrt(list_reduce(list_transform(x, lambda e: e * e), lambda a, b: a + b)) AS n FROM v WHERE len(x) = (SELECT len(x) FROM v GROUP BY len(x) ORDER BY count(*) DESC, len(x) LIMIT 1)),
+s AS (
+  SELECT q.vec_id AS query_id, r.vec_id, list_reduce(list_transform(list_zip(r.x, q.x), lambda z: z[1] * z[2]), lambda a, b: a + b) / (r.n * q.n) AS score
+  FROM n q JOIN n r ON q.vec_id % 50 = 0 AND r.vec_id <> q.vec_id
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5
+"""
