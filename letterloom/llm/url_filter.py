@@ -4,8 +4,8 @@ Method. A rule is a canonical URL, host and path prefix. A page's possible rules
 prefixes of its path whose lengths occur in the list. A blocked Bloom filter of the list (256-bit blocks, one per hash; eight bits
 inside it) is tested first, so almost all of them end there; those that pass are joined with the list itself, which
 removes false positives. The filter's size follows the list up to ``MOST_BLOCKS`` (1 MB), so what is sent to every task is
-bounded; beyond that more false positives reach the join, and results stay exact. The longest rule that fits decides (its text's length;
-ties: the larger text); a page without one gets the default verdict.
+bounded; beyond that more false positives reach the join, and results stay exact. Pages without a possible hit pass by without a shuffle. The longest
+rule that fits decides (its text's length; ties: the larger text); a page without one gets the default verdict.
 
 Rows: every input row gives one row; null url or one without ``://`` has empty host and path; repeated ids are kept apart; other columns
 are ignored.
@@ -58,11 +58,13 @@ def url_verdicts(pages: DataFrame, rules: DataFrame, default: str = "allow") ->
     fitting = F.filter(lengths, lambda n: n <= F.length("path"))
     keys = F.flatten(F.transform(suffixes, lambda s: F.transform(fitting, lambda n: F.concat(s, F.substring(F.col("path"), F.lit(1), n)))))
     hit = lambda k: F.forall(places(k, blocks), lambda p: F.call_function("getbit", F.get(filter_, F.shiftright(p, 6).cast("int")), p.bitwiseAND(F.lit(63)).cast("int")) == 1)
-    possible = pages.select("*", F.explode_outer(F.filter(keys, hit)).alias("key"))
+    tested = pages.select("*", F.filter(keys, hit).alias("keys"))
+    passed = tested.where(F.size("keys") == 0).select("page_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
+    possible = tested.where(F.size("keys") > 0).select("row", "page_id", "host", "path", F.explode("keys").alias("key"))
     exact = possible.join(rules.select("rule", "verdict"), F.col("key") == F.col("rule"), "left")
     best = F.max(F.when(F.col("rule").isNotNull(), F.struct(F.length("rule").alias("n"), F.col("rule").alias("rule"), F.col("verdict").alias("verdict"))))
     done = exact.groupBy("row", "page_id", "host", "path").agg(best.alias("best"))
-    return done.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
+    return passed.unionByName(done.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")))
 
 
 def op8_url_filter(spark, sf_dir: str) -> DataFrame:
