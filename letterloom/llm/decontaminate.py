@@ -5,8 +5,8 @@ holds a window of an item holds all its shingles, so the rarest one alone is a s
 join carries the window's length and the shingle's place in it (the length and positional bounds): the window must fit in the
 document around the shingle. What passes is verified word by word over the item-sized window.
 
-Before the join a bit set of fixed size (``2**20`` bits, whatever the benchmark's) marks the hashes of the wanted shingles; document positions outside
-it are never exploded. Both sides of the joins are left to Spark, which broadcasts the benchmark's side only if it measures
+Before the join a bit set marks the hashes of the wanted shingles, sixteen bits for each, up to ``2**MOST_BITS``; document positions outside
+it are hardly ever exploded. Both sides of the joins are left to Spark, which broadcasts the benchmark's side only if it measures
 below the session's threshold.
 
 Rows: every input row gives one row, also null, empty or repeated ones; null texts and ids of items are allowed (an item without an id counts
@@ -15,6 +15,8 @@ for hits but is not named); other columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +25,8 @@ from ._session import checkpoints
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Everything but words, before folding.
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-BITS = 20
+#: One megabyte of bits, for half a million shingles; with more of them more positions reach the join.
+MOST_BITS = 23
 SHINGLE = 3
 
 
@@ -49,27 +52,28 @@ def item_windows(benchmark: DataFrame, length: int) -> DataFrame:
     return items.select("item_id", F.explode(F.transform(starts, lambda i: F.slice("w", i, length))).alias("window")).distinct()
 
 
-def bit_set(hashes: DataFrame) -> Column:
-    """Bits of ``h`` as an array of ``2**(BITS - 6)`` longs; at most 128 KB come to the driver, whatever the table's size."""
-    bit = F.col("h").bitwiseAND(F.lit((1 << BITS) - 1))
+def bit_set(hashes: DataFrame) -> tuple[Column, int]:
+    """Bits of ``h`` as an array of longs, and the logarithm of how many; at most a megabyte comes to the driver, whatever the table's size."""
+    bits = min(MOST_BITS, max(10, math.ceil(math.log2(16 * max(hashes.count(), 1)))))
+    bit = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
     rows = hashes.select(F.shiftright(bit, 6).alias("i"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("b")).groupBy("i").agg(F.bit_or("b").alias("b")).collect()
     held = {r.i: r.b for r in rows}
-    return F.from_json(F.lit(str([held.get(i, 0) for i in range(1 << BITS - 6)])), "array<bigint>")
+    return F.from_json(F.lit(str([held.get(i, 0) for i in range(1 << bits - 6)])), "array<bigint>"), bits
 
 
-def marked(bits: Column, h: Column) -> Column:
-    at = F.shiftright(h.bitwiseAND(F.lit((1 << BITS) - 1)), 6).cast("int")
-    return F.call_function("getbit", F.get(bits, at), h.bitwiseAND(F.lit(63)).cast("int")) == 1
+def marked(bits: tuple[Column, int], h: Column) -> Column:
+    at = F.shiftright(h.bitwiseAND(F.lit((1 << bits[1]) - 1)), 6).cast("int")
+    return F.call_function("getbit", F.get(bits[0], at), h.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
-def positions(docs: DataFrame, bits: dict[int, Column], payload) -> DataFrame:
+def positions(docs: DataFrame, bits: dict[int, tuple[Column, int]], payload) -> DataFrame:
     """The columns of ``docs`` without ``w``, and a row for each marked shingle (null if none): ``q, h, i`` and ``payload(w, i)``."""
 
-    def found_of(q: int, b: Column) -> Column:
+    def found_of(q: int, b: tuple[Column, int]) -> Column:
         all_of = F.transform(F.col("w"), lambda _, i: F.struct(F.lit(q).alias("q"), shingle(F.col("w"), i, q).alias("h"), i.alias("i")))
         return F.filter(all_of, lambda x: (x["i"] + q <= F.size("w")) & marked(b, x["h"]))
 
-    each = [found_of(q, b) for q, b in sorted(bits.items())]
+    each = [found_of(q, b) for q, b in sorted(bits.items(), key=lambda x: x[0])]
     found = each[0] if len(each) == 1 else F.concat(*each)
     rest = [c for c in docs.columns if c != "w"]
     found = docs.select(*rest, "w", found.alias("found"))
@@ -77,10 +81,11 @@ def positions(docs: DataFrame, bits: dict[int, Column], payload) -> DataFrame:
     return found.select(*rest, "x.*")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> DataFrame:
-    """Per document: ``doc_id, n_words, n_hit`` and ``items`` (the ids, as strings, of items with a window in it, sorted)."""
+def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, key: str = "doc_id") -> DataFrame:
+    """Per document: ``doc_id, n_words, n_hit`` and ``items`` (the ids, as strings, of items with a window in it, sorted). ``key`` is the
+    column that names documents in the result, as ``doc_id``."""
     checkpoints(docs.sparkSession)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text").cast("string")).alias("w"))
+    docs = docs.select(F.col(key).cast("long").alias("doc_id") if key == "doc_id" else F.col(key).alias("doc_id"), words(F.col("text").cast("string")).alias("w"))
     windows = item_windows(benchmark, length)
     # Every shingle of every window, with its place in it.
     shingles = windows.select(
