@@ -41,6 +41,14 @@ class Family:
             run, self.levels[i], i = merged(self.levels[i], run), None, i + 1
         self.levels[i : i + 1] = [run]
 
+    def whole(self) -> tuple[np.ndarray, Payload]:
+        """All levels as one run."""
+        run = None
+        for level in self.levels:
+            if level is not None:
+                run = level if run is None else merged(level, run)
+        return run if run is not None else (np.zeros(0, np.uint64), [])
+
     def find(self, keys: np.ndarray, column: int, missing) -> np.ndarray:
         """The payload of keys in any order, from whichever level holds them."""
         out = np.full(len(keys), missing)

@@ -1,9 +1,10 @@
 """Lines repeated across documents, by levelled sorted runs of line hashes.
 
-Method. Each pack of documents is a batch with a sorted run of its distinct line keys (64-bit hashes) and, for each, the
+Method. Each pack of documents is a batch with a sorted run of its distinct line keys (128-bit hashes) and, for each, the
 number of its documents that hold it and the largest ``doc_id`` among them. In each bucket of the hash space the batches
 merge-anti-join the runs of a family (:mod:`._runs`): a key that a run holds adds to its counts, the rest form a new run, and
-runs of one level are compacted into the next. After the last batch each pack hears of its frequent keys only.
+runs of one level are compacted into the next. After the last batch each pack hears of its frequent keys only. With a :class:`LineIndex` the runs are
+kept in a table (:mod:`._levels`), so that a later batch is judged in the light of all earlier ones.
 
 Rows: every input row gives one row. Null text counts as one empty line (and stays null where the columns are carried
 through); a null ``doc_id`` counts as smaller than any other; rows that repeat a ``doc_id`` are separate documents, and if it is the
@@ -20,11 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from . import _packs as P
+from ._levels import Levels
 from ._runs import Family
+from ._session import checkpoints
 
 SPACE = b" \t\n\x0b\x0c\r"
 OUT = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("n_lines", pa.int64()), ("n_dropped", pa.int64())])
 SCHEMA = "doc_id long, text string, n_lines long, n_dropped long"
+KEY = np.dtype("S16")  # 128 bits; compares as a whole, zeros at the end included
 LEAST_ID = np.iinfo(np.int64).min
 
 
@@ -32,7 +36,7 @@ def keys_of(table: pa.Table, least: int) -> tuple[list[list[bytes]], np.ndarray,
     """Each document's lines; and the hash, document number and line number of every line whose key is long enough."""
     data, offsets = P.texts(table)
     whole, docs, h, d, n = data.tobytes(), [], [], [], []
-    digest = xxhash.xxh3_64_intdigest
+    digest = xxhash.xxh3_128_digest
     for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
         lines = whole[a:b].split(b"\n")
         docs.append(lines)
@@ -41,7 +45,7 @@ def keys_of(table: pa.Table, least: int) -> tuple[list[list[bytes]], np.ndarray,
                 key = line.strip(SPACE).lower()  # of bytes: A-Z only
                 if len(key) >= least and (key.isascii() or len(key.decode("utf-8", "replace")) >= least):
                     h.append(digest(key)), d.append(i), n.append(j)
-    return docs, np.array(h, np.uint64), np.array(d, np.int64), np.array(n, np.int64)
+    return docs, np.array(h, KEY), np.array(d, np.int64), np.array(n, np.int64)
 
 
 def distinct(h: np.ndarray, d: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,44 +60,86 @@ def distinct(h: np.ndarray, d: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray,
     return h[where], np.diff(np.r_[where, len(h)]), np.maximum.reduceat(i, where)
 
 
-def line_dedup(docs: DataFrame, least: int = 20, copies: int = 3, carry: bool = False) -> DataFrame:
+def front(key: np.ndarray) -> np.ndarray:
+    """The first eight bytes as numbers, in the order of the keys."""
+    return np.frombuffer(key.tobytes(), ">u8")[::2].astype(np.uint64)
+
+
+def run_of(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, largest ids and counts of a run."""
+    m = len(blob) // 28
+    return np.frombuffer(blob, KEY, m), np.frombuffer(blob, np.int64, m, 16 * m), np.frombuffer(blob, np.int32, m, 24 * m).astype(np.int64)
+
+
+def blob_of(key: np.ndarray, largest: np.ndarray, count: np.ndarray) -> bytes:
+    return key.astype(KEY).tobytes() + largest.tobytes() + np.minimum(count, 2**31 - 1).astype(np.int32).tobytes()
+
+
+def fold(held, at, new):
+    held[0][at] = np.maximum(held[0][at], new[0])
+    held[1][at] += new[1]
+
+
+def compacted(blobs: list[bytes]) -> bytes:
+    runs = Family(fold)
+    for blob in blobs:
+        runs.add(*run_of(blob))
+    key, columns = runs.whole()
+    return blob_of(key, *columns) if columns else b""
+
+
+class LineIndex:
+    """The runs of all batches so far, in a folder that all executors share."""
+
+    def __init__(self, spark, root: str, buckets: int = 64):
+        self.levels = Levels(spark, root, buckets, compacted)
+
+    def add(self, docs: DataFrame, **options) -> DataFrame:
+        """:func:`line_dedup` of a batch, where the documents of earlier batches count as well; these stay as they were. A repeated batch counts twice."""
+        return line_dedup(docs, index=self, **options)
+
+
+def line_dedup(docs: DataFrame, least: int = 20, copies: int = 3, carry: bool = False, index: LineIndex | None = None) -> DataFrame:
     """Drop lines whose key has ``least`` code points and stands in ``copies`` documents, but for the largest ``doc_id``.
 
     Returns ``doc_id, text, n_lines, n_dropped``, or with ``carry`` the columns of ``docs`` with ``text`` replaced.
     """
     if not carry:
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n = P.bucket_count(P.text_bytes(docs) / 4)  # lines of 80 bytes and more, 20 bytes each; more buckets do no harm
+    n = index.levels.buckets if index else P.bucket_count(P.text_bytes(docs) / 3)  # lines of 80 bytes and more, 28 bytes each; more buckets do no harm
     packs = P.packed(docs)
     schema, out = (docs.schema.simpleString()[7:-1], to_arrow_schema(docs.schema)) if carry else (SCHEMA, OUT)
 
     def ask(pack, table):
         _, h, d, _ = keys_of(table, least)
         key, count, largest = distinct(h, d, P.doc_ids(table, LEAST_ID))
-        for b, s in P.slices(key, n).items():
-            yield b, key[s].tobytes() + largest[s].tobytes() + count[s].astype(np.int32).tobytes()
+        for b, s in P.slices(front(key), n).items():
+            yield b, blob_of(key[s], largest[s], count[s])
+
+    lasting = index is not None
 
     def answer(bucket, rows):
-        def fold(held, at, new):
-            held[0][at] = np.maximum(held[0][at], new[0])
-            held[1][at] += new[1]
-
-        runs, batches = Family(fold), []
-        for pack, blob in rows:
-            m = len(blob) // 20
-            key = np.frombuffer(blob, np.uint64, m)
-            batches.append((pack, key))
-            runs.add(key, np.frombuffer(blob, np.int64, m, 8 * m), np.frombuffer(blob, np.int32, m, 16 * m).astype(np.int64))
+        runs, own, batches = Family(fold), Family(fold), []
+        for pack, blob in rows:  # runs of earlier batches stand first
+            run = run_of(blob)
+            runs.add(*run)
+            if pack >= 0:
+                batches.append((pack, run[0]))
+                if lasting:
+                    own.add(*run)
         for pack, key in batches:
             hot = key[runs.find(key, 1, 0) >= copies]
             if len(hot):
                 yield pack, hot.tobytes() + runs.find(hot, 0, LEAST_ID).tobytes()
+        key, columns = own.whole()
+        if columns:
+            yield -1, blob_of(key, *columns)
 
     def drop(pack, table, told):
         lines, h, d, j = keys_of(table, least)
         ids = P.doc_ids(table, LEAST_ID)
-        parts = [(np.frombuffer(x, np.uint64, len(x) // 16), np.frombuffer(x, np.int64, len(x) // 16, len(x) // 2)) for _, x in sorted(told[0].items())]
-        key, keeper = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        parts = [(np.frombuffer(x, KEY, len(x) // 24), np.frombuffer(x, np.int64, len(x) // 24, len(x) // 24 * 16)) for _, x in sorted(told[0].items())]
+        key, keeper = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, KEY), np.zeros(0, np.int64))
         gone: dict[int, set[int]] = {}
         if len(key) and len(h):
             at = np.searchsorted(key, h)
@@ -107,7 +153,13 @@ def line_dedup(docs: DataFrame, least: int = 20, copies: int = 3, carry: bool =
             return table.set_column(at, "text", pa.compute.if_else(table.column("text").combine_chunks().is_null(), None, text))
         return pa.table({"doc_id": table.column("doc_id"), "text": text, "n_lines": [len(x) for x in lines], "n_dropped": [len(gone.get(i, ())) for i in range(len(lines))]}, schema=OUT)
 
-    return P.apply(packs, [P.answer(P.ask(packs, ask), answer)], drop, schema, out)
+    questions = P.ask(packs, ask)
+    if index is None:
+        return P.apply(packs, [P.answer(questions, answer)], drop, schema, out)
+    checkpoints(docs.sparkSession)
+    answers = P.answer(questions.unionAll(index.levels.held()), answer).checkpoint()
+    index.levels.add(answers.where("pack < 0"))
+    return P.apply(packs, [answers.where("pack >= 0")], drop, schema, out)
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
