@@ -12,8 +12,8 @@ a *stretch*. Two rounds decide every window exactly:
 
 Copies are folded inside each pack first, so a passage held by a third of all documents costs each pack one entry.
 
-:class:`SuffixIndex` keeps the arrays between batches: a new batch is merge-scanned against the levels on disk, becomes a level itself, and
-equal levels merge, so n batches leave at most log2(n) + 1 levels.
+:class:`SuffixIndex` keeps the family on disk (:mod:`._levels`): a new batch is merge-scanned against every level, packs of earlier batches speak for the
+open stretches that it meets, what no level holds becomes a level itself, and equal levels merge. Without one the table is the only batch.
 
 Rows: every input row gives one row; null or empty text gives no spans; repeated ``doc_id`` values are separate documents;
 texts under the window length are kept whole; other columns are ignored.
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 from . import _packs as P
 from . import _prints as R
+from ._levels import Levels
+from ._session import checkpoints
 from ._suffixes import SuffixArray, columns, equal_windows
 
 #: Of a stretch: it occurs twice; its anchor stands in others, too; this pack speaks for it; two documents hold it; its anchor is in over ``HOT``.
@@ -35,6 +37,8 @@ DUP, OPEN, FIRST, SHARED, MANY = 1, 2, 4, 8, 16
 #: Different stretches of an anchor that are compared in one task.
 HOT = 1024
 GRAM = 64
+#: Pack numbers of a batch begin at its number shifted by this; below are the partition and the place in it.
+BATCH = 50
 #: Shared passages are reported from this length on (some 40 words).
 LEAST = 256
 OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("longest_shared", pa.int64()), ("kept", pa.binary())])
@@ -83,6 +87,18 @@ class Batch:
             out[at[b]] = np.frombuffer(x, np.uint8)
         return out
 
+    def spoken(self, replies: dict[int, bytes]) -> np.ndarray:
+        """Flags of the entries that a later batch asks this pack to speak for."""
+        out = np.zeros(len(self.anchor), np.uint8)
+        for x in replies.values():
+            n = len(x) // 17
+            k, r, f = np.frombuffer(x, R.U, n), np.frombuffer(x, R.U, n, 8 * n), np.frombuffer(x, np.uint8, n, 16 * n)
+            at = np.searchsorted(self.anchor, k)
+            while (off := np.flatnonzero(self.stretch[at] != r)).size:  # other stretches of the anchor stand before it
+                at[off] += 1
+            out[at] = f
+        return out
+
     def open(self, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The open entries that this pack speaks for: those to compare as text, and those of hot anchors."""
         mine = (flags & (OPEN | FIRST)) == OPEN | FIRST
@@ -128,21 +144,27 @@ class Batch:
             yield a[where], b[where], told, place, p
 
 
+RUN_ENTRY = 25  # bytes: anchor, stretch, the pack that speaks for it, flags
+
+
 def folded(rows: list[tuple[int, bytes]]):
-    """All entries ``(key, key, flags)`` of some packs in the order of their keys: keys, flags, pack number, which are new, and the order."""
-    k, r, f, src = [np.zeros(0, R.U)], [np.zeros(0, R.U)], [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
-    for i, (_, blob) in enumerate(rows):
-        n = len(blob) // 17
-        k.append(np.frombuffer(blob, R.U, n)), r.append(np.frombuffer(blob, R.U, n, 8 * n)), f.append(np.frombuffer(blob, np.uint8, n, 16 * n)), src.append(np.full(n, i))
-    k, r, f, src = map(np.concatenate, (k, r, f, src))
-    order = np.lexsort((r, k))  # stable: of equals the first pack stands first
-    k, r, f, src = k[order], r[order], f[order], src[order]
+    """All entries ``(key, key, flags)`` of some packs in the order of their keys: keys, flags, which row they came from and who speaks for them, which
+    are new, and the order. Rows of packs below 0 are runs, whose entries say who speaks for them."""
+    k, r, f, src, pack = [np.zeros(0, R.U)], [np.zeros(0, R.U)], [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for i, (own, blob) in enumerate(rows):
+        n = len(blob) // (17 if own >= 0 else RUN_ENTRY)
+        k.append(np.frombuffer(blob, R.U, n)), r.append(np.frombuffer(blob, R.U, n, 8 * n)), src.append(np.full(n, i))
+        pack.append(np.full(n, own) if own >= 0 else np.frombuffer(blob, np.int64, n, 16 * n))
+        f.append(np.frombuffer(blob, np.uint8, n, (16 if own >= 0 else 24) * n))
+    k, r, f, src, pack = map(np.concatenate, (k, r, f, src, pack))
+    order = np.lexsort((r, k))  # stable: of equals the first row stands first, and runs stand before packs
+    k, r, f, src, pack = k[order], r[order], f[order], src[order], pack[order]
     new = np.r_[True, (k[1:] != k[:-1]) | (r[1:] != r[:-1])] if len(k) else np.zeros(0, bool)
     where = np.flatnonzero(new)
     both = np.bitwise_or.reduceat(f, where) if len(where) else f
     several = np.diff(np.r_[where, len(k)]) > 1  # in two packs, so in two documents
     both = both & (DUP | SHARED) | (DUP | SHARED) * several.astype(np.uint8)
-    return k, both, src, new, order
+    return k, r, both, src, pack, new, order
 
 
 def shares(rows: list[tuple[int, bytes]], order: np.ndarray, src: np.ndarray, told: np.ndarray):
@@ -150,24 +172,47 @@ def shares(rows: list[tuple[int, bytes]], order: np.ndarray, src: np.ndarray, to
     out = np.empty(len(order), told.dtype)
     out[order] = told
     ends = np.cumsum(np.bincount(src, minlength=len(rows)))
-    return [(pack, out[a:b].tobytes()) for (pack, _), a, b in zip(rows, [0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+    return [(pack, out[a:b].tobytes()) for (pack, _), a, b in zip(rows, [0, *ends[:-1].tolist()], ends.tolist(), strict=True) if pack >= 0]
 
 
-def answer_anchors(rows: list[tuple[int, bytes]], most: int) -> list[tuple[int, bytes]]:
-    k, both, src, new, order = folded(rows)
+def answer_anchors(rows: list[tuple[int, bytes]], most: int, lasting: bool = False) -> list[tuple[int, bytes]]:
+    """Flags for every entry. If ``lasting``, also the entries that packs of earlier batches must speak for, and (for pack -1) the batch's run."""
+    k, r, both, src, pack, new, order = folded(rows)
     if not len(k):
         return []
     where = np.flatnonzero(new)
     head = np.r_[True, k[where][1:] != k[where][:-1]]
-    n = np.diff(np.r_[np.flatnonzero(head), len(where)])[np.cumsum(head) - 1]  # different stretches of the anchor
+    group = np.cumsum(head) - 1
+    n = np.diff(np.r_[np.flatnonzero(head), len(where)])[group]  # different stretches of the anchor
     flags = both | OPEN * (n > 1).astype(np.uint8) | MANY * (n > most).astype(np.uint8)
     told = flags[np.cumsum(new) - 1]
     told[where] |= FIRST
-    return shares(rows, order, src, told)
+    out = shares(rows, order, src, told)
+    if lasting:
+        held = np.array([p < 0 for p, _ in rows])[src]
+        met = np.bincount(group[np.cumsum(new) - 1], ~held, len(where)) > 0  # anchors that the batch has
+        speak = np.flatnonzero(held[where] & met[group] & ((flags & OPEN) > 0))
+        at = where[speak]
+        for p in np.unique(pack[at]).tolist():
+            own = pack[at] == p
+            out.append((p, k[at[own]].tobytes() + r[at[own]].tobytes() + told[at[own]].tobytes()))
+        fresh = where[~held[where]]
+        out.append((-1, run_of(k[fresh], r[fresh], pack[fresh], both[~held[where]])))
+    return out
+
+
+def run_of(anchor: np.ndarray, stretch: np.ndarray, pack: np.ndarray, flags: np.ndarray) -> bytes:
+    return anchor.tobytes() + stretch.tobytes() + pack.astype(np.int64).tobytes() + flags.astype(np.uint8).tobytes()
+
+
+def merged_runs(blobs: list[bytes]) -> bytes:
+    """One sorted run; no entry is in two."""
+    k, r, both, _, pack, _, _ = folded([(-1, b) for b in blobs])
+    return run_of(k, r, pack, both)
 
 
 def answer_hot(rows: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
-    k, both, src, new, order = folded(rows)
+    k, _, both, src, _, new, order = folded(rows)
     return shares(rows, order, src, both[np.cumsum(new) - 1]) if len(k) else []
 
 
@@ -205,7 +250,22 @@ def answer_text(rows: list[tuple[int, bytes]], window: int, least: int) -> list[
     return out
 
 
-def suffix_dedup(docs: DataFrame, window: int = 400, least: int = LEAST, most: int = HOT) -> DataFrame:
+class SuffixIndex:
+    """The family of all batches so far, and their packs, in a folder that all executors share."""
+
+    def __init__(self, spark, root: str, buckets: int = 64):
+        self.spark, self.root = spark, root.rstrip("/")
+        self.levels = Levels(spark, f"{self.root}/levels", buckets, merged_runs)
+
+    def add(self, docs: DataFrame, **options) -> DataFrame:
+        """:func:`suffix_dedup` of a batch, where strings of earlier batches count as well; these stay as they were."""
+        return suffix_dedup(docs, index=self, **options)
+
+    def packs(self, batch: int) -> DataFrame:
+        return self.spark.read.schema("pack long, body binary").parquet(f"{self.root}/packs-{batch}")
+
+
+def suffix_dedup(docs: DataFrame, window: int = 400, least: int = LEAST, most: int = HOT, index: SuffixIndex | None = None) -> DataFrame:
     """Per document: ``doc_id, n_bytes, spans`` (the maximal removed byte ranges), ``longest_shared`` (the length of the longest stretch whose strings
     of ``least`` bytes all stand in other documents as well; 0 without one) and ``kept`` (the bytes that remain)."""
     if not GRAM <= least <= window < 1 << 15:
@@ -214,14 +274,18 @@ def suffix_dedup(docs: DataFrame, window: int = 400, least: int = LEAST, most: i
     total = P.text_bytes(docs)
     # An entry of 17 bytes for some 80; open stretches make up to six times the text, but most stretches are not open; hot windows are rarer still.
     n1, n2, n3 = P.bucket_count(total * 17 / 80), P.bucket_count(total), P.bucket_count(total)
-    packs = P.packed(docs)
+    packs, batch = P.packed(docs), 0
+    if index is not None:
+        n1, batch = index.levels.buckets, index.levels.batches
+        packs.withColumn("pack", F.col("pack") + (batch << BATCH)).write.mode("overwrite").parquet(f"{index.root}/packs-{batch}")
+        packs = index.packs(batch)
 
     def ask_anchors(pack, table):
         yield from Batch(table, window, least).ask(n1)
 
     def ask_open(pack, table, told):
         x = Batch(table, window, least)
-        flags = x.told(told, n1)
+        flags = x.told(told, n1) if pack >> BATCH == batch else x.spoken(told)
         text, many = x.open(flags)
         yield from x.ask_text(text, flags, n2)
         for i, (a, b, f, _, _) in enumerate(x.hot(many, flags)):
@@ -269,9 +333,20 @@ def suffix_dedup(docs: DataFrame, window: int = 400, least: int = LEAST, most: i
         pairs = pa.StructArray.from_arrays([pa.array(edge[0::2]), pa.array(edge[1::2])], ["start", "end"])
         return pa.table({"doc_id": table.column("doc_id"), "n_bytes": pa.array(np.diff(x.offsets)), "spans": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs), "longest_shared": pa.array(longest, pa.int64()), "kept": pa.array(kept, pa.binary())})
 
-    anchors = P.answer(P.ask(packs, ask_anchors), lambda bucket, rows: answer_anchors(rows, most))
-    opened = P.answer(P.ask_again(packs, anchors, ask_open), answer_open)
-    return P.apply(packs, [anchors, opened], cut, SCHEMA, OUT)
+    questions = P.ask(packs, ask_anchors)
+    if index is None:
+        anchors = P.answer(questions, lambda bucket, rows: answer_anchors(rows, most))
+        opened = P.answer(P.ask_again(packs, anchors, ask_open), answer_open)
+        return P.apply(packs, [anchors, opened], cut, SCHEMA, OUT)
+    checkpoints(docs.sparkSession)
+    anchors = P.answer(questions.unionAll(index.levels.held()), lambda bucket, rows: answer_anchors(rows, most, True)).checkpoint()
+    speakers, asked = packs, anchors.where("pack >= 0")
+    for earlier in range(batch):
+        speakers = speakers.unionAll(index.packs(earlier).join(asked.select("pack").distinct(), "pack", "left_semi"))
+    opened = P.answer(P.ask_again(speakers, asked, ask_open), answer_open).checkpoint()
+    index.levels.add(anchors.where("pack = -1"))
+    mine = F.shiftright("pack", BATCH) == batch
+    return P.apply(packs, [asked.where(mine), opened.where(mine)], cut, SCHEMA, OUT)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
@@ -281,3 +356,19 @@ def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "longest_shared",
     )
+
+
+# Every window of 400 bytes (in hex) and, for what other documents share, of 256.
+ORACLE = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
+p AS (SELECT doc_id, x, n, unnest(range(1, n + 1)) AS i FROM d),
+w AS MATERIALIZED (SELECT doc_id, i, substring(x, 2 * i - 1, 2) AS b, CASE WHEN i + 399 <= n THEN md5_number(substring(x, 2 * i - 1, 800)) END AS h, CASE WHEN i + 255 <= n THEN md5_number(substring(x, 2 * i - 1, 512)) END AS g FROM p),
+twice AS (SELECT h FROM w WHERE h IS NOT NULL GROUP BY h HAVING count(*) > 1),
+shared AS (SELECT g FROM w WHERE g IS NOT NULL GROUP BY g HAVING min(doc_id) <> max(doc_id)),
+t AS (SELECT doc_id, i, b, max(CASE WHEN twice.h IS NOT NULL THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 399 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM w LEFT JOIN twice ON twice.h = w.h),
+u AS (SELECT *, coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY i), false) AS before FROM t),
+o AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, count(*) FILTER (gone AND NOT before) AS n_spans, sha256(unhex(coalesce(string_agg(b, '' ORDER BY i) FILTER (NOT gone), ''))) AS kept_sha256 FROM u GROUP BY doc_id),
+l AS (SELECT doc_id, max(n) + 255 AS longest_shared FROM (SELECT doc_id, count(*) AS n FROM (SELECT doc_id, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS run FROM w JOIN shared ON shared.g = w.g) GROUP BY doc_id, run) GROUP BY doc_id)
+SELECT d.doc_id, d.n::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, coalesce(kept_sha256, sha256('')) AS kept_sha256, coalesce(longest_shared, 0)::BIGINT AS longest_shared
+FROM d LEFT JOIN o ON o.doc_id = d.doc_id LEFT JOIN l ON l.doc_id = d.doc_id
+"""
