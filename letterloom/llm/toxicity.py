@@ -22,7 +22,7 @@ from dataclasses import dataclass, field
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _packs as P
@@ -171,9 +171,10 @@ def fit(docs: DataFrame, labels: DataFrame, teaches: Column) -> Model:
     starts = F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0)))
     keys = docs.join(F.broadcast(known), "doc_id").withColumn("w", words)  # at most SAMPLE rows of 12 bytes are broadcast
     keys = keys.select("doc_id", "toxic", *[F.array_min(F.transform(starts, shingle_hash(seed))).alias(f"k{seed}") for seed in range(4)])
-    for seed in range(4):
-        keys = keys.dropDuplicates([f"k{seed}"])
-    keys = keys.select("doc_id", "toxic").checkpoint()
+    for seed in range(4):  # at most SAMPLE rows; which one stays does not depend on how they are dealt out
+        w = Window.partitionBy(f"k{seed}").orderBy(F.xxhash64("doc_id"), "doc_id", *[f"k{i}" for i in range(4)])
+        keys = keys.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+    keys = keys.select("doc_id", "toxic").distinct().checkpoint()
     sample = docs.join(F.broadcast(keys), "doc_id").checkpoint()
     n = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n.get(1) or not n.get(0):

@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -321,6 +322,52 @@ def test_language(spark):
     assert {r.lang_pred for r in language.identify(df, nothing).collect()} == {"und"}
 
 
+def brute_grams(text):
+    """n-grams of one to three signs, as numbers, and how often each occurs."""
+    signs = [0]
+    for c in (text or "").lower():
+        x = ord(c) if c.isalpha() else 0
+        if x or signs[-1]:
+            signs.append(x)
+    signs += [0] * (signs[-1] != 0)
+    code = lambda *x: sum(v << 21 * i for i, v in enumerate(reversed(x)))
+    out = Counter(x for x in signs if x)
+    if out:
+        out.update(code(*x) for x in zip(signs, signs[1:], strict=False))
+        out.update(code(*x) for x in zip(signs, signs[1:], signs[2:], strict=False) if x[1])
+    return out
+
+
+def ranked(counts):
+    return sorted(counts, key=lambda g: (-counts[g], g))[: language.PROFILE]
+
+
+def test_language_like_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    total = defaultdict(Counter)
+    for i, text, lang in rows:
+        if lang is not None and zlib.crc32(str(i).encode()) % 4 != 2:
+            total[lang].update(brute_grams(text))
+    places = {lang: {g: i for i, g in enumerate(ranked(c))} for lang, c in sorted(total.items())}
+    got = {r.doc_id: r for r in queries.QUERIES["op3_language"](spark, SF).collect()}
+    assert len(got) == len(rows)
+    for i, text, _ in rows:
+        own = ranked(brute_grams(text))
+        far = {lang: sum(abs(p[g] - k) if g in p else language.PROFILE for k, g in enumerate(own)) for lang, p in places.items()}
+        best = min(far, key=lambda x: (far[x], x))
+        want = (best, 1 - far[best] / (language.PROFILE * len(own))) if own else ("und", 0.0)
+        assert (got[i].held_out, got[i].lang_pred) == (zlib.crc32(str(i).encode()) % 4 == 2, want[0]) and abs(got[i].score - want[1]) < 1e-12, i
+
+
+def test_language_of_odd_rows(spark):
+    texts = odd_texts()
+    df = frame(spark, texts + ["x"], [*range(len(texts)), None]).withColumn("score", F.lit("clash")).withColumn("held_out", F.lit(1))
+    got = language.identify(df, language.fit(df, F.lit(True))).collect()
+    assert sorted(map(str, (r.doc_id for r in got))) == sorted(map(str, [*range(len(texts)), None])) and all(0 <= r.score <= 1 for r in got)
+    assert {r.lang_pred for r in got if r.doc_id in (0, 1, 2)} == {"und"}
+
+
 def test_language_held_out(spark):
     got = queries.QUERIES["op3_language"](spark, SF)
     truth = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
@@ -331,6 +378,56 @@ def test_language_held_out(spark):
 # op5
 
 
+def brute_density(model, text):
+    """Every word against every entry, one by one."""
+    words = toxicity.fold(text or "").split()
+    total = 0.0
+    for i, w in enumerate(words):
+        fits = [(x, e) for e, x in model.weights.items() if (w.startswith(e[:-1]) if e.endswith("*") else w == e)]
+        near = [tuple(words[j : j + 2]) for j in (i - 1, i) if 0 <= j < len(words) - 1]
+        if fits and not any(p in model.exceptions for p in near):
+            total += max(fits)[0]
+    return 100 * total / (len(words) + toxicity.SMOOTH)
+
+
+def test_scores_like_brute_force(spark):
+    docs = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{SF.replace('0.001', '0.01')}/labels.parquet"), toxicity.fold_of(5) != 0)
+    assert model.weights
+    rnd = random.Random(7)
+    plain = toxicity.Model(weights={w: rnd.random() for w in ["a", "ab", "ab*", "b*", "bab", "ba*"]}, exceptions=frozenset({("a", "ab"), ("bab", "b")}), cut=0.5)
+    for _ in range(500):
+        text = " ".join("".join(rnd.choices("ab", k=rnd.randint(1, 4))) for _ in range(rnd.randint(0, 9)))
+        assert abs(plain.density(text) - brute_density(plain, text)) < 1e-9, text
+    got = {r.doc_id: r.score for r in toxicity.toxicity(docs, model).collect()}
+    for i, text in [(r.doc_id, r.text) for r in docs.collect()][:400]:
+        x = brute_density(model, text)
+        assert abs(got[i] - x / (x + model.cut)) < 1e-9, i
+    for text in odd_texts():
+        assert abs(model.density(text) - brute_density(model, text)) < 1e-9
+
+
+def test_what_is_learnt_does_not_depend_on_partitions(spark):
+    sf = SF.replace("0.001", "0.01")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    one = toxicity.fit(docs, labels, toxicity.fold_of(5) != 0)
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        other = toxicity.fit(docs.repartition(9, "n_chars"), labels.repartition(3), toxicity.fold_of(5) != 0)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert one == other and one.weights
+
+
+def test_toxicity_of_odd_rows(spark):
+    docs = frame(spark, [*odd_texts(), "x"], [*range(len(odd_texts())), None]).withColumn("toxic", F.lit("clash")).withColumn("k0", F.lit(1)).withColumn("score", F.lit(2))
+    labels = spark.createDataFrame([(i, i % 2, "clash") for i in range(30)], "doc_id long, toxic int, text string")
+    got = toxicity.toxicity(docs, toxicity.fit(docs, labels, F.lit(True))).collect()
+    assert len(got) == len(odd_texts()) + 1 and all(0 <= r.score <= 1 for r in got)
+    none = docs.limit(0)
+    assert toxicity.toxicity(none, toxicity.fit(none, labels, F.lit(True))).count() == 0
+
+
 def test_folding():
     assert toxicity.fold("1D10T Ѕсum cl0wn m@de wh0!?").split() == ["idiot", "scum", "clown", "made", "who"]
     assert toxicity.fold("ｓｃｕｍ s\u200bcum") == "scum scum"
@@ -495,6 +592,67 @@ def test_every_operator_takes_an_empty_table(spark):
     assert language.identify(none, language.fit(none, F.lit(True))).count() == 0
 
 
+def test_very_long_texts(spark):
+    """Two million bytes in one row: longer than a pack, than chunks, and mostly one word."""
+    body, word = passage(55, 60_000), "w" * 1_500_000
+    texts = [f"{body} {word}", f"{word} {body}", body[:70_000], None]
+    got = rows_of(suffix_dedup.suffix_dedup(frame(spark, texts)))
+    assert [(bytes(got[i].kept), got[i].longest_shared) for i in range(4)] == [(b" ", 1_500_000), (b" ", 1_500_000), (b"", 70_000), (b"", 0)]
+    assert [r.n_words for _, r in sorted(rows_of(substring_dedup.substring_dedup(frame(spark, texts))).items())] == [60_001, 60_001, len(texts[2].split()), 0]
+    got = rows_of(bpe.bpe_round_trip(frame(spark, texts), bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))))
+    assert all(bytes(got[i].decoded).decode() == (t or "") for i, t in enumerate(texts))
+    got = rows_of(jaccard_join.jaccard_join(frame(spark, texts)))
+    assert [got[i].component_id for i in range(4)] == [0, 0, 2, 3]
+    got = rows_of(line_dedup.line_dedup(frame(spark, [f"{word}\n{i}" for i in range(3)])))
+    assert [got[i].n_dropped for i in range(3)] == [1, 1, 0]
+    bench = spark.createDataFrame([(1, " ".join(body.split()[-12:]))], "item_id long, text string")
+    assert [r.n_hit for _, r in sorted(rows_of(decontaminate.contamination(frame(spark, texts), bench)).items())] == [12, 12, 0, 0]
+
+
+def brute_batches(batches, judge):
+    """Each batch judged with all earlier ones beside it: what ``judge(texts)`` says of its own."""
+    seen, out = [], []
+    for texts in batches:
+        seen += texts
+        out.append(judge(seen)[-len(texts) :])
+    return out
+
+
+def batches_of_texts():
+    texts = odd_texts() + many_surroundings()
+    random.Random(9).shuffle(texts)
+    return [texts[:20], texts[20:29], texts[29:30], texts[30:45], texts[45:]]
+
+
+@pytest.mark.parametrize("most", [suffix_dedup.HOT, 3])
+def test_suffix_index(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(_packs.packed, "__defaults__", (1 << 12,))
+    batches = batches_of_texts()
+    wanted = brute_batches(batches, lambda t: list(zip(brute_suffix(t), brute_shared(t), strict=True)))
+    for number, (texts, want) in enumerate(zip(batches, wanted, strict=True)):
+        index = suffix_dedup.SuffixIndex(spark, str(tmp_path / "index"), buckets=4)  # opened anew for each batch
+        got = rows_of(index.add(frame(spark, texts), most=most))
+        assert [((got[i].n_bytes, [(s.start, s.end) for s in got[i].spans], bytes(got[i].kept)), got[i].longest_shared) for i in range(len(texts))] == want, number
+        assert index.levels.batches == number + 1 and len(index.levels.state["runs"]) == bin(number + 1).count("1")
+    index.levels.prune()
+    assert index.levels.held().count()
+
+
+def test_line_index(spark, tmp_path):
+    batches = [[f"x{i}\nSame line of twenty signs", "only one line of this kind here"] for i in range(5)]
+    batches[2] += [None, "", "only one line of this kind here "]
+    ids, n = [], 0
+    for number, texts in enumerate(batches):
+        own = [*range(n, n + len(texts))]
+        ids, n = ids + own, n + len(texts)
+        seen = [t for b in batches[: number + 1] for t in b]
+        index = line_dedup.LineIndex(spark, str(tmp_path / "index"), buckets=3)
+        got = rows_of(index.add(frame(spark, texts, own)))
+        for i, (lines, lost, text) in list(zip(ids, brute_lines(seen, ids), strict=True))[-len(texts) :]:
+            assert (got[i].n_lines, got[i].n_dropped, got[i].text) == (lines, lost, text), (number, i)
+        assert len(index.levels.state["runs"]) == bin(number + 1).count("1")
+
+
 def test_repeated_ids_stay_apart(spark):
     df = frame(spark, ["same words here"] * 3, [5, 5, 5])
     assert suffix_dedup.suffix_dedup(df).count() == bpe.bpe_round_trip(df, {bytes([i]): i for i in range(256)}).count() == line_dedup.line_dedup(df).count() == 3
