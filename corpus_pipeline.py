@@ -24,6 +24,11 @@ def text_key() -> Column:
     return F.xxhash64(F.col("text").cast("string"))
 
 
+def wide_key() -> Column:
+    """128 bits, where the key alone names a row."""
+    return F.md5(F.col("text").cast("string"))
+
+
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go. Learns from labels outside the held-out fold only."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), toxicity.fold_of(5) != 0)
@@ -39,7 +44,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a Jaccard similarity of 0.8 or more, that with the least id stays; those without an id and repeats of the least id stay.
 
-    Rows that share an id are judged each by its own text.
+    Rows that share an id are judged each by its own text: a row goes if its id and text are those of a linked row with a larger id than the least.
     """
     keyed = docs.withColumn(KEY, text_key())
     gone = jaccard_join.jaccard_join(keyed, carry=(KEY,)).where("component_id <> doc_id").select("doc_id", KEY).distinct()
@@ -47,9 +52,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark window go, each judged by its own text, whatever its id."""
-    keyed = docs.withColumn(KEY, text_key())
-    told = decontaminate.contamination(keyed.select(F.col(KEY).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Documents with a benchmark window go, each judged by its own text, whatever its id: null and repeated ones are no exception."""
+    keyed = docs.withColumn(KEY, wide_key())
+    told = decontaminate.contamination(keyed.select(KEY, "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=KEY)
     gone = told.where("n_hit > 0").select(F.col("doc_id").alias(KEY)).distinct()
     return keyed.join(gone, KEY, "left_anti").select(docs.columns)
 
