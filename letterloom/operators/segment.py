@@ -35,6 +35,11 @@ def line_frequency(lines: DataFrame) -> DataFrame:
     return stripped.groupBy("source_file", "line").agg(F.count("*").alias("n"), F.min("line_no").alias("first_line_no"))
 
 
+def bound(value: Column, f) -> Column:
+    """``f(value)`` with the value computed once for each row, also where ``f`` uses it inside a function of elements."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def chosen(stripped: Column, required: Sequence[str], copies: int) -> Column:
     """Of an array of stripped lines the most frequent that can be a header, the first of equals; null without one.
 
@@ -56,10 +61,14 @@ def chosen(stripped: Column, required: Sequence[str], copies: int) -> Column:
 
 def marked(files: DataFrame, required: Sequence[str] = REQUIRED, copies: int = LEAST_COPIES) -> DataFrame:
     """``files`` with ``anchor_text`` and ``anchor_lines``, the numbers of the lines that are it."""
-    files = files.withColumn("_stripped", F.transform("lines", lambda x: ws_strip(x["text"])))
-    files = files.withColumn("anchor_text", chosen(F.col("_stripped"), required, copies))
-    at = F.filter(F.transform("_stripped", lambda x, i: F.when(x == F.col("anchor_text"), i)), lambda i: i.isNotNull())
-    return files.withColumn("anchor_lines", at).drop("_stripped")
+
+    def places(stripped: Column, text: Column) -> Column:
+        at = F.filter(F.transform(stripped, lambda x, i: F.when(x == text, i)), lambda i: i.isNotNull())
+        return F.struct(text.alias("anchor_text"), at.alias("anchor_lines"))
+
+    stripped = F.transform("lines", lambda x: ws_strip(x["text"]))
+    found = bound(stripped, lambda s: bound(chosen(s, required, copies), lambda text: places(s, text)))
+    return files.select("*", found.alias("_found")).select("*", "_found.anchor_text", "_found.anchor_lines").drop("_found")
 
 
 def cut(files: DataFrame, required: Sequence[str] = REQUIRED, copies: int = LEAST_COPIES) -> DataFrame:
