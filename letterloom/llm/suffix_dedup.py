@@ -361,8 +361,9 @@ def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
 # Every window of 400 bytes (in hex) and, for what other documents share, of 256.
 ORACLE = """
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, strlen(coalesce(text, '')) AS n FROM documents),
-p AS (SELECT doc_id, x, n, unnest(range(1, n + 1)) AS i FROM d),
-w AS MATERIALIZED (SELECT doc_id, i, substring(x, 2 * i - 1, 2) AS b, CASE WHEN i + 399 <= n THEN md5_number(substring(x, 2 * i - 1, 800)) END AS h, CASE WHEN i + 255 <= n THEN md5_number(substring(x, 2 * i - 1, 512)) END AS g FROM p),
+c AS (SELECT doc_id, n, c, substring(x, 2048 * c + 1, 2848) AS y FROM (SELECT *, unnest(range(0, (n + 1023) // 1024)) AS c FROM d)), -- pieces of 1024 bytes and what windows reach beyond
+p AS (SELECT doc_id, n, y, c, unnest(range(1, least(1024, n - 1024 * c) + 1)) AS j FROM c),
+w AS MATERIALIZED (SELECT doc_id, 1024 * c + j AS i, substring(y, 2 * j - 1, 2) AS b, CASE WHEN 1024 * c + j + 399 <= n THEN md5_number(substring(y, 2 * j - 1, 800)) END AS h, CASE WHEN 1024 * c + j + 255 <= n THEN md5_number(substring(y, 2 * j - 1, 512)) END AS g FROM p),
 twice AS (SELECT h FROM w WHERE h IS NOT NULL GROUP BY h HAVING count(*) > 1),
 shared AS (SELECT g FROM w WHERE g IS NOT NULL GROUP BY g HAVING min(doc_id) <> max(doc_id)),
 t AS (SELECT doc_id, i, b, max(CASE WHEN twice.h IS NOT NULL THEN i END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 399 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone FROM w LEFT JOIN twice ON twice.h = w.h),

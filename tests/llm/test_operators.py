@@ -483,6 +483,20 @@ def test_toxicity_held_out(spark):
     assert right.a >= 0.9
 
 
+def test_toxicity_recall_and_false_alarms(spark):
+    """About one toxic label in ten stands at a document without any toxic word, which no score by words can find; of the rest all are found."""
+    sf = SF.replace("0.001", "0.1")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.fit(docs, labels, toxicity.fold_of(5) != 0)
+    rows = docs.join(labels, "doc_id").where(toxicity.fold_of(5) == 0).select("text", "toxic").collect()
+    toxic, other = [r.text for r in rows if r.toxic == 1], [r.text for r in rows if r.toxic == 0]
+    strong = {w for w, x in model.weights.items() if x > 6}  # ten words make up the lists of the test tables
+    assert len(toxic) > 80 and len(other) > 600 and len(strong) == 10
+    marked = [t for t in toxic if strong & set(toxicity.fold(t).split())]
+    assert len(marked) >= 0.85 * len(toxic) and all(model.score(t) >= 0.5 for t in marked)
+    assert sum(model.score(t) >= 0.5 for t in toxic) >= 0.85 * len(toxic) and sum(model.score(t) >= 0.5 for t in other) <= 0.01 * len(other)
+
+
 # op7
 
 
