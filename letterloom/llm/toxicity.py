@@ -2,7 +2,8 @@
 
 Method. Texts are lower-cased; homoglyphs and digits fold to the Latin letters they stand for, and so do a few signs between
 letters; everything else that is not a letter ends a word. The lexicon has whole words and beginnings of other words, with their log
-odds between toxic and other documents as weights. One Aho-Corasick automaton finds all of them; a word counts once, by its heaviest
+odds between toxic and other documents as weights. It is learnt in rounds: each looks at the toxic documents without an entry so far, so that what tells
+few of them apart (the words of a rare language) isn't drowned by the rest. One Aho-Corasick automaton finds all of them; a word counts once, by its heaviest
 entry, and not at all inside an exception phrase (two words, one of them in the lexicon, seen mostly in documents that are not toxic). The sum
 over ``words + SMOOTH`` is the density x, and ``x / (x + t)`` the score; t is the cut with the fewest errors on the sample.
 
@@ -35,6 +36,8 @@ ENTRIES = 512
 HELD = 16 << 20  # letters of features that a task sums before it sends them
 SMOOTH = 20
 STEMS = (4, 5, 6)
+#: A round that finds nothing ends the search; this many are never needed by the sample's size.
+ROUNDS = 8
 #: Least evidence for an entry: a chance below one in ten million, as hundreds of thousands of words are tried.
 EVIDENCE = 30.0
 
@@ -128,15 +131,18 @@ def pairs(folded: str, at: int) -> list[tuple[str, str]]:
     return out
 
 
-def counted(sample: DataFrame, features) -> DataFrame:
-    """``f, pos, neg``: sampled documents of either label with each of ``features(text)``, summed in the task before the shuffle."""
+def counted(sample: DataFrame, features, explained=None) -> tuple[DataFrame, int, int]:
+    """``f, pos, neg``: sampled documents of either label with each of ``features(text)``, summed in the task before the shuffle; and how many documents of
+    either label there are. Toxic documents that are ``explained(text)`` are left out."""
 
     def run(batches):
         total: dict[str, list[int]] = {}
         size = 0
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for f in features(text):
+                if y and explained and explained(text):
+                    continue
+                for f in (*features(text), ""):  # the empty one counts documents
                     if f not in total:
                         total[f], size = [0, 0], size + len(f)
                     total[f][1 - y] += 1
@@ -148,7 +154,9 @@ def counted(sample: DataFrame, features) -> DataFrame:
     def rows(total):
         return pa.record_batch({"f": pa.array(list(total), pa.string()), "pos": pa.array([x for x, _ in total.values()], pa.int64()), "neg": pa.array([x for _, x in total.values()], pa.int64())})
 
-    return sample.select("text", "toxic").mapInArrow(run, "f string, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    table = sample.select("text", "toxic").mapInArrow(run, "f string, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).checkpoint()
+    every = table.where("f = ''").first()
+    return table.where("f <> ''"), every.pos if every else 0, every.neg if every else 0
 
 
 def words_of(text: str | None) -> set[str]:
@@ -179,32 +187,40 @@ def fit(docs: DataFrame, labels: DataFrame, teaches: Column) -> Model:
     n = {r.toxic: r.n for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     if not n.get(1) or not n.get(0):
         return Model()
-    weight = F.log((F.col("pos") + 0.5) / (n[1] + 1)) - F.log((F.col("neg") + 0.5) / (n[0] + 1))
-    both = F.col("pos") + F.col("neg")
-    share = n[1] / (n[1] + n[0])
-    # Twice the log-likelihood ratio against independence; the term of the other side is left out where it is empty.
-    gain = 2 * (F.col("pos") * F.log(F.col("pos") / (both * share)) + F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / (both * (1 - share)))).otherwise(0))
 
-    def telling(table: DataFrame) -> list:
+    def telling(table: DataFrame, toxic: int, other: int) -> dict[str, float]:
+        """The entries with evidence, and their weights."""
+        if not toxic or not other:
+            return {}
+        weight = F.log((F.col("pos") + 0.5) / (toxic + 1)) - F.log((F.col("neg") + 0.5) / (other + 1))
+        both, share = F.col("pos") + F.col("neg"), toxic / (toxic + other)
+        # Twice the log-likelihood ratio against independence; the term of the other side is left out where it is empty.
+        gain = 2 * (F.col("pos") * F.log(F.col("pos") / (both * share)) + F.when(F.col("neg") > 0, F.col("neg") * F.log(F.col("neg") / (both * (1 - share)))).otherwise(0))
         kept = table.where("pos >= 3 AND pos >= 4 * neg").withColumn("w", weight).where((F.col("w") >= 2.5) & (gain >= EVIDENCE))
-        return kept.orderBy(F.desc(F.col("pos") * F.col("w")), "f").collect()
+        return {r.f: r.w for r in kept.orderBy(F.desc(F.col("pos") * F.col("w")), "f").collect()}
 
-    model = Model({r.f: r.w for r in telling(counted(sample, words_of))})
-    known_words = frozenset(model.weights)
+    model = Model()
 
-    def beginnings(text):
-        """Of words that are not entries themselves: a beginning must tell something that no entry tells."""
-        return {f"{w[:n]}*" for w in words_of(text) - known_words for n in STEMS if len(w) > n}
+    def rounds(features) -> None:
+        for _ in range(ROUNDS):
+            held = Model(dict(model.weights))
+            found = telling(*counted(sample, features(frozenset(held.weights)), lambda text: bool(held.hits(text)[0])))
+            if not found:
+                break
+            model.weights = found | model.weights
 
-    model.weights |= {r.f: r.w for r in telling(counted(sample, beginnings))}
+    rounds(lambda known: lambda text: words_of(text) - known)
+    # Of words that are not entries themselves: a beginning must tell something that no entry tells.
+    rounds(lambda known: lambda text: {f"{w[:n]}*" for w in words_of(text) - known for n in STEMS if len(w) > n} - known)
+    words = sum(not w.endswith("*") for w in model.weights)
 
     def phrases(text):
         found, folded = model.hits(text)
         return {" ".join(p) for at in found for p in pairs(folded, at)}
 
-    odd = counted(sample, phrases).where((F.col("neg") >= 3) & (F.col("neg") * n[1] > F.col("pos") * n[0])).orderBy(F.desc("neg"), "f").collect()
+    odd = counted(sample, phrases)[0].where((F.col("neg") >= 3) & (F.col("neg") * n[1] > F.col("pos") * n[0])).orderBy(F.desc("neg"), "f").collect()
     model.exceptions = frozenset(tuple(r.f.split(" ")) for r in odd)
-    (LOG.warning if len(model.weights) > ENTRIES else LOG.info)("lexicon: %d words, %d beginnings, %d exceptions", len(known_words), len(model.weights) - len(known_words), len(odd))
+    (LOG.warning if len(model.weights) > ENTRIES else LOG.info)("lexicon: %d words, %d beginnings, %d exceptions", words, len(model.weights) - words, len(odd))
 
     def densities(batches):
         for batch in batches:

@@ -484,17 +484,19 @@ def test_toxicity_held_out(spark):
 
 
 def test_toxicity_recall_and_false_alarms(spark):
-    """About one toxic label in ten stands at a document without any toxic word, which no score by words can find; of the rest all are found."""
+    """Some toxic labels stand at documents without any toxic word, which no score by words can find."""
     sf = SF.replace("0.001", "0.1")
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     model = toxicity.fit(docs, labels, toxicity.fold_of(5) != 0)
-    rows = docs.join(labels, "doc_id").where(toxicity.fold_of(5) == 0).select("text", "toxic").collect()
-    toxic, other = [r.text for r in rows if r.toxic == 1], [r.text for r in rows if r.toxic == 0]
-    strong = {w for w, x in model.weights.items() if x > 6}  # ten words make up the lists of the test tables
-    assert len(toxic) > 80 and len(other) > 600 and len(strong) == 10
-    marked = [t for t in toxic if strong & set(toxicity.fold(t).split())]
-    assert len(marked) >= 0.85 * len(toxic) and all(model.score(t) >= 0.5 for t in marked)
-    assert sum(model.score(t) >= 0.5 for t in toxic) >= 0.85 * len(toxic) and sum(model.score(t) >= 0.5 for t in other) <= 0.01 * len(other)
+    rows = docs.join(labels, "doc_id").select("text", "toxic", toxicity.fold_of(5).alias("fold")).collect()
+    words = [(toxicity.words_of(r.text), r.toxic, r.fold) for r in rows]
+    seen = {y: Counter(w for x, t, _ in words if t == y for w in x) for y in (0, 1)}
+    telling = {w for w, n in seen[1].items() if n >= 8 and not seen[0][w]}  # by all labels, held out or not
+    toxic, other = [r for r in rows if r.toxic == 1 and r.fold == 0], [r for r in rows if r.toxic == 0 and r.fold == 0]
+    marked = [r for r in toxic if telling & toxicity.words_of(r.text)]
+    assert len(toxic) > 80 and len(other) > 600 and len(marked) >= 0.85 * len(toxic)
+    assert sum(model.score(r.text) >= 0.5 for r in marked) >= 0.95 * len(marked)
+    assert sum(model.score(r.text) >= 0.5 for r in toxic) >= 0.9 * len(toxic) and sum(model.score(r.text) >= 0.5 for r in other) <= 0.01 * len(other)
 
 
 # op7
@@ -623,6 +625,22 @@ def test_very_long_texts(spark):
     assert [r.n_hit for _, r in sorted(rows_of(decontaminate.contamination(frame(spark, texts), bench)).items())] == [12, 12, 0, 0]
 
 
+def test_very_long_rows_of_the_others(spark):
+    body = passage(55, 150_000)
+    docs = spark.createDataFrame([(i, f"{body} {'z' * 1_000_000}", "aa") for i in range(2)] + [(2, "kurz und gut", "bb")], "doc_id long, text string, lang string")
+    got = rows_of(language.identify(docs, language.fit(docs, F.lit(True))))
+    assert [got[i].lang_pred for i in range(3)] == ["aa", "aa", "bb"]
+    model = toxicity.Model(weights={"zzz*": 1.0, "kurz": 2.0}, cut=1.0)
+    got = rows_of(toxicity.toxicity(docs, model))
+    assert all(abs(got[i].score - x / (x + 1)) < 1e-9 for i, x in enumerate(brute_density(model, r.text) for r in docs.orderBy("doc_id").collect()))
+    host, path = ".".join(["www"] * 300 + ["example", "com"]), "/en/" + "p" * 1_000_000
+    pages = spark.createDataFrame([(1, f"http://{host}{path}?q"), (2, "x" * 1_000_000)], "page_id long, url string")
+    got = {r.page_id: r for r in url_filter.url_verdicts(pages, spark.createDataFrame(url_filter.RULES, "verdict string, host string, path string")).collect()}
+    assert (got[1].host, got[1].path, got[1].rule, got[1].verdict) == (host, path, "www.example.com/en/", "allow") and (got[2].host, got[2].path, got[2].rule) == ("", "", None)
+    wide = spark.createDataFrame([(i, [float((i * j) % 7) for j in range(3000)]) for i in range(1, 60)], "vec_id long, embedding array<float>")
+    assert [r.rank for r in ann.nearest(wide).orderBy("rank").collect()] == [1, 2, 3, 4, 5]
+
+
 def brute_batches(batches, judge):
     """Each batch judged with all earlier ones beside it: what ``judge(texts)`` says of its own."""
     seen, out = [], []
