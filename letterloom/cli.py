@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from .operators.generate import ChatClient
 from .plans.http import serve
 from .plans.service import Service, Settings
+from .sources.pdf import available
 
 
 def facts_of(pairs: list[str]) -> dict[str, str]:
@@ -50,7 +51,8 @@ def main(argv: list[str] | None = None) -> int:
     given = {"data_dir": args.data, "store_dir": args.store, "host": getattr(args, "host", None)}
     settings = replace(Settings.from_env(), **{k: v for k, v in given.items() if v is not None})
     spark = SparkSession.builder.getOrCreate()
-    service = Service(spark, settings, chat=ChatClient(settings.host) if args.command in ("generate", "web") else None)
+    pdf, ocr = available()
+    service = Service(spark, settings, chat=ChatClient(settings.host) if args.command in ("generate", "web") else None, pdf=pdf, ocr=ocr)
     if args.command == "web":
         server = serve(service, args.address, args.port)
         print(f"http://{args.address}:{server.server_port}/")

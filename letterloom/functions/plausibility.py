@@ -58,3 +58,9 @@ def ocr_confidence(words: Column | str) -> Column:
     used = F.filter(col(words), lambda w: ~is_blank(w["text"]) & (w["conf"] >= 0))
     mean = F.when(F.size(used) > 0, F.aggregate(used, F.lit(0.0), lambda s, w: s + w["conf"]) / F.size(used)).otherwise(0.0)
     return F.struct(mean.alias("mean"), ((F.size(used) == 0) | (mean < 60)).alias("low"))
+
+
+def mean_confidence(words: list[tuple[str, float]]) -> float:
+    """The same mean on the driver or in a worker: of words that are not blank and have a confidence; 0 without any."""
+    known = [c for text, c in words if text.strip() and c >= 0]
+    return sum(known) / len(known) if known else 0.0

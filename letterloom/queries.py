@@ -128,6 +128,11 @@ def line_freq(spark, sf_dir):
     return f.select(F.col("source_file").alias("doc_id"), F.md5("line").alias("line"), "n", F.col("first_line_no").cast("long").alias("first_line_no"))
 
 
+def anchors_sql(required=()):
+    """With lines that must hold all words of ``required``."""
+    return ANCHORS.replace("WHERE n >= 3", "WHERE n >= 3" + "".join(f" AND contains(l, '{w}')" for w in required))
+
+
 ANCHORS = f"""
 f AS (SELECT * FROM ({FREQUENCY}) WHERE n >= 3), best AS (SELECT doc_id, l FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_line_no) = 1),
 ln AS MATERIALIZED ({LINES}),
@@ -144,6 +149,14 @@ def anchor_lines(spark, sf_dir):
     return a.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("anchor_no").cast("long").alias("anchor_no"))
 
 
+@query(f"WITH {anchors_sql(('e', 'n'))} SELECT a.doc_id, line_no, anchor_no, md5(best.l) AS anchor FROM a JOIN best ON best.doc_id = a.doc_id")
+def required_anchors(spark, sf_dir):
+    """A header has to hold all the words that it must hold; of two candidates the more frequent counts, then the earlier."""
+    a = segment.marked(document_files(spark, sf_dir), required=("e", "n"))
+    a = a.select(F.col("source_file").alias("doc_id"), F.posexplode("anchor_lines").alias("anchor_no", "line_no"), F.md5("anchor_text").alias("anchor"))
+    return a.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.col("anchor_no").cast("long").alias("anchor_no"), "anchor")
+
+
 @query(f"WITH {SEGMENTS} SELECT doc_id, segment_index::INT AS segment_index, start_line::INT AS start_line, end_line::INT AS end_line, gated FROM g")
 def segments(spark, sf_dir):
     return segment.cut(document_files(spark, sf_dir), required=()).select(F.col("source_file").alias("doc_id"), "segment_index", "start_line", "end_line", "gated")
@@ -501,9 +514,14 @@ SCORED = ["", "  ", "Plain Latin text", "सेवा में,", "विषय
 FINDS = "regexp_extract_all(t, '[ऀ-ॿ]+')"
 
 
-@query(rf"""WITH x AS (SELECT * FROM (VALUES {values((i, s) for i, s in enumerate(SCORED))}) v(id, t)), y AS (SELECT id, t, length(regexp_replace(t, '[\s\p{{Nd}}.,;:\-/()\[\]]', '', 'g')) AS letters, length(t) - length(regexp_replace(t, '[ऀ-ॿ]', '', 'g')) AS own, {FINDS} AS w FROM x),
+def scored_sql(rows):
+    """``rows`` (with a text ``t``) and how plausible the text is as Hindi."""
+    return rf"""(WITH x AS ({rows}), y AS (SELECT *, length(regexp_replace(t, '[\s\p{{Nd}}.,;:\-/()\[\]]', '', 'g')) AS letters, length(t) - length(regexp_replace(t, '[ऀ-ॿ]', '', 'g')) AS own, {FINDS} AS w FROM x),
 z AS (SELECT *, CASE WHEN letters = 0 THEN 0 ELSE own / letters END AS ratio, len(list_filter(w, lambda q: q IN ({', '.join(f"'{w}'" for w in pl.COMMON_WORDS)}))) AS hits, CASE WHEN len(w) = 0 THEN 0 ELSE len(list_filter(w, lambda q: contains('{pl.COMBINING}', q[1]))) / len(w) END AS bad FROM y)
-SELECT id, round(ratio, 6)::DOUBLE AS ratio, hits::INT AS hits, round(bad, 6)::DOUBLE AS bad, round(CASE WHEN trim(t) = '' OR ratio = 0 THEN 1 ELSE greatest(least(ratio + least(0.05 * hits, 0.3) - 0.6 * bad, 1), 0) END, 6)::DOUBLE AS score FROM z""")
+SELECT *, CASE WHEN trim(t) = '' OR ratio = 0 THEN 1 ELSE greatest(least(ratio + least(0.05 * hits, 0.3) - 0.6 * bad, 1), 0) END AS score FROM z)"""
+
+
+@query(f"SELECT id, round(ratio, 6)::DOUBLE AS ratio, hits::INT AS hits, round(bad, 6)::DOUBLE AS bad, round(score, 6)::DOUBLE AS score FROM {scored_sql(f'SELECT * FROM (VALUES {values((i, s) for i, s in enumerate(SCORED))}) v(id, t)')}")
 def plausibility(spark, sf_dir):
     rows = spark.createDataFrame(list(enumerate(SCORED)), "id int, t string")
     return rows.select("id", F.round(pl.devanagari_ratio("t"), 6).alias("ratio"), pl.common_word_hits("t").alias("hits"), F.round(pl.malformed_ratio("t"), 6).alias("bad"), F.round(pl.plausibility("t"), 6).alias("score"))
@@ -562,12 +580,56 @@ def legacy_decode(spark, sf_dir):
     return rows.select(F.md5("raw").alias("raw"), fonts.decode_legacy()("raw").alias("decoded"))
 
 
+# Runs of one file: legacy fonts and others in turn, empty runs, a line without any text.
+RUNS = [
+    ("a", 0, 0, "DevLys 040", "f"), ("a", 0, 1, "Kruti Dev 010", "tyk inkf"), ("a", 0, 2, "DevLys 040", "/kdkjh"), ("a", 0, 3, "Calibri", " ABC "), ("a", 0, 4, None, ""), ("a", 0, 5, "DevLys 040", "lsok esa]"),
+    ("a", 1, 0, None, "विषय : आदेश"), ("a", 1, 1, "Mangal", " के संबंध में"), ("a", 2, 0, "Mangal", ""), ("a", 3, 0, "Arial", "plain"), ("b", 0, 0, "DevLys", "aaa"), ("b", 0, 1, "Times", "  "),
+]
+GROUPS = f"""SELECT f, l, g, bool_or(legacy) AS legacy, string_agg(x, '' ORDER BY r) AS raw FROM (
+SELECT *, sum(c) OVER (PARTITION BY f, l ORDER BY r) AS g FROM (SELECT *, CASE WHEN legacy IS NOT DISTINCT FROM lag(legacy) OVER (PARTITION BY f, l ORDER BY r) THEN 0 ELSE 1 END AS c FROM (
+SELECT *, coalesce({begins(fonts.LEGACY)} AND NOT {begins(fonts.PASSTHROUGH)}, false) AS legacy FROM (VALUES {values(RUNS)}) v(f, l, r, font, x) WHERE x <> ''))) GROUP BY f, l, g"""
+
+
+@query(f"""WITH d AS (SELECT f, l, g, t, score FROM {scored_sql(f"SELECT f, l, g, CASE WHEN legacy THEN {chart_sql('raw')} ELSE raw END AS t FROM ({GROUPS})")}),
+n AS (SELECT DISTINCT f, l FROM (VALUES {values(RUNS)}) v(f, l, r, font, x))
+SELECT n.f AS source_file, n.l AS line_no, coalesce(string_agg(t, '' ORDER BY g), '') AS text, round(coalesce(min(score) FILTER (trim(t) <> ''), 1), 6)::DOUBLE AS min_plausibility FROM n LEFT JOIN d ON d.f = n.f AND d.l = n.l GROUP BY n.f, n.l""")
+def run_routing(spark, sf_dir):
+    """Runs are grouped by font class, legacy groups decoded, and a line is as plausible as its least plausible group."""
+    runs = spark.createDataFrame(RUNS, "source_file string, line_no int, run_no int, font_name string, text string").withColumn("page_break_before", F.lit(False))
+    return files.decoded_lines(runs).select("source_file", "line_no", "text", F.round("min_plausibility", 6).alias("min_plausibility"))
+
+
+# Stand-ins for PDF files: pages end with a form feed; where a page has too little text, "OCR" reads the page's words in capitals.
+SCANS = [("a.pdf", "a line of more than twenty signs\n \nsecond line\fshort\n  page \fagain a line of more than twenty\n"), ("b.pdf", "   \n")]
+
+
+def pages_of(content):
+    return [[[(line, None)] for line in page.split("\n")] for page in content.decode().split("\f")]
+
+
+def capitals(content, page_no):
+    return content.decode().split("\f")[page_no].upper(), 45.0
+
+
+@query(f"""WITH p AS (SELECT f, unnest(string_split(x, chr(12))) AS page, generate_subscripts(string_split(x, chr(12)), 1) AS n FROM (VALUES {values(SCANS)}) v(f, x)),
+l AS (SELECT f, n, unnest(string_split(page, chr(10))) AS line, generate_subscripts(string_split(page, chr(10)), 1) AS i FROM p),
+k AS (SELECT *, sum(length(trim(line))) OVER (PARTITION BY f, n) < 20 AS low FROM l),
+o AS (SELECT f, n, i, low, CASE WHEN low THEN upper(line) ELSE line END AS text FROM k WHERE trim(line) <> '')
+SELECT f AS source_file, (row_number() OVER (PARTITION BY f ORDER BY n, i) - 1)::INT AS line_no, text, i = min(i) OVER (PARTITION BY f, n) AS page_break_before, CASE WHEN low THEN 0.45 ELSE 1 END::DOUBLE AS min_plausibility FROM o""")
+def pdf_scan(spark, sf_dir):
+    found = spark.createDataFrame([(f, ".pdf", bytearray(x.encode())) for f, x in SCANS], "source_file string, suffix string, content binary")
+    return files.decoded_lines(files.pdf_runs(found, pages_of, capitals))
+
+
+LETTER = "सेवा में,\nप्रबंधक\n\nविषय: नमूना"
+NOTE = "विषय: सूचना\n\n  दो   शब्द \n"
+
+
 def sample_tree(spark) -> str:
     """A small tree of letters in a folder that executors can read: below the checkpoints, or in local mode a temporary one."""
-    docx = "सेवा में,\nप्रबंधक\n\nविषय: नमूना"
-    tree = {"revenue/note.txt": "विषय: सूचना\n\n  दो   शब्द \n".encode(), ".meta/skip.txt": b"not a letter"}
+    tree = {"revenue/note.txt": NOTE.encode(), ".meta/skip.txt": b"not a letter"}
     with tempfile.TemporaryDirectory(prefix="letterloom-sample-") as folder:
-        tree["education/office/letter.docx"] = export.write_docx(docx, Path(folder) / "letter.docx").read_bytes()
+        tree["education/office/letter.docx"] = export.write_docx(LETTER, Path(folder) / "letter.docx").read_bytes()
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base is None:
         if not spark.sparkContext.master.startswith("local"):
@@ -584,12 +646,19 @@ def sample_tree(spark) -> str:
     return root
 
 
-@query()
+@query(f"""SELECT 'education/office/letter.docx' AS source_file, (i - 1)::INT AS line_no, p AS text, false AS page_break_before, round(score, 6)::DOUBLE AS min_plausibility
+FROM {scored_sql(f"SELECT unnest(string_split({values([(LETTER,)])[1:-1]}, chr(10) || chr(10))) AS t, generate_subscripts(string_split({values([(LETTER,)])[1:-1]}, chr(10) || chr(10)), 1) AS i")} s, LATERAL (SELECT t AS p)""")
 def docx_scan(spark, sf_dir):
     """A generated tree, as no test table holds files."""
-    return files.decoded_lines(files.docx_runs(files.scan(spark, sample_tree(spark))))
+    return files.decoded_lines(files.docx_runs(files.scan(spark, sample_tree(spark)))).withColumn("min_plausibility", F.round("min_plausibility", 6))
+
+
+TREE = f"SELECT * FROM (VALUES {values([('education/office/letter.docx', LETTER), ('revenue/note.txt', NOTE)])}) v(path, content)"
 
 
-@query()
+@query(rf"""WITH f AS (SELECT path, string_split(path, '/') AS s, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM ({TREE})),
+l AS (SELECT path, s, i, trim(regexp_replace(line, '[ 	]{{2,}}', ' ', 'g')) AS x FROM f WHERE trim(line) <> ''),
+t AS (SELECT path, any_value(s) AS s, string_agg(x, chr(10) ORDER BY i) AS text, arg_min(nullif(trim(regexp_extract(x, '^विषय\s*[:\-।]*\s*(.*)$', 1)), ''), i) FILTER (starts_with(x, 'विषय')) AS subject FROM l GROUP BY path)
+SELECT regexp_replace(s[-1], '\.[^.]*$', '') || '__seg000' AS letter_id, s[1] AS department, CASE WHEN len(s) > 2 THEN s[2] ELSE 'unknown' END AS office, path AS source_file, subject, {KIND.replace('(t,', '(text,')} AS letter_type, text, false AS needs_review FROM t""")
 def ingest_tree(spark, sf_dir):
     return ingest.ingest(spark, sample_tree(spark)).select("letter_id", "department", "office", "source_file", "subject", "letter_type", "text", "needs_review")
