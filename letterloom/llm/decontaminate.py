@@ -5,8 +5,8 @@ holds a window of an item holds all its shingles, so the rarest one alone is a s
 join carries the window's length and the shingle's place in it (the length and positional bounds): the window must fit in the
 document around the shingle. What passes is verified word by word over the item-sized window.
 
-Before the join a bit set marks the hashes of the wanted shingles, sixteen bits for each, up to ``2**MOST_BITS``; document positions outside
-it are hardly ever exploded. Both sides of the joins are left to Spark, which broadcasts the benchmark's side only if it measures
+Before the join a bit set marks the hashes of the wanted shingles, 128 bits or more for each, up to ``2**MOST_BITS``; document positions outside
+it are hardly ever exploded. Texts are read twice, to count and to match: what is counted would be too much to keep where common shingles are wanted. Both sides of the joins are left to Spark, which broadcasts the benchmark's side only if it measures
 below the session's threshold.
 
 Rows: every input row gives one row, also null, empty or repeated ones; null texts and ids of items are allowed (an item without an id counts
@@ -25,7 +25,7 @@ from ._session import checkpoints
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Everything but words, before folding.
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-#: One megabyte of bits, for half a million shingles; with more of them more positions reach the join.
+#: One megabyte of bits, for some 65,000 shingles; with more of them more positions reach the join.
 MOST_BITS = 23
 SHINGLE = 3
 
@@ -54,7 +54,7 @@ def item_windows(benchmark: DataFrame, length: int) -> DataFrame:
 
 def bit_set(hashes: DataFrame) -> tuple[Column, int]:
     """Bits of ``h`` as an array of longs, and the logarithm of how many; at most a megabyte comes to the driver, whatever the table's size."""
-    bits = min(MOST_BITS, max(10, math.ceil(math.log2(16 * max(hashes.count(), 1)))))
+    bits = min(MOST_BITS, max(10, math.ceil(math.log2(128 * max(hashes.count(), 1)))))
     bit = F.col("h").bitwiseAND(F.lit((1 << bits) - 1))
     rows = hashes.select(F.shiftright(bit, 6).alias("i"), F.expr("shiftleft(1L, cast(h & 63 as int))").alias("b")).groupBy("i").agg(F.bit_or("b").alias("b")).collect()
     held = {r.i: r.b for r in rows}
@@ -67,18 +67,23 @@ def marked(bits: tuple[Column, int], h: Column) -> Column:
 
 
 def positions(docs: DataFrame, bits: dict[int, tuple[Column, int]], payload) -> DataFrame:
-    """The columns of ``docs`` without ``w``, and a row for each marked shingle (null if none): ``q, h, i`` and ``payload(w, i)``."""
+    """The columns of ``docs`` without ``w``, and a row for each marked shingle (null if none): ``q, h, i`` and ``payload(w, i)``.
 
-    def found_of(q: int, b: tuple[Column, int]) -> Column:
-        all_of = F.transform(F.col("w"), lambda _, i: F.struct(F.lit(q).alias("q"), shingle(F.col("w"), i, q).alias("h"), i.alias("i")))
-        return F.filter(all_of, lambda x: (x["i"] + q <= F.size("w")) & marked(b, x["h"]))
+    Hashes stand in an array of numbers first; only marked ones become structs.
+    """
+
+    def hashes(q: int) -> Column:
+        starts = F.slice("low", 1, F.greatest(F.size("low") - q + 1, F.lit(0)))
+        return F.transform(starts, lambda x, i: F.xxhash64(x, *[F.get(F.col("low"), i + j) for j in range(1, q)]))
+
+    def found_of(q: int) -> Column:
+        at = F.filter(F.transform(f"h{q}", lambda h, i: F.when(marked(bits[q], h), i)), lambda i: i.isNotNull())
+        return F.transform(at, lambda i: F.struct(F.lit(q).alias("q"), F.get(f"h{q}", i).alias("h"), i.alias("i"), *payload(F.col("w"), i)))
 
-    each = [found_of(q, b) for q, b in sorted(bits.items(), key=lambda x: x[0])]
-    found = each[0] if len(each) == 1 else F.concat(*each)
     rest = [c for c in docs.columns if c != "w"]
-    found = docs.select(*rest, "w", found.alias("found"))
-    found = found.select(*rest, F.explode_outer(F.transform("found", lambda x: F.struct(x["q"].alias("q"), x["h"].alias("h"), x["i"].alias("i"), *payload(F.col("w"), x["i"])))).alias("x"))
-    return found.select(*rest, "x.*")
+    hashed = docs.select("*", F.transform("w", lambda x: F.lower(x)).alias("low")).select(*rest, "w", *[hashes(q).alias(f"h{q}") for q in sorted(bits)])
+    found = [found_of(q) for q in sorted(bits)]
+    return hashed.select(*rest, F.explode_outer(found[0] if len(found) == 1 else F.concat(*found)).alias("x")).select(*rest, "x.*")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, length: int = 10, key: str = "doc_id") -> DataFrame:
