@@ -9,11 +9,12 @@ Method.
    shingles themselves.
 3. Candidates. Partners share a shingle among the first ``n - ceil(0.8 n) + 1`` in global order. Instead of pairs, each such
    shingle gives a link to its least holder; connected classes make a *unit*, so rows grow with the shingles, not with pairs.
-4. Vertical partitioning. In a unit, the global order is cut into fragments of ``FRAGMENT`` shingles; each fragment's partial
-   overlaps are counted separately (a product of two incidence blocks) and summed per pair, then tested. Small units share tasks. A
-   unit over ``BLOCK`` classes is cut into blocks, and every pair of blocks is a task of its own, so no task holds more than two blocks,
-   whatever the unit's size; every pair within the unit is still tested, once.
-5. A task reports a spanning forest of the links that it finds and each class's number of links, never the pairs.
+4. Vertical partitioning. The global order is cut into ``FRAGMENTS`` of equal weight (by a histogram over all sets), and so is every set. A task has the
+   segments of one fragment: it counts the partial overlap of each pair within a unit, as a product of incidence blocks, and drops what the lengths and
+   the rest of the order can't bring to the threshold any more. Partial counts travel as compressed blocks of numbers and are summed for each pair,
+   then tested. Small units share tasks. A unit over ``BLOCK`` classes is cut into blocks, and every pair of blocks is a task of its own, so no
+   task holds more than two blocks, whatever the unit's size; every pair within the unit is still tested, once.
+5. The sums give a spanning forest of the links and each class's number of links, never the pairs.
 
 Rows: every input row gives one row. Null and wordless texts have no shingles and are linked with nothing; with under five words the whole
 sequence is the one shingle; null ids are allowed (they take the least id of their component, or stay null); other columns are ignored.
@@ -36,7 +37,9 @@ from ._session import checkpoints
 from .graph import components
 
 NO_ID = np.iinfo(np.int64).max
-FRAGMENT = 2048
+#: Into how many tasks the order cuts a unit, or a pair of its blocks.
+FRAGMENTS = 4
+FRAGMENT = 2048  # columns of an incidence block
 BLOCK = 1024
 #: Classes that one task of small units gets, about.
 SHARE = 2048
@@ -144,7 +147,7 @@ def classified(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def overlaps(x: list[np.ndarray], y: list[np.ndarray] | None) -> np.ndarray:
-    """Common shingles of each pair, counted in each fragment of the global order (of what stands in two or more sets) and summed."""
+    """Common shingles of each pair: products of incidence blocks of ``FRAGMENT`` columns, for what stands in two or more sets."""
     sets = x + (y or [])
     flat = np.concatenate(sets)
     key, index, count = np.unique(flat, return_inverse=True, return_counts=True)
@@ -164,27 +167,87 @@ def overlaps(x: list[np.ndarray], y: list[np.ndarray] | None) -> np.ndarray:
     return total
 
 
-def linked(x: list[tuple[bytes, int, np.ndarray]], y: list[tuple[bytes, int, np.ndarray]] | None, percent: int):
-    """Rows ``(class, another or itself, links)`` for the classes of a pair of blocks (or of one, if y is None) that have links."""
-    common = overlaps([s for _, _, s in x], [s for _, _, s in y] if y is not None else None)
-    n, m = np.array([n for _, n, _ in x], np.float64), np.array([n for _, n, _ in (x if y is None else y)], np.float64)
-    union = n[:, None] + m[None, :] - common
-    link = 100.0 * common >= percent * union
-    names = [c for c, _, _ in x] + ([] if y is None else [c for c, _, _ in y])
+def pivots(sets: DataFrame, fragments: int) -> np.ndarray:
+    """Where the order is cut so that fragments weigh about the same: from a histogram of 4,096 ranges over all sets."""
+
+    def weigh(batches):
+        for batch in batches:
+            flat = np.frombuffer(b"".join(batch.column(0).to_pylist()), R.U) >> R.U(52)
+            held = np.bincount(flat.astype(np.int64), minlength=4096)
+            yield pa.record_batch({"bin": pa.array(np.flatnonzero(held)), "n": pa.array(held[held > 0])})
+
+    rows = sets.mapInArrow(weigh, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).orderBy("bin").collect()
+    sums = np.cumsum([r.n for r in rows])
+    at = np.searchsorted(sums, [sums[-1] * k / fragments for k in range(1, fragments)]) if rows else []
+    return np.unique(np.array([(rows[i].bin + 1) << 52 for i in at if rows[i].bin < 4095], R.U))
+
+
+class Side(list):
+    """Classes of one block: names, sizes of the whole sets, and their segments of a fragment."""
+
+    def __init__(self, rows: list[tuple[bytes, int, bytes]]):
+        super().__init__(np.frombuffer(s, R.U) for _, _, s in rows)
+        self.names, self.sizes = [c for c, _, _ in rows], np.array([n for _, n, _ in rows], np.int64)
+
+
+def partial(x: Side, y: Side | None, percent: int) -> bytes | None:
+    """The counts of one fragment, where they can still matter, as a compressed block; None if there are none."""
+    z = x if y is None else y
+    common = overlaps(x, y).astype(np.int64)
+    own, other = np.array([len(s) for s in x])[:, None], np.array([len(s) for s in z])[None, :]
+    n, m = x.sizes[:, None], z.sizes[None, :]
+    most = common + np.minimum(n - own, m - other)  # if all that is left were shared
+    common[100 * most < percent * (n + m - most)] = 0
     if y is None:
-        np.fill_diagonal(link, False)
-        degree = link.sum(1)
-    else:
-        degree = np.concatenate([link.sum(1), link.sum(0)])
+        common = np.triu(common, 1)
+    if not common.any():
+        return None
+    head = np.array([len(x), -1 if y is None else len(y)], np.int64)
+    sides = [x] if y is None else [x, y]
+    parts = [head.tobytes(), *[b"".join(s.names) + s.sizes.tobytes() for s in sides], common.astype(np.uint32).tobytes()]
+    return zstandard.ZstdCompressor(1).compress(b"".join(parts))
+
+
+def summed(blobs: list[bytes]) -> tuple[list[list[bytes]], list[np.ndarray], np.ndarray]:
+    """The names and sizes of each side (one, if a block meets itself), and the sums of the partial counts of a pair of blocks."""
+    parts, names, sizes = [], [{}, {}], [[], []]
+    for blob in blobs:
+        raw = zstandard.ZstdDecompressor().decompress(blob)
+        k, m = np.frombuffer(raw, np.int64, 2).tolist()
+        at, place = 16, []
+        for side, count in enumerate([k] if m < 0 else [k, m]):
+            own, n = [raw[at + 16 * i : at + 16 * i + 16] for i in range(count)], np.frombuffer(raw, np.int64, count, at + 16 * count).tolist()
+            at += 24 * count
+            for c, size in zip(own, n, strict=True):
+                if c not in names[side]:
+                    names[side][c] = len(names[side])
+                    sizes[side].append(size)
+            place.append([names[side][c] for c in own])
+        parts.append((place[0], place[-1], np.frombuffer(raw, np.uint32, -1, at).reshape(k, k if m < 0 else m)))
+    sides = 2 if names[1] else 1
+    total = np.zeros((len(names[0]), len(names[sides - 1])), np.int64)
+    for i, j, count in parts:
+        total[np.ix_(i, j)] += count
+    if sides == 1:
+        total += total.T
+    return [list(x) for x in names[:sides]], [np.array(x, np.int64) for x in sizes[:sides]], total
+
+
+def linked(sides: list[list[bytes]], sizes: list[np.ndarray], common: np.ndarray, percent: int):
+    """Rows ``(class, another or itself, links)`` for the classes of a pair of blocks (or of one) that have links."""
+    n, m, alone = sizes[0], sizes[-1], len(sides) == 1
+    link = (common > 0) & (100 * common >= percent * (n[:, None] + m[None, :] - common))
+    names = [c for side in sides for c in side]
+    degree = link.sum(1) if alone else np.concatenate([link.sum(1), link.sum(0)])
     # A forest: breadth first over rows of the link matrix.
-    k, root = len(x), np.full(len(names), -1)
+    k, root = len(sides[0]), np.full(len(names), -1)
     for start in np.flatnonzero(degree[:k]):
         if root[start] >= 0:
             continue
         root[start], queue = start, [start]
         while queue:
             v = queue.pop()
-            if y is None:
+            if alone:
                 near = np.flatnonzero(link[v])
             else:
                 near = np.flatnonzero(link[v]) + k if v < k else np.flatnonzero(link[:, v - k])
@@ -195,7 +258,7 @@ def linked(x: list[tuple[bytes, int, np.ndarray]], y: list[tuple[bytes, int, np.
         yield names[v], names[root[v]], int(degree[v])
 
 
-def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, carry: tuple[str, ...] = ()) -> DataFrame:
+def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, carry: tuple[str, ...] = (), fragments: int = FRAGMENTS) -> DataFrame:
     """Per document: ``doc_id, n_shingles, component_id`` (least id reachable), ``n_links`` (other shingle sets it is linked with) and the long columns ``carry``."""
     checkpoints(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
@@ -234,18 +297,46 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, carry: tuple
         (F.col("own") > F.col("other")).cast("int").alias("side"), (F.col("own") != F.col("other")).alias("cross"), "class", "n", "shared",
     )
 
+    cuts = pivots(members.select("shared"), fragments)
+
+    def cut(batches):
+        for batch in batches:
+            rest = batch.drop_columns(["shared"])
+            row, fragment, segment = [], [], []
+            for i, blob in enumerate(batch.column("shared").to_pylist()):
+                ends = [*(8 * np.searchsorted(np.frombuffer(blob, R.U), cuts)).tolist(), len(blob)]
+                for k, (a, b) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+                    if b > a:
+                        row.append(i), fragment.append(k), segment.append(blob[a:b])
+            taken = rest.take(pa.array(row, pa.int32()))
+            yield pa.record_batch({**{c: taken.column(c) for c in rest.schema.names}, "fragment": pa.array(fragment, pa.int32()), "segment": pa.array(segment, pa.binary())})
+
     def count(table: pa.Table) -> pa.Table:
         units: dict[bytes, tuple[bool, list, list]] = {}
-        for label, side, cross, c, n, s in zip(*(table.column(x).to_pylist() for x in ("label", "side", "cross", "class", "n", "shared")), strict=True):
-            units.setdefault(label, (cross, [], []))[1 + side].append((c, n, np.frombuffer(s, R.U)))
+        for label, side, cross, c, n, s in zip(*(table.column(x).to_pylist() for x in ("label", "side", "cross", "class", "n", "segment")), strict=True):
+            units.setdefault(label, (cross, [], []))[1 + side].append((c, n, s))
         out = []
-        for cross, x, y in units.values():
-            if x and (y or not cross):
-                out += linked(x, y if cross else None, percent)
+        for label, (cross, x, y) in units.items():
+            if x and (y or not cross) and (blob := partial(Side(x), Side(y) if cross else None, percent)):
+                out.append((label, blob))
+        P.trim()
+        task = table.column("task")[0].as_py() if table.num_rows else ""
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"task": pa.array([task] * len(out), pa.string()), "label": pa.array(a, pa.binary()), "blob": pa.array(b, pa.binary())})
+
+    def add(table: pa.Table) -> pa.Table:
+        units: dict[bytes, list[bytes]] = {}
+        for label, blob in zip(table.column("label").to_pylist(), table.column("blob").to_pylist(), strict=True):
+            units.setdefault(label, []).append(blob)
+        out = [x for blobs in units.values() for x in linked(*summed(blobs), percent)]
+        P.trim()
         a, b, k = zip(*out, strict=True) if out else ((), (), ())
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "links": pa.array(k, pa.int64())})
 
-    links = small.unionAll(large).groupBy("task").applyInArrow(count, "a binary, b binary, links long").checkpoint()
+    kinds = "task string, label binary, side int, cross boolean, class binary, n long, fragment int, segment binary"
+    segments = small.unionAll(large).mapInArrow(cut, kinds)
+    partials = segments.groupBy("task", "fragment").applyInArrow(count, "task string, label binary, blob binary")
+    links = partials.groupBy("task").applyInArrow(add, "a binary, b binary, links long").checkpoint()
     joined = components(links.select("a", "b"))
     least = joined.join(classes.select(F.col("class").alias("node"), "least"), "node").groupBy("label").agg(F.min("least").alias("component_id"))
     degree = links.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))

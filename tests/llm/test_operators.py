@@ -248,12 +248,16 @@ def test_contamination(spark):
 # op9
 
 
-def brute_jaccard(texts, size=5, percent=80):
+def shingles_of(texts, size=5):
     def shingles(t):
         x = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
         return {tuple(x[i : i + size]) for i in range(max(len(x) - size + 1, 1))} if x else set()
 
-    sets = [shingles(t) for t in texts]
+    return [shingles(t) for t in texts]
+
+
+def brute_jaccard(texts, size=5, percent=80):
+    sets = shingles_of(texts, size)
     up = [*range(len(sets))]
 
     def top(i):
@@ -287,11 +291,15 @@ def test_jaccard(spark, monkeypatch, target, block):
     monkeypatch.setattr(jaccard_join, "FRAGMENT", 16)
     base, other = passage(31, 120), passage(32, 60)
     texts = odd_texts() + ["one", "ONE", "two  WORDS"] + [near(base, k % 6, k) for k in range(24)] + [near(other, k % 3, k) for k in range(9)] + [base + " tail of it", base.upper()]
-    got = rows_of(jaccard_join.jaccard_join(frame(spark, texts)))
     want, links = brute_jaccard(texts)
-    for i, e in enumerate(want):
-        assert (got[i].n_shingles, got[i].component_id) == e, i
-    assert sum(r.n_links > 0 for r in got.values()) and links
+    sets = shingles_of(texts)
+    linked = Counter(i for pair in links for i in pair)
+    for fragments in (1, 4, 9):
+        got = rows_of(jaccard_join.jaccard_join(frame(spark, texts), fragments=fragments))
+        for i, e in enumerate(want):
+            # Of equal sets the links count once.
+            assert (got[i].n_shingles, got[i].component_id) == e and got[i].n_links == len({frozenset(sets[j]) for p in links if i in p for j in p if j != i}), i
+    assert sum(n > 1 for n in linked.values()) > 10
     assert jaccard_join.jaccard_join(frame(spark, texts).limit(0)).count() == 0
 
 
