@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from letterloom.llm import bpe, decontaminate, jaccard_join, line_dedup, toxicity
 from letterloom.llm._session import checkpoints
 from letterloom.ship import ship
+from letterloom.spread import spread
 
 
 #: Rows are named by their texts' fingerprints where ids can be null or repeated.
@@ -77,7 +78,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     checkpoints(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     for _, stage in STAGES[:-1]:
         docs = stage(spark, docs, sf_dir).checkpoint()
     return STAGES[-1][1](spark, docs, sf_dir)

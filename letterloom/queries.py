@@ -21,6 +21,7 @@ from .functions import text as tx
 from .operators import embed, export, fonts, generate, metadata, retrieve, segment, store
 from .plans import ingest
 from .sources import files
+from .spread import spread
 
 QUERY = "the and hein"
 TERMS = ["the", "and", "hein"]
@@ -110,12 +111,12 @@ def document_lines(spark, sf_dir):
 
 def document_files(spark, sf_dir):
     lines = F.transform(tx.text_lines("text"), lambda x: F.struct(x.alias("text")))
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_file"), lines.alias("lines"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select(F.col("doc_id").alias("source_file"), lines.alias("lines"))
 
 
 @query(f"SELECT doc_id, count(*) AS n_lines, md5(string_agg(c, chr(10) ORDER BY i)) AS cleaned FROM (SELECT doc_id, i, {CLEAN} AS c FROM ({SPLIT}) WHERE {STRIP % 'line'} <> '') GROUP BY doc_id")
 def split_clean_lines(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", tx.clean_lines(tx.text_lines("text")).alias("x")).where(F.size("x") > 0)
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", tx.clean_lines(tx.text_lines("text")).alias("x")).where(F.size("x") > 0)
     return d.select("doc_id", F.size("x").cast("long").alias("n_lines"), F.md5(F.array_join("x", "\n")).alias("cleaned"))
 
 
