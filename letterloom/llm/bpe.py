@@ -22,6 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..spread import spread
 from . import _packs as P
 from . import _prints as R
 
@@ -206,7 +207,7 @@ def bpe_round_trip(docs: DataFrame, ranks: dict[bytes, int], pack_bytes: int = P
 def op4_bpe(spark, sf_dir: str, name: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     import public_tokenizers
 
-    done = bpe_round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), read_ranks(public_tokenizers.path(name)))
+    done = bpe_round_trip(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), read_ranks(public_tokenizers.path(name)))
     return done.select(
         "doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -30,6 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..spread import spread
 from . import _packs as P
 from . import _prints as R
 from ._runs import Family
@@ -42,7 +43,7 @@ FRAGMENTS = 4
 FRAGMENT = 2048  # columns of an incidence block
 BLOCK = 1024
 #: Classes that one task of small units gets, about.
-SHARE = 2048
+SHARE = 256
 OUT = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.binary()), ("shared", pa.binary()), ("n_prefix", pa.int32())])
 SCHEMA = "doc_id long, n_shingles long, class binary, shared binary, n_prefix int"
 
@@ -349,7 +350,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, carry: tuple
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
+    return jaccard_join(spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))).select("doc_id", "n_shingles", "component_id")
 
 
 ORACLE = r"""

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..spread import spread
 from . import _packs as P
 
 PROFILE = 300
@@ -118,6 +119,6 @@ def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
 
 
 def op3_language(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     fold = F.crc32(F.col("doc_id").cast("string")) % 4
     return identify(docs, fit(docs, fold != 2)).select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "lang_pred", "score")

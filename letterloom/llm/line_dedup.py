@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..spread import spread
 from . import _packs as P
 from ._levels import Levels
 from ._runs import Family
@@ -163,7 +164,7 @@ def line_dedup(docs: DataFrame, least: int = 20, copies: int = 3, carry: bool =
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
-    done = line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    done = line_dedup(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 

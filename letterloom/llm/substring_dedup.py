@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..spread import spread
 from . import _packs as P
 from . import _prints as R
 from ._suffixes import SuffixArray, columns, equal_windows
@@ -239,7 +240,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 5, most: int
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    done = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    done = substring_dedup(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     lost = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return done.select("doc_id", "n_words", lost.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 

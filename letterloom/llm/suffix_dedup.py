@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..spread import spread
 from . import _packs as P
 from . import _prints as R
 from ._levels import Levels
@@ -351,7 +352,7 @@ def suffix_dedup(docs: DataFrame, window: int = 400, least: int = LEAST, most: i
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """Beside the contract's columns ``longest_shared``: passages of over 50 words can be shorter than the 400 bytes that are removed."""
-    done = suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    done = suffix_dedup(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     return done.select(
         "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "longest_shared",

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..spread import spread
 from . import _packs as P
 from ._session import checkpoints
 
@@ -269,6 +270,6 @@ def fold_of(n: int) -> Column:
 
 
 def op5_toxicity(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold_of(5) != 0)
     return toxicity(docs, model).select("doc_id", F.coalesce(fold_of(5) == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
