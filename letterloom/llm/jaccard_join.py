@@ -42,6 +42,8 @@ NO_ID = np.iinfo(np.int64).max
 FRAGMENTS = 4
 FRAGMENT = 2048  # columns of an incidence block
 BLOCK = 1024
+#: Labels and sizes of large units (24 bytes each) that may be sent to every task.
+SENT = 50_000
 #: Classes that one task of small units gets, about.
 SHARE = 256
 OUT = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.binary()), ("shared", pa.binary()), ("n_prefix", pa.int32())])
@@ -81,7 +83,7 @@ def classified(docs: DataFrame, size: int, percent: int) -> DataFrame:
     carried = docs.columns[2:]
     out = pa.schema([*OUT, *[(c, pa.int64()) for c in carried]])
     total = P.text_bytes(docs)
-    n = P.bucket_count(total)  # a fingerprint of 8 bytes for each word of some six bytes
+    n = P.bucket_count(2 * total)  # five bytes for each word of some six; smaller buckets fill partitions more evenly
     packs = P.packed(docs)
 
     def short(prints):
@@ -281,9 +283,11 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, carry: tuple
     token = classes.select("class", "shared", "n_prefix").mapInArrow(prefixes, "token long, class binary").checkpoint()
     holder = token.groupBy("token").agg(F.min("class").alias("b"), F.count("*").alias("k")).where("k > 1").select(F.col("token").alias("t"), "b")
     unit = components(token.join(holder, F.col("token") == F.col("t")).select(F.col("class").alias("a"), "b"))
-    sized = unit.groupBy("label").agg(F.count("*").alias("size"))
+    # Only units over BLOCK classes need their size; as a rule there are few, and then no shuffle gathers a unit.
+    sized = unit.groupBy("label").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK).checkpoint()
+    sized = F.broadcast(sized) if sized.count() <= SENT else sized
     members = (
-        unit.join(sized, "label").select(F.col("node").alias("class"), "label", "size")
+        unit.join(sized, "label", "left").select(F.col("node").alias("class"), "label", F.coalesce("size", F.lit(1)).alias("size"))
         .join(classes.select("class", "n", "shared"), "class").checkpoint()
     )
     tasks = max(1, -(-members.count() // SHARE))
