@@ -155,7 +155,7 @@ class Store:
     def _change(self, rows: DataFrame | None, gone: DataFrame, version: int | None = None) -> None:
         """Rows that count from now on, and the ids whose older rows don't; as a change, or as a new whole after ``CHAIN`` of them."""
         chain = self._head()["chain"]
-        if len(chain) <= CHAIN and self.count():
+        if len(chain) <= CHAIN and self.rows().limit(1).count():
             return self._commit(chain, rows, gone, version)
         whole = self.rows().join(gone.select("letter_id"), "letter_id", "left_anti")
         self._commit([], whole.unionByName(rows) if rows is not None else whole, version=version)
