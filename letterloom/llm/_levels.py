@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._prints import new_key
+
 RUN = "bucket int, blob binary"
 
 
@@ -24,7 +26,7 @@ class Levels:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
         numbers = self._numbers("STATE-")
-        self.state = {"buckets": buckets, "batches": 0, "runs": []}
+        self.state = {"buckets": buckets, "batches": 0, "runs": [], "key": new_key()}
         if numbers:
             self.state = json.loads(spark.read.text(f"{self.root}/STATE-{numbers[-1]}").first().value)
 
@@ -32,6 +34,11 @@ class Levels:
     def buckets(self) -> int:
         return self.state["buckets"]
 
+    @property
+    def key(self) -> int:
+        """What the index hashes under, drawn when it is new."""
+        return self.state["key"]
+
     @property
     def batches(self) -> int:
         return self.state["batches"]
@@ -64,7 +71,7 @@ class Levels:
             both = self._read(older).withColumn("age", F.lit(0)).unionAll(self._read(number).withColumn("age", F.lit(1)))
             number, level = number + 1, level + 1
             both.groupBy("bucket").applyInArrow(merged, RUN).write.parquet(f"{self.root}/run-{number}")
-        state = {"buckets": self.buckets, "batches": self.batches + 1, "runs": [*runs, [level, number]]}
+        state = self.state | {"batches": self.batches + 1, "runs": [*runs, [level, number]]}
         staged, named = self._path(f"{self.root}/.state"), self._path(f"{self.root}/STATE-{state['batches']}")
         out = self._fs.create(staged, True)
         out.write(json.dumps(state).encode())

@@ -11,9 +11,9 @@ answer about small pieces of text (lines, windows, words, shingles) work in thre
 2. each bucket *answers* every pack.
 3. each pack *applies* its answers (a cogroup on the pack number).
 
-Pack numbers come from the partition and the position of the rows in it. They repeat exactly when a lost task runs
-again, as long as the input is read from files (a table or a checkpoint); derived input should be
-checkpointed first, which the queries here never need as they read tables.
+Pack numbers come from the partition and the position of the rows in it. They repeat exactly when a task runs again, as long as the
+input is read from files, where rows keep their places. The reduce side of a shuffle gets its blocks in another order each time, so
+packs of an input with a shuffle in its plan are checkpointed before anything asks for them (:func:`packed`).
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._session import checkpoints
+
 LIBC = ctypes.CDLL(None)
 PACK_BYTES = 2 << 20
 #: Bytes of fingerprints that one bucket should hold; the number of buckets follows the input from it.
@@ -63,8 +65,21 @@ def load(body: bytes) -> pa.Table:
     return pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(body)).read_all().combine_chunks()
 
 
+def shuffled(df: DataFrame) -> bool:
+    """Whether rows can stand in another order when ``df`` is computed again: there is an exchange in its plan, cached parts included."""
+    return "Exchange" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` with rows that keep their places: checkpointed if its plan has a shuffle."""
+    if not shuffled(df):
+        return df
+    checkpoints(df.sparkSession)
+    return df.checkpoint()
+
+
 def packed(df: DataFrame, target: int = PACK_BYTES) -> DataFrame:
-    """``df`` (all its columns, ``text`` among them) as packs."""
+    """``df`` (all its columns, ``text`` among them) as packs; these are checkpointed if the plan of ``df`` has a shuffle."""
 
     def pack(batches):
         part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
@@ -88,7 +103,11 @@ def packed(df: DataFrame, target: int = PACK_BYTES) -> DataFrame:
     import pyarrow.compute  # noqa: F401  pa.compute is loaded on first import only
 
     arrow_limits(df.sparkSession)
-    return df.mapInArrow(pack, "pack long, body binary")
+    packs = df.mapInArrow(pack, "pack long, body binary")
+    if shuffled(df):
+        checkpoints(df.sparkSession)
+        return packs.checkpoint()
+    return packs
 
 
 def trim() -> None:

@@ -1,13 +1,16 @@
 """Fingerprints of spans, content-defined anchors, words: the arithmetic that deduplication shares.
 
-A fingerprint joins two halves by multiplying, adding and shifting in turn, which no sum or product over positions can undo: sequences
-built to defeat polynomials (Thue-Morse words) get different fingerprints. For one half fixed a join is one to one in the other.
-Each has 64 bits; where an operator needs certainty it compares the text itself.
+There are two kinds. *Prints* (:func:`join` and what is built on it) are cheap and public: whoever knows them can build texts that share one, so they
+only choose anchors and bring together what is then compared. What decides that two texts are the same is the bytes themselves, or
+:func:`digests` and :func:`word_prints`, which hash the bytes under a key that is drawn for each run (or index) and is not known beforehand.
 """
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
+import xxhash
 
 U = np.uint64
 ODD = U(0x9E3779B97F4A7C15)
@@ -20,6 +23,27 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
 
 
+#: A digest of 128 bits; compares as a whole, zeros at the end included.
+DIGEST = np.dtype("S16")
+
+
+def new_key() -> int:
+    return int.from_bytes(os.urandom(8))
+
+
+def digests(text: bytes, start: np.ndarray, end: np.ndarray, key: int) -> np.ndarray:
+    """The keyed 128-bit hashes of the bytes of spans, as two columns of 64 bits each."""
+    digest = xxhash.xxh3_128_digest
+    out = b"".join([digest(text[a:b], key) for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+    return np.frombuffer(out, ">u8").astype(U).reshape(-1, 2)
+
+
+def word_prints(text: bytes, start: np.ndarray, end: np.ndarray, key: int) -> np.ndarray:
+    """The keyed 64-bit hashes of words: joins of these can't be steered by whoever does not know the key."""
+    digest = xxhash.xxh3_64_intdigest
+    return np.fromiter((digest(text[a:b], key) for a, b in zip(start.tolist(), end.tolist(), strict=True)), U, len(start))
+
+
 def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     x = a >> U(32)
     x ^= a
@@ -80,6 +104,40 @@ def spans(eight: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return out
 
 
+def unequal(eight: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> np.ndarray:
+    """Which spans differ from their ``other`` (a place in the same arrays), byte by byte."""
+    n = end - start
+    out = n != n[other]
+    short = FIRST[np.minimum(n, 8)]
+    out |= (eight[np.minimum(start, len(eight) - 1)] ^ eight[np.minimum(start[other], len(eight) - 1)]) & short != 0 if len(eight) else False
+    left, at = np.flatnonzero((n > 8) & ~out), 8
+    while len(left):
+        step = np.minimum(at, n[left] - 8)
+        out[left] = eight[start[left] + step] != eight[start[other[left]] + step]
+        at += 8
+        left = left[(n[left] > at) & ~out[left]]
+    return out
+
+
+def numbered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct spans in the order of their prints: prints, one place of each, and of every span the number of the one that it equals.
+
+    Prints only find what may be equal: every span is compared with the one that stands for it, byte by byte.
+    """
+    eight = eights(data)
+    prints = spans(eight, start, end)
+    held, some, number = np.unique(prints, return_index=True, return_inverse=True)
+    odd = np.flatnonzero(unequal(eight, start, end, some[number]))
+    if len(odd):  # one print, several texts: these get numbers of their own
+        new: dict[bytes, int] = {}
+        for i in odd.tolist():
+            number[i] = len(some) + new.setdefault(data[start[i] : end[i]].tobytes(), len(new))
+        some = np.r_[some, odd[np.unique(number[odd], return_index=True)[1]]]
+        order = np.argsort(prints[some], kind="stable")
+        held, some, number = prints[some][order], some[order], np.argsort(order)[number]
+    return held, some, number
+
+
 def stretches(gram: np.ndarray, k: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """Fingerprints of spans of k symbols and more, from those of every k; the last may overlap the one before it."""
     out = join((end - start).astype(U), gram[start])

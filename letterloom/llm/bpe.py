@@ -22,7 +22,6 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..spread import spread
 from . import _packs as P
 from . import _prints as R
 
@@ -118,36 +117,10 @@ class Words:
             start.append(begin + self.offsets[a]), end.append(stop + self.offsets[a]), bounds.append(first[1:] + total)
             total += len(begin)
         self.bounds, start, end = np.concatenate(bounds), np.concatenate(start), np.concatenate(end)
-        eight = R.eights(self.data)
-        prints = R.spans(eight, start, end)
-        self.prints, some, self.number = np.unique(prints, return_index=True, return_inverse=True)
-        odd = np.flatnonzero(unequal(eight, start, end, some[self.number]))
-        if len(odd):  # one fingerprint, several texts: these get numbers of their own
-            new: dict[bytes, int] = {}
-            for i in odd.tolist():
-                self.number[i] = len(some) + new.setdefault(self.data[start[i] : end[i]].tobytes(), len(new))
-            first = np.unique(self.number[odd], return_index=True)[1]
-            some = np.r_[some, odd[first]]
-            order = np.argsort(prints[some], kind="stable")
-            self.prints, some, self.number = prints[some][order], some[order], np.argsort(order)[self.number]
+        self.prints, some, self.number = R.numbered(self.data, start, end)
         self.start, self.end = start[some], end[some]
 
 
-def unequal(eight: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Which spans differ from their ``other`` (a place in the same arrays)."""
-    n = end - start
-    out = n != n[other]
-    short = R.FIRST[np.minimum(n, 8)]
-    out |= (eight[np.minimum(start, len(eight) - 1)] ^ eight[np.minimum(start[other], len(eight) - 1)]) & short != 0 if len(eight) else False
-    left, at = np.flatnonzero((n > 8) & ~out), 8
-    while len(left):
-        step = np.minimum(at, n[left] - 8)
-        out[left] = eight[start[left] + step] != eight[start[other[left]] + step]
-        at += 8
-        left = left[(n[left] > at) & ~out[left]]
-    return out
-
-
 def bpe_round_trip(docs: DataFrame, ranks: dict[bytes, int], pack_bytes: int = PACK_BYTES) -> DataFrame:
     """Per document: ``doc_id, token_ids`` (little-endian unsigned 32-bit integers) and ``decoded`` (the bytes of these tokens)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -207,7 +180,7 @@ def bpe_round_trip(docs: DataFrame, ranks: dict[bytes, int], pack_bytes: int = P
 def op4_bpe(spark, sf_dir: str, name: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     import public_tokenizers
 
-    done = bpe_round_trip(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), read_ranks(public_tokenizers.path(name)))
+    done = bpe_round_trip(spark.read.parquet(f"{sf_dir}/documents.parquet"), read_ranks(public_tokenizers.path(name)))
     return done.select(
         "doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -30,7 +30,6 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..spread import spread
 from . import _packs as P
 from . import _prints as R
 from ._runs import Family
@@ -50,15 +49,15 @@ OUT = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", p
 SCHEMA = "doc_id long, n_shingles long, class binary, shared binary, n_prefix int"
 
 
-def shingle_sets(table: pa.Table, size: int) -> list[np.ndarray]:
-    """Each document's distinct shingles, as sorted fingerprints."""
+def shingle_sets(table: pa.Table, size: int, key: int) -> list[np.ndarray]:
+    """Each document's distinct shingles, as sorted joins of keyed word hashes."""
     data, offsets = P.texts(table)
     out = []
     for a, b in P.chunks(offsets):
         at = offsets[a : b + 1] - offsets[a]
         part = R.LOW[data[offsets[a] : offsets[b]]]
         start, end, first = R.words(part, at)
-        word = R.spans(R.eights(part), start, end)
+        word = R.word_prints(part.tobytes(), start, end, key)
         grams = R.grams(word, size)
         short = np.flatnonzero((first[1:] > first[:-1]) & (first[1:] - first[:-1] < size))
         whole = dict(zip(short.tolist(), R.stretches(word, 1, first[short], first[short + 1])[:, None], strict=True))
@@ -84,7 +83,7 @@ def classified(docs: DataFrame, size: int, percent: int) -> DataFrame:
     out = pa.schema([*OUT, *[(c, pa.int64()) for c in carried]])
     total = P.text_bytes(docs)
     n = P.bucket_count(2 * total)  # five bytes for each word of some six; smaller buckets fill partitions more evenly
-    packs = P.packed(docs)
+    packs, secret = P.packed(docs), R.new_key()
 
     def short(prints):
         """Bucket and 40 further bits: enough to count by. Two shingles that share them count as one here, everywhere alike, which can
@@ -92,7 +91,7 @@ def classified(docs: DataFrame, size: int, percent: int) -> DataFrame:
         return P.to_buckets(prints, n).astype(R.U) << R.U(40) | prints & R.U((1 << 40) - 1)
 
     def own(table):
-        sets = shingle_sets(table, size)
+        sets = shingle_sets(table, size, secret)
         key, count = np.unique(short(np.concatenate(sets)) if sets else np.zeros(0, R.U), return_counts=True)
         return sets, key, count, P.stretches((key >> R.U(40)).astype(np.int64))
 
@@ -354,7 +353,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, carry: tuple
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return jaccard_join(spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))).select("doc_id", "n_shingles", "component_id")
+    return jaccard_join(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_shingles", "component_id")
 
 
 ORACLE = r"""

@@ -1,6 +1,6 @@
 """Lines repeated across documents, by levelled sorted runs of line hashes.
 
-Method. Each pack of documents is a batch with a sorted run of its distinct line keys (128-bit hashes) and, for each, the
+Method. Each pack of documents is a batch with a sorted run of its distinct line keys (128-bit hashes under a key) and, for each, the
 number of its documents that hold it and the largest ``doc_id`` among them. In each bucket of the hash space the batches
 merge-anti-join the runs of a family (:mod:`._runs`): a key that a run holds adds to its counts, the rest form a new run, and
 runs of one level are compacted into the next. After the last batch each pack hears of its frequent keys only. With a :class:`LineIndex` the runs are
@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..spread import spread
 from . import _packs as P
+from . import _prints as R
 from ._levels import Levels
 from ._runs import Family
 from ._session import checkpoints
@@ -33,7 +33,7 @@ KEY = np.dtype("S16")  # 128 bits; compares as a whole, zeros at the end include
 LEAST_ID = np.iinfo(np.int64).min
 
 
-def keys_of(table: pa.Table, least: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
+def keys_of(table: pa.Table, least: int, seed: int) -> tuple[list[list[bytes]], np.ndarray, np.ndarray, np.ndarray]:
     """Each document's lines; and the hash, document number and line number of every line whose key is long enough."""
     data, offsets = P.texts(table)
     whole, docs, h, d, n = data.tobytes(), [], [], [], []
@@ -45,7 +45,7 @@ def keys_of(table: pa.Table, least: int) -> tuple[list[list[bytes]], np.ndarray,
             if len(line) >= least:
                 key = line.strip(SPACE).lower()  # of bytes: A-Z only
                 if len(key) >= least and (key.isascii() or len(key.decode("utf-8", "replace")) >= least):
-                    h.append(digest(key)), d.append(i), n.append(j)
+                    h.append(digest(key, seed)), d.append(i), n.append(j)
     return docs, np.array(h, KEY), np.array(d, np.int64), np.array(n, np.int64)
 
 
@@ -108,11 +108,11 @@ def line_dedup(docs: DataFrame, least: int = 20, copies: int = 3, carry: bool =
     if not carry:
         docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = index.levels.buckets if index else P.bucket_count(P.text_bytes(docs) / 3)  # lines of 80 bytes and more, 28 bytes each; more buckets do no harm
-    packs = P.packed(docs)
+    packs, seed = P.packed(docs), index.levels.key if index else R.new_key()
     schema, out = (docs.schema.simpleString()[7:-1], to_arrow_schema(docs.schema)) if carry else (SCHEMA, OUT)
 
     def ask(pack, table):
-        _, h, d, _ = keys_of(table, least)
+        _, h, d, _ = keys_of(table, least, seed)
         key, count, largest = distinct(h, d, P.doc_ids(table, LEAST_ID))
         for b, s in P.slices(front(key), n).items():
             yield b, blob_of(key[s], largest[s], count[s])
@@ -137,7 +137,7 @@ def line_dedup(docs: DataFrame, least: int = 20, copies: int = 3, carry: bool =
             yield -1, blob_of(key, *columns)
 
     def drop(pack, table, told):
-        lines, h, d, j = keys_of(table, least)
+        lines, h, d, j = keys_of(table, least, seed)
         ids = P.doc_ids(table, LEAST_ID)
         parts = [(np.frombuffer(x, KEY, len(x) // 24), np.frombuffer(x, np.int64, len(x) // 24, len(x) // 24 * 16)) for _, x in sorted(told[0].items())]
         key, keeper = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, KEY), np.zeros(0, np.int64))
@@ -164,7 +164,7 @@ def line_dedup(docs: DataFrame, least: int = 20, copies: int = 3, carry: bool =
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:
-    done = line_dedup(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    done = line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 

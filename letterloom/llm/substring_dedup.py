@@ -8,9 +8,10 @@ anchor, so buckets of anchors hold the indexes of all blocks, and a document is
 2. factor boundaries: a phrase that shares its anchor with others, but that no earlier document holds whole, is where factors begin and end. One copy of it
    goes to a bucket as text, is compared word by word with the reference texts on both sides of the anchor (sorted, see :mod:`._suffixes`), and every
    start from which a reference of an earlier document matches 13 words and more is part of a factor. Anchors in more than ``HOT`` different
-   phrases could fill a bucket; their windows are dealt out one by one, by 128-bit fingerprints.
+   phrases could fill a bucket; their windows are dealt out one by one, by 128-bit hashes.
 
-Factors, joined and overlapping, make the duplicate spans. Copies fold inside each block before they are sent.
+Factors, joined and overlapping, make the duplicate spans. Whole phrases are the same if keyed 128-bit hashes of their words are; in
+open ones words are compared as bytes. Copies fold inside each block before they are sent.
 
 Rows: every input row gives one row; null text has no words; a null ``doc_id`` is neither smaller nor larger than another, so such
 a document keeps its words and takes none from others; rows that share an id take nothing from each other; other columns are ignored.
@@ -23,7 +24,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..spread import spread
 from . import _packs as P
 from . import _prints as R
 from ._suffixes import SuffixArray, columns, equal_windows
@@ -40,8 +40,8 @@ SCHEMA = "doc_id long, n_words long, spans array<struct<start: long, end: long>>
 class Block:
     """A pack's phrases: distinct (anchor, phrase) entries with their first holder, and where phrases stand."""
 
-    def __init__(self, table: pa.Table, window: int, gram: int):
-        self.window, self.ids = window, P.doc_ids(table, NO_ID)
+    def __init__(self, table: pa.Table, window: int, gram: int, secret: int):
+        self.window, self.secret, self.ids = window, secret, P.doc_ids(table, NO_ID)
         self.data, self.offsets = P.texts(table)
         prints, starts, ends, bounds, total = [np.zeros(0, R.U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)], 0
         for a, b in P.chunks(self.offsets):
@@ -53,20 +53,28 @@ class Block:
             total += len(start)
         word = np.concatenate(prints)
         self.start, self.end, self.bounds = np.concatenate(starts), np.concatenate(ends), np.concatenate(bounds)
-        self.grams, short = R.grams(word, window), R.grams(word, gram)
+        short = R.grams(word, gram)  # chooses anchors, decides nothing
+        text = self.data.tobytes()
+        self.plain = b" ".join(text[a:b] for a, b in zip(self.start.tolist(), self.end.tolist(), strict=True))
+        self.stop = np.cumsum(self.end - self.start + 1) - 1  # where words end in it
         self.first, self.last, self.at = R.anchored(short, gram, self.bounds, window)
         self.doc = np.searchsorted(self.bounds, self.first, side="right") - 1
         anchor = R.join(short[self.at], np.ones(len(self.at), R.U))
-        phrase = R.stretches(self.grams, window, self.first, self.last + window)
+        phrase = self.digests(self.first, self.last + window)
         holder = self.ids[self.doc]
-        order = np.lexsort((holder, phrase, anchor))
-        k, r = anchor[order], phrase[order]
-        new = np.r_[True, (k[1:] != k[:-1]) | (r[1:] != r[:-1])] if len(k) else np.zeros(0, bool)
+        order = np.lexsort((holder, phrase[:, 1], phrase[:, 0], anchor))
+        k = np.column_stack([anchor, phrase])[order]
+        new = np.r_[True, (k[1:] != k[:-1]).any(1)] if len(k) else np.zeros(0, bool)
         where = np.flatnonzero(new)
-        self.anchor, self.phrase, self.some, self.holder = k[where], r[where], order[where], holder[order[where]]
+        self.anchor, self.phrase, self.some, self.holder = k[where, 0], k[where, 1:], order[where], holder[order[where]]
         self.entry = np.empty(len(k), np.int64)
         self.entry[order] = np.cumsum(new) - 1
 
+    def digests(self, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of the words ``[first, end)``, joined by a space."""
+        size = self.end - self.start
+        return R.digests(self.plain, self.stop[first] - size[first], self.stop[end - 1], self.secret)
+
     def told(self, replies: dict[int, bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
         """For each entry: its first holder in all documents, and the flags."""
         first, flags = self.holder.copy(), np.zeros(len(self.anchor), np.uint8)
@@ -89,11 +97,11 @@ class Block:
             yield k, b"".join([np.uint32(s.stop - s.start).tobytes(), *[h[s].tobytes() for h in head], self.data[R.ranges(a[s], b[s])].tobytes()])
 
     def windows(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct windows of some entries: two fingerprints and the least id of each; and of each window its place there and its start."""
+        """Distinct windows of some entries: the halves of the digest and the least id of each; and of each window its place there and its start."""
         x = self.some[entries]
         p = R.ranges(self.first[x], self.last[x] + 1)
         ids = np.repeat(self.holder[entries], (self.last - self.first)[x] + 1)
-        a, b = self.grams[p], R.join(self.grams[p] ^ R.ODD, np.repeat(self.anchor[entries], (self.last - self.first)[x] + 1))
+        a, b = self.digests(p, p + self.window).T
         order = np.lexsort((ids, b, a))
         a, b = a[order], b[order]
         new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
@@ -102,21 +110,22 @@ class Block:
         return a[new], b[new], ids[order[new]], place, p
 
 
-def gathered(rows: list[tuple[int, bytes]]):
-    """All entries ``(key, key, id)`` of some packs in the order of their keys and ids: keys, ids, pack numbers, which are new, and the order."""
-    k, r, d, src = [np.zeros(0, R.U)], [np.zeros(0, R.U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def gathered(rows: list[tuple[int, bytes]], m: int):
+    """All entries (``m`` columns of a key, then an id) of some packs in their order: the first column, ids, which row they came from, which are new, and the order."""
+    parts, src = [np.zeros((m + 1, 0), R.U)], [np.zeros(0, np.int64)]
     for i, (_, blob) in enumerate(rows):
-        n = len(blob) // 24
-        k.append(np.frombuffer(blob, R.U, n)), r.append(np.frombuffer(blob, R.U, n, 8 * n)), d.append(np.frombuffer(blob, np.int64, n, 16 * n)), src.append(np.full(n, i))
-    k, r, d, src = map(np.concatenate, (k, r, d, src))
-    order = np.lexsort((d, r, k))
-    k, r, d, src = k[order], r[order], d[order], src[order]
-    return k, d, src, np.r_[True, (k[1:] != k[:-1]) | (r[1:] != r[:-1])] if len(k) else np.zeros(0, bool), order
+        parts.append(np.frombuffer(blob, R.U).reshape(m + 1, -1))
+        src.append(np.full(parts[-1].shape[1], i))
+    table, src = np.concatenate(parts, axis=1), np.concatenate(src)
+    order = np.lexsort((table[m].view(np.int64), *table[:m][::-1]))
+    table = table[:, order]
+    new = np.r_[True, (table[:m, 1:] != table[:m, :-1]).any(0)] if len(order) else np.zeros(0, bool)
+    return table[0], table[m].view(np.int64), src[order], new, order
 
 
 def answer_phrases(rows: list[tuple[int, bytes]], most: int) -> list[tuple[int, bytes]]:
     """Flags of each entry, and the least id of all holders for those whose pack has no document with it."""
-    k, d, src, new, order = gathered(rows)
+    k, d, src, new, order = gathered(rows, 3)
     if not len(k):
         return []
     where, group = np.flatnonzero(new), np.cumsum(new) - 1
@@ -134,7 +143,7 @@ def answer_phrases(rows: list[tuple[int, bytes]], most: int) -> list[tuple[int,
 
 def answer_windows(rows: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
     """Which windows an earlier document holds, as bits."""
-    k, d, src, new, order = gathered(rows)
+    k, d, src, new, order = gathered(rows, 2)
     if not len(k):
         return []
     earlier = np.empty(len(k), bool)
@@ -155,7 +164,7 @@ def answer_text(rows: list[tuple[int, bytes]], window: int) -> list[tuple[int, b
     anchor, holder, size, high, low = map(np.concatenate, zip(*parts, strict=True))
     data, high, low = np.concatenate(texts), high.astype(np.int64), low.astype(np.int64)
     start, end, first = R.words(data, np.r_[0, np.cumsum(size, dtype=np.int64)])
-    word = R.spans(R.eights(data), start, end)
+    word = (R.numbered(data, start, end)[2] + 1).astype(R.U)  # in this bucket; zeros stand beyond the end
     at = first[:-1] + high
     left, right = SuffixArray(anchor, columns(word, first[:-1], at, backwards=True), 1), SuffixArray(anchor, columns(word, at, first[1:]), 1)
     many = high - low + 1
@@ -173,17 +182,17 @@ def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 5, most: int
     """Per document: ``doc_id, n_words, spans`` (the removed word ranges) and ``kept`` (the words that remain, joined by a space)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = P.text_bytes(docs)
-    # A word of some six bytes; a phrase of 24 bytes for each four or five words; some phrases go as text, of hot anchors as windows.
-    n1, n2, n3 = P.bucket_count(total * 24 / 27), P.bucket_count(total), P.bucket_count(total)
-    packs = P.packed(docs)
+    # A word of some six bytes; a phrase of 32 bytes for each four or five words; some phrases go as text, of hot anchors as windows.
+    n1, n2, n3 = P.bucket_count(total * 32 / 27), P.bucket_count(total), P.bucket_count(total)
+    packs, secret = P.packed(docs), R.new_key()
 
     def ask_phrases(pack, table):
-        x = Block(table, window, gram)
+        x = Block(table, window, gram, secret)
         for b, s in P.slices(x.anchor, n1).items():
-            yield b, x.anchor[s].tobytes() + x.phrase[s].tobytes() + x.holder[s].tobytes()
+            yield b, x.anchor[s].tobytes() + x.phrase[s].T.tobytes() + x.holder[s].tobytes()
 
     def ask_open(pack, table, told):
-        x = Block(table, window, gram)
+        x = Block(table, window, gram, secret)
         text, many = x.open(x.told(told, n1)[1])
         yield from x.ask_text(text, n2)
         a, c, ids, _, _ = x.windows(many)
@@ -194,7 +203,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 5, most: int
         return answer_text(rows, window) if bucket < n2 else answer_windows(rows)
 
     def cut(pack, table, told):
-        x = Block(table, window, gram)
+        x = Block(table, window, gram, secret)
         first, flags = x.told(told[0], n1)
         own = x.ids[x.doc]
         whole = np.flatnonzero((own != NO_ID) & (first[x.entry] < own))
@@ -240,7 +249,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, gram: int = 5, most: int
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    done = substring_dedup(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    done = substring_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     lost = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return done.select("doc_id", "n_words", lost.alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
 

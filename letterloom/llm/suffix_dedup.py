@@ -5,15 +5,18 @@ Method. A batch of documents gets a sparse suffix array: instead of every suffix
 a *stretch*. Two rounds decide every window exactly:
 
 1. by anchor: suffixes with one anchor meet in a bucket. A stretch that occurs twice is repeated as a whole, a single anchor has no
-   repeated window, and anchors that stand in different stretches stay open;
+   repeated window, and anchors that stand in different stretches stay open. In each bucket every pack is a new batch: its run, sorted by anchor and stretch,
+   is merge-scanned against the levels of a family (:mod:`._runs`) of the packs before it, where a stretch that a level holds is a long match; what none holds
+   becomes a run, and runs of one level merge into the next;
 2. by suffix: one copy of each open stretch goes to a bucket as text. The suffixes from the anchors on, and the texts before them, are sorted
    (:mod:`._suffixes`), and the common prefixes of neighbours give the classes of equal windows. An anchor that stands in more than
-   ``HOT`` different stretches could fill a bucket by itself; its windows are dealt out one by one instead, by 128-bit fingerprints.
+   ``HOT`` different stretches could fill a bucket by itself; its windows are dealt out one by one instead, by 128-bit hashes.
 
-Copies are folded inside each pack first, so a passage held by a third of all documents costs each pack one entry.
+Copies are folded inside each pack first, so a passage held by a third of all documents costs each pack one entry. Stretches are told apart by keyed 128-bit
+hashes of their bytes, windows of open stretches by their bytes.
 
 :class:`SuffixIndex` keeps the family on disk (:mod:`._levels`): a new batch is merge-scanned against every level, packs of earlier batches speak for the
-open stretches that it meets, what no level holds becomes a level itself, and equal levels merge. Without one the table is the only batch.
+open stretches that it meets, what no level holds becomes a level itself, and equal levels merge. Without one the family lives in the buckets of the job.
 
 Rows: every input row gives one row; null or empty text gives no spans; repeated ``doc_id`` values are separate documents;
 texts under the window length are kept whole; other columns are ignored.
@@ -26,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..spread import spread
 from . import _packs as P
 from . import _prints as R
 from ._levels import Levels
+from ._runs import Family
 from ._session import checkpoints
 from ._suffixes import SuffixArray, columns, equal_windows
 
@@ -38,6 +41,8 @@ DUP, OPEN, FIRST, SHARED, MANY = 1, 2, 4, 8, 16
 #: Different stretches of an anchor that are compared in one task.
 HOT = 1024
 GRAM = 64
+#: An entry's key: eight bytes of the anchor's print (the higher first), then the stretch's digest.
+KEY = np.dtype("S24")
 #: Pack numbers of a batch begin at its number shifted by this; below are the partition and the place in it.
 BATCH = 50
 #: Shared passages are reported from this length on (some 40 words).
@@ -49,10 +54,10 @@ SCHEMA = "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>
 class Batch:
     """A pack's sparse suffix array: its distinct (anchor, stretch) entries, and where they stand."""
 
-    def __init__(self, table: pa.Table, window: int, least: int):
-        self.window, self.least = window, least
+    def __init__(self, table: pa.Table, window: int, least: int, secret: int):
+        self.window, self.least, self.secret = window, least, secret
         self.data, self.offsets = P.texts(table)
-        self.parts, found = [], []
+        self.text, found = self.data.tobytes(), []
         for a, b in P.chunks(self.offsets):
             at = self.offsets[a : b + 1] - self.offsets[a]
             gram = R.byte_grams(self.data[self.offsets[a] : self.offsets[b]], GRAM)
@@ -60,17 +65,18 @@ class Batch:
             doc = np.searchsorted(at, first, side="right") - 1
             end = np.minimum(last + window, at[doc + 1])
             base = self.offsets[a]
-            found.append((first + base, last + base, anchor + base, end + base, doc + a, np.full(len(first), len(self.parts)), gram[anchor], R.stretches(gram, GRAM, first, end)))
-            self.parts.append((base, gram))
-        none = [np.zeros(0, np.int64)] * 6 + [np.zeros(0, R.U)] * 2
-        self.first, self.last, self.at, self.end, self.doc, self.part, anchor, stretch = map(np.concatenate, zip(*found, strict=True)) if found else none
+            found.append((first + base, last + base, anchor + base, end + base, doc + a, gram[anchor]))
+        none = [np.zeros(0, np.int64)] * 5 + [np.zeros(0, R.U)]
+        self.first, self.last, self.at, self.end, self.doc, anchor = map(np.concatenate, zip(*found, strict=True)) if found else none
         # Least grams crowd at the low end of the range that buckets cut; joined once more they fill it.
         anchor = R.join(anchor, np.ones_like(anchor))
-        order = np.lexsort((stretch, anchor))
-        k, r, doc = anchor[order], stretch[order], self.doc[order]
-        new = np.r_[True, (k[1:] != k[:-1]) | (r[1:] != r[:-1])] if len(k) else np.zeros(0, bool)
+        stretch = R.digests(self.text, self.first, self.end, secret)
+        order = np.lexsort((stretch[:, 1], stretch[:, 0], anchor))
+        k, doc = np.column_stack([anchor, stretch])[order], self.doc[order]
+        new = np.r_[True, (k[1:] != k[:-1]).any(1)] if len(k) else np.zeros(0, bool)
         where = np.flatnonzero(new)
-        self.anchor, self.stretch, self.some = k[where], r[where], order[where]
+        self.anchor, self.some = k[where, 0], order[where]
+        self.key = np.frombuffer(k[where].astype(">u8").tobytes(), KEY)
         self.flags = np.zeros(len(where), np.uint8)
         if len(where):
             self.flags |= DUP * (np.diff(np.r_[where, len(k)]) > 1).astype(np.uint8)
@@ -80,7 +86,7 @@ class Batch:
 
     def ask(self, n: int):
         for b, s in P.slices(self.anchor, n).items():
-            yield b, self.anchor[s].tobytes() + self.stretch[s].tobytes() + self.flags[s].tobytes()
+            yield b, self.key[s].tobytes() + self.flags[s].tobytes()
 
     def told(self, replies: dict[int, bytes], n: int) -> np.ndarray:
         at, out = P.slices(self.anchor, n), np.zeros(len(self.anchor), np.uint8)
@@ -92,12 +98,8 @@ class Batch:
         """Flags of the entries that a later batch asks this pack to speak for."""
         out = np.zeros(len(self.anchor), np.uint8)
         for x in replies.values():
-            n = len(x) // 17
-            k, r, f = np.frombuffer(x, R.U, n), np.frombuffer(x, R.U, n, 8 * n), np.frombuffer(x, np.uint8, n, 16 * n)
-            at = np.searchsorted(self.anchor, k)
-            while (off := np.flatnonzero(self.stretch[at] != r)).size:  # other stretches of the anchor stand before it
-                at[off] += 1
-            out[at] = f
+            n = len(x) // 25
+            out[np.searchsorted(self.key, np.frombuffer(x, KEY, n))] = np.frombuffer(x, np.uint8, n, 24 * n)
         return out
 
     def open(self, flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -114,24 +116,18 @@ class Batch:
             yield b, b"".join([np.uint32(len(own)).tobytes(), *[h[s].tobytes() for h in head], self.data[R.ranges(self.first[own], self.end[own])].tobytes()])
 
     def windows(self, entries: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """All windows of ``size`` bytes of some entries: two fingerprints of each, its start and its entry (a place in ``entries``)."""
-        x, out = self.some[entries], []
-        for i, (base, gram) in enumerate(self.parts):
-            own = np.flatnonzero(self.part[x] == i)
-            a, b = self.first[x[own]], np.minimum(self.last[x[own]], self.end[x[own]] - size) + 1
-            b = np.maximum(a, b)
-            p, e = R.ranges(a, b) - base, np.repeat(own, b - a)
-            if len(p):
-                other = gram[::-1]  # read from the other end
-                out.append((R.stretches(gram, GRAM, p, p + size), R.stretches(other, GRAM, len(gram) - 1 - (p + size - GRAM), len(gram) - 1 - p + GRAM), p + base, e))
-        none = [np.zeros(0, R.U)] * 2 + [np.zeros(0, np.int64)] * 2
-        return tuple(map(np.concatenate, zip(*out, strict=True))) if out else tuple(none)
+        """All windows of ``size`` bytes of some entries: the halves of its digest, its start and its entry (a place in ``entries``)."""
+        x = self.some[entries]
+        a = self.first[x]
+        b = np.maximum(a, np.minimum(self.last[x], self.end[x] - size) + 1)
+        p = R.ranges(a, b)
+        print_ = R.digests(self.text, p, p + size, self.secret)
+        return print_[:, 0], print_[:, 1], p, np.repeat(np.arange(len(x)), b - a)
 
     def hot(self, entries: np.ndarray, flags: np.ndarray):
-        """For each length: the distinct windows of hot anchors, as two fingerprints and flags; and of each window its place there and its start."""
+        """For each length: the distinct windows of hot anchors, as digests and flags; and of each window its place there and its start."""
         for size in (self.window, self.least):
             a, b, p, e = self.windows(entries, size)
-            a = R.join(a, np.full_like(a, size))
             order = np.lexsort((b, a))
             a, b, doc, own = a[order], b[order], self.doc[self.some[entries]][e[order]], flags[entries][e[order]]
             new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])] if len(a) else np.zeros(0, bool)
@@ -145,76 +141,88 @@ class Batch:
             yield a[where], b[where], told, place, p
 
 
-RUN_ENTRY = 25  # bytes: anchor, stretch, the pack that speaks for it, flags
+RUN_ENTRY = 33  # bytes: key, the pack that speaks for it, flags
 
 
-def folded(rows: list[tuple[int, bytes]]):
-    """All entries ``(key, key, flags)`` of some packs in the order of their keys: keys, flags, which row they came from and who speaks for them, which
-    are new, and the order. Rows of packs below 0 are runs, whose entries say who speaks for them."""
-    k, r, f, src, pack = [np.zeros(0, R.U)], [np.zeros(0, R.U)], [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    for i, (own, blob) in enumerate(rows):
-        n = len(blob) // (17 if own >= 0 else RUN_ENTRY)
-        k.append(np.frombuffer(blob, R.U, n)), r.append(np.frombuffer(blob, R.U, n, 8 * n)), src.append(np.full(n, i))
-        pack.append(np.full(n, own) if own >= 0 else np.frombuffer(blob, np.int64, n, 16 * n))
-        f.append(np.frombuffer(blob, np.uint8, n, (16 if own >= 0 else 24) * n))
-    k, r, f, src, pack = map(np.concatenate, (k, r, f, src, pack))
-    order = np.lexsort((r, k))  # stable: of equals the first row stands first, and runs stand before packs
-    k, r, f, src, pack = k[order], r[order], f[order], src[order], pack[order]
-    new = np.r_[True, (k[1:] != k[:-1]) | (r[1:] != r[:-1])] if len(k) else np.zeros(0, bool)
-    where = np.flatnonzero(new)
-    both = np.bitwise_or.reduceat(f, where) if len(where) else f
-    several = np.diff(np.r_[where, len(k)]) > 1  # in two packs, so in two documents
-    both = both & (DUP | SHARED) | (DUP | SHARED) * several.astype(np.uint8)
-    return k, r, both, src, pack, new, order
+def entries(blob: bytes, pack: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, flags and speakers of a pack's question, or (packs below 0) of a run."""
+    n = len(blob) // (25 if pack >= 0 else RUN_ENTRY)
+    speaker = np.full(n, pack) if pack >= 0 else np.frombuffer(blob, np.int64, n, 24 * n)
+    return np.frombuffer(blob, KEY, n), np.frombuffer(blob, np.uint8, n, (24 if pack >= 0 else 32) * n), speaker
 
 
-def shares(rows: list[tuple[int, bytes]], order: np.ndarray, src: np.ndarray, told: np.ndarray):
-    """``told``, in sorted order, back to the packs in the order of their questions."""
-    out = np.empty(len(order), told.dtype)
-    out[order] = told
-    ends = np.cumsum(np.bincount(src, minlength=len(rows)))
-    return [(pack, out[a:b].tobytes()) for (pack, _), a, b in zip(rows, [0, *ends[:-1].tolist()], ends.tolist(), strict=True) if pack >= 0]
+def meet(held, at, new):
+    """A long match: what a level holds stands in a new batch as well, so in two documents. The one who spoke first goes on to speak."""
+    held[0][at] |= new[0] & (DUP | SHARED) | DUP | SHARED
+
+
+def run_of(key: np.ndarray, flags: np.ndarray, speaker: np.ndarray) -> bytes:
+    return key.astype(KEY).tobytes() + speaker.astype(np.int64).tobytes() + flags.astype(np.uint8).tobytes()
 
 
-def answer_anchors(rows: list[tuple[int, bytes]], most: int, lasting: bool = False) -> list[tuple[int, bytes]]:
-    """Flags for every entry. If ``lasting``, also the entries that packs of earlier batches must speak for, and (for pack -1) the batch's run."""
-    k, r, both, src, pack, new, order = folded(rows)
-    if not len(k):
+def merged_runs(blobs: list[bytes]) -> bytes:
+    """One sorted run; no entry is in two."""
+    family = Family(meet)
+    for blob in blobs:
+        family.add(*entries(blob, -1))
+    key, columns = family.whole()
+    return run_of(key, *columns) if columns else b""
+
+
+def answer_anchors(rows: list[tuple[int, bytes]], most: int, batch: int | None = None) -> list[tuple[int, bytes]]:
+    """Flags for every entry. For a ``batch`` of an index, also the entries that packs of earlier batches must speak for, and (for pack -1) the batch's run."""
+    family, asked = Family(meet), []
+    for pack, blob in rows:
+        key, flags, speaker = entries(blob, pack)
+        family.add(key, flags, speaker)
+        if pack >= 0:
+            asked.append((pack, key))
+    key, columns = family.whole()
+    if not columns or not asked:
         return []
-    where = np.flatnonzero(new)
-    head = np.r_[True, k[where][1:] != k[where][:-1]]
+    both, speaker = columns
+    anchor = np.frombuffer(key.tobytes(), R.U)[::3]
+    head = np.r_[True, anchor[1:] != anchor[:-1]]
     group = np.cumsum(head) - 1
-    n = np.diff(np.r_[np.flatnonzero(head), len(where)])[group]  # different stretches of the anchor
-    flags = both | OPEN * (n > 1).astype(np.uint8) | MANY * (n > most).astype(np.uint8)
-    told = flags[np.cumsum(new) - 1]
-    told[where] |= FIRST
-    out = shares(rows, order, src, told)
-    if lasting:
-        held = np.array([p < 0 for p, _ in rows])[src]
-        met = np.bincount(group[np.cumsum(new) - 1], ~held, len(where)) > 0  # anchors that the batch has
-        speak = np.flatnonzero(held[where] & met[group] & ((flags & OPEN) > 0))
-        at = where[speak]
-        for p in np.unique(pack[at]).tolist():
-            own = pack[at] == p
-            out.append((p, k[at[own]].tobytes() + r[at[own]].tobytes() + told[at[own]].tobytes()))
-        fresh = where[~held[where]]
-        out.append((-1, run_of(k[fresh], r[fresh], pack[fresh], both[~held[where]])))
+    n = np.bincount(group)[group]  # different stretches of the anchor
+    told = both | OPEN * (n > 1).astype(np.uint8) | MANY * (n > most).astype(np.uint8)
+    out, met = [], np.zeros(len(key), bool)
+    for pack, own in asked:
+        at = np.searchsorted(key, own)
+        met[at] = True
+        out.append((pack, (told[at] | FIRST * (speaker[at] == pack).astype(np.uint8)).tobytes()))
+    if batch is not None:
+        fresh = speaker >= batch << BATCH
+        speak = np.flatnonzero(~fresh & (np.bincount(group, met) > 0)[group] & ((told & OPEN) > 0))
+        for p in np.unique(speaker[speak]).tolist():
+            own = speak[speaker[speak] == p]
+            out.append((p, key[own].tobytes() + (told[own] | FIRST).tobytes()))
+        out.append((-1, run_of(key[fresh], both[fresh], speaker[fresh])))
     return out
 
 
-def run_of(anchor: np.ndarray, stretch: np.ndarray, pack: np.ndarray, flags: np.ndarray) -> bytes:
-    return anchor.tobytes() + stretch.tobytes() + pack.astype(np.int64).tobytes() + flags.astype(np.uint8).tobytes()
-
-
-def merged_runs(blobs: list[bytes]) -> bytes:
-    """One sorted run; no entry is in two."""
-    k, r, both, _, pack, _, _ = folded([(-1, b) for b in blobs])
-    return run_of(k, r, pack, both)
+def folded(rows: list[tuple[int, bytes]]):
+    """All windows ``(key, key, flags)`` of some packs in the order of their keys: flags, which row they came from, which are new, and the order."""
+    k, r, f, src = [np.zeros(0, R.U)], [np.zeros(0, R.U)], [np.zeros(0, np.uint8)], [np.zeros(0, np.int64)]
+    for i, (_, blob) in enumerate(rows):
+        n = len(blob) // 17
+        k.append(np.frombuffer(blob, R.U, n)), r.append(np.frombuffer(blob, R.U, n, 8 * n)), f.append(np.frombuffer(blob, np.uint8, n, 16 * n)), src.append(np.full(n, i))
+    k, r, f, src = map(np.concatenate, (k, r, f, src))
+    order = np.lexsort((r, k))
+    k, r, f, src = k[order], r[order], f[order], src[order]
+    new = np.r_[True, (k[1:] != k[:-1]) | (r[1:] != r[:-1])] if len(k) else np.zeros(0, bool)
+    where = np.flatnonzero(new)
+    both = np.bitwise_or.reduceat(f, where) if len(where) else f
+    several = np.diff(np.r_[where, len(k)]) > 1  # in two packs, so in two documents
+    return both & (DUP | SHARED) | (DUP | SHARED) * several.astype(np.uint8), src, new, order
 
 
 def answer_hot(rows: list[tuple[int, bytes]]) -> list[tuple[int, bytes]]:
-    k, _, both, src, _, new, order = folded(rows)
-    return shares(rows, order, src, both[np.cumsum(new) - 1]) if len(k) else []
+    both, src, new, order = folded(rows)
+    out = np.empty(len(order), np.uint8)
+    out[order] = both[np.cumsum(new) - 1]
+    ends = np.cumsum(np.bincount(src, minlength=len(rows)))
+    return [(pack, out[a:b].tobytes()) for (pack, _), a, b in zip(rows, [0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
 
 def answer_text(rows: list[tuple[int, bytes]], window: int, least: int) -> list[tuple[int, bytes]]:
@@ -273,19 +281,19 @@ def suffix_dedup(docs: DataFrame, window: int = 400, least: int = LEAST, most: i
         raise ValueError(f"{GRAM} <= least <= window must hold")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     total = P.text_bytes(docs)
-    # An entry of 17 bytes for some 80; open stretches make up to six times the text, but most stretches are not open; hot windows are rarer still.
-    n1, n2, n3 = P.bucket_count(total * 17 / 80), P.bucket_count(total), P.bucket_count(total)
-    packs, batch = P.packed(docs), 0
+    # An entry of 25 bytes for some 80; open stretches make up to six times the text, but most stretches are not open; hot windows are rarer still.
+    n1, n2, n3 = P.bucket_count(total * 25 / 80), P.bucket_count(total), P.bucket_count(total)
+    packs, batch, secret = P.packed(docs), 0, R.new_key()
     if index is not None:
-        n1, batch = index.levels.buckets, index.levels.batches
+        n1, batch, secret = index.levels.buckets, index.levels.batches, index.levels.key
         packs.withColumn("pack", F.col("pack") + (batch << BATCH)).write.mode("overwrite").parquet(f"{index.root}/packs-{batch}")
         packs = index.packs(batch)
 
     def ask_anchors(pack, table):
-        yield from Batch(table, window, least).ask(n1)
+        yield from Batch(table, window, least, secret).ask(n1)
 
     def ask_open(pack, table, told):
-        x = Batch(table, window, least)
+        x = Batch(table, window, least, secret)
         flags = x.told(told, n1) if pack >> BATCH == batch else x.spoken(told)
         text, many = x.open(flags)
         yield from x.ask_text(text, flags, n2)
@@ -297,7 +305,7 @@ def suffix_dedup(docs: DataFrame, window: int = 400, least: int = LEAST, most: i
         return answer_text(rows, window, least) if bucket < n2 else answer_hot(rows)
 
     def cut(pack, table, told):
-        x = Batch(table, window, least)
+        x = Batch(table, window, least, secret)
         flags = x.told(told[0], n1)
         of = flags[x.entry]
         text, many = x.open(flags)
@@ -340,7 +348,7 @@ def suffix_dedup(docs: DataFrame, window: int = 400, least: int = LEAST, most: i
         opened = P.answer(P.ask_again(packs, anchors, ask_open), answer_open)
         return P.apply(packs, [anchors, opened], cut, SCHEMA, OUT)
     checkpoints(docs.sparkSession)
-    anchors = P.answer(questions.unionAll(index.levels.held()), lambda bucket, rows: answer_anchors(rows, most, True)).checkpoint()
+    anchors = P.answer(questions.unionAll(index.levels.held()), lambda bucket, rows: answer_anchors(rows, most, batch)).checkpoint()
     speakers, asked = packs, anchors.where("pack >= 0")
     for earlier in range(batch):
         speakers = speakers.unionAll(index.packs(earlier).join(asked.select("pack").distinct(), "pack", "left_semi"))
@@ -352,7 +360,7 @@ def suffix_dedup(docs: DataFrame, window: int = 400, least: int = LEAST, most: i
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """Beside the contract's columns ``longest_shared``: passages of over 50 words can be shorter than the 400 bytes that are removed."""
-    done = suffix_dedup(spread(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    done = suffix_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return done.select(
         "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"), "longest_shared",

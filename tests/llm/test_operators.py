@@ -797,3 +797,28 @@ def test_equal_windows(unit):
         assert len(set(zip(key, number.tolist(), strict=True))) == len(set(key)) == len(set(number.tolist()))
         seen += len(rows)
     assert seen > 50
+
+
+#: Two words with one public print, and two blocks of 16 bytes whose joins collide: nothing may take them for the same.
+TWINS = ("dqsrghmqcjsqhewz", "nriprexkfjjglywm")
+BLOCKS = ("bbroduqrzeowvyds", "bjmvqyhtilmixlxw")
+
+
+@pytest.mark.parametrize("most", [2, 4096])
+def test_texts_built_to_share_prints(spark, most):
+    a, b = (np.frombuffer(w.encode(), np.uint8) for w in TWINS)
+    ends = np.array([0]), np.array([16])
+    assert _prints.spans(_prints.eights(a), *ends) == _prints.spans(_prints.eights(b), *ends)
+    assert _prints.word_prints(TWINS[0].encode(), *ends, 7) != _prints.word_prints(TWINS[1].encode(), *ends, 7)
+    words = passage(91, 36).split()
+    with_twins = [" ".join([*words[:6], t, *words[6:12]]) for t in TWINS] + [f"{passage(92 + i, 9)} {' '.join([*words[:6], TWINS[1], *words[6:12]])} {passage(95 + i, 9)}" for i in range(4)]
+    ids = [*range(len(with_twins))]
+    got = rows_of(substring_dedup.substring_dedup(frame(spark, with_twins), most=most))
+    assert [(got[i].n_words, sum(s.end - s.start for s in got[i].spans), bytes(got[i].kept)) for i in ids] == brute_substring(with_twins, ids)
+    assert not got[1].spans
+    every_fifth = [" ".join(x for i, w in enumerate(words) for x in ([t, w] if i % 4 == 0 else [w])) for t in TWINS]  # each shingle holds one
+    got = rows_of(jaccard_join.jaccard_join(frame(spark, every_fifth)))
+    assert [got[i].component_id for i in (0, 1)] == [0, 1]
+    rest = passage(97, 120)[:400]
+    got = rows_of(suffix_dedup.suffix_dedup(frame(spark, [x + rest for x in BLOCKS]), most=most))
+    assert [bytes(got[i].kept).decode() for i in (0, 1)] == list(BLOCKS)
