@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express them, their SQL."""
 
-from . import ann, bpe, decontaminate, jaccard_join, language, line_dedup, substring_dedup, suffix_dedup, toxicity, url_filter
+from . import ann, bpe, centroids, decontaminate, jaccard_join, language, line_dedup, periodic, quality, substring_dedup, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     f.__name__: f
@@ -15,9 +15,12 @@ QUERIES = {
         url_filter.op8_url_filter,
         jaccard_join.op9_jaccard_join,
         line_dedup.op10_line_dedup,
+        quality.op11_quality,
+        periodic.op12_periodic_runs,
+        centroids.op13_centroids,
     )
 }
-#: Without SQL: op3 and op5 (learnt) and op4 (tokenizer); tests hold these against brute force.
+#: Without SQL: op3, op5 and op11 (learnt) and op4 (tokenizer); tests hold these against brute force.
 ORACLES = {
     "op1_suffix_dedup": suffix_dedup.ORACLE,
     "op2_substring_dedup": substring_dedup.ORACLE,
@@ -26,4 +29,6 @@ ORACLES = {
     "op8_url_filter": url_filter.ORACLE,
     "op9_jaccard_join": jaccard_join.ORACLE,
     "op10_line_dedup": line_dedup.ORACLE,
+    "op12_periodic_runs": periodic.ORACLE,
+    "op13_centroids": centroids.ORACLE,
 }

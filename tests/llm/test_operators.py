@@ -46,7 +46,7 @@ def rows_of(df):
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_sql(spark, name):
-    same(queries.QUERIES[name](spark, SF).toPandas(), expected(queries.ORACLES[name]))
+    same(*(df.convert_dtypes() for df in (queries.QUERIES[name](spark, SF).toPandas(), expected(queries.ORACLES[name]))))
 
 
 # op1
