@@ -2,7 +2,7 @@
 
 Each stage takes the documents that the one before it kept, whole, and its decisions take effect: rejected documents go, repeated
 lines go, one document of each near-duplicate group stays (the least id), contaminated documents go, and the rest is tokenised. All
-stages but the last return the columns of ``documents``.
+stages but the last return the columns of ``documents``, and any others that came with them.
 """
 
 from __future__ import annotations
@@ -13,20 +13,20 @@ from pyspark.sql import functions as F
 
 from letterloom.llm import bpe, decontaminate, jaccard_join, line_dedup, toxicity
 from letterloom.llm._session import checkpoints
+from letterloom.llm._packs import settled
 from letterloom.ship import ship
-from letterloom.spread import spread
 
 
-#: Rows are named by their texts' fingerprints where ids can be null or repeated.
-KEY = "text_key"
-
-
-def text_key() -> Column:
-    return F.xxhash64(F.col("text").cast("string"))
+def private(docs: DataFrame) -> str:
+    """A name that no column of ``docs`` has."""
+    name, held = "row_key", {c.lower() for c in docs.columns}
+    while name in held:
+        name += "_"
+    return name
 
 
 def wide_key() -> Column:
-    """128 bits, where the key alone names a row."""
+    """128 bits, where the key alone names a text."""
     return F.md5(F.col("text").cast("string"))
 
 
@@ -43,21 +43,26 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by a Jaccard similarity of 0.8 or more, that with the least id stays; those without an id and repeats of the least id stay.
+    """Of documents linked by a Jaccard similarity of 0.8 or more, copies among them, one row stays: that with the least id, one without an id only if none has
+    one, and of rows that share the least id the first.
 
-    Rows that share an id are judged each by its own text: a row goes if its id and text are those of a linked row with a larger id than the least.
+    Rows are told apart by their places, which do not change between readings of a table; each is judged by its own text, whatever its id.
     """
-    keyed = docs.withColumn(KEY, text_key())
-    gone = jaccard_join.jaccard_join(keyed, carry=(KEY,)).where("component_id <> doc_id").select("doc_id", KEY).distinct()
-    return keyed.join(gone, ["doc_id", KEY], "left_anti").select(docs.columns)
+    key, docs = private(docs), settled(docs)
+    keyed = docs.withColumn(key, F.monotonically_increasing_id())
+    linked = jaccard_join.jaccard_join(keyed.select(F.col(key).alias("doc_id"), "text", F.col("doc_id").cast("long").alias("id")), carry=("id",))
+    first = F.min(F.struct(F.col("id").isNull(), "id", "doc_id"))
+    stay = linked.groupBy("component_id").agg(first.alias("first")).select(F.col("first.doc_id").alias(key))
+    return keyed.join(stay, key, "left_semi").select(docs.columns)
 
 
 def contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark window go, each judged by its own text, whatever its id: null and repeated ones are no exception."""
-    keyed = docs.withColumn(KEY, wide_key())
-    told = decontaminate.contamination(keyed.select(KEY, "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=KEY)
-    gone = told.where("n_hit > 0").select(F.col("doc_id").alias(KEY)).distinct()
-    return keyed.join(gone, KEY, "left_anti").select(docs.columns)
+    key = private(docs)
+    keyed = docs.withColumn(key, wide_key())
+    told = decontaminate.contamination(keyed.select(key, "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key=key)
+    gone = told.where("n_hit > 0").select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(gone, key, "left_anti").select(docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,7 +83,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     checkpoints(spark)
-    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = stage(spark, docs, sf_dir).checkpoint()
     return STAGES[-1][1](spark, docs, sf_dir)
