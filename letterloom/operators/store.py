@@ -3,7 +3,17 @@
 ``root/v<n>`` holds what version n changed: ``rows`` (new or replaced letters) and ``gone`` (ids whose older rows no longer count). Its header,
 ``root/v<n>/HEADER``, is put in place last, by a rename to a name that is not taken, and lists the versions that make up the state; the newest version with a
 header is the current one. Nothing is ever overwritten or removed by a change, so a writer that dies at any moment leaves the version before it, and
-readers see one version or the other. One writer at a time. After ``CHAIN`` changes the next one writes the state as a whole.
+readers see one version or the other.
+
+*Slots.* The base of a state is cut by ``letter_id`` into slots, a file each: a key belongs to the slot with the largest lower bound up to it, and
+``FILES`` lists each file's bounds. A change finds the slots of its keys and reads these files only (:meth:`Store.near`), to know which keys are held and their
+places; readers join tombstones with the slots that changes have touched and take all others as they are. After ``CHAIN`` changes the next one
+folds them in: it rewrites the touched slots (one that has outgrown ``file_rows`` is split) and lists the other files again, wherever they stand.
+
+*Writers.* A change is computed on the state it has seen and written to a folder of its own. To publish it a writer claims the next number by a file that
+only one can create, waits for smaller claims (until they expire) and gives up if the state has moved on meanwhile; the change is then computed anew
+on the new state, so both writers' changes stay. Who has read rows before can name that version (``since``): if one of the keys was changed
+after it, the change is refused with :class:`ConcurrentChange`.
 
 Filters reach the scan as Parquet predicates since the fields are columns of their own; ``partition_by`` adds pruning. Scores are computed in double
 precision from the float vectors.
@@ -12,9 +22,15 @@ precision from the float vectors.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Sequence
+import time
+import uuid
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
+from typing import NamedTuple
+from urllib.parse import unquote
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,14 +42,38 @@ SCHEMA = (
 )
 
 
-#: Changes on top of a whole before the next whole.
+#: Changes on top of a base before the next one folds them in.
 CHAIN = 8
+#: Rows of a slot's file.
+FILE_ROWS = 200_000
+#: Seconds that a writer may take to publish what it has written, and how often a change is computed anew.
+LEASE, RETRIES = 60.0, 20
+#: Seconds after which a folder that no writer has published counts as left behind.
+STALE = 86_400.0
 
 
 class EmbeddingModelMismatch(ValueError):
     """The store was built with another model or dimension."""
 
 
+class ConcurrentChange(RuntimeError):
+    """Another writer has changed the same letters meanwhile."""
+
+
+class Moved(Exception):
+    """The state is no longer the one that a change was computed on."""
+
+
+class File(NamedTuple):
+    """A file of rows: its path below the store's root, its slot's lower bound, its least and largest key, and how many rows it has."""
+
+    path: str
+    low: str
+    least: str
+    most: str
+    n: int
+
+
 def matches(where: dict | None) -> Column:
     """All equalities hold; a missing value never matches; no filter matches everything."""
     return reduce(lambda a, b: a & b, (F.col(k) == F.lit(v) for k, v in (where or {}).items()), F.lit(True))
@@ -62,15 +102,16 @@ def without_matches(rows: DataFrame, where: dict) -> DataFrame:
     return rows.where(~F.coalesce(matches(where), F.lit(False)))
 
 
-def changes(base: DataFrame, batch: DataFrame, key: str = "letter_id", order: str = "ord", pos: str = "pos") -> DataFrame:
-    """The batch's rows as they stand in the store: of a key's rows the last counts; known keys keep their ``order``, new ones follow in batch order.
+def changes(base: DataFrame, batch: DataFrame, key: str = "letter_id", order: str = "ord", pos: str = "pos", top: int | None = None) -> DataFrame:
+    """The batch's rows as they stand in the store: of a key's rows the last counts; known keys keep their ``order``, new ones follow in batch order after
+    ``top`` (the largest number of ``base`` if not given; ``base`` may then be any part of the state that has the batch's keys).
 
     New numbers rise in batch order and have gaps: a range-partitioned sort and the row's place in its partition give them without bringing
     rows together.
     """
     columns, w = [c for c in base.columns if c != order], Window.partitionBy(key)
     last = batch.withColumn("_first", F.min(pos).over(w)).withColumn("_last", F.row_number().over(w.orderBy(F.desc(pos)))).where("_last = 1")
-    top = base.agg(F.coalesce(F.max(order), F.lit(-1)).alias("m")).first().m
+    top = base.agg(F.coalesce(F.max(order), F.lit(-1)).alias("m")).first().m if top is None else top
     held = last.join(base.select(key, F.col(order).alias("_held")), key, "left").orderBy("_first")
     number = F.coalesce("_held", F.monotonically_increasing_id() + F.lit(top + 1))
     return held.select(number.alias(order), *columns).select(*base.columns)
@@ -99,101 +140,257 @@ def cosine_query(rows: DataFrame, vector: Sequence[float], k: int, where: dict |
     return rows.where(matches(where)).withColumn("distance", 1 - similarity("embedding", query)).orderBy("distance", order).limit(k)
 
 
+def slot_of(lows: list[str]) -> Callable[[Column | str], Column]:
+    """The number of a key's slot: that of the last of the sorted bounds up to the key. As many bounds as there are files travel to the tasks."""
+    if len(lows) <= 1:
+        return lambda key: F.lit(0)
+
+    @F.pandas_udf("int")
+    def find(keys: pd.Series) -> pd.Series:
+        return pd.Series([max(bisect_right(lows, k or "") - 1, 0) for k in keys], dtype="int32")
+
+    return lambda key: find(col(key))
+
+
 class Store:
-    def __init__(self, spark: SparkSession, root: str, embedding_model: str, dimension: int, partition_by: Sequence[str] = ()):
-        self.spark, self.root, self.model, self.dimension, self.partition_by = spark, root.rstrip("/"), embedding_model, dimension, list(partition_by)
+    def __init__(self, spark: SparkSession, root: str, embedding_model: str, dimension: int, partition_by: Sequence[str] = (), file_rows: int = FILE_ROWS):
+        self.spark, self.root, self.model, self.dimension, self.partition_by, self.file_rows = spark, root.rstrip("/"), embedding_model, dimension, list(partition_by), file_rows
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
         if (head := self._head()) is None:
-            self._commit([], rows=spark.createDataFrame([], SCHEMA))
+            self._publish(None, self._staged(), {"chain": [], "top": -1, "touched": []}, [])
         elif (head["embedding_model"], head["embedding_dimension"]) != (embedding_model, dimension):
             raise EmbeddingModelMismatch(f"store has {head['embedding_model']} ({head['embedding_dimension']}), asked for {embedding_model} ({dimension})")
 
+    # Names and small files.
     def _versions(self) -> list[int]:
         """All version folders, complete or not, newest first."""
         root = self._path(self.root)
         names = [f.getPath().getName() for f in self._fs.listStatus(root)] if self._fs.exists(root) else []
         return sorted((int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()), reverse=True)
 
+    def _exists(self, path: str) -> bool:
+        return self._fs.exists(self._path(f"{self.root}/{path}"))
+
+    def _delete(self, path: str) -> None:
+        self._fs.delete(self._path(f"{self.root}/{path}"), True)
+
+    def _get(self, path: str):
+        return json.loads(self.spark.read.text(f"{self.root}/{path}", wholetext=True).first().value)
+
+    def _put(self, path: str, value) -> None:
+        out = self._fs.create(self._path(f"{self.root}/{path}"), True)
+        out.write(json.dumps(value).encode())
+        out.close()
+
+    def _rename(self, path: str, to: str) -> None:
+        if self._exists(to) or not self._fs.rename(self._path(f"{self.root}/{path}"), self._path(f"{self.root}/{to}")):
+            raise OSError(f"cannot set {to}")
+
     def _head(self) -> dict | None:
-        for v in self._versions():
-            header = self._path(f"{self.root}/v{v}/HEADER")
-            if self._fs.exists(header):
-                return json.loads(self.spark.read.text(header.toString()).first().value)
-        return None
+        return next((self._get(f"v{v}/HEADER") for v in self._versions() if self._exists(f"v{v}/HEADER")), None)
 
     def version(self) -> int | None:
         return None if (head := self._head()) is None else head["version"]
 
-    def rows(self) -> DataFrame:
-        """Of each letter the row of the newest version that has one, unless a version since says that it is gone."""
-        chain = self._head()["chain"]
-        read = lambda v: self.spark.read.schema(SCHEMA).parquet(f"{self.root}/v{v}/rows")
-        if len(chain) == 1:
-            return read(chain[0])
-        every = reduce(DataFrame.unionByName, (read(v).withColumn("_v", F.lit(v)) for v in chain))
-        gone = reduce(DataFrame.unionByName, (self.spark.read.schema("letter_id string").parquet(f"{self.root}/v{v}/gone").withColumn("_gone", F.lit(v)) for v in chain[1:]))
+    # Files and rows.
+    def _files(self, version: int) -> list[File]:
+        return [File(*f) for f in self._get(f"v{version}/FILES")]
+
+    def files(self) -> list[str]:
+        """Paths of all files of rows that make up the state."""
+        return [f.path for v in self._head()["chain"] for f in self._files(v)]
+
+    def _read(self, files: list[File]) -> DataFrame:
+        if not files:
+            return self.spark.createDataFrame([], SCHEMA)
+        if not self.partition_by:  # no folder name counts as a column
+            return self.spark.read.schema(SCHEMA).option("recursiveFileLookup", True).parquet(*[f"{self.root}/{f.path}" for f in files])
+        parts: dict[str, list[str]] = {}
+        for f in files:
+            parts.setdefault(f.path.split("/")[0], []).append(f"{self.root}/{f.path}")
+        read = [self.spark.read.schema(SCHEMA).option("basePath", f"{self.root}/{v}/rows").parquet(*paths) for v, paths in parts.items()]
+        return reduce(DataFrame.unionByName, (x.select(*[c.split(" ")[0] for c in SCHEMA.split(", ")]) for x in read))
+
+    def _gone(self, version: int) -> DataFrame:
+        return self.spark.read.schema("letter_id string").parquet(f"{self.root}/v{version}/gone")
+
+    def _merged(self, head: dict, files: list[File], within: tuple[str, str] | None = None) -> DataFrame:
+        """What counts of some files of the base and of all changes (or of those of their files that overlap a range of keys): of each letter the row
+        of the newest version that has one, unless a version since says that it is gone."""
+        first, *later = head["chain"]
+        if not later:
+            return self._read(files)
+        fits = lambda f: within is None or f.least <= within[1] and within[0] <= f.most
+        every = self._read(files).withColumn("_v", F.lit(first))
+        for v in later:
+            if own := [f for f in self._files(v) if fits(f)]:
+                every = every.unionByName(self._read(own).withColumn("_v", F.lit(v)))
+        gone = reduce(DataFrame.unionByName, (self._gone(v).withColumn("_gone", F.lit(v)) for v in later))
         gone = gone.groupBy("letter_id").agg(F.max("_gone").alias("_gone"))
-        return every.join(gone, "letter_id", "left").where(F.col("_gone").isNull() | (F.col("_gone") <= F.col("_v"))).select(*read(chain[0]).columns)
-
-    def _commit(self, chain: list[int], rows: DataFrame | None = None, gone: DataFrame | None = None, version: int | None = None) -> None:
-        version = max(self._versions(), default=-1) + 1 if version is None else version
-        target = f"{self.root}/v{version}"
-        if rows is None:
-            rows = self.spark.createDataFrame([], SCHEMA)
-        (rows.write.partitionBy(*self.partition_by) if self.partition_by else rows.write).parquet(f"{target}/rows")
-        if gone is not None:
-            gone.select("letter_id").distinct().write.parquet(f"{target}/gone")
-        head = {"version": version, "chain": [*chain, version], "embedding_model": self.model, "embedding_dimension": self.dimension}
-        staged, header = self._path(f"{target}/.HEADER"), self._path(f"{target}/HEADER")
-        out = self._fs.create(staged, True)
-        out.write(json.dumps(head).encode())
-        out.close()
-        if not self._fs.rename(staged, header):
-            raise OSError(f"cannot set {header.toString()}")
-
-    def _change(self, rows: DataFrame | None, gone: DataFrame, version: int | None = None) -> None:
-        """Rows that count from now on, and the ids whose older rows don't; as a change, or as a new whole after ``CHAIN`` of them."""
-        chain = self._head()["chain"]
-        if len(chain) <= CHAIN and self.rows().limit(1).count():
-            return self._commit(chain, rows, gone, version)
-        whole = self.rows().join(gone.select("letter_id"), "letter_id", "left_anti")
-        self._commit([], whole.unionByName(rows) if rows is not None else whole, version=version)
-
-    def upsert(self, batch: DataFrame) -> None:
+        kept = every.join(gone, "letter_id", "left").where(F.col("_gone").isNull() | (F.col("_gone") <= F.col("_v")))
+        return kept.select(*[c.split(" ")[0] for c in SCHEMA.split(", ")])
+
+    def rows(self) -> DataFrame:
+        """The whole state. Only files that changes have touched are joined with what is gone."""
+        head = self._head()
+        base, touched = self._files(head["chain"][0]), set(head["touched"])
+        if len(head["chain"]) == 1:
+            return self._read(base)
+        calm = [f for i, f in enumerate(base) if i not in touched]
+        rest = self._merged(head, [f for i, f in enumerate(base) if i in touched])
+        return self._read(calm).unionByName(rest) if calm else rest
+
+    def _slots(self, head: dict, keys: DataFrame) -> tuple[list[File], set[int], tuple[str, str] | None]:
+        """The base, the numbers of the slots that keys fall into, and the least and largest key."""
+        base = self._files(head["chain"][0])
+        found = keys.agg(F.collect_set(slot_of([f.low for f in base])("letter_id")).alias("s"), F.min("letter_id").alias("a"), F.max("letter_id").alias("b")).first()
+        return base, set(found.s) if base else set(), None if found.a is None else (found.a, found.b)
+
+    def near(self, keys: DataFrame, head: dict | None = None) -> DataFrame:
+        """A part of the state that has all rows with these ``letter_id``: only files whose bounds they fall into are read."""
+        head = head or self._head()
+        base, slots, within = self._slots(head, keys)
+        return self._merged(head, [base[i] for i in sorted(slots)], within or ("", ""))
+
+    # Changes.
+    def _staged(self) -> str:
+        return f"w-{uuid.uuid4().hex}"
+
+    def _written(self, rows: DataFrame, path: str, total: int, slots: list[str] | None = None) -> tuple[list[File], int]:
+        """Write rows in the order of their keys, ``file_rows`` to a file; its files, and the largest ``ord``. With ``slots`` (bounds) no file spans two."""
+        parts, keys = max(1, -(-total // self.file_rows)), ["letter_id"]
+        if slots is not None:
+            rows, keys = rows.withColumn("_slot", slot_of(slots)("letter_id")), ["_slot", "letter_id"]
+        rows = (rows.repartitionByRange(parts, *keys) if parts > 1 else rows.coalesce(1)).sortWithinPartitions(*self.partition_by, *keys)
+        by = (["_slot"] if slots is not None else []) + self.partition_by
+        writer = rows.write.option("maxRecordsPerFile", self.file_rows)
+        (writer.partitionBy(*by) if by else writer).parquet(f"{self.root}/{path}")
+        there = self.spark.read.schema("ord bigint, letter_id string").option("recursiveFileLookup", True).parquet(f"{self.root}/{path}")
+        found = there.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.min("letter_id").alias("a"), F.max("letter_id").alias("b"), F.count("*").alias("n"), F.max("ord").alias("o")).collect()  # a row a file
+        files = [File(f"{path}/" + unquote(r.path).rpartition(f"/{path}/")[2], r.a, r.a, r.b, r.n) for r in found]
+        return sorted(files, key=lambda f: (f.least, f.path)), max((r.o for r in found), default=-1)
+
+    def _commit(self, head: dict, rows: DataFrame | None, gone: DataFrame, total: int) -> None:
+        """Rows that count from now on, and the ids whose older rows don't; as a change, or folded into the base after ``CHAIN`` of them."""
+        staged = self._staged()
+        gone.select("letter_id").distinct().write.parquet(f"{self.root}/{staged}/gone")
+        gone = self.spark.read.schema("letter_id string").parquet(f"{self.root}/{staged}/gone")
+        base, slots, _ = self._slots(head, gone)
+        touched = set(head["touched"]) | slots
+        if base and len(head["chain"]) <= CHAIN:
+            files, top = self._written(rows, f"{staged}/rows", total) if rows is not None else ([], -1)
+            new = {"chain": head["chain"], "touched": sorted(touched)}
+        else:
+            held = [base[i] for i in sorted(touched)]
+            whole = self._merged(head, held).join(gone, "letter_id", "left_anti")
+            whole = whole.unionByName(rows) if rows is not None else whole
+            total += sum(f.n for f in held) + sum(f.n for v in head["chain"][1:] for f in self._files(v))
+            lows = [f.low for f in base]
+            files, top = self._written(whole, f"{staged}/rows", total, lows if len(base) > 1 else None)
+            # Of each slot the first new file takes over the bound; the others begin at their own least keys.
+            seen: set[int] = set()
+            for i, f in enumerate(files):
+                slot = max(bisect_right(lows, f.least) - 1, 0)
+                files[i] = f if slot in seen or not lows else f._replace(low=lows[slot])
+                seen.add(slot)
+            files = sorted([f for i, f in enumerate(base) if i not in touched] + files, key=lambda f: (f.low, f.least))
+            new = {"chain": [], "touched": []}
+        self._publish(head, staged, new | {"top": max(top, head["top"])}, files)
+
+    def _publish(self, head: dict | None, staged: str, new: dict, files: list[File]) -> None:
+        """Put a staged change in place, if ``head`` is still the state."""
+        version = max(self._versions(), default=-1) + 1
+        while True:  # a number is claimed by a file that only one writer can create
+            try:
+                self._fs.create(self._path(f"{self.root}/v{version}/CLAIM"), False).close()
+                break
+            except Exception as e:  # noqa: BLE001  what the JVM throws
+                if "AlreadyExists" not in str(e):
+                    raise
+                version += 1
+        began, seen = time.monotonic(), -1 if head is None else head["version"]
+        for v in range(seen + 1, version):
+            while self._exists(f"v{v}/CLAIM") and not self._exists(f"v{v}/HEADER") and time.monotonic() - began < LEASE:
+                time.sleep(0.05)
+            if self._exists(f"v{v}/HEADER"):
+                self._delete(f"v{version}")
+                self._delete(staged)
+                raise Moved
+        for part in ("rows", "gone"):
+            if self._exists(f"{staged}/{part}"):
+                self._rename(f"{staged}/{part}", f"v{version}/{part}")
+        files = [f._replace(path=f"v{version}{f.path.removeprefix(staged)}") if f.path.startswith(f"{staged}/") else f for f in files]
+        self._put(f"v{version}/FILES", [list(f) for f in files])
+        uses = sorted({int(f.path.split("/")[0][1:]) for f in files} | {version} | {u for v in new["chain"] for u in self._get(f"v{v}/HEADER")["uses"]})
+        self._put(f"v{version}/.HEADER", {"version": version, "embedding_model": self.model, "embedding_dimension": self.dimension, "uses": uses} | new | {"chain": [*new["chain"], version]})
+        if time.monotonic() - began > 2 * LEASE:
+            raise TimeoutError(f"version {version} took too long to put in place")
+        self._rename(f"v{version}/.HEADER", f"v{version}/HEADER")
+        self._delete(staged)
+
+    def _transact(self, make: Callable[[dict], tuple[DataFrame | None, DataFrame, int] | None]) -> None:
+        """``make(head)`` gives rows, gone ids and the number of rows, or None if there is nothing to do; computed anew if the state moves meanwhile."""
+        for _ in range(RETRIES):
+            head = self._head()
+            if (made := make(head)) is None:
+                return
+            try:
+                return self._commit(head, *made)
+            except Moved:
+                continue
+        raise ConcurrentChange(f"the state moved on {RETRIES} times")
+
+    def changed_since(self, version: int, keys: DataFrame) -> DataFrame:
+        """Those of ``keys`` (``letter_id``) that versions after ``version`` have changed."""
+        later = [v for v in self._versions() if v > version and self._exists(f"v{v}/HEADER") and self._exists(f"v{v}/gone")]
+        none = self.spark.createDataFrame([], "letter_id string")
+        return reduce(DataFrame.unionByName, map(self._gone, later), none).join(keys.select("letter_id"), "letter_id", "left_semi").distinct()
+
+    def upsert(self, batch: DataFrame, since: int | None = None) -> None:
         """``batch`` has the store's columns but ``ord``, and ``pos``, its order. An empty batch leaves no new version.
 
-        The batch is written down first, so that its vectors are computed once.
+        The batch is written down first, so that its vectors are computed once. Refused if one of its letters was changed after version ``since``.
         """
-        version = max(self._versions()) + 1
-        written = f"{self.root}/v{version}/batch"
-        batch.write.parquet(written)
-        batch = self.spark.read.schema(batch.schema).parquet(written)
-        if batch.limit(1).count():
-            self._change(changes(self.rows(), batch), batch, version)
-            self._fs.delete(self._path(written), True)
-        else:
-            self._fs.delete(self._path(f"{self.root}/v{version}"), True)
+        written = f"{self._staged()}"
+        batch.write.parquet(f"{self.root}/{written}/batch")
+        batch = self.spark.read.schema(batch.schema).parquet(f"{self.root}/{written}/batch")
+        try:
+            if total := batch.count():
+
+                def make(head: dict):
+                    if since is not None and head["version"] > since and (lost := self.changed_since(since, batch).limit(1).collect()):
+                        raise ConcurrentChange(f"{lost[0].letter_id} was changed after version {since}")
+                    return changes(self.near(batch, head), batch, top=head["top"]), batch, total
+
+                self._transact(make)
+        finally:
+            self._delete(written)
 
     def delete_ids(self, ids: Iterable[str]) -> None:
-        self._remove(self.rows().join(self.spark.createDataFrame([(i,) for i in ids], "letter_id string"), "letter_id", "left_semi"))
+        keys = self.spark.createDataFrame([(i,) for i in ids], "letter_id string")
+        self._remove(lambda head: self.near(keys, head).join(keys, "letter_id", "left_semi"))
 
     def delete_where(self, where: dict) -> None:
-        self._remove(self.rows().where(matches(where)))
+        self._remove(lambda head: self.rows().where(matches(where)))
 
     def keep_ids(self, ids: DataFrame) -> None:
         """Only letters in ``ids`` (``letter_id``) stay."""
-        self._remove(without_ids(self.rows(), ids))
+        self._remove(lambda head: without_ids(self.rows(), ids))
+
+    def _remove(self, rows: Callable[[dict], DataFrame]) -> None:
+        def make(head: dict):
+            found = rows(head).select("letter_id")
+            return (None, found, 0) if found.limit(1).count() else None  # nothing gone: no new version
 
-    def _remove(self, rows: DataFrame) -> None:
-        if rows.limit(1).count():  # nothing gone: no new version
-            self._change(None, rows)
+        self._transact(make)
 
     def count(self) -> int:
         return self.rows().count()
 
     def get(self, ids: Sequence[str]) -> DataFrame:
-        return lookup(self.rows(), self.spark.createDataFrame(list(enumerate(ids)), "pos int, letter_id string"))
+        keys = self.spark.createDataFrame(list(enumerate(ids)), "pos int, letter_id string")
+        return lookup(self.near(keys), keys)
 
     def find(self, where: dict | None = None) -> DataFrame:
         return self.rows().where(matches(where)).orderBy("ord")
@@ -206,9 +403,11 @@ class Store:
 
     def prune(self, keep: int = 2) -> None:
         """Remove what neither the current version nor the ``keep - 1`` before it are made of, and what writers that died left."""
-        heads = [self._path(f"{self.root}/v{v}/HEADER") for v in self._versions()]
-        heads = [json.loads(self.spark.read.text(h.toString()).first().value) for h in heads if self._fs.exists(h)]
-        needed = {v for head in heads[:keep] for v in head["chain"]}
+        heads = [self._get(f"v{v}/HEADER") for v in self._versions() if self._exists(f"v{v}/HEADER")]
+        needed = {v for head in heads[:keep] for v in head["uses"]}
         for v in self._versions():
             if v not in needed and v < heads[0]["version"]:
-                self._fs.delete(self._path(f"{self.root}/v{v}"), True)
+                self._delete(f"v{v}")
+        for f in self._fs.listStatus(self._path(self.root)):
+            if (name := f.getPath().getName()).startswith("w-") and time.time() - f.getModificationTime() / 1000 > STALE:
+                self._delete(name)

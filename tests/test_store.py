@@ -115,3 +115,94 @@ def test_vectors_are_computed_once(spark, store):
     rows = batch(spark, *[(f"k{i}", "t", "edu", "f5", None) for i in range(5)]).withColumn("embedding", embed("document"))
     store.upsert(rows)
     assert calls.value == 5 and store.count() == 8
+
+
+def test_a_change_reads_only_the_files_of_its_keys(spark, tmp_path):
+    s = st.Store(spark, str(tmp_path / "slots"), "m", 2, file_rows=50)
+    s.upsert(batch(spark, *[(f"k{i:05d}", "t", "edu", f"f{i // 20}", [1.0, 0.0]) for i in range(2000)]))
+    assert len(s.files()) >= 40
+    bounds = s._files(s._head()["chain"][0])
+    assert bounds[0].low == bounds[0].least and all(a.most < b.low for a, b in zip(bounds, bounds[1:], strict=False))
+    new = batch(spark, *[(f"k{i:05d}", "new", "rev", "g", [0.0, 1.0]) for i in range(1000, 1020)], ("k01005x", "added", "rev", "g", [0.0, 1.0]))  # 1 %
+    assert 0 < len(s.near(new).inputFiles()) < 0.05 * len(s.files())
+    s.upsert(new)
+    assert len(s._head()["touched"]) < 0.05 * len(bounds)
+    # Readers join tombstones with the touched files only.
+    plan = s.rows()._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and s.count() == 2001
+    assert s.rows().where("document <> 't'").count() == 21 and [r.document for r in s.get(["k01003", "k00001", "k01005x"]).collect()] == ["new", "t", "added"]
+    assert len(s.get(["k00001"]).inputFiles()) <= 3
+    whole = {r.letter_id: r.ord for r in s.rows().collect()}
+    assert len(set(whole.values())) == 2001 and whole["k01005x"] > max(v for k, v in whole.items() if k != "k01005x")
+
+
+def test_changes_fold_into_the_slots_that_they_touch(spark, tmp_path):
+    s = st.Store(spark, str(tmp_path / "slots"), "m", 2, file_rows=40)
+    want = {}
+
+    def put(keys, text):
+        s.upsert(batch(spark, *[(k, text, "edu", "f", [1.0, 0.0]) for k in keys]))
+        want.update(dict.fromkeys(keys, text))
+
+    put([f"k{i:04d}" for i in range(400)], "t")
+    first = set(s.files())
+    for i in range(st.CHAIN):
+        put([f"k0200{c}" for c in "abcdefghij"] + [f"k{210 + j:04d}" for j in range(3)] + ["a-before-all"], f"c{i}")
+    s.delete_where({"letter_id": "k0005"})
+    del want["k0005"]
+    held = s._head()
+    assert len(held["chain"]) == 1 and len(first & set(s.files())) >= len(first) - 4  # files that no key fell into stand as they were
+    assert {r.letter_id: r.document for r in s.rows().collect()} == want
+    put([f"k0300{i:03d}" for i in range(150)], "many")  # outgrows its slot
+    for i in range(st.CHAIN):
+        put([f"k0300{i:03d}"], f"d{i}")
+    bounds = s._files(s._head()["chain"][0])
+    assert max(f.n for f in bounds) <= 40 and all(a.most < b.low for a, b in zip(bounds, bounds[1:], strict=False))
+    assert {r.letter_id: r.document for r in s.rows().collect()} == want
+    s.delete_ids([k for k in want if k < "k0100"])
+    s.prune(1)
+    assert {r.letter_id for r in s.rows().collect()} == {k for k in want if k >= "k0100"}
+
+
+def test_two_writers(spark, store, monkeypatch):
+    other = st.Store(spark, store.root, "m", 2)
+    publish, once = st.Store._publish, []
+
+    def late(self, *args):  # the other writer publishes between this one's reading and publishing
+        if not once:
+            once.append(1)
+            other.upsert(batch(spark, ("o", "theirs", "edu", "f9", [1.0, 0.0]), ("a", "theirs", "edu", "f1", [1.0, 0.0])))
+        return publish(self, *args)
+
+    monkeypatch.setattr(st.Store, "_publish", late)
+    store.upsert(batch(spark, ("m", "mine", "edu", "f8", [1.0, 0.0]), ("b", "mine", "edu", "f1", [1.0, 0.0])))
+    rows = {r.letter_id: r for r in store.rows().collect()}
+    assert {k: r.document for k, r in rows.items()} == {"a": "theirs", "b": "mine", "c": "three", "o": "theirs", "m": "mine"}
+    assert len({r.ord for r in rows.values()}) == 5
+    seen = store.version()
+    other.delete_ids(["c"])
+    with pytest.raises(st.ConcurrentChange):
+        store.upsert(batch(spark, ("c", "from an old reading", "edu", "f2", [0.0, 0.0])), since=seen)
+    store.upsert(batch(spark, ("a", "fresh", "edu", "f1", [1.0, 0.0])), since=seen)
+    assert ids(store.find()) == ["a", "b", "o", "m"] and not [n for n in __import__("os").listdir(store.root) if n.startswith("w-")]
+
+
+def test_writers_at_once(spark, store):
+    from concurrent.futures import ThreadPoolExecutor
+
+    def write(i):
+        st.Store(spark, store.root, "m", 2).upsert(batch(spark, (f"w{i}", "x", "edu", "f", [1.0, 0.0])))
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(write, range(4)))
+    rows = store.rows().collect()
+    assert sorted(r.letter_id for r in rows) == ["a", "b", "c", "w0", "w1", "w2", "w3"] and len({r.ord for r in rows}) == 7
+
+
+def test_partitioned_folders(spark, tmp_path):
+    s = st.Store(spark, str(tmp_path / "parts"), "m", 2, partition_by=["department"], file_rows=10)
+    s.upsert(batch(spark, *[(f"k{i:03d}", "t", ["edu", "a b/c"][i % 2], "f", [1.0, 0.0]) for i in range(60)]))
+    for i in range(st.CHAIN + 2):
+        s.upsert(batch(spark, (f"k{i:03d}", f"n{i}", "rev", "f", [1.0, 0.0])))
+    got = {r.letter_id: (r.document, r.department) for r in s.rows().collect()}
+    assert len(got) == 60 and got["k003"] == ("n3", "rev") and got["k041"] == ("t", "a b/c") and s.distinct("department") == ["a b/c", "edu", "rev"]
