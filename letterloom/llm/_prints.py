@@ -66,6 +66,19 @@ def eights(data: np.ndarray) -> np.ndarray:
     return out
 
 
+class Eights:
+    """What :func:`eights` gives, put together only where it is asked for."""
+
+    def __init__(self, data: np.ndarray):
+        self.n, self.view = len(data), np.lib.stride_tricks.sliding_window_view(np.r_[data, np.zeros(8, np.uint8)], 8)
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, at: np.ndarray) -> np.ndarray:
+        return self.view[at].view(U).ravel()
+
+
 def grams(symbols: np.ndarray, k: int) -> np.ndarray:
     """The fingerprint of every k consecutive symbols, by doubling and one overlapping join."""
     if len(symbols) < k:
@@ -124,7 +137,7 @@ def numbered(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
 
     Prints only find what may be equal: every span is compared with the one that stands for it, byte by byte.
     """
-    eight = eights(data)
+    eight = Eights(data)
     prints = spans(eight, start, end)
     held, some, number = np.unique(prints, return_index=True, return_inverse=True)
     odd = np.flatnonzero(unequal(eight, start, end, some[number]))

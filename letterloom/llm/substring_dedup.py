@@ -48,14 +48,14 @@ class Block:
             at = self.offsets[a : b + 1] - self.offsets[a]
             part = self.data[self.offsets[a] : self.offsets[b]]
             start, end, first = R.words(part, at)
-            prints.append(R.spans(R.eights(part), start, end))
+            prints.append(R.spans(R.Eights(part), start, end))
             starts.append(start + self.offsets[a]), ends.append(end + self.offsets[a]), bounds.append(first[1:] + total)
             total += len(start)
         word = np.concatenate(prints)
         self.start, self.end, self.bounds = np.concatenate(starts), np.concatenate(ends), np.concatenate(bounds)
         short = R.grams(word, gram)  # chooses anchors, decides nothing
         text = self.data.tobytes()
-        self.plain = b" ".join(text[a:b] for a, b in zip(self.start.tolist(), self.end.tolist(), strict=True))
+        self.plain = b" ".join(w for a, b in zip(self.offsets[:-1].tolist(), self.offsets[1:].tolist(), strict=True) if (w := b" ".join(text[a:b].split())))
         self.stop = np.cumsum(self.end - self.start + 1) - 1  # where words end in it
         self.first, self.last, self.at = R.anchored(short, gram, self.bounds, window)
         self.doc = np.searchsorted(self.bounds, self.first, side="right") - 1
@@ -164,7 +164,7 @@ def answer_text(rows: list[tuple[int, bytes]], window: int) -> list[tuple[int, b
     anchor, holder, size, high, low = map(np.concatenate, zip(*parts, strict=True))
     data, high, low = np.concatenate(texts), high.astype(np.int64), low.astype(np.int64)
     start, end, first = R.words(data, np.r_[0, np.cumsum(size, dtype=np.int64)])
-    word = (R.numbered(data, start, end)[2] + 1).astype(R.U)  # in this bucket; zeros stand beyond the end
+    word = (R.numbered(data, start, end)[2] + 1).astype(np.uint32)  # in this bucket; zeros stand beyond the end
     at = first[:-1] + high
     left, right = SuffixArray(anchor, columns(word, first[:-1], at, backwards=True), 1), SuffixArray(anchor, columns(word, at, first[1:]), 1)
     many = high - low + 1
