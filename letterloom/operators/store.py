@@ -323,7 +323,7 @@ class Store:
         files = [f._replace(path=f"v{version}{f.path.removeprefix(staged)}") if f.path.startswith(f"{staged}/") else f for f in files]
         self._put(f"v{version}/FILES", [list(f) for f in files])
         uses = sorted({int(f.path.split("/")[0][1:]) for f in files} | {version} | {u for v in new["chain"] for u in self._get(f"v{v}/HEADER")["uses"]})
-        self._put(f"v{version}/.HEADER", {"version": version, "embedding_model": self.model, "embedding_dimension": self.dimension, "uses": uses} | new | {"chain": [*new["chain"], version]})
+        self._put(f"v{version}/.HEADER", {"version": version, "embedding_model": self.model, "embedding_dimension": self.dimension, "uses": uses, "parent": seen} | new | {"chain": [*new["chain"], version]})
         if time.monotonic() - began > 2 * LEASE:
             raise TimeoutError(f"version {version} took too long to put in place")
         self._rename(f"v{version}/.HEADER", f"v{version}/HEADER")
@@ -341,6 +341,16 @@ class Store:
                 continue
         raise ConcurrentChange(f"the state moved on {RETRIES} times")
 
+    def changed_keys(self, version: int) -> DataFrame | None:
+        """``letter_id`` of all letters that were changed on the way from ``version`` to the current one; None if a step of it was pruned."""
+        out, at = self.spark.createDataFrame([], "letter_id string"), self.version()
+        while at != version:
+            if at < version or not self._exists(f"v{at}/HEADER"):
+                return None
+            out = out.unionByName(self._gone(at)) if self._exists(f"v{at}/gone") else out
+            at = self._get(f"v{at}/HEADER")["parent"]
+        return out
+
     def changed_since(self, version: int, keys: DataFrame) -> DataFrame:
         """Those of ``keys`` (``letter_id``) that versions after ``version`` have changed."""
         later = [v for v in self._versions() if v > version and self._exists(f"v{v}/HEADER") and self._exists(f"v{v}/gone")]
