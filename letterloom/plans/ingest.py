@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.plausibility import needs_review
 from ..functions.text import clean_lines, letter_id
-from ..operators.embed import hash_embedding
+from ..operators.embed import VectorCache, hash_embedding
 from ..operators.fonts import KEYS
 from ..operators.metadata import extract, with_overrides
 from ..operators.segment import cut, files_of, least_plausibility
@@ -20,8 +22,8 @@ def letters_of_lines(lines: DataFrame) -> DataFrame:
     return found.select("source_file", "segment_index", clean_lines(F.transform("lines", lambda x: x["text"])).alias("lines"), least_plausibility(F.col("lines")).alias("min_line_plausibility"))
 
 
-def ingest(spark: SparkSession, root: str, overrides: DataFrame | None = None, pdf: src.Extractor | None = None, ocr: src.Ocr | None = None, table=KEYS, qualified: bool = False, only: str | None = None) -> DataFrame:
-    """The ``letters`` relation of a folder tree, or of one file in it (``only``, a relative path).
+def ingest(spark: SparkSession, root: str, overrides: DataFrame | None = None, pdf: src.Extractor | None = None, ocr: src.Ocr | None = None, table=KEYS, qualified: bool = False, only: str | Sequence[str] | None = None) -> DataFrame:
+    """The ``letters`` relation of a folder tree, or of one file or some in it (``only``, relative paths).
 
     Text files are one letter each, never segmented or scored. ``letter_id`` is the file's stem and the segment's number; ``qualified`` takes the whole
     relative path instead of the stem, so that equal names in different folders stay apart.
@@ -35,11 +37,6 @@ def ingest(spark: SparkSession, root: str, overrides: DataFrame | None = None, p
     return finish(parts.unionByName(plain), overrides, qualified)
 
 
-def skipped(spark: SparkSession, root: str, pdf: src.Extractor | None) -> DataFrame:
-    """``source_file`` of the files that :func:`ingest` leaves out: PDFs, where no callable reads them."""
-    return src.scan(spark, root).where(F.lit(pdf is None) & (F.col("suffix") == ".pdf")).select("source_file")
-
-
 def finish(parts: DataFrame, overrides: DataFrame | None = None, qualified: bool = False) -> DataFrame:
     named = parts.select("*", *src.path_fields("source_file"))
     stem = F.regexp_replace("source_file", r"\.[^./]*\z", "") if qualified else F.col("stem")
@@ -61,13 +58,14 @@ def document_rollup(letters: DataFrame) -> DataFrame:
     )
 
 
-def store_batch(letters: DataFrame, embedding=None) -> DataFrame:
-    """Letters as the store takes them: scalar metadata only, ``pos`` in order of file and segment."""
+def store_batch(letters: DataFrame, embedding=None, cache: VectorCache | None = None) -> DataFrame:
+    """Letters as the store takes them: scalar metadata only, ``pos`` in order of file and segment. Texts that a ``cache`` knows don't reach the model."""
+    letters = cache.attach(letters, "text", "_vector", embedding) if cache is not None else letters
     extra = F.map_filter(
         F.create_map(*[x for f in ("context_reference", "reference_number", "reference_date", "recipient_designation", "sender_designation") for x in (F.lit(f), F.col(f))]),
         lambda _, v: v.isNotNull(),
     )
-    vector = (embedding("text") if embedding is not None else hash_embedding("text")).cast("array<float>")
+    vector = F.col("_vector") if cache is not None else (embedding("text") if embedding is not None else hash_embedding("text")).cast("array<float>")
     return letters.select(
         F.struct("source_file", "segment_index").alias("pos"), "letter_id", F.col("text").alias("document"), "department", "office", "letter_type", "subject", "source_file", "needs_review", extra.alias("extra"), vector.alias("embedding"),
     )

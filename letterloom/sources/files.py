@@ -5,7 +5,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from urllib.parse import unquote, urlparse
 from xml.etree import ElementTree
 
@@ -26,26 +26,27 @@ class ExtractorUnavailable(RuntimeError):
     """A format needs a callable that was not given."""
 
 
-def scan(spark: SparkSession, root: str, only: str | None = None) -> DataFrame:
-    """Files under ``root`` with a known suffix, none of them in a ``.meta`` folder: ``source_file`` (relative), ``suffix, department, office, stem, content``.
+def scan(spark: SparkSession, root: str, only: str | Sequence[str] | None = None) -> DataFrame:
+    """Files under ``root`` with a known suffix, none of them in a ``.meta`` folder: ``source_file`` (relative), ``suffix, department, office, stem, length, content, modified``.
 
-    ``only`` is the relative path of one file: nothing else is listed or read then. ``content`` is only read where it is used. Use ``orderBy('source_file')`` where order matters. The file source skips files of no bytes; their
+    ``only`` is the relative path of one file, or of some: nothing else is listed or read then. ``content`` is only read where it is used. Use ``orderBy('source_file')`` where order matters. The file source skips files of no bytes; their
     names come from its listing and join by union, without content.
     """
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     base = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
     schema = "path string, modificationTime timestamp, length bigint, content binary"
     reader = spark.read.schema(schema).format("binaryFile")
-    exact = re.sub(r"([\\{}\[\]*?])", r"\\\1", only or "")  # a path that is loaded is a pattern
-    files = reader.load(f"{root.rstrip('/')}/{exact}") if only else reader.option("recursiveFileLookup", True).load(root)
+    exact = lambda name: re.sub(r"([\\{}\[\]*?])", r"\\\1", name)  # noqa: E731  a path that is loaded is a pattern
+    some = [only] if isinstance(only, str) else only
+    files = reader.load([f"{root.rstrip('/')}/{exact(x)}" for x in some]) if some is not None else reader.option("recursiveFileLookup", True).load(root)
     top = urlparse(base).path
     listed = [(f"{base}/{unquote(urlparse(f).path)[len(top) + 1:]}",) for f in files.inputFiles()]
     empty = spark.createDataFrame(listed, "path string").join(files.select("path"), "path", "left_anti")
-    files = files.select("path", "content", "length").unionByName(empty.select("path", F.lit(b"").alias("content"), F.lit(0).cast("long").alias("length")))
+    files = files.select("path", "content", "length", F.col("modificationTime").alias("modified")).unionByName(empty.select("path", F.lit(b"").alias("content"), F.lit(0).cast("long").alias("length"), F.lit(None).cast("timestamp").alias("modified")))
     rel = F.substring("path", len(base) + 2, 1 << 20)
-    files = files.select(rel.alias("source_file"), F.lower(F.regexp_extract("path", r"(\.[^./]+)\z", 1)).alias("suffix"), "content", "length")
+    files = files.select(rel.alias("source_file"), F.lower(F.regexp_extract("path", r"(\.[^./]+)\z", 1)).alias("suffix"), "content", "length", "modified")
     files = files.where(F.col("suffix").isin(*SUFFIXES) & ~F.array_contains(F.split("source_file", "/"), ".meta"))
-    return files.select("source_file", "suffix", *path_fields("source_file"), "length", "content")
+    return files.select("source_file", "suffix", *path_fields("source_file"), "length", "content", "modified")
 
 
 def path_fields(relative: Column | str) -> list[Column]:
