@@ -10,6 +10,7 @@ import atexit
 import re
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
 from pathlib import Path
 
@@ -18,9 +19,9 @@ from pyspark.sql import functions as F
 
 from .functions import plausibility as pl
 from .functions import text as tx
-from .operators import embed, export, fonts, generate, metadata, retrieve, segment, store
+from .operators import batch, embed, export, fonts, generate, index, metadata, retrieve, segment, store
 from .plans import ingest
-from .sources import files
+from .sources import files, state
 from .spread import spread
 
 QUERY = "the and hein"
@@ -43,6 +44,17 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared(spark) -> str:
+    """A folder that executors can read: that of the checkpoints, or where none is set, in local mode only, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="letterloom-sample-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    return base.rstrip("/")
+
+
 def letters(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select(F.col("doc_id").alias("ord"), F.col("doc_id").alias("letter_id"), F.col("source").alias("department"), F.col("lang").alias("letter_type"), "text")
@@ -257,6 +269,86 @@ def shown(hits):
     return hits.select("rank", "letter_id", "department", "bm25_rank", "semantic_rank", F.round("fused_score", 8).alias("fused_score"))
 
 
+# A store over the letters and what follows it from version to version.
+def stored(spark, sf_dir, file_rows=200):
+    """The letters in a store, ids as text of one width: written in two changes, the second of which an index has to catch up with."""
+    held = store.Store(spark, f"{shared(spark)}/letterloom-store-{uuid.uuid4().hex}", "given", 64, file_rows=file_rows)
+    rows = with_vectors(spark, sf_dir).select(
+        F.col("ord").alias("pos"), F.lpad(F.col("letter_id").cast("string"), 12, "0").alias("letter_id"), F.col("text").alias("document"), "department", F.lit(None).cast("string").alias("office"), "letter_type",
+        F.lit(None).cast("string").alias("subject"), F.concat(F.lit("f"), F.floor(F.col("ord") / 50)).alias("source_file"), F.lit(False).alias("needs_review"), F.create_map().cast("map<string,string>").alias("extra"), "embedding",
+    )
+    cut = (rows.agg(F.max("pos")).first()[0] or 0) * 9 // 10
+    held.upsert(rows.where(F.col("pos") <= cut))
+    return held, lambda: held.upsert(rows.where(F.col("pos") > cut))
+
+
+@query("""SELECT doc_id AS letter_id, source AS department, md5(CASE WHEN doc_id BETWEEN 100 AND 109 THEN 'changed: ' || text ELSE text END) AS body FROM documents WHERE doc_id % 50 <> 7
+UNION ALL SELECT max(doc_id) + 1, 'new', md5('added') FROM documents""")
+def store_changes(spark, sf_dir):
+    """A store in slots; the second change reads and touches only the files that its keys fall into."""
+    held, rest = stored(spark, sf_dir)
+    rest()
+    rows = held.rows()
+    some = rows.where(F.col("letter_id").cast("long").between(100, 109)).withColumn("document", F.concat(F.lit("changed: "), F.col("document")))
+    last = rows.orderBy(F.desc("letter_id")).limit(1).withColumn("letter_id", F.lpad((F.col("letter_id").cast("long") + 1).cast("string"), 12, "0")).withColumn("document", F.lit("added")).withColumn("department", F.lit("new"))
+    held.upsert(some.unionByName(last).withColumn("pos", F.col("ord")).drop("ord"))
+    held.keep_ids(held.rows().where((F.col("letter_id").cast("long") % 50 != 7) | (F.col("document") == "added")).select("letter_id"))
+    return held.rows().select(F.col("letter_id").cast("long").alias("letter_id"), "department", F.md5("document").alias("body"))
+
+
+@query(f"WITH {candidates("lang = 'en'", False)}, {STATS}, s AS (SELECT letter_id, {bm25_sql()} AS b FROM c) SELECT letter_id, round(b, 6) AS score FROM s ORDER BY b DESC, letter_id LIMIT 20")
+def term_index_topk(spark, sf_dir):
+    """As bm25_topk, from blocks of the query's terms, half of the letters indexed before the other half came."""
+    held, rest = stored(spark, sf_dir, 100_000)
+    terms = index.TermIndex(held, f"{held.root}/terms")
+    terms.update()
+    rest()
+    best, _ = terms.top(TERMS, 20, {"letter_type": "en"})
+    return best.join(held.rows().select("ord", "letter_id"), "ord").select(F.col("letter_id").cast("long").alias("letter_id"), F.round("bm25", 6).alias("score"))
+
+
+@query(f"SELECT doc_id AS letter_id, round(1 - coalesce({COSINE}, 0), 6) AS distance FROM documents LEFT JOIN embeddings ON vec_id = doc_id ORDER BY coalesce({COSINE}, 0) DESC, doc_id LIMIT 10")
+def ball_index_topk(spark, sf_dir):
+    """The nearest letters by balls of vectors and the triangle inequality."""
+    d = letters(spark, sf_dir)
+    held, rest = stored(spark, sf_dir, 100_000)
+    balls = index.BallIndex(held, f"{held.root}/balls")
+    balls.update()
+    rest()
+    best, _ = balls.query(first_vector(spark, sf_dir), 10)
+    return d.select("letter_id").join(best.select(F.col("letter_id").cast("long").alias("letter_id"), F.round("distance", 6).alias("distance")), "letter_id")
+
+
+@query("""SELECT d.doc_id AS source_file, CASE WHEN d.doc_id % 10 = 0 THEN 'added' WHEN d.doc_id % 10 = 1 THEN 'gone' WHEN d.doc_id % 7 = 0 THEN 'changed' WHEN d.doc_id % 7 = 1 THEN 'touched' ELSE 'same' END AS status FROM documents d""")
+def file_states(spark, sf_dir):
+    """Documents as files: what was added, changed, touched, left alone and removed since an earlier listing."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("source_file"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("length"))
+    time = lambda n: F.timestamp_seconds(F.lit(n))
+    now = d.where("source_file % 10 <> 1").withColumn("modified", F.when(F.col("source_file") % 7 < 2, time(2)).otherwise(time(1)))
+    before = d.where("source_file % 10 <> 0").select("source_file", "length", time(1).alias("modified"), F.sha2(F.when(F.col("source_file") % 7 == 0, F.lit(b"other")).otherwise(F.col("content")), 256).alias("digest"))
+    read = lambda names: d.where(F.col("source_file").isin(names)).select("source_file", "content")
+    return state.settled(state.difference(now, before), read).select("source_file", "status")
+
+
+# Each document whose id is a multiple of 100 asks with its first words and its vector.
+ASKED = f"SELECT doc_id AS qid, array_to_string({TOKENS}[1:3], ' ') AS query, {TOKENS}[1:3] AS ts, embedding AS qv FROM documents JOIN embeddings ON vec_id = doc_id WHERE doc_id % 100 = 0"
+
+
+@query(f"""WITH {candidates()}, {STATS}, q AS MATERIALIZED ({ASKED}), qt AS (SELECT qid, unnest(ts) AS t FROM q),
+tf AS MATERIALIZED (SELECT letter_id, t, count(*)::DOUBLE AS tf FROM (SELECT letter_id, unnest(toks) AS t FROM c) WHERE t IN (SELECT t FROM qt) GROUP BY ALL),
+b AS (SELECT qid, letter_id, sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(toks) / (SELECT a FROM st)))) AS b FROM qt JOIN tf USING (t) JOIN w ON w.term = t JOIN c USING (letter_id) GROUP BY ALL),
+s AS MATERIALIZED (SELECT q.qid, c.letter_id, round(coalesce(b.b, 0), 9) AS b, round(coalesce(list_cosine_similarity(embedding::DOUBLE[], qv::DOUBLE[]), 0), 9) AS v FROM q CROSS JOIN c LEFT JOIN b ON b.qid = q.qid AND b.letter_id = c.letter_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY b DESC, letter_id) AS r1, row_number() OVER (PARTITION BY qid ORDER BY v DESC, letter_id) AS r2 FROM s),
+h AS (SELECT *, 1.0::DOUBLE / (60 + r1) + 1.0::DOUBLE / (60 + r2) AS f, row_number() OVER (PARTITION BY qid ORDER BY 1.0::DOUBLE / (60 + r1) + 1.0::DOUBLE / (60 + r2) DESC, r1) AS rank FROM r)
+SELECT qid, rank::INT AS rank, letter_id, r1::INT AS bm25_rank, r2::INT AS semantic_rank, round(f, 8) AS fused_score FROM h WHERE rank <= 5""")
+def batch_hybrid(spark, sf_dir):
+    """Hybrid retrieval for a table of queries at once."""
+    d = table(spark, sf_dir, "documents").where("doc_id % 100 = 0").select(F.col("doc_id").alias("qid"), F.array_join(F.slice(tx.tokenize("text"), 1, 3), " ").alias("query"))
+    asked = d.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vector")), "qid")
+    done = batch.retrieve_many(with_vectors(spark, sf_dir), asked, 5)
+    return done.select("qid", "rank", "letter_id", "bm25_rank", "semantic_rank", F.round("fused_score", 8).alias("fused_score"))
+
+
 @query("""SELECT doc_id AS letter_id, round(sum(1.0::DOUBLE / (60 + rank)), 8) AS fused_score FROM (SELECT doc_id, doc_id + 1 AS rank FROM documents UNION ALL SELECT doc_id, 2 * doc_id - quality + 2 FROM labels) GROUP BY doc_id""")
 def rrf_fuse(spark, sf_dir):
     a = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("letter_id"), (F.col("doc_id") + 1).alias("rank"))
@@ -627,17 +719,11 @@ NOTE = "विषय: सूचना\n\n  दो   शब्द \n"
 
 
 def sample_tree(spark) -> str:
-    """A small tree of letters in a folder that executors can read: below the checkpoints, or in local mode a temporary one."""
+    """A small tree of letters in a folder that executors can read."""
     tree = {"revenue/note.txt": NOTE.encode(), ".meta/skip.txt": b"not a letter"}
     with tempfile.TemporaryDirectory(prefix="letterloom-sample-") as folder:
         tree["education/office/letter.docx"] = export.write_docx(LETTER, Path(folder) / "letter.docx").read_bytes()
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="letterloom-sample-")
-        atexit.register(shutil.rmtree, base, ignore_errors=True)
-    root = f"{base.rstrip('/')}/letterloom-sample"
+    root = f"{shared(spark)}/letterloom-sample"
     path = spark._jvm.org.apache.hadoop.fs.Path
     fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
     for name, content in tree.items():
