@@ -252,7 +252,7 @@ class BallIndex(Following):
     """Unit vectors in balls (a centre and the largest distance from it). By the triangle inequality no vector of a ball is nearer to the query than the centre's distance less the
     radius, so balls beyond the k-th distance found so far are skipped; results are those of a full scan.
 
-    Centres come from a sample of ``SAMPLE`` vectors, every vector stands in the ball of its nearest centre; vectors of length 0 (cosine 0 with everything) have a ball of their own,
+    Centres come from a sample of ``SAMPLE`` vectors, every vector stands in the ball of its nearest centre; letters without a vector or with one of length 0 (cosine 0 with everything) have a ball of their own,
     and so have letters that changed since the centres were chosen (always scanned), up to the next whole.
     """
 
@@ -265,7 +265,7 @@ class BallIndex(Following):
             rows.withColumn("ball", F.lit(LOOSE)).write.partitionBy("ball").parquet(f"{folder}/entries")
             self.spark.createDataFrame([(LOOSE, 0.0, n)], BALLS).write.parquet(f"{folder}/balls")
             return {"centres": head["centres"]}
-        some = rows.orderBy(F.xxhash64("letter_id"), "letter_id").limit(SAMPLE).select("embedding").collect()
+        some = rows.where(F.size("embedding") == dim).orderBy(F.xxhash64("letter_id"), "letter_id").limit(SAMPLE).select("embedding").collect()
         sample = np.array([r.embedding for r in some], np.float64).reshape(-1, dim)
         length = np.sqrt((sample * sample).sum(1, keepdims=True))
         sample = (sample / np.where(length > 0, length, 1))[length[:, 0] > 0]
@@ -274,7 +274,10 @@ class BallIndex(Following):
 
         def place(batches):
             for batch in batches:
-                x = np.asarray(batch.column("embedding").flatten()).astype(np.float64).reshape(-1, dim)
+                own = batch.column("embedding")
+                fits = np.asarray(own.value_lengths().fill_null(0)) == dim
+                x = np.zeros((batch.num_rows, dim))
+                x[fits] = np.asarray(own.filter(pa.array(fits)).flatten()).astype(np.float64).reshape(-1, dim)
                 length = np.sqrt((x * x).sum(1))
                 unit = x / np.where(length > 0, length, 1)[:, None]
                 ball = (unit @ centres.T).argmax(1) if len(centres) else np.zeros(len(x), np.int64)
