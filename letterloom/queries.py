@@ -510,10 +510,16 @@ def snippet(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.snippet("text").alias("snippet"))
 
 
-@query("SELECT p, CASE WHEN len(s) > 0 THEN s[1] END AS department, CASE WHEN len(s) > 2 THEN s[2] ELSE 'unknown' END AS office FROM (SELECT p, string_split(p, '/') AS s FROM (VALUES ('a/b/c.docx'), ('a/c.txt'), ('c.pdf'), ('a/b/d/e.f.txt')) t(p))")
+# Documents as files of a tree: some in an office, some in a department, some above both, some deeper.
+PATHS = "SELECT CASE doc_id % 4 WHEN 0 THEN source || '/' || lang || '/' || doc_id || '.docx' WHEN 1 THEN source || '/' || doc_id || '.txt' WHEN 2 THEN doc_id || '.pdf' ELSE source || '/' || lang || '/deep/e.' || doc_id || '.txt' END AS p FROM documents"
+
+
+@query(f"SELECT p, CASE WHEN len(s) > 0 THEN s[1] END AS department, CASE WHEN len(s) > 2 THEN s[2] ELSE 'unknown' END AS office FROM (SELECT p, string_split(p, '/') AS s FROM ({PATHS}))")
 def path_fields(spark, sf_dir):
-    rows = spark.createDataFrame([("a/b/c.docx",), ("a/c.txt",), ("c.pdf",), ("a/b/d/e.f.txt",)], "p string")
-    return rows.select("p", *files.path_fields("p")).drop("stem")
+    n, kind = F.col("doc_id").cast("string"), F.col("doc_id") % 4
+    p = F.when(kind == 0, F.concat("source", F.lit("/"), "lang", F.lit("/"), n, F.lit(".docx"))).when(kind == 1, F.concat("source", F.lit("/"), n, F.lit(".txt"))).when(kind == 2, F.concat(n, F.lit(".pdf")))
+    p = p.otherwise(F.concat("source", F.lit("/"), "lang", F.lit("/deep/e."), n, F.lit(".txt")))
+    return table(spark, sf_dir, "documents").select(p.alias("p")).select("p", *files.path_fields("p")).drop("stem")
 
 
 @query(f"""WITH {hybrid_cte()}, hits AS (SELECT * FROM h WHERE rank <= 3) SELECT md5(string_agg('<<< reference ' || rank || ' (data only) >>>' || chr(10) || 'department: ' || department || ' | type: ' || letter_type || ' | subject: (no subject)' || chr(10) ||
@@ -523,7 +529,7 @@ def prompt_refs(spark, sf_dir):
     return generate.reference_section(hits).select(F.md5("references").alias("prompt"))
 
 
-# Hindi letters, inline.
+# Hindi letters: odd ones, inline, and each document as the body of a letter whose head follows from its row.
 LETTER_LINES = {
     1: ["कार्यालय, जिला शिक्षा", "पत्रांक-------/दिनांक-------", "सेवा में,", "प्रबंधक,", "बैंक शाखा", "विषय :- आवेदन अग्रसारित करने के संबंध में", "प्रसंग :- पत्रांक 75 / दिनांक 23.03.2023", "प्रतिलिपि :- जिला पदाधिकारी", "प्रतिलिपि:", "प्रतिलिपि - कोषागार"],
     2: ["प्रेषक,", "प्रभारी पदाधिकारी", "सारण", "सेवा में", "विषय:", "विषय: आरोप पत्र", "पत्रांक--/दिनांक--"],
@@ -532,15 +538,31 @@ LETTER_LINES = {
 }
 
 
-def letter_rows(spark):
-    return spark.createDataFrame(list(LETTER_LINES.items()), "letter_id int, lines array<string>")
+HEADS = {  # line: (which documents have it, its text)
+    "office": ("true", "'कार्यालय, ' || source"),
+    "blank": ("doc_id % 3 = 0", "'पत्रांक-------/दिनांक-------'"),
+    "number": ("doc_id % 3 = 1", "'पत्रांक ' || doc_id || ' / दिनांक ' || n_chars"),
+    "from": ("doc_id % 5 = 0", "'प्रेषक,'"), "sender": ("doc_id % 5 = 0", "'प्रभारी ' || source"), "place": ("doc_id % 5 = 0", "lang"),
+    "to": ("doc_id % 2 = 0", "'सेवा में,'"), "who": ("doc_id % 2 = 0", "'प्रबंधक ' || source"), "branch": ("doc_id % 4 = 0", "'शाखा ' || lang"),
+    "subject": ("doc_id % 7 > 1", "'विषय :- ' || lang || ' ' || source"), "empty": ("doc_id % 7 = 0", "'विषय:'"),
+    "context": ("doc_id % 11 = 0", "'प्रसंग :- पत्रांक ' || n_chars"), "copy": ("doc_id % 4 = 1", "'प्रतिलिपि :- ' || source"), "again": ("doc_id % 8 = 1", "'प्रतिलिपि - ' || lang"),
+}
+
+
+def letter_rows(spark, sf_dir):
+    odd = spark.createDataFrame([(-k, v) for k, v in LETTER_LINES.items()], "letter_id long, lines array<string>")
+    head = F.filter(F.array(*[F.when(F.expr(c), F.expr(x)) for c, x in HEADS.values()]), lambda x: x.isNotNull())
+    d = table(spark, sf_dir, "documents")
+    return odd.unionAll(d.select(F.col("doc_id").alias("letter_id"), F.concat(head, F.coalesce(tx.text_lines("text"), F.array().cast("array<string>"))).alias("lines")))
 
 
 def values(rows):
     return ", ".join("(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else str(v).lower() if isinstance(v, bool) else str(v) for v in r) + ")" for r in rows)
 
 
-L = f"SELECT id, i, x FROM (VALUES {values((k, i, x) for k, v in LETTER_LINES.items() for i, x in enumerate(v))}) t(id, i, x)"
+L = f"""SELECT id, i, x FROM (VALUES {values((-k, i, x) for k, v in LETTER_LINES.items() for i, x in enumerate(v))}) t(id, i, x)
+UNION ALL SELECT doc_id, i - 100, x FROM (SELECT doc_id, unnest(ls) AS x, generate_subscripts(ls, 1) AS i FROM (SELECT doc_id, [{", ".join(f"CASE WHEN {c} THEN {x} END" for c, x in HEADS.values())}] AS ls FROM documents)) WHERE x IS NOT NULL
+UNION ALL SELECT doc_id, line_no, line FROM ({LINES})"""
 REF = r"पत्रांक\s*[:\-.]*\s*([^\s/]*)\s*/?\s*दिनांक\s*[:\-.]*\s*(\S*)"
 
 
@@ -574,12 +596,12 @@ SELECT id AS letter_id, {labelled_sql('विषय', ':\\-।').replace('\\\\',
 
 @query(METADATA)
 def metadata_fields(spark, sf_dir):
-    return metadata.extract(letter_rows(spark)).select("letter_id", *metadata.FIELDS, "letter_type")
+    return metadata.extract(letter_rows(spark, sf_dir)).select("letter_id", *metadata.FIELDS, "letter_type")
 
 
 @query(rf"""WITH l AS ({L}) SELECT id AS letter_id, string_agg(c, '|' ORDER BY i) AS copy_to FROM (SELECT id, i, nullif(trim(regexp_extract(x, '^\s*प्रतिलिपि\s*[:\-]*\s*(.*)$', 1)), '') AS c FROM l) WHERE c IS NOT NULL GROUP BY id""")
 def copy_to(spark, sf_dir):
-    return metadata.extract(letter_rows(spark)).where(F.size("copy_to") > 0).select("letter_id", F.array_join("copy_to", "|").alias("copy_to"))
+    return metadata.extract(letter_rows(spark, sf_dir)).where(F.size("copy_to") > 0).select("letter_id", F.array_join("copy_to", "|").alias("copy_to"))
 
 
 # Of the labels that occur in a letter: was a value found?
@@ -589,17 +611,17 @@ CONFIDENCE = " UNION ALL ".join(f"SELECT letter_id, '{f}' AS field, {f} IS NOT N
 
 @query(CONFIDENCE)
 def field_confidence(spark, sf_dir):
-    return metadata.extract(letter_rows(spark)).select("letter_id", F.explode("field_confidence").alias("field", "ok"))
+    return metadata.extract(letter_rows(spark, sf_dir)).select("letter_id", F.explode("field_confidence").alias("field", "ok"))
 
 
 @query(f"SELECT letter_id, field FROM ({CONFIDENCE}) WHERE NOT ok")
 def low_confidence_fields(spark, sf_dir):
-    return metadata.extract(letter_rows(spark)).select("letter_id", F.explode("low_confidence_fields").alias("field"))
+    return metadata.extract(letter_rows(spark, sf_dir)).select("letter_id", F.explode("low_confidence_fields").alias("field"))
 
 
 @query(rf"WITH l AS ({L}) SELECT id AS letter_id, bool_or(regexp_matches(x, '^\s*विषय([^\p{{L}}\p{{N}}_]|$)')) AS matched_subject, bool_or(regexp_matches(x, '{TO}')) AS matched_service_to FROM l GROUP BY id")
 def segment_flags(spark, sf_dir):
-    lines = letter_rows(spark).select(F.col("letter_id").alias("source_file"), F.posexplode("lines").alias("line_no", "text"))
+    lines = letter_rows(spark, sf_dir).select(F.col("letter_id").alias("source_file"), F.posexplode("lines").alias("line_no", "text"))
     return segment.segment_flags(lines, segment.segments(lines)).select(F.col("source_file").alias("letter_id"), "matched_subject", "matched_service_to")
 
 
@@ -614,10 +636,15 @@ z AS (SELECT *, CASE WHEN letters = 0 THEN 0 ELSE own / letters END AS ratio, le
 SELECT *, CASE WHEN trim(t) = '' OR ratio = 0 THEN 1 ELSE greatest(least(ratio + least(0.05 * hits, 0.3) - 0.6 * bad, 1), 0) END AS score FROM z)"""
 
 
-@query(f"SELECT id, round(ratio, 6)::DOUBLE AS ratio, hits::INT AS hits, round(bad, 6)::DOUBLE AS bad, round(score, 6)::DOUBLE AS score FROM {scored_sql(f'SELECT * FROM (VALUES {values((i, s) for i, s in enumerate(SCORED))}) v(id, t)')}")
+ODD = f"SELECT -1 - id AS id, 0 AS i, t FROM (VALUES {values((i, s) for i, s in enumerate(SCORED))}) v(id, t)"
+
+
+@query(f"SELECT id, i::INT AS i, round(ratio, 6)::DOUBLE AS ratio, hits::INT AS hits, round(bad, 6)::DOUBLE AS bad, round(score, 6)::DOUBLE AS score FROM {scored_sql(f'{ODD} UNION ALL SELECT id, row_number() OVER (PARTITION BY id ORDER BY i) - 1, x FROM ({L}) WHERE id >= 0')}")
 def plausibility(spark, sf_dir):
-    rows = spark.createDataFrame(list(enumerate(SCORED)), "id int, t string")
-    return rows.select("id", F.round(pl.devanagari_ratio("t"), 6).alias("ratio"), pl.common_word_hits("t").alias("hits"), F.round(pl.malformed_ratio("t"), 6).alias("bad"), F.round(pl.plausibility("t"), 6).alias("score"))
+    """Of every line of the letters."""
+    rows = spark.createDataFrame([(-1 - i, 0, t) for i, t in enumerate(SCORED)], "id long, i int, t string")
+    rows = rows.unionAll(letter_rows(spark, sf_dir).where("letter_id >= 0").select(F.col("letter_id").alias("id"), F.posexplode("lines").alias("i", "t")))
+    return rows.select("id", "i", F.round(pl.devanagari_ratio("t"), 6).alias("ratio"), pl.common_word_hits("t").alias("hits"), F.round(pl.malformed_ratio("t"), 6).alias("bad"), F.round(pl.plausibility("t"), 6).alias("score"))
 
 
 FONTS = ["DevLys 040", " Kruti Dev 041", "kruti dev", "Mangal", "Times New Roman", "ABCDEF+DevLys", "DV-TTYogesh", "Mangal Kruti Dev", "Shusha02", "", None]
@@ -627,26 +654,38 @@ def begins(words):
     return f"len(list_filter([{', '.join(f"'{w}'" for w in words)}], lambda p: starts_with(lower(trim(font)), p))) > 0"
 
 
-@query(f"SELECT font, coalesce({begins(fonts.LEGACY)} AND NOT {begins(fonts.PASSTHROUGH)}, false) AS legacy FROM (VALUES {values((f,) for f in FONTS)}) t(font)")
+@query(f"SELECT font, coalesce({begins(fonts.LEGACY)} AND NOT {begins(fonts.PASSTHROUGH)}, false) AS legacy FROM (SELECT CASE WHEN doc_id % 2 = 0 THEN name ELSE name || ' ' || source END AS font FROM documents JOIN (VALUES {values((i, f) for i, f in enumerate(FONTS))}) t(n, name) ON n = doc_id % {len(FONTS)})")
 def font_class(spark, sf_dir):
-    return spark.createDataFrame([(f,) for f in FONTS], "font string").select("font", fonts.is_legacy_font("font").alias("legacy"))
+    """Font names, plain or with a source behind them."""
+    name = F.element_at(F.array(*[F.lit(f) for f in FONTS]), (F.col("doc_id") % len(FONTS) + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select(F.when(F.col("doc_id") % 2 == 0, name).otherwise(F.concat(name, F.lit(" "), "source")).alias("font")).select("font", fonts.is_legacy_font("font").alias("legacy"))
 
 
 MARKS = ["", "--- ._", None, "75", "-7-", " . ", "_", "।", "- / -"]
 
 
-@query(rf"SELECT v, v IS NULL OR regexp_full_match(v, '[.\-_\s]*') AS placeholder FROM (VALUES {values((v,) for v in MARKS)}) t(v)")
+# What stands behind the last letter or digit of each line, and of each letter's number.
+@query(rf"""SELECT v, count(*) AS n, bool_and(v IS NULL OR regexp_full_match(v, '[.\-_\s]*')) AS placeholder FROM (SELECT v FROM (VALUES {values((v,) for v in MARKS)}) t(v) UNION ALL SELECT regexp_extract(x, '([^A-Za-z0-9]*)$', 1) FROM ({L}) UNION ALL SELECT regexp_extract(x, '{REF}', 1) FROM ({L})) GROUP BY v""")
 def placeholder(spark, sf_dir):
-    return spark.createDataFrame([(v,) for v in MARKS], "v string").select("v", metadata.is_placeholder("v").alias("placeholder"))
+    lines = letter_rows(spark, sf_dir).select(F.explode("lines").alias("x"))
+    found = lines.select(F.regexp_extract("x", r"([^A-Za-z0-9]*)\z", 1).alias("v")).unionAll(lines.select(F.regexp_extract("x", REF, 1)))
+    rows = spark.createDataFrame([(v,) for v in MARKS], "v string").unionAll(found)
+    return rows.groupBy("v").agg(F.count("*").alias("n"), F.bool_and(metadata.is_placeholder("v")).alias("placeholder"))
 
 
 OCR_WORDS = [(1, "सेवा", 90.0), (1, "में", 70.0), (1, " ", 95.0), (1, "x", -1.0), (2, "low", 40.0), (3, "", 10.0)]
 
 
-@query(f"SELECT page, coalesce(avg(conf) FILTER (trim(text) <> '' AND conf >= 0), 0)::DOUBLE AS mean, coalesce(avg(conf) FILTER (trim(text) <> '' AND conf >= 0), 0) < 60 AS low FROM (VALUES {values(OCR_WORDS)}) t(page, text, conf) GROUP BY page")
+# Order lines as words that OCR has read: a page for each order, blanks and words without a confidence among them.
+WORDS = f"SELECT page, text, conf::DOUBLE AS conf FROM (VALUES {values((-p, t, c) for p, t, c in OCR_WORDS)}) t(page, text, conf) UNION ALL SELECT l_orderkey, CASE WHEN l_linenumber % 5 = 0 THEN ' ' ELSE l_returnflag END, l_quantity * 2 - 5 FROM lineitem"
+
+
+@query(f"SELECT page, coalesce(avg(conf) FILTER (trim(text) <> '' AND conf >= 0), 0)::DOUBLE AS mean, coalesce(avg(conf) FILTER (trim(text) <> '' AND conf >= 0), 0) < 60 AS low FROM ({WORDS}) GROUP BY page")
 def ocr_confidence(spark, sf_dir):
-    rows = spark.createDataFrame(OCR_WORDS, "page int, text string, conf double").groupBy("page").agg(F.collect_list(F.struct("text", "conf")).alias("w"))
-    return rows.select("page", pl.ocr_confidence("w").alias("o")).select("page", "o.mean", "o.low")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("page"), F.when(F.col("l_linenumber") % 5 == 0, " ").otherwise(F.col("l_returnflag")).alias("text"), (F.col("l_quantity") * 2 - 5).cast("double").alias("conf"))
+    rows = spark.createDataFrame([(-p, t, c) for p, t, c in OCR_WORDS], "page long, text string, conf double").unionAll(lines)
+    pages = rows.groupBy("page").agg(F.collect_list(F.struct("text", "conf")).alias("w"))  # the words of one page
+    return pages.select("page", pl.ocr_confidence("w").alias("o")).select("page", "o.mean", "o.low")
 
 
 # Typed lines: clusters, upper and lower r, the i-sign, nukta, digits, marks; and the benchmark's texts, which mean nothing in the font.
@@ -678,18 +717,23 @@ RUNS = [
     ("a", 0, 0, "DevLys 040", "f"), ("a", 0, 1, "Kruti Dev 010", "tyk inkf"), ("a", 0, 2, "DevLys 040", "/kdkjh"), ("a", 0, 3, "Calibri", " ABC "), ("a", 0, 4, None, ""), ("a", 0, 5, "DevLys 040", "lsok esa]"),
     ("a", 1, 0, None, "विषय : आदेश"), ("a", 1, 1, "Mangal", " के संबंध में"), ("a", 2, 0, "Mangal", ""), ("a", 3, 0, "Arial", "plain"), ("b", 0, 0, "DevLys", "aaa"), ("b", 0, 1, "Times", "  "),
 ]
+RUN_ROWS = f"""SELECT f, l, r, font, x FROM (VALUES {values(RUNS)}) v(f, l, r, font, x)
+UNION ALL SELECT 'b' || row_number() OVER (ORDER BY item_id, text), 0, unnest([0, 1, 2, 3]), unnest(['DevLys 010', ' kruti dev', 'Mangal', 'Kruti Dev 010']), unnest([text, 'k', ' ' || item_id || ' ', text]) FROM benchmark WHERE text IS NOT NULL"""
 GROUPS = f"""SELECT f, l, g, bool_or(legacy) AS legacy, string_agg(x, '' ORDER BY r) AS raw FROM (
 SELECT *, sum(c) OVER (PARTITION BY f, l ORDER BY r) AS g FROM (SELECT *, CASE WHEN legacy IS NOT DISTINCT FROM lag(legacy) OVER (PARTITION BY f, l ORDER BY r) THEN 0 ELSE 1 END AS c FROM (
-SELECT *, coalesce({begins(fonts.LEGACY)} AND NOT {begins(fonts.PASSTHROUGH)}, false) AS legacy FROM (VALUES {values(RUNS)}) v(f, l, r, font, x) WHERE x <> ''))) GROUP BY f, l, g"""
+SELECT *, coalesce({begins(fonts.LEGACY)} AND NOT {begins(fonts.PASSTHROUGH)}, false) AS legacy FROM ({RUN_ROWS}) WHERE x <> ''))) GROUP BY f, l, g"""
 
 
 @query(f"""WITH d AS (SELECT f, l, g, t, score FROM {scored_sql(f"SELECT f, l, g, CASE WHEN legacy THEN {chart_sql('raw')} ELSE raw END AS t FROM ({GROUPS})")}),
-n AS (SELECT DISTINCT f, l FROM (VALUES {values(RUNS)}) v(f, l, r, font, x))
-SELECT n.f AS source_file, n.l AS line_no, coalesce(string_agg(t, '' ORDER BY g), '') AS text, round(coalesce(min(score) FILTER (trim(t) <> ''), 1), 6)::DOUBLE AS min_plausibility FROM n LEFT JOIN d ON d.f = n.f AND d.l = n.l GROUP BY n.f, n.l""")
+n AS (SELECT DISTINCT f, l FROM ({RUN_ROWS}))
+SELECT n.l AS line_no, coalesce(string_agg(t, '' ORDER BY g), '') AS text, round(coalesce(min(score) FILTER (trim(t) <> ''), 1), 6)::DOUBLE AS min_plausibility FROM n LEFT JOIN d ON d.f = n.f AND d.l = n.l GROUP BY n.f, n.l""")
 def run_routing(spark, sf_dir):
-    """Runs are grouped by font class, legacy groups decoded, and a line is as plausible as its least plausible group."""
-    runs = spark.createDataFrame(RUNS, "source_file string, line_no int, run_no int, font_name string, text string").withColumn("page_break_before", F.lit(False))
-    return files.decoded_lines(runs).select("source_file", "line_no", "text", F.round("min_plausibility", 6).alias("min_plausibility"))
+    """Runs are grouped by font class, legacy groups decoded, and a line is as plausible as its least plausible group. Each benchmark text is typed twice in legacy fonts."""
+    four = F.array(*[F.struct(F.lit(r).alias("r"), F.lit(font).alias("font"), x.alias("x")) for r, font, x in ((0, "DevLys 010", F.col("text")), (1, " kruti dev", F.lit("k")), (2, "Mangal", F.concat(F.lit(" "), "item_id", F.lit(" "))), (3, "Kruti Dev 010", F.col("text")))])
+    typed = table(spark, sf_dir, "benchmark").where("text IS NOT NULL").select(F.concat(F.lit("b"), F.hex(F.concat_ws("/", F.col("item_id").cast("string"), F.md5("text")))).alias("source_file"), F.explode(four).alias("q"))
+    typed = typed.select("source_file", F.lit(0).alias("line_no"), F.col("q.r").alias("run_no"), F.col("q.font").alias("font_name"), F.col("q.x").alias("text"))
+    runs = spark.createDataFrame(RUNS, "source_file string, line_no int, run_no int, font_name string, text string").unionAll(typed).withColumn("page_break_before", F.lit(False))
+    return files.decoded_lines(runs).select("line_no", "text", F.round("min_plausibility", 6).alias("min_plausibility"))
 
 
 # Stand-ins for PDF files: pages end with a form feed; where a page has too little text, "OCR" reads the page's words in capitals.
