@@ -8,6 +8,7 @@ only choose anchors and bring together what is then compared. What decides that
 from __future__ import annotations
 
 import os
+from itertools import repeat
 
 import numpy as np
 import xxhash
@@ -38,10 +39,10 @@ def digests(text: bytes, start: np.ndarray, end: np.ndarray, key: int) -> np.nda
     return np.frombuffer(out, ">u8").astype(U).reshape(-1, 2)
 
 
-def word_prints(text: bytes, start: np.ndarray, end: np.ndarray, key: int) -> np.ndarray:
-    """The keyed 64-bit hashes of words: joins of these can't be steered by whoever does not know the key."""
-    digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(text[a:b], key) for a, b in zip(start.tolist(), end.tolist(), strict=True)), U, len(start))
+def word_prints(text: bytes, offsets: np.ndarray, key: int) -> np.ndarray:
+    """The keyed 64-bit hashes of all words, document by document: joins of these can't be steered by whoever does not know the key."""
+    out = [b"".join(map(xxhash.xxh3_64_digest, text[a:b].split(), repeat(key))) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+    return np.frombuffer(b"".join(out), ">u8").astype(U)
 
 
 def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -56,8 +56,8 @@ def shingle_sets(table: pa.Table, size: int, key: int) -> list[np.ndarray]:
     for a, b in P.chunks(offsets):
         at = offsets[a : b + 1] - offsets[a]
         part = R.LOW[data[offsets[a] : offsets[b]]]
-        start, end, first = R.words(part, at)
-        word = R.word_prints(part.tobytes(), start, end, key)
+        first = R.words(part, at)[2]
+        word = R.word_prints(part.tobytes(), at, key)
         grams = R.grams(word, size)
         short = np.flatnonzero((first[1:] > first[:-1]) & (first[1:] - first[:-1] < size))
         whole = dict(zip(short.tolist(), R.stretches(word, 1, first[short], first[short + 1])[:, None], strict=True))

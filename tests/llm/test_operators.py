@@ -809,7 +809,7 @@ def test_texts_built_to_share_prints(spark, most):
     a, b = (np.frombuffer(w.encode(), np.uint8) for w in TWINS)
     ends = np.array([0]), np.array([16])
     assert _prints.spans(_prints.eights(a), *ends) == _prints.spans(_prints.eights(b), *ends)
-    assert _prints.word_prints(TWINS[0].encode(), *ends, 7) != _prints.word_prints(TWINS[1].encode(), *ends, 7)
+    assert _prints.word_prints(TWINS[0].encode(), np.array([0, 16]), 7) != _prints.word_prints(TWINS[1].encode(), np.array([0, 16]), 7)
     words = passage(91, 36).split()
     with_twins = [" ".join([*words[:6], t, *words[6:12]]) for t in TWINS] + [f"{passage(92 + i, 9)} {' '.join([*words[:6], TWINS[1], *words[6:12]])} {passage(95 + i, 9)}" for i in range(4)]
     ids = [*range(len(with_twins))]
