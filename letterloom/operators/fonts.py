@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import functools
 import re
 from collections.abc import Iterable, Sequence
 
@@ -77,23 +78,55 @@ MATRA = "ािीुूृेैोौंँः"
 CONSONANT = "\u0915-\u0939\u0958-\u095f"
 
 
+class Ordered(list):
+    """A table whose pairs apply in their order, each over the whole of what the earlier ones left, so what one prints may be a key of a later one.
+
+    No key is empty. A key that an earlier one has used up never applies.
+    """
+
+    def __init__(self, pairs: Iterable[tuple[str, str]] = ()):
+        super().__init__(pairs)
+        if any(not key for key, _ in self):
+            raise ValueError("a key without a sign")
+
+    def rewrite(self, texts: Sequence[str]) -> list[str]:
+        """All texts at once: they are joined by a sign that neither they nor the table hold, so each pair is one search for the whole batch."""
+        held = set("".join(key + sign for key, sign in self)).union(*texts)
+        mark = next((c for c in map(chr, range(0x10FFFF, 0xE000, -1)) if c not in held), None)
+        if mark is None:
+            return [self.rewrite([t])[0] for t in texts] if len(texts) > 1 else [functools.reduce(lambda t, p: t.replace(*p), self, texts[0])]
+        return functools.reduce(lambda t, p: t.replace(*p), self, mark.join(texts)).split(mark) if texts else []
+
+
 class Decoder:
     """One pass over the text, in which at each place the first key of the table that stands there prints its sign; then rules about the order of signs.
+    A table that is :class:`Ordered` is applied pair by pair instead of in one pass.
 
     ``f`` (the i-sign, typed before its cluster) moves behind the cluster; ``Z`` (the upper r, typed after its syllable) moves before it as
     ``र्``; a half letter and a bar make the whole letter. Each rule is one bounded regular expression pass, so every input ends.
     """
 
     def __init__(self, table: Iterable[tuple[str, str]] = KEYS):
-        self.table = list(table)
+        self.table = table if isinstance(table, Ordered) else list(table)
         self.signs: dict[str, str] = {}
         for key, sign in self.table:
             self.signs.setdefault(key, sign)
 
     def __call__(self, raw: str | None) -> str | None:
-        if not raw:
-            return raw
-        text = re.sub("|".join(re.escape(k) for k, _ in self.table), lambda m: self.signs[m[0]], raw) if self.table else raw
+        return self.batch([raw])[0]
+
+    def batch(self, raw: Sequence[str | None]) -> list[str | None]:
+        """Null and empty texts stay as they are."""
+        printed = iter(self.printed([t for t in raw if t]))
+        return [self.arranged(next(printed)) if t else t for t in raw]
+
+    def printed(self, raw: Sequence[str]) -> Sequence[str]:
+        if isinstance(self.table, Ordered):
+            return self.table.rewrite(raw)
+        keys = re.compile("|".join(re.escape(k) for k, _ in self.table)) if self.table else None
+        return [keys.sub(lambda m: self.signs[m[0]], t) for t in raw] if keys else raw
+
+    def arranged(self, text: str) -> str:
         text = text.replace("्ा", "")
         text = re.sub(rf"f((?:[{CONSONANT}]़?्)*[{CONSONANT}]़?)", r"\1ि", text).replace("f", "ि")
         text = re.sub(rf"((?:[{CONSONANT}]़?्)*[{CONSONANT}]़?)([{MATRA}]*)Z", r"र्\1\2", text)
@@ -103,10 +136,10 @@ class Decoder:
         return re.sub(rf"[ ,](?=[{MATRA.replace('ं', '').replace('ः', '').replace('ँ', '')}])", "", text)
 
 
-def read_mapping(path: str) -> list[tuple[str, str]]:
-    """A tab-separated file ``ord, raw, out``."""
+def read_mapping(path: str) -> Ordered:
+    """A tab-separated file ``ord, raw, out``, to be applied in the order of ``ord``."""
     with open(path, encoding="utf-8", newline="") as f:
-        return [(r[1], r[2]) for r in sorted(csv.reader(f, delimiter="\t"), key=lambda r: int(r[0]))]
+        return Ordered((r[1], r[2]) for r in sorted(csv.reader(f, delimiter="\t"), key=lambda r: int(r[0])))
 
 
 def decode_legacy(table: Iterable[tuple[str, str]] = KEYS):
@@ -115,7 +148,7 @@ def decode_legacy(table: Iterable[tuple[str, str]] = KEYS):
 
     @F.pandas_udf("string")
     def decode(text: pd.Series) -> pd.Series:
-        return text.map(decoder, na_action="ignore")
+        return pd.Series(decoder.batch(text.tolist()), index=text.index, dtype=object)
 
     return decode
 

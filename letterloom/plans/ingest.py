@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.plausibility import needs_review
 from ..functions.text import clean_lines, letter_id
+from ..operators import long_files
 from ..operators.embed import VectorCache, hash_embedding
 from ..operators.fonts import KEYS
 from ..operators.metadata import extract, with_overrides
@@ -16,9 +17,17 @@ from ..operators.segment import cut, files_of, least_plausibility
 from ..sources import files as src
 
 
-def letters_of_lines(lines: DataFrame) -> DataFrame:
-    """``source_file, segment_index, lines, min_line_plausibility`` of decoded lines; segments are found before lines are cleaned."""
-    found = cut(files_of(lines.select("source_file", "line_no", "text", "min_plausibility")))
+def letters_of_lines(lines: DataFrame, by_rows: bool = False) -> DataFrame:
+    """``source_file, segment_index, lines, min_line_plausibility`` of decoded lines; segments are found before lines are cleaned.
+
+    With ``by_rows`` no file is ever one row: only each letter is. ``lines`` should then be a table, as it is read several times.
+    """
+    lines = lines.select("source_file", "line_no", "text", "min_plausibility")
+    if by_rows:
+        each = F.array_sort(F.collect_list(F.struct("line_no", "text", "min_plausibility")))
+        found = long_files.assigned(lines, long_files.segments(lines)).groupBy("source_file", "segment_index").agg(each.alias("lines"))
+    else:
+        found = cut(files_of(lines))
     return found.select("source_file", "segment_index", clean_lines(F.transform("lines", lambda x: x["text"])).alias("lines"), least_plausibility(F.col("lines")).alias("min_line_plausibility"))
 
 

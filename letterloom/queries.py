@@ -7,6 +7,7 @@ letters run on inline rows, as no table holds any. All queries read their whole
 from __future__ import annotations
 
 import atexit
+import functools
 import re
 import shutil
 import tempfile
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .functions import plausibility as pl
 from .functions import text as tx
-from .operators import batch, embed, export, fonts, generate, index, metadata, retrieve, segment, store
+from .operators import batch, embed, export, fonts, generate, index, long_files, metadata, retrieve, segment, store
 from .plans import ingest
 from .sources import files, state
 from .spread import spread
@@ -181,6 +182,29 @@ def segment_text(spark, sf_dir):
     return s.select(F.col("source_file").alias("doc_id"), "segment_index", F.size("lines").cast("long").alias("n_lines"), F.md5(F.array_join(F.transform("lines", lambda x: x["text"]), "\n")).alias("body"))
 
 
+# All documents of a source as one file, whose lines are rows.
+LONG = SEGMENTS.replace(LINES, f"SELECT coalesce(source, '') AS doc_id, line, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY l.doc_id, line_no) - 1 AS line_no FROM ({LINES}) l JOIN documents d ON d.doc_id = l.doc_id")
+
+
+def long_lines(spark, sf_dir):
+    """``source_file, line_no, text``: numbered by a prefix scan over the documents' numbers of lines, as a source may hold a third of all rows."""
+    d = table(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("")).alias("source_file"), "doc_id", tx.text_lines("text").alias("x")).withColumn("n", F.greatest(F.size("x"), F.lit(0)))
+    d = long_files.running_sum(d, ["source_file"], "doc_id", "n", "upto", block=4096)
+    return d.select("source_file", (F.col("upto") - F.col("n")).alias("before"), F.posexplode("x").alias("i", "text")).select("source_file", (F.col("before") + F.col("i")).cast("int").alias("line_no"), "text")
+
+
+@query(f"WITH {LONG} SELECT doc_id AS source_file, segment_index::INT AS segment_index, start_line::INT AS start_line, end_line::INT AS end_line, gated FROM g")
+def long_file_segments(spark, sf_dir):
+    return long_files.segments(long_lines(spark, sf_dir), required=()).drop("anchor_text")
+
+
+@query(f"WITH {LONG} SELECT g.doc_id AS source_file, segment_index::INT AS segment_index, count(*) AS n_lines, sum(length(line))::BIGINT AS n_signs, max(md5(line)) AS greatest FROM g JOIN ln ON ln.doc_id = g.doc_id AND line_no BETWEEN start_line AND end_line GROUP BY ALL")
+def long_file_lines(spark, sf_dir):
+    lines = long_lines(spark, sf_dir)
+    found = long_files.assigned(lines, long_files.segments(lines, required=()))
+    return found.groupBy("source_file", "segment_index").agg(F.count("*").alias("n_lines"), F.sum(F.length("text").cast("long")).alias("n_signs"), F.max(F.md5("text")).alias("greatest"))
+
+
 # Terms and BM25.
 TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 
@@ -697,7 +721,11 @@ def chart_sql(raw):
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     keys = "|".join(re.sub(r"([^\w\s])", r"\\\1", k) if k.isascii() else k for k, _ in fonts.KEYS)
     own = f"map([{', '.join(quoted(k) for k, _ in fonts.KEYS)}], [{', '.join(quoted(v) for _, v in fonts.KEYS)}])"
-    t = f"replace(array_to_string(list_transform(regexp_extract_all({raw}, {quoted('(?s)' + keys + '|.')}), lambda x: coalesce({own}[x], x)), ''), '्ा', '')"
+    return arranged_sql(f"array_to_string(list_transform(regexp_extract_all({raw}, {quoted('(?s)' + keys + '|.')}), lambda x: coalesce({own}[x], x)), '')")
+
+
+def arranged_sql(t):
+    t = f"replace({t}, '्ा', '')"
     c, m = f"[{fonts.CONSONANT}]़?", fonts.MATRA
     t = f"replace(regexp_replace({t}, 'f((?:{c}्)*{c})', '\\1ि', 'g'), 'f', 'ि')"
     t = f"regexp_replace({t}, '((?:{c}्)*{c})([{m}]*)Z', 'र्\\1\\2', 'g')"
@@ -712,6 +740,17 @@ def legacy_decode(spark, sf_dir):
     return rows.select(F.md5("raw").alias("raw"), fonts.decode_legacy()("raw").alias("decoded"))
 
 
+# A table in which what one pair prints is a key of a later one, and keys overlap: "th" prints what "Fk" is, "an" turns round, "s" comes too late for "मs".
+ORDERED = fonts.Ordered([("pkS", "चौ"), ("saz", "Zें"), ("kas", "ाेa"), ("th", "Fk"), ("Fk", "थ"), ("e", "म"), ("मs", "मे"), ("an", "na"), ("nn", "न्न"), ("n", "न"), ("s", "े"), ("it", "tf"), ("tf", "Zत"), ("k", "ा"), ("r", "Z"), ("a", "ं")])
+
+
+@query(f"SELECT doc_id, md5(decoded) AS decoded, length(decoded) AS n_signs FROM (SELECT doc_id, {arranged_sql(functools.reduce(lambda t, p: f"replace({t}, '{p[0]}', '{p[1]}')", ORDERED, 'text'))} AS decoded FROM documents WHERE text IS NOT NULL)")
+def ordered_decode(spark, sf_dir):
+    """A table from a file is applied in its order, each pair over the whole text; the documents are typed in a font of its own kind."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", fonts.decode_legacy(ORDERED)("text").alias("decoded"))
+    return d.select("doc_id", F.md5("decoded").alias("decoded"), F.length("decoded").cast("long").alias("n_signs"))
+
+
 # Runs of one file: legacy fonts and others in turn, empty runs, a line without any text.
 RUNS = [
     ("a", 0, 0, "DevLys 040", "f"), ("a", 0, 1, "Kruti Dev 010", "tyk inkf"), ("a", 0, 2, "DevLys 040", "/kdkjh"), ("a", 0, 3, "Calibri", " ABC "), ("a", 0, 4, None, ""), ("a", 0, 5, "DevLys 040", "lsok esa]"),

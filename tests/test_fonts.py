@@ -27,6 +27,37 @@ def test_own_table(tmp_path):
     assert fonts.Decoder(fonts.read_mapping(str(tmp_path / "m.tsv")))("aba") == "YX"
 
 
+def test_ordered_table_applies_pair_by_pair():
+    table = fonts.Ordered([("pk", "X"), ("pkS", "never"), ("sa", "T"), ("az", "U"), ("kas", "1"), ("=k", "=2"), ("=", "k"), ("k2", "3"), ("T", "az"), ("z", "w")])
+    # the earlier pair wins an overlap, what it prints is a key of later ones, and no pair runs again over what comes after it
+    expected = {"pkS": "XS", "saz": "aww", "kas": "1", "=kk": "3k", "=k": "3", "aza": "Ua", "": ""}
+    assert table.rewrite(list(expected)) == list(expected.values())
+    for raw, want in expected.items():
+        for key, sign in table:
+            raw = sign.join(raw.split(key))
+        assert raw == want
+    assert table.rewrite([]) == [] and fonts.Ordered().rewrite(["a", "b"]) == ["a", "b"]
+    with pytest.raises(ValueError):
+        fonts.Ordered([("", "x")])
+
+
+def test_ordered_table_keeps_texts_apart():
+    table = fonts.Ordered([("ab", "c"), ("c", "d")])
+    last = chr(0x10FFFF)  # the sign that would stand between texts is in use
+    assert table.rewrite(["a", "b", f"{last}ab", "\n", "c"]) == ["a", "b", f"{last}d", "\n", "d"]
+    decoder = fonts.Decoder(table)
+    assert decoder.batch([None, "", "ab", "a", "b"]) == [None, "", "d", "a", "b"]
+
+
+def test_ordered_table_in_a_query_is_that_text_by_text(spark):
+    texts = ["pkS saz", None, "", "kas=kk", "the ant"] * 3
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").repartition(4)
+    table = fonts.Ordered([("th", "Fk"), *fonts.KEYS])
+    got = {r.i: r.d for r in rows.select("i", fonts.decode_legacy(table)("t").alias("d")).collect()}
+    assert [got[i] for i in range(len(texts))] == [fonts.Decoder(table)(t) for t in texts]
+    assert got[4].startswith("थ")
+
+
 def test_split_runs_decode_together(spark):
     rows = [("d", 0, 0, "DevLys 040", "f"), ("d", 0, 1, "DevLys 040", "tyk"), ("d", 0, 2, "Calibri", " A"), ("d", 0, 3, None, ""), ("d", 0, 4, "Kruti Dev 010", "lsok"), ("d", 1, 0, None, "x")]
     runs = spark.createDataFrame(rows, "source_file string, line_no int, run_no int, font_name string, text string")
