@@ -5,8 +5,9 @@ frequency (ties: by code). A language's profile is the ranking of the ``PROFILE`
 distance sums, over the document's ``PROFILE`` most frequent n-grams, how far each one's rank is from its rank in the profile, or
 ``PROFILE`` if it is not there. The nearest profile wins (ties: the smaller name); the score is 1 less the mean distance over ``PROFILE``.
 
-Bounds: a language is fitted on about ``SAMPLE`` documents or fewer (those whose id's hash is below the fraction that gives so many), the
-``LANGUAGES`` most frequent languages are learnt. Prediction reads each whole text once, in its scan task.
+Bounds: a language is fitted on about ``SAMPLE`` documents or fewer (those whose id's hash is below the fraction that gives so many). Every value of
+``lang`` is learnt, ``BLOCK`` of them by one job; the driver and each task hold at most ``PROFILE`` n-grams a language, and ranks in a table for each
+block, so that memory grows with the number of languages and not with its square. Prediction reads each whole text once, in its scan task.
 
 Rows: every input row gives one row; null texts and texts without a letter are ``und`` with score 0; if nothing could be learnt all are;
 other columns are ignored.
@@ -27,7 +28,7 @@ from . import _packs as P
 
 PROFILE = 300
 SAMPLE = 4_000
-LANGUAGES = 1_000
+BLOCK = 64  # languages whose profiles are one table
 
 
 @functools.lru_cache(maxsize=1)
@@ -49,37 +50,52 @@ def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 @dataclass
-class Profiles:
-    names: list[str]
+class Block:
+    """The profiles of some languages."""
+
+    names: list[str]  # sorted
     grams: np.ndarray  # sorted
     ranks: np.ndarray  # (grams, names); PROFILE where it has none
 
+    def nearest(self, gram: np.ndarray) -> tuple[int, str]:
+        """Distance and name; of equal distances the smaller name."""
+        at = np.searchsorted(self.grams, gram)
+        at[at == len(self.grams)] = 0
+        there = self.ranks[at].astype(np.int64)
+        there[self.grams[at] != gram] = PROFILE
+        out = np.where(there == PROFILE, PROFILE, np.abs(there - np.arange(len(gram))[:, None])).sum(0)
+        best = int(out.argmin())
+        return int(out[best]), self.names[best]
+
+
+@dataclass
+class Profiles:
+    blocks: list[Block]
+
     def predict(self, text: str | None) -> tuple[str, float]:
         gram, count = ngrams(text)
-        if not len(gram) or not self.names:
+        if not len(gram) or not self.blocks:
             return "und", 0.0
         if len(gram) > 2 * PROFILE:  # the sort below only needs what can be among the first
             least = np.partition(count, len(count) - PROFILE)[len(count) - PROFILE]
             gram, count = gram[count >= least], count[count >= least]
         gram = gram[np.lexsort((gram, -count))[:PROFILE]]
-        at = np.searchsorted(self.grams, gram)
-        at[at == len(self.grams)] = 0
-        there = self.ranks[at].astype(np.int64)
-        there[self.grams[at] != gram] = PROFILE
-        out = np.where(there == PROFILE, PROFILE, np.abs(there - np.arange(len(gram))[:, None])).sum(0)
-        best = int(out.argmin())
-        return self.names[best], 1.0 - float(out[best]) / (PROFILE * len(gram))
+        far, name = min(block.nearest(gram) for block in self.blocks)
+        return name, 1.0 - far / (PROFILE * len(gram))
 
 
 def fit(docs: DataFrame, teaches: Column) -> Profiles:
     """``docs`` has ``doc_id, text, lang``; ``teaches`` tells, from ``doc_id``, which rows may be learnt from."""
     P.arrow_limits(docs.sparkSession)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang IS NOT NULL").where(teaches)
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    if not sizes:
-        return Profiles([], np.zeros(0, np.int64), np.zeros((0, 0), np.int64))
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()  # one row a language
+    return Profiles([b for i in range(0, len(sizes), BLOCK) for b in learnt(known, sizes[i : i + BLOCK])])
+
+
+def learnt(known: DataFrame, sizes: list) -> list[Block]:
+    """The block of the languages in ``sizes``, rows of ``lang`` and its number of documents; none if no text of theirs holds a letter."""
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, SAMPLE / r.n)])
-    sample = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
+    sample = known.where(F.col("lang").isin([r.lang for r in sizes])).where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20))
 
     def count(batches):
         total: dict[str, list] = {}
@@ -94,11 +110,13 @@ def fit(docs: DataFrame, teaches: Column) -> Profiles:
     counts = sample.select("text", "lang").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram")) - 1
     rows = counts.select("lang", "gram", rank.alias("rank")).where(F.col("rank") < PROFILE).collect()  # PROFILE rows a language
+    if not rows:
+        return []
     names, grams = sorted({r.lang for r in rows}), np.unique(np.array([r.gram for r in rows], np.int64))
-    ranks, column = np.full((len(grams), len(names)), PROFILE, np.int64), {x: i for i, x in enumerate(names)}
+    ranks, column = np.full((len(grams), len(names)), PROFILE, np.int16), {x: i for i, x in enumerate(names)}
     for r in rows:
         ranks[np.searchsorted(grams, r.gram), column[r.lang]] = r.rank
-    return Profiles(names, grams, ranks)
+    return [Block(names, grams, ranks)]
 
 
 def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:

@@ -368,6 +368,25 @@ def test_language_like_brute_force(spark):
         assert (got[i].held_out, got[i].lang_pred) == (zlib.crc32(str(i).encode()) % 4 == 2, want[0]) and abs(got[i].score - want[1]) < 1e-12, i
 
 
+def test_language_learns_every_language(spark, monkeypatch):
+    """More languages than one block holds, the rare ones and one of equal texts under two names included; blocks change no result."""
+    letters = [chr(0x4E00 + i) for i in range(400)]
+    rows = [(70 * j + i, " ".join(letters[5 * i + (j + k) % 5] * (1 + k % 3) for k in range(20)), f"l{i:02d}") for i in range(70) for j in range(1 + i % 3)]
+    rows += [(9000, rows[0][1], "zz"), (9001, rows[0][1], "aa"), (9002, "12 !", "none"), (9003, None, "null")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def found(size):
+        monkeypatch.setattr(language, "BLOCK", size)
+        profiles = language.fit(df, F.lit(True))
+        assert sum(len(b.names) for b in profiles.blocks) == 72
+        return {r.doc_id: (r.lang_pred, r.score) for r in language.identify(df, profiles).collect()}
+
+    got = found(64)
+    assert got == found(30)
+    assert got[9000][0] == got[9001][0] == "aa" and got[9002] == got[9003] == ("und", 0.0)
+    assert all(got[i][0] == lang for i, _, lang in rows if i < 9000 and lang != "l00")
+
+
 def test_language_of_odd_rows(spark):
     texts = odd_texts()
     df = frame(spark, texts + ["x"], [*range(len(texts)), None]).withColumn("score", F.lit("clash")).withColumn("held_out", F.lit(1))
