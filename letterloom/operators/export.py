@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import io
+import re
 import shutil
 import subprocess
 import tempfile
@@ -10,6 +12,10 @@ from dataclasses import dataclass
 from pathlib import Path
 from xml.sax.saxutils import escape, quoteattr
 
+import pandas as pd
+from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
+
 TYPES = (
     '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types">'
     '<Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Default Extension="xml" ContentType="application/xml"/>'
@@ -19,6 +25,7 @@ RELATIONS = (
     '<?xml version="1.0" encoding="UTF-8" standalone="yes"?><Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">'
     '<Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>'
 )
+NOT_XML = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
 MAIN = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 
 
@@ -55,12 +62,25 @@ def document_xml(draft: str, layout: Layout) -> str:
     return f'<?xml version="1.0" encoding="UTF-8" standalone="yes"?><w:document xmlns:w="{MAIN}"><w:body>{"".join(body)}{page}</w:body></w:document>'
 
 
+def docx_bytes(draft: str, layout: Layout = Layout()) -> bytes:
+    """The file's content. Control signs, which XML can't hold, are left out."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, content in (("[Content_Types].xml", TYPES), ("_rels/.rels", RELATIONS), ("word/document.xml", document_xml(NOT_XML.sub("", draft), layout))):
+            z.writestr(name, content)
+    return out.getvalue()
+
+
+@F.pandas_udf(BinaryType())
+def docx_column(draft: pd.Series) -> pd.Series:
+    """A word-processor file for each draft, in the tasks; null for null."""
+    return draft.map(docx_bytes, na_action="ignore")
+
+
 def write_docx(draft: str, path: str | Path, layout: Layout = Layout()) -> Path:
     path = Path(path)
     path.parent.mkdir(parents=True, exist_ok=True)
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for name, content in (("[Content_Types].xml", TYPES), ("_rels/.rels", RELATIONS), ("word/document.xml", document_xml(draft, layout))):
-            z.writestr(name, content)
+    path.write_bytes(docx_bytes(draft, layout))
     return path
 
 

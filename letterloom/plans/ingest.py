@@ -37,11 +37,15 @@ def ingest(spark: SparkSession, root: str, overrides: DataFrame | None = None, p
     Text files are one letter each, never segmented or scored. ``letter_id`` is the file's stem and the segment's number; ``qualified`` takes the whole
     relative path instead of the stem, so that equal names in different folders stay apart.
     """
-    files = src.scan(spark, root, only)
+    return ingest_files(src.scan(spark, root, only), overrides, pdf, ocr, table, qualified)
+
+
+def ingest_files(files: DataFrame, overrides: DataFrame | None = None, pdf: src.Extractor | None = None, ocr: src.Ocr | None = None, table=KEYS, qualified: bool = False, by_rows: bool = False) -> DataFrame:
+    """:func:`ingest` of files that are rows already: ``source_file`` (relative), ``suffix, content``. See :func:`letters_of_lines` for ``by_rows``."""
     runs = src.docx_runs(files)
     if pdf is not None:
         runs = runs.withColumn("ocr_plausibility", F.lit(None).cast("double")).unionByName(src.pdf_runs(files, pdf, ocr))
-    parts = letters_of_lines(src.decoded_lines(runs, table))
+    parts = letters_of_lines(src.decoded_lines(runs, table), by_rows)
     plain = src.txt_lines(files).select("source_file", F.lit(0).alias("segment_index"), clean_lines("lines").alias("lines"), F.lit(1.0).alias("min_line_plausibility"))
     return finish(parts.unionByName(plain), overrides, qualified)
 

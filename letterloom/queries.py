@@ -1,7 +1,7 @@
 """Every operator as a query over the test tables, and the same in SQL.
 
 ``letters`` is ``documents`` with ``source`` as department and ``lang`` as letter type; vectors come from ``embeddings`` by id. Operators on Hindi
-letters run on inline rows, as no table holds any. All queries read their whole tables.
+letters have inline rows beside those of the tables, which hold none. All queries read their whole tables.
 """
 
 from __future__ import annotations
@@ -783,18 +783,24 @@ def pages_of(content):
     return [[[(line, None)] for line in page.split("\n")] for page in content.decode().split("\f")]
 
 
-def capitals(content, page_no):
-    return content.decode().split("\f")[page_no].upper(), 45.0
+def joined_words(content, page_no):
+    return content.decode().split("\f")[page_no].replace(" ", "_"), 45.0
 
 
-@query(f"""WITH p AS (SELECT f, unnest(string_split(x, chr(12))) AS page, generate_subscripts(string_split(x, chr(12)), 1) AS n FROM (VALUES {values(SCANS)}) v(f, x)),
+PAGES = f"SELECT f, x FROM (VALUES {values(SCANS)}) v(f, x) UNION ALL SELECT 'doc' || doc_id || '.pdf', replace(text, '.' || chr(10), '.' || chr(12)) FROM documents WHERE text IS NOT NULL"
+
+
+@query(f"""WITH p AS (SELECT f, unnest(string_split(x, chr(12))) AS page, generate_subscripts(string_split(x, chr(12)), 1) AS n FROM ({PAGES})),
 l AS (SELECT f, n, unnest(string_split(page, chr(10))) AS line, generate_subscripts(string_split(page, chr(10)), 1) AS i FROM p),
-k AS (SELECT *, sum(length(trim(line))) OVER (PARTITION BY f, n) < 20 AS low FROM l),
-o AS (SELECT f, n, i, low, CASE WHEN low THEN upper(line) ELSE line END AS text FROM k WHERE trim(line) <> '')
-SELECT f AS source_file, (row_number() OVER (PARTITION BY f ORDER BY n, i) - 1)::INT AS line_no, text, i = min(i) OVER (PARTITION BY f, n) AS page_break_before, CASE WHEN low THEN 0.45 ELSE 1 END::DOUBLE AS min_plausibility FROM o""")
+k AS (SELECT *, sum(length({STRIP % 'line'})) OVER (PARTITION BY f, n) < 20 AS low FROM l),
+o AS (SELECT f, n, i, low, CASE WHEN low THEN replace(line, ' ', '_') ELSE line END AS text FROM k),
+r AS (SELECT * FROM o WHERE {STRIP % 'text'} <> '')
+SELECT f AS source_file, (row_number() OVER (PARTITION BY f ORDER BY n, i) - 1)::INT AS line_no, text, i = min(i) OVER (PARTITION BY f, n) AS page_break_before, CASE WHEN low THEN 0.45 ELSE 1 END::DOUBLE AS min_plausibility FROM r""")
 def pdf_scan(spark, sf_dir):
+    """Every document as such a file, whose pages end where a line ends with a full stop."""
     found = spark.createDataFrame([(f, ".pdf", bytearray(x.encode())) for f, x in SCANS], "source_file string, suffix string, content binary")
-    return files.decoded_lines(files.pdf_runs(found, pages_of, capitals))
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.format_string("doc%d.pdf", "doc_id").alias("source_file"), F.lit(".pdf").alias("suffix"), F.encode(F.replace("text", F.lit(".\n"), F.lit(".\f")), "UTF-8").alias("content"))
+    return files.decoded_lines(files.pdf_runs(found.unionByName(d), pages_of, joined_words))
 
 
 LETTER = "सेवा में,\nप्रबंधक\n\nविषय: नमूना"
@@ -816,11 +822,25 @@ def sample_tree(spark) -> str:
     return root
 
 
-@query(f"""SELECT 'education/office/letter.docx' AS source_file, (i - 1)::INT AS line_no, p AS text, false AS page_break_before, round(score, 6)::DOUBLE AS min_plausibility
-FROM {scored_sql(f"SELECT unnest(string_split({values([(LETTER,)])[1:-1]}, chr(10) || chr(10))) AS t, generate_subscripts(string_split({values([(LETTER,)])[1:-1]}, chr(10) || chr(10)), 1) AS i")} s, LATERAL (SELECT t AS p)""")
+def typed_files(spark, sf_dir, suffixes):
+    """Every document as a file ``source/lang/doc<id>`` with one of the suffixes in turn: text as it is, or a word-processor file with a paragraph for each line."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").withColumn("suffix", F.element_at(F.array(*map(F.lit, suffixes)), F.pmod("doc_id", F.lit(len(suffixes))).cast("int") + 1))
+    name = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.coalesce("lang", F.lit("none")), F.format_string("/doc%d", "doc_id"), "suffix").alias("source_file")
+    typed = export.docx_column(F.when(F.col("suffix") == ".docx", F.replace("text", F.lit("\n"), F.lit("\n\n"))))
+    return d.select(name, "suffix", F.coalesce(typed, F.encode("text", "UTF-8")).alias("content"))
+
+
+FILED = "coalesce(source, 'none') || '/' || coalesce(lang, 'none') || '/doc' || doc_id"
+PARAGRAPHS = f"""SELECT f, row_number() OVER (PARTITION BY f ORDER BY j) - 1 AS i, t FROM (
+SELECT f, unnest(ls) AS t, generate_subscripts(ls, 1) AS j FROM (SELECT {FILED} || '.docx' AS f, string_split({STRIP % 'text'}, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)) WHERE {STRIP % 't'} <> ''
+UNION ALL SELECT 'education/office/letter.docx', i - 1, t FROM (SELECT unnest(ls) AS t, generate_subscripts(ls, 1) AS i FROM (SELECT string_split({values([(LETTER,)])[1:-1]}, chr(10) || chr(10)) AS ls))"""
+
+
+@query(f"SELECT f AS source_file, i::INT AS line_no, t AS text, false AS page_break_before, round(score, 6)::DOUBLE AS min_plausibility FROM {scored_sql(PARAGRAPHS)}")
 def docx_scan(spark, sf_dir):
-    """A generated tree, as no test table holds files."""
-    return files.decoded_lines(files.docx_runs(files.scan(spark, sample_tree(spark)))).withColumn("min_plausibility", F.round("min_plausibility", 6))
+    """A small tree that lies in a folder, and every document as a file."""
+    found = files.scan(spark, sample_tree(spark)).select("source_file", "suffix", "content").unionByName(typed_files(spark, sf_dir, [".docx"]))
+    return files.decoded_lines(files.docx_runs(found)).withColumn("min_plausibility", F.round("min_plausibility", 6))
 
 
 TREE = f"SELECT * FROM (VALUES {values([('education/office/letter.docx', LETTER), ('revenue/note.txt', NOTE)])}) v(path, content)"
@@ -829,6 +849,10 @@ TREE = f"SELECT * FROM (VALUES {values([('education/office/letter.docx', LETTER)
 @query(rf"""WITH f AS (SELECT path, string_split(path, '/') AS s, unnest(string_split(content, chr(10))) AS line, generate_subscripts(string_split(content, chr(10)), 1) AS i FROM ({TREE})),
 l AS (SELECT path, s, i, trim(regexp_replace(line, '[ 	]{{2,}}', ' ', 'g')) AS x FROM f WHERE trim(line) <> ''),
 t AS (SELECT path, any_value(s) AS s, string_agg(x, chr(10) ORDER BY i) AS text, arg_min(nullif(trim(regexp_extract(x, '^विषय\s*[:\-।]*\s*(.*)$', 1)), ''), i) FILTER (starts_with(x, 'विषय')) AS subject FROM l GROUP BY path)
-SELECT regexp_replace(s[-1], '\.[^.]*$', '') || '__seg000' AS letter_id, s[1] AS department, CASE WHEN len(s) > 2 THEN s[2] ELSE 'unknown' END AS office, path AS source_file, subject, {KIND.replace('(t,', '(text,')} AS letter_type, text, false AS needs_review FROM t""")
+SELECT regexp_replace(s[-1], '\.[^.]*$', '') || '__seg000' AS letter_id, s[1] AS department, CASE WHEN len(s) > 2 THEN s[2] ELSE 'unknown' END AS office, path AS source_file, subject, {KIND.replace('(t,', '(text,')} AS letter_type, text, false AS needs_review FROM t
+UNION ALL SELECT 'doc' || doc_id || '__seg000', coalesce(source, 'none'), coalesce(lang, 'none'), {FILED} || CASE WHEN doc_id % 2 = 0 THEN '.txt' ELSE '.docx' END, NULL, 'general_correspondence', coalesce(text, ''), false FROM (
+SELECT d.doc_id, source, lang, string_agg(c, chr(10) ORDER BY i) AS text FROM documents d LEFT JOIN (SELECT doc_id, i, {CLEAN} AS c FROM ({SPLIT}) WHERE {STRIP % 'line'} <> '') l ON l.doc_id = d.doc_id WHERE d.text IS NOT NULL GROUP BY ALL) WHERE doc_id % 2 = 0 OR text IS NOT NULL""")
 def ingest_tree(spark, sf_dir):
-    return ingest.ingest(spark, sample_tree(spark)).select("letter_id", "department", "office", "source_file", "subject", "letter_type", "text", "needs_review")
+    """A small tree that lies in a folder, and every document as a file, text and word-processor files in turn."""
+    found = files.scan(spark, sample_tree(spark)).select("source_file", "suffix", "content").unionByName(typed_files(spark, sf_dir, [".txt", ".docx"]))
+    return ingest.ingest_files(found).select("letter_id", "department", "office", "source_file", "subject", "letter_type", "text", "needs_review")

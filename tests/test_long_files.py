@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from letterloom.operators import long_files, segment
+from letterloom.operators import export, long_files, segment
 from letterloom.plans import ingest
 
 HEAD = "पत्रांक----/दिनांक----"
@@ -57,6 +57,17 @@ def test_no_shuffle_by_file_alone(spark):
     assert windows and all("_block" in x.split("windowspecdefinition(")[1].split(", specifiedwindowframe")[0].split(" ASC")[0] for x in windows)
 
 
+def test_files_of_a_table_are_ingested(spark):
+    """Word-processor files made in the tasks; control signs, which XML can't hold, don't make them unreadable; by rows or by files."""
+    rows = [("a/b/x.docx", ".docx", "one\x00\x0b\n\ntwo"), ("a/y.docx", ".docx", ""), ("a/z.docx", ".docx", " \n"), ("a/b/t.txt", ".txt", None)]
+    drafts = spark.createDataFrame(rows, "source_file string, suffix string, draft string")
+    files = drafts.where("suffix = '.txt' OR draft IS NOT NULL").select("source_file", "suffix", F.coalesce(export.docx_column("draft"), F.lit(b"")).alias("content"))
+    want = [("t__seg000", "a", "b", ""), ("x__seg000", "a", "b", "one\ntwo")]
+    for by_rows in (False, True):
+        got = ingest.ingest_files(files, by_rows=by_rows).select("letter_id", "department", "office", "text")
+        assert rows_of(got) == want
+
+
 def test_no_lines(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert long_files.segments(none).count() == 0 and long_files.assigned(none, long_files.segments(none)).count() == 0
