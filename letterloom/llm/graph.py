@@ -13,17 +13,18 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round takes the least label among the neighbours and then the label of the label, so a path of length n needs about log n
     rounds. All steps are joins and partial aggregations; the driver sees one number a round. Every round is cut by a
-    checkpoint, so that lost executors cost one round.
+    checkpoint, so that lost executors cost one round. Both sides of the joins grow with the input, so none is left to be broadcast,
+    which would bring it to the driver.
     """
     checkpoints(edges.sparkSession)
     both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct().checkpoint()
     labels = both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")).checkpoint()
     while True:
-        near = both.join(labels, both.a == labels.node).groupBy(F.col("b").alias("n")).agg(F.min("label").alias("near"))
+        near = both.join(labels.hint("merge"), both.a == labels.node).groupBy(F.col("b").alias("n")).agg(F.min("label").alias("near"))
         # Cut here, so that Spark may split the next join where many nodes have one label.
-        low = labels.join(near, labels.node == near.n).select("node", "label", F.least("label", "near").alias("low")).checkpoint()
+        low = labels.join(near.hint("merge"), labels.node == near.n).select("node", "label", F.least("label", "near").alias("low")).checkpoint()
         up = low.select(F.col("node").alias("n"), F.col("low").alias("up"))
-        new = low.join(up, low.low == up.n).select("node", "up", (F.col("up") != F.col("label")).alias("moved")).checkpoint()
+        new = low.join(up.hint("merge"), low.low == up.n).select("node", "up", (F.col("up") != F.col("label")).alias("moved")).checkpoint()
         if not new.where("moved").limit(1).count():
             return new.select("node", F.col("up").alias("label"))
         labels = new.select("node", F.col("up").alias("label"))

@@ -265,6 +265,7 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, carry: tuple
     checkpoints(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     rows = classified(docs, size, percent).checkpoint()
+    # No join of this operator but that with ``sized`` may be a broadcast: their sides grow with the input, and small ones would pass through the driver up to Spark's threshold.
     classes = (
         rows.where("class IS NOT NULL").groupBy("class")
         .agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"), F.first("shared", True).alias("shared"), F.first("n_prefix", True).alias("n_prefix"))
@@ -281,13 +282,13 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, carry: tuple
 
     token = classes.select("class", "shared", "n_prefix").mapInArrow(prefixes, "token long, class binary").checkpoint()
     holder = token.groupBy("token").agg(F.min("class").alias("b"), F.count("*").alias("k")).where("k > 1").select(F.col("token").alias("t"), "b")
-    unit = components(token.join(holder, F.col("token") == F.col("t")).select(F.col("class").alias("a"), "b"))
+    unit = components(token.join(holder.hint("merge"), F.col("token") == F.col("t")).select(F.col("class").alias("a"), "b"))
     # Only units over BLOCK classes need their size; as a rule there are few, and then no shuffle gathers a unit.
     sized = unit.groupBy("label").agg(F.count("*").alias("size")).where(F.col("size") > BLOCK).checkpoint()
     sized = F.broadcast(sized) if sized.count() <= SENT else sized
     members = (
         unit.join(sized, "label", "left").select(F.col("node").alias("class"), "label", F.coalesce("size", F.lit(1)).alias("size"))
-        .join(classes.select("class", "n", "shared"), "class").checkpoint()
+        .join(classes.select("class", "n", "shared").hint("merge"), "class").checkpoint()
     )
     tasks = max(1, -(-members.count() // SHARE))
     chunks = F.ceil(F.col("size") / BLOCK).cast("int")
@@ -342,12 +343,12 @@ def jaccard_join(docs: DataFrame, size: int = 5, percent: int = 80, carry: tuple
     partials = segments.groupBy("task", "fragment").applyInArrow(count, "task string, label binary, blob binary")
     links = partials.groupBy("task").applyInArrow(add, "a binary, b binary, links long").checkpoint()
     joined = components(links.select("a", "b"))
-    least = joined.join(classes.select(F.col("class").alias("node"), "least"), "node").groupBy("label").agg(F.min("least").alias("component_id"))
+    least = joined.join(classes.select(F.col("class").alias("node"), "least").hint("merge"), "node").groupBy("label").agg(F.min("least").alias("component_id"))
     degree = links.groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"))
-    found = joined.join(least, "label").join(degree, "node").select(F.col("node").alias("class"), "component_id", "n_links")
+    found = joined.join(least.hint("merge"), "label").join(degree.hint("merge"), "node").select(F.col("node").alias("class"), "component_id", "n_links")
     # Cut here, the last join has nothing above or below it, so Spark may split the rows of a class that a third of all documents share.
-    alone = classes.select("class", "least").join(found, "class", "left").select("class", F.coalesce("component_id", "least").alias("component_id"), "n_links").checkpoint()
-    return rows.select("doc_id", "n_shingles", "class", *carry).join(alone, "class", "left").select(
+    alone = classes.select("class", "least").join(found.hint("merge"), "class", "left").select("class", F.coalesce("component_id", "least").alias("component_id"), "n_links").checkpoint()
+    return rows.select("doc_id", "n_shingles", "class", *carry).join(alone.hint("merge"), "class", "left").select(
         "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), *carry,
     )
 

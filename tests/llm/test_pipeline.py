@@ -60,3 +60,17 @@ def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
     hit = spark.createDataFrame([(None, item), (7, f"so {item}"), (7, other), (None, other), (8, None)], schema)
     left = corpus_pipeline.contaminated(spark, hit, SF).collect()
     assert sorted((str(r.doc_id), str(r.text)) for r in left) == [("7", other), ("8", "None"), ("None", other)]
+
+
+def test_no_table_that_grows_is_broadcast(spark):
+    """What is broadcast passes whole through the driver. Only the (bounded) list of large units may."""
+    ran = lambda: {x.executionId(): x.physicalPlanDescription() for x in map(held.apply, range(held.size()))}
+    text = " ".join(f"word{i}" for i in range(40))
+    docs = spark.createDataFrame([(i, f"{text} {'x ' * (i % 4)}") for i in range(12)] + [(20, "another text"), (21, None)], "doc_id long, text string")
+    store = spark._jsparkSession.sharedState().statusStore()
+    held = store.executionsList()
+    before = set(ran())
+    assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).orderBy("doc_id").collect()] == [0, 20, 21]
+    held = store.executionsList()
+    plans = [p.split("+- == Initial Plan ==")[0] for k, p in ran().items() if k not in before]
+    assert plans and sum("BroadcastHashJoin" in p for p in plans) <= 1 and not any("LeftSemi" in p and "BroadcastHashJoin" in p for p in plans)
