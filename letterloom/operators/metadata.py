@@ -26,6 +26,9 @@ SUBJECT_WORD = rf"^{WS}*विषय(?![\p{{L}}\p{{N}}_])"
 DISCIPLINARY = ["आदेश", "आरोप", "अभिकथन", "निलंबित", "दोषी"]
 FORWARDING = ["अग्रसारित", "अनुरोध", "प्रेषित", "अग्रलेख"]
 
+#: Words that a line must hold for the pattern to match: they are looked for in the bytes first, as most lines hold none.
+HOLDS = {SUBJECT: ["विषय"], CONTEXT: ["प्रसंग"], SERVICE_TO: ["सेवा"], SENDER: ["प्रेषक"], COPY_TO: ["प्रतिलिपि"], REFERENCE: ["पत्रांक", "दिनांक"]}
+
 FIELDS = ["subject", "context_reference", "reference_number", "reference_date", "recipient_designation", "sender_designation"]
 
 
@@ -37,13 +40,20 @@ def is_placeholder(c: Column | str) -> Column:
     return col(c).isNull() | col(c).rlike(PLACEHOLDER)
 
 
+def fits(line: Column, pattern: str) -> Column:
+    found = line.rlike(pattern)
+    for w in reversed(HOLDS[pattern]):
+        found = line.contains(w) & found
+    return found
+
+
 def labelled(lines: Column, pattern: str) -> Column:
     """The first non-empty rest of a line that the pattern matches."""
-    return first(F.transform(lines, lambda x: F.when(x.rlike(pattern), non_empty(F.regexp_extract(x, pattern, 1)))))
+    return first(F.transform(lines, lambda x: F.when(fits(x, pattern), non_empty(F.regexp_extract(x, pattern, 1)))))
 
 
 def any_line(lines: Column, pattern: str) -> Column:
-    return F.exists(lines, lambda x: x.rlike(pattern))
+    return F.exists(lines, lambda x: fits(x, pattern))
 
 
 def following(lines: Column, i: Column, stops: Callable[[Column], Column]) -> Column:
@@ -73,13 +83,13 @@ def extract(letters: DataFrame, lines: str = "lines") -> DataFrame:
     """``letters`` with the six fields, ``copy_to``, ``letter_type``, ``field_confidence`` (only labels that occur) and ``low_confidence_fields``."""
     x = F.col(lines)
     references = F.transform(
-        F.filter(x, lambda v: v.rlike(REFERENCE)),
+        F.filter(x, lambda v: fits(v, REFERENCE)),
         lambda v: F.struct(*[F.when(~is_placeholder(F.regexp_extract(v, REFERENCE, g)), F.regexp_extract(v, REFERENCE, g)).alias(n) for g, n in ((1, "number"), (2, "date"))]),
     )
     reference = F.get(F.filter(references, lambda r: r["number"].isNotNull() | r["date"].isNotNull()), F.lit(0))
-    to = first(F.transform(x, lambda v, i: F.when(v.rlike(SERVICE_TO), following(x, i, lambda y: is_blank(y) | y.rlike(SUBJECT) | y.rlike(CONTEXT)))))
-    by = first(F.transform(x, lambda v, i: F.when(v.rlike(SENDER), following(x, i, lambda y: is_blank(y) | y.rlike(SERVICE_TO)))))
-    copies = F.filter(F.transform(x, lambda v: F.when(v.rlike(COPY_TO), non_empty(F.regexp_extract(v, COPY_TO, 1)))), lambda v: v.isNotNull())
+    to = first(F.transform(x, lambda v, i: F.when(fits(v, SERVICE_TO), following(x, i, lambda y: is_blank(y) | fits(y, SUBJECT) | fits(y, CONTEXT)))))
+    by = first(F.transform(x, lambda v, i: F.when(fits(v, SENDER), following(x, i, lambda y: is_blank(y) | fits(y, SERVICE_TO)))))
+    copies = F.filter(F.transform(x, lambda v: F.when(fits(v, COPY_TO), non_empty(F.regexp_extract(v, COPY_TO, 1)))), lambda v: v.isNotNull())
     done = letters.select(
         "*", labelled(x, SUBJECT).alias("subject"), labelled(x, CONTEXT).alias("context_reference"),
         reference["number"].alias("reference_number"), reference["date"].alias("reference_date"),

@@ -41,3 +41,21 @@ def test_overrides(spark):
     rows = spark.createDataFrame([({"k": "1"}, None), ({"k": "1"}, {"k": None, "n": "2"})], "a map<string,string>, o map<string,string>")
     assert [r.m for r in rows.select(metadata.merged_map("a", "o").alias("m")).collect()] == [{"k": "1"}, {"k": "1", "n": "2"}]
     assert rows.select(metadata.is_placeholder(F.lit("- _."))).first()[0]
+
+
+def test_lines_are_split_once_for_each_letter(spark):
+    """A filter that Spark infers from ``explode`` would repeat the extraction at the scan."""
+    from letterloom import queries
+    from tests.test_queries import SF
+
+    for name in ("field_confidence", "low_confidence_fields", "plausibility", "placeholder"):
+        plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+        assert not [x for x in plan.splitlines() if "Filter" in x and "split(" in x], name
+
+
+def test_lines_without_a_sign_of_the_block_need_no_expression(spark):
+    from letterloom.functions import plausibility as pl
+
+    texts = ["", "  ", "plain", "é ü ॐ", "१२", "\u08ff\u0980 \u0a00", "सेवा x", None]
+    got = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").select("i", pl.has_devanagari("t"), pl.plausibility("t")).orderBy("i").collect()
+    assert [r[1] for r in got] == [False, False, False, True, True, False, True, None] and [r[2] for r in got[:3]] == [1.0] * 3
