@@ -22,6 +22,16 @@ COMMON_WORDS = [
 REVIEW_BELOW = 0.6
 
 
+def has_devanagari(c: Column | str) -> Column:
+    """Whether a sign of the block stands in the text, found in the bytes, where the block is E0 A4 and E0 A5: most texts without one need no regular expression."""
+    data = col(c).cast("binary")
+    return F.contains(data, F.lit(b"\xe0\xa4")) | F.contains(data, F.lit(b"\xe0\xa5"))
+
+
+def where_found(c: Column | str, without: Column, value: Column) -> Column:
+    return F.when(~has_devanagari(c), without).otherwise(value)
+
+
 def runs(c: Column | str) -> Column:
     return F.regexp_extract_all(col(c), F.lit(DEVANAGARI + "+"), F.lit(0))
 
@@ -30,23 +40,25 @@ def devanagari_ratio(c: Column | str) -> Column:
     """Devanagari signs per letter-like sign; over 1 where digits of the block stand; 0 without letter-like signs."""
     letters = F.length(F.regexp_replace(col(c), NOT_LETTER, ""))
     own = F.length(col(c)) - F.length(F.regexp_replace(col(c), DEVANAGARI, ""))
-    return F.when(letters == 0, F.lit(0.0)).otherwise(own / letters)
+    return where_found(c, F.lit(0.0), F.when(letters == 0, F.lit(0.0)).otherwise(own / letters))
 
 
 def common_word_hits(c: Column | str) -> Column:
-    return F.size(F.filter(runs(c), lambda w: w.isin(COMMON_WORDS)))
+    return where_found(c, F.lit(0), F.size(F.filter(runs(c), lambda w: w.isin(COMMON_WORDS))))
 
 
 def malformed_ratio(c: Column | str) -> Column:
     """Share of Devanagari runs that begin with a combining mark."""
     n = F.size(runs(c))
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.size(F.filter(runs(c), lambda w: F.left(w, F.lit(1)).isin(list(COMBINING)))) / n)
+    begin = F.filter(runs(c), lambda w: F.left(w, F.lit(1)).isin(list(COMBINING)))
+    return where_found(c, F.lit(0.0), F.when(n == 0, F.lit(0.0)).otherwise(F.size(begin) / n))
 
 
 def plausibility(c: Column | str) -> Column:
     ratio = devanagari_ratio(c)
     score = ratio + F.least(0.05 * common_word_hits(c), F.lit(0.3)) - 0.6 * malformed_ratio(c)
-    return F.when(is_blank(c) | (ratio == 0), F.lit(1.0)).otherwise(F.greatest(F.least(score, F.lit(1.0)), F.lit(0.0)))
+    found = F.when(is_blank(c) | (ratio == 0), F.lit(1.0)).otherwise(F.greatest(F.least(score, F.lit(1.0)), F.lit(0.0)))
+    return where_found(c, F.lit(1.0), found)
 
 
 def needs_review(min_plausibility: Column | str) -> Column:

@@ -81,7 +81,8 @@ def cut(files: DataFrame, required: Sequence[str] = REQUIRED, copies: int = LEAS
     starts = F.transform("anchor_lines", lambda a, i: F.greatest(a - LOOK_BACK, i))
     files = files.withColumn("starts", F.when(F.col("anchor_text").isNull(), F.array(F.lit(0))).otherwise(starts))
     files = files.withColumn("ends", F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("lines"))))
-    each = files.select("*", F.posexplode("starts").alias("segment_index", "start_line"))
+    # For posexplode Spark would add a filter on the size of "starts", push it down and search each file's header twice.
+    each = files.select("*", F.posexplode_outer("starts").alias("segment_index", "start_line")).where("segment_index IS NOT NULL")
     end = F.get("ends", F.col("segment_index"))
     return each.select(
         "source_file", "segment_index", "start_line", (end - 1).alias("end_line"), "anchor_text", F.col("anchor_text").isNull().alias("gated"),
