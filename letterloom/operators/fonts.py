@@ -163,6 +163,35 @@ def decode_runs(groups: DataFrame, table: Iterable[tuple[str, str]] = KEYS) -> D
     return routed.withColumn("routed", F.col("legacy")).withColumn("plausibility", plausibility("text"))
 
 
+def grouped_lines(lines: DataFrame, table: Iterable[tuple[str, str]] = KEYS) -> DataFrame:
+    """:func:`group_runs`, :func:`decode_runs` and :func:`lines_of` where a line's runs stand in one array ``runs`` (``run_no, text, font_name``): the other columns,
+    ``text`` and ``min_plausibility``, without a shuffle. Only legacy texts reach Python."""
+    decoder = Decoder(table)
+
+    @F.pandas_udf("array<string>")
+    def decode(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if own is None else decoder.batch(list(own)) for own in texts], index=texts.index, dtype=object)
+
+    rest = [c for c in lines.columns if c != "runs"]
+    used = F.array_sort(F.filter("runs", lambda x: F.length(x["text"]) > 0))
+    rows = lines.select(*rest, F.transform(used, lambda x: F.struct(is_legacy_font(x["font_name"]).alias("legacy"), x["text"].alias("text"))).alias("_runs"))
+    starts = F.filter(F.sequence(F.lit(0), F.size("_runs") - 1), lambda i: (i == 0) | (F.get("_runs", i)["legacy"] != F.get("_runs", i - 1)["legacy"]))
+    rows = rows.select("*", F.when(F.size("_runs") > 0, starts).otherwise(F.array().cast("array<int>")).alias("_starts"))
+
+    def group(start: Column, i: Column) -> Column:
+        end = F.coalesce(F.get("_starts", i + 1), F.size("_runs"))
+        text = F.array_join(F.transform(F.slice("_runs", start + 1, end - start), lambda x: x["text"]), "")
+        return F.struct(F.get("_runs", start)["legacy"].alias("legacy"), text.alias("text"))
+
+    rows = rows.select(*rest, F.transform("_starts", group).alias("_groups"))
+    coded = F.when(F.exists("_groups", lambda g: g["legacy"]), F.transform("_groups", lambda g: F.when(g["legacy"], g["text"])))
+    rows = rows.select("*", decode(coded).alias("_decoded"))
+    texts = F.transform("_groups", lambda g, i: F.coalesce(F.get("_decoded", i), g["text"]))
+    rows = rows.select(*rest, texts.alias("_texts"))
+    least = F.array_min(F.transform("_texts", lambda t: F.when(~is_blank(t), plausibility(t))))
+    return rows.select(*rest, F.array_join("_texts", "").alias("text"), F.coalesce(least, F.lit(1.0)).alias("min_plausibility"))
+
+
 def lines_of(decoded: DataFrame, keys: Sequence[str] = ("source_file", "line_no")) -> DataFrame:
     """``keys, text, min_plausibility`` over the groups that are not blank (1 without any)."""
     parts = F.array_sort(F.collect_list(F.struct("group_no", "text")))

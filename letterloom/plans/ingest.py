@@ -42,10 +42,10 @@ def ingest(spark: SparkSession, root: str, overrides: DataFrame | None = None, p
 
 def ingest_files(files: DataFrame, overrides: DataFrame | None = None, pdf: src.Extractor | None = None, ocr: src.Ocr | None = None, table=KEYS, qualified: bool = False, by_rows: bool = False) -> DataFrame:
     """:func:`ingest` of files that are rows already: ``source_file`` (relative), ``suffix, content``. See :func:`letters_of_lines` for ``by_rows``."""
-    runs = src.docx_runs(files)
+    lines = src.docx_files(files)
     if pdf is not None:
-        runs = runs.withColumn("ocr_plausibility", F.lit(None).cast("double")).unionByName(src.pdf_runs(files, pdf, ocr))
-    parts = letters_of_lines(src.decoded_lines(runs, table), by_rows)
+        lines = lines.unionByName(src.pdf_files(files, pdf, ocr))
+    parts = letters_of_lines(src.decoded_lines(lines, table), by_rows)
     plain = src.txt_lines(files).select("source_file", F.lit(0).alias("segment_index"), clean_lines("lines").alias("lines"), F.lit(1.0).alias("min_line_plausibility"))
     return finish(parts.unionByName(plain), overrides, qualified)
 

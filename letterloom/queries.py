@@ -808,7 +808,7 @@ def pdf_scan(spark, sf_dir):
     """Every document as such a file, whose pages end where a line ends with a full stop."""
     found = spark.createDataFrame([(f, ".pdf", bytearray(x.encode())) for f, x in SCANS], "source_file string, suffix string, content binary")
     d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.format_string("doc%d.pdf", "doc_id").alias("source_file"), F.lit(".pdf").alias("suffix"), F.encode(F.replace("text", F.lit(".\n"), F.lit(".\f")), "UTF-8").alias("content"))
-    return files.decoded_lines(files.pdf_runs(found.unionByName(d), pages_of, joined_words))
+    return files.decoded_lines(files.pdf_files(found.unionByName(d), pages_of, joined_words))
 
 
 LETTER = "सेवा में,\nप्रबंधक\n\nविषय: नमूना"
@@ -848,7 +848,7 @@ UNION ALL SELECT 'education/office/letter.docx', i - 1, t FROM (SELECT unnest(ls
 def docx_scan(spark, sf_dir):
     """A small tree that lies in a folder, and every document as a file."""
     found = files.scan(spark, sample_tree(spark)).select("source_file", "suffix", "content").unionByName(typed_files(spark, sf_dir, [".docx"]))
-    return files.decoded_lines(files.docx_runs(found)).withColumn("min_plausibility", F.round("min_plausibility", 6))
+    return files.decoded_lines(files.docx_files(found)).withColumn("min_plausibility", F.round("min_plausibility", 6))
 
 
 TREE = f"SELECT * FROM (VALUES {values([('education/office/letter.docx', LETTER), ('revenue/note.txt', NOTE)])}) v(path, content)"

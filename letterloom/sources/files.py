@@ -9,16 +9,19 @@ from collections.abc import Callable, Iterator, Sequence
 from urllib.parse import unquote, urlparse
 from xml.etree import ElementTree
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import col, text_lines
-from ..operators.fonts import KEYS, decode_runs, group_runs, lines_of
+from ..operators.fonts import KEYS, grouped_lines
 
 SUFFIXES = (".docx", ".pdf", ".txt")
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 RUNS = "source_file string, line_no int, run_no int, text string, font_name string, page_break_before boolean"
+#: Lines with their runs, as a reader gives them: of one line all runs stand together.
+LINES = "source_file string, line_no int, runs array<struct<run_no: int, text: string, font_name: string>>, page_break_before boolean, ocr_plausibility double"
+RUN = pa.struct([("run_no", pa.int32()), ("text", pa.string()), ("font_name", pa.string())])
 LEAST_TEXT = 20  # signs on a page, under which its text layer is not used
 
 
@@ -102,16 +105,44 @@ def paragraph(p: ElementTree.Element) -> tuple[list[tuple[str, str | None]], boo
     return runs, breaks
 
 
-def docx_runs(files: DataFrame) -> DataFrame:
-    """Runs of word-processor files, at least one (empty) for each line."""
+#: ``(runs, page_break_before, ocr_plausibility)`` of a line; a run is ``(text, font)``.
+Line = tuple[list[tuple[str, str | None]], bool, float | None]
+
+
+def read_lines(files: DataFrame, lines: Callable[[str, bytes], Iterator[Line]]) -> DataFrame:
+    """``LINES`` of files ``source_file, content``: each is read once."""
+
+    def batch(name: str, found: list[Line]) -> pa.RecordBatch:
+        ends = [0]
+        for runs, _, _ in found:
+            ends.append(ends[-1] + len(runs))
+        flat = [{"run_no": j, "text": t, "font_name": f} for runs, _, _ in found for j, (t, f) in enumerate(runs)]
+        held = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, RUN))
+        columns = {"source_file": pa.array([name] * len(found), pa.string()), "line_no": pa.array(range(len(found)), pa.int32()), "runs": held}
+        return pa.record_batch(columns | {"page_break_before": pa.array([b for _, b, _ in found], pa.bool_()), "ocr_plausibility": pa.array([s for _, _, s in found], pa.float64())})
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            for name, content in zip(part.column("source_file").to_pylist(), part.column("content"), strict=True):
+                yield batch(name, list(lines(name, content.as_py())))
 
-    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for name, content in zip(part.source_file, part.content, strict=True):
-                rows = [(name, i, j, t, f, b) for i, (runs, b) in enumerate(docx_lines(bytes(content))) for j, (t, f) in enumerate(runs or [("", None)])]
-                yield pd.DataFrame(rows, columns=["source_file", "line_no", "run_no", "text", "font_name", "page_break_before"])
+    return files.select("source_file", "content").mapInArrow(read, LINES)
 
-    return files.where("suffix = '.docx'").select("source_file", "content").mapInPandas(read, RUNS)
+
+def runs_of(lines: DataFrame, *more: str) -> DataFrame:
+    """A row for each run."""
+    each = lines.select("source_file", "line_no", F.explode("runs").alias("r"), "page_break_before", *more)
+    return each.select("source_file", "line_no", "r.run_no", "r.text", "r.font_name", "page_break_before", *more)
+
+
+def docx_files(files: DataFrame) -> DataFrame:
+    """Lines of word-processor files with their runs, at least one (empty) for each."""
+    return read_lines(files.where("suffix = '.docx'"), lambda _, content: ((runs or [("", None)], b, None) for runs, b in docx_lines(content)))
+
+
+def docx_runs(files: DataFrame) -> DataFrame:
+    """The same as a row for each run."""
+    return runs_of(docx_files(files))
 
 
 #: Gives a PDF's pages, each a list of lines, each a list of ``(text, font)``.
@@ -120,36 +151,40 @@ Extractor = Callable[[bytes], list[list[list[tuple[str, str | None]]]]]
 Ocr = Callable[[bytes, int], tuple[str, float]]
 
 
+def pdf_files(files: DataFrame, extract: Extractor | None, ocr: Ocr | None = None) -> DataFrame:
+    """Lines of PDF files with their runs, and ``ocr_plausibility`` for lines read by OCR, which stands in where a page has under 20 signs of text."""
+
+    def read(name: str, content: bytes) -> Iterator[Line]:
+        if extract is None:
+            raise ExtractorUnavailable(f"{name}: no PDF extractor was given")
+        for page_no, page in enumerate(extract(content)):
+            lines, score = [x for x in page if "".join(t for t, _ in x).strip()], None
+            if sum(len("".join(t for t, _ in x).strip()) for x in lines) < LEAST_TEXT and ocr is not None:
+                text, confidence = ocr(content, page_no)
+                lines, score = [[(x, None)] for x in text.splitlines() if x.strip()], confidence / 100
+            for first, line in enumerate(lines):
+                yield line, first == 0, score
+
+    return read_lines(files.where("suffix = '.pdf'"), read)
+
+
 def pdf_runs(files: DataFrame, extract: Extractor | None, ocr: Ocr | None = None) -> DataFrame:
-    """Runs of PDF files, with ``ocr_plausibility`` for lines read by OCR, which stands in where a page has under 20 signs of text."""
-
-    def read(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for name, content in zip(part.source_file, part.content, strict=True):
-                if extract is None:
-                    raise ExtractorUnavailable(f"{name}: no PDF extractor was given")
-                rows, n = [], 0
-                for page_no, page in enumerate(extract(bytes(content))):
-                    lines, score = [x for x in page if "".join(t for t, _ in x).strip()], None
-                    if sum(len("".join(t for t, _ in x).strip()) for x in lines) < LEAST_TEXT and ocr is not None:
-                        text, confidence = ocr(bytes(content), page_no)
-                        lines, score = [[(x, None)] for x in text.splitlines() if x.strip()], confidence / 100
-                    for first, line in enumerate(lines):
-                        rows += [(name, n, j, t, f, first == 0, score) for j, (t, f) in enumerate(line)]
-                        n += 1
-                yield pd.DataFrame(rows, columns=["source_file", "line_no", "run_no", "text", "font_name", "page_break_before", "ocr_plausibility"])
-
-    return files.where("suffix = '.pdf'").select("source_file", "content").mapInPandas(read, RUNS + ", ocr_plausibility double")
-
-
-def decoded_lines(runs: DataFrame, table=KEYS) -> DataFrame:
-    """``source_file, line_no, text, page_break_before, min_plausibility``: run groups decoded and joined; empty lines stay."""
+    """The same as a row for each run."""
+    return runs_of(pdf_files(files, extract, ocr), "ocr_plausibility")
+
+
+def decoded_lines(lines: DataFrame, table=KEYS) -> DataFrame:
+    """``source_file, line_no, text, page_break_before, min_plausibility``: run groups decoded and joined; empty lines stay.
+
+    Lines that a reader gives (:func:`docx_files`, :func:`pdf_files`) have their runs and need no shuffle; runs that are rows are collected by one.
+    """
     keys = ["source_file", "line_no"]
-    if "ocr_plausibility" not in runs.columns:
-        runs = runs.withColumn("ocr_plausibility", F.lit(None).cast("double"))
-    base = runs.groupBy(*keys).agg(F.bool_or("page_break_before").alias("page_break_before"), F.first("ocr_plausibility").alias("ocr"))
-    done = base.join(lines_of(decode_runs(group_runs(runs), table)), keys, "left")
-    return done.select(*keys, F.coalesce("text", F.lit("")).alias("text"), "page_break_before", F.coalesce("ocr", "min_plausibility", F.lit(1.0)).alias("min_plausibility"))
+    if "runs" not in lines.columns:
+        ocr = F.first("ocr_plausibility") if "ocr_plausibility" in lines.columns else F.first(F.lit(None).cast("double"))
+        runs = F.collect_list(F.struct("run_no", "text", "font_name"))
+        lines = lines.groupBy(*keys).agg(runs.alias("runs"), F.bool_or("page_break_before").alias("page_break_before"), ocr.alias("ocr_plausibility"))
+    done = grouped_lines(lines, table)
+    return done.select(*keys, "text", "page_break_before", F.coalesce("ocr_plausibility", "min_plausibility").alias("min_plausibility"))
 
 
 def sidecars(spark: SparkSession, path: str, schema: str = "letter_id string, department string, office string, letter_type string, subject string") -> DataFrame:

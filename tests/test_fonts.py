@@ -74,3 +74,19 @@ def test_plausibility_bounds(spark):
     assert all(0 <= s <= 1 for s in got)
     assert all(score[b] > 0.8 for _, b in PAIRS)
     assert score["विश्वासभाजन"] > score["्रविष्वासभाजन"] and score["ंंंं"] < 0.5 and score[""] == score["Latin"] == score["१२"] == 1.0
+
+
+def test_lines_with_their_runs_need_no_shuffle(spark):
+    from letterloom.sources import files
+
+    a, b = [(2, "k", "DevLys 010"), (0, "fo", "Kruti Dev"), (1, "", "Arial"), (3, " x ", None), (4, "y", "Mangal"), (5, "d", "DevLys")], [(0, "", None)]
+    schema = "source_file string, line_no int, runs array<struct<run_no: int, text: string, font_name: string>>, page_break_before boolean, ocr_plausibility double"
+    lines = spark.createDataFrame([("f", 0, a, True, None), ("f", 1, b, False, None), ("f", 2, [], False, 0.5), ("g", 0, [(0, "विषय", None)], False, None)], schema)
+    done = files.decoded_lines(lines)
+    assert "Exchange" not in done._jdf.queryExecution().executedPlan().toString()
+    got = {(r.source_file, r.line_no): r for r in done.collect()}
+    decode = fonts.Decoder()
+    assert got["f", 0].text == decode("fok") + " x y" + decode("d") and got["f", 0].page_break_before and [got["f", i].text for i in (1, 2)] == ["", ""]
+    assert got["f", 1].min_plausibility == 1.0 and got["f", 2].min_plausibility == 0.5 and got["g", 0].text == "विषय"
+    rows = files.runs_of(lines.where("line_no = 0"), "ocr_plausibility")
+    assert sorted(map(tuple, files.decoded_lines(rows).collect())) == sorted(tuple(r) for k, r in got.items() if k[1] == 0)
