@@ -76,6 +76,8 @@ MARKS = [("A", "।"), ("&", "-"), ("]", ","), ("-", "."), ("\\", "?"), ("^", "
 KEYS: list[tuple[str, str]] = sorted(VOWELS + CONSONANTS + HALVES + CONJUNCTS + SIGNS + DIGITS + MARKS, key=lambda x: -len(x[0]))
 MATRA = "ािीुूृेैोौंँः"
 CONSONANT = "\u0915-\u0939\u0958-\u095f"
+#: Signs that an ordered table rewrites at once, at four bytes each and a few copies.
+SIGNS = 1 << 18
 
 
 class Ordered(list):
@@ -90,11 +92,21 @@ class Ordered(list):
             raise ValueError("a key without a sign")
 
     def rewrite(self, texts: Sequence[str]) -> list[str]:
-        """All texts at once: they are joined by a sign that neither they nor the table hold, so each pair is one search for the whole batch."""
+        """In slices of some ``SIGNS`` signs (or of one longer text), so that memory follows neither the batch nor the partition."""
+        out, first, size = [], 0, 0
+        for i, t in enumerate(texts):
+            size += len(t)
+            if size >= SIGNS or i == len(texts) - 1:
+                out += self.joined(texts[first : i + 1])
+                first, size = i + 1, 0
+        return out
+
+    def joined(self, texts: Sequence[str]) -> list[str]:
+        """All texts at once: they are joined by a sign that neither they nor the table hold, so each pair is one search for all of them."""
         held = set("".join(key + sign for key, sign in self)).union(*texts)
         mark = next((c for c in map(chr, range(0x10FFFF, 0xE000, -1)) if c not in held), None)
         if mark is None:
-            return [self.rewrite([t])[0] for t in texts] if len(texts) > 1 else [functools.reduce(lambda t, p: t.replace(*p), self, texts[0])]
+            return [self.joined([t])[0] for t in texts] if len(texts) > 1 else [functools.reduce(lambda t, p: t.replace(*p), self, texts[0])]
         return functools.reduce(lambda t, p: t.replace(*p), self, mark.join(texts)).split(mark) if texts else []
 
 
@@ -148,7 +160,7 @@ def decode_legacy(table: Iterable[tuple[str, str]] = KEYS):
 
     @F.pandas_udf("string")
     def decode(text: pd.Series) -> pd.Series:
-        return pd.Series(decoder.batch(text.tolist()), index=text.index, dtype=object)
+        return pd.Series(decoder.batch(text.array), index=text.index, dtype=object)
 
     return decode
 

@@ -90,3 +90,15 @@ def test_lines_with_their_runs_need_no_shuffle(spark):
     assert got["f", 1].min_plausibility == 1.0 and got["f", 2].min_plausibility == 0.5 and got["g", 0].text == "विषय"
     rows = files.runs_of(lines.where("line_no = 0"), "ocr_plausibility")
     assert sorted(map(tuple, files.decoded_lines(rows).collect())) == sorted(tuple(r) for k, r in got.items() if k[1] == 0)
+
+
+def test_memory_of_an_ordered_table_does_not_follow_the_batch():
+    import tracemalloc
+
+    table = fonts.Ordered([("ab", "c"), ("cc", "d"), ("x", "ab")])
+    texts = [f"{i} " + "abab x" * 200 for i in range(5000)] + ["", "x"]
+    tracemalloc.start()
+    got = table.rewrite(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [f"{i} " + "d ab" * 200 for i in range(5000)] + ["", "ab"] and peak < 16 << 20
