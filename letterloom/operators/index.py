@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize
+from ..functions.text import term_counts, tokenize
 from .retrieve import B, EPSILON, K1, raw_idf
 from .store import Store, matches, similarity
 
@@ -112,28 +112,34 @@ class TermIndex(Following):
 
     def write(self, folder: str, rows: DataFrame, changed: DataFrame | None, head: dict | None) -> dict:
         text = rows.select("letter_id", "ord", *FIELDS, tokenize("document").alias("tokens"))
-        counts = text.select("ord", F.explode("tokens").alias("term")).groupBy("ord", "term").agg(F.count("*").cast("int").alias("tf"))
-        terms = counts.groupBy("ord").agg(F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("terms"))  # the words of one letter
-        docs = text.select("letter_id", "ord", *FIELDS, F.size("tokens").alias("n_terms")).join(terms, "ord", "left")
-        docs.select(*[c.split(" ")[0] for c in DOCS.split(", ")[:5]], F.coalesce("terms", F.array().cast("array<struct<term: string, tf: int>>")).alias("terms")).write.parquet(f"{folder}/docs")
+        terms = F.coalesce(term_counts("tokens"), F.array().cast("array<struct<term: string, tf: int>>"))  # the words of one letter, counted in its row
+        text.select("letter_id", "ord", *FIELDS, F.size("tokens").alias("n_terms"), terms.alias("terms")).write.parquet(f"{folder}/docs")
         docs = self.spark.read.schema(DOCS).parquet(f"{folder}/docs")
-        plus, minus = docs, None
+        minus = None
         if changed is not None:
-            old = self.living(self.read("docs", head, DOCS), head).join(changed, "letter_id", "left_semi")
+            # Letters' words stand in the order of the store's files, so what lies outside the changed keys is not read, let alone shuffled.
+            least, most = changed.agg(F.min("letter_id"), F.max("letter_id")).first()
+            within = self.read("docs", head, DOCS).where(F.col("letter_id").between(F.lit(least), F.lit(most)))
+            old = self.living(within, head).join(changed, "letter_id", "left_semi")
             old.select("ord", *FIELDS, "n_terms", "terms").write.parquet(f"{folder}/old")
             minus = self.spark.read.schema(DOCS).parquet(f"{folder}/old")
             minus.select("ord").write.parquet(f"{folder}/dead")
-        signed = lambda df, sign: df.select(*FIELDS, "n_terms", "terms", F.lit(sign).alias("sign"))
-        both = signed(plus, 1) if minus is None else signed(plus, 1).unionAll(signed(minus, -1))
-        df = both.select(*FIELDS, "sign", F.explode("terms.term").alias("term")).groupBy(*FIELDS, "term").agg(F.sum("sign").alias("df")).where("df <> 0")
-        df.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{folder}/df")
-        both.groupBy(*FIELDS).agg(F.sum("sign").alias("n"), F.sum(F.col("sign") * F.col("n_terms")).alias("total")).write.parquet(f"{folder}/sizes")
         mean = docs.agg(F.avg("n_terms")).first()[0] or 1.0
         entry = docs.select(*FIELDS, "ord", "n_terms", F.explode("terms").alias("t")).select(F.col("t.term").alias("term"), *FIELDS, "ord", F.col("t.tf").alias("tf"), "n_terms")
         weight = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / mean))
         # Ranges are cut by weight and place, too, so that a word that all letters have is no partition of its own.
         order = ["term", *FIELDS, F.desc("weight"), "ord"]
         entry.withColumn("weight", weight).repartitionByRange(*order).sortWithinPartitions(*order).drop("weight").mapInArrow(blocks(BLOCK), BLOCKS).write.parquet(f"{folder}/blocks")
+        # A posting is a letter that has the term, so blocks are counted and letters need not be opened up again.
+        df = self.spark.read.schema(BLOCKS).parquet(f"{folder}/blocks").select(*FIELDS, "term", F.size("ords").alias("df"))
+        signed = lambda rows, sign: rows.select(*FIELDS, "n_terms", F.lit(sign).alias("sign"))
+        both = signed(docs, 1)
+        if minus is not None:
+            df = df.unionAll(minus.select(*FIELDS, F.explode("terms.term").alias("term"), F.lit(-1).alias("df")))
+            both = both.unionAll(signed(minus, -1))
+        df = df.groupBy(*FIELDS, "term").agg(F.sum("df").alias("df")).where("df <> 0")
+        df.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{folder}/df")
+        both.groupBy(*FIELDS).agg(F.sum("sign").alias("n"), F.sum(F.col("sign") * F.col("n_terms")).alias("total")).write.parquet(f"{folder}/sizes")
         return {}
 
     def _weights(self, head: dict, terms: Sequence[str], where: dict | None) -> tuple[dict[str, float], float]:
@@ -209,23 +215,32 @@ def blocks(size: int):
     """Sorted postings, cut where term or fields change and after ``size``."""
     schema = pa.schema([("term", pa.string()), ("department", pa.string()), ("letter_type", pa.string()), ("tf", pa.int32()), ("n_terms", pa.int32()), ("ords", pa.list_(pa.int64())), ("tfs", pa.list_(pa.int32())), ("sizes", pa.list_(pa.int32()))])
 
-    def row(rows: list[tuple]) -> dict:
-        term, department, letter_type = rows[0][:3]
-        tfs, sizes = [r[4] for r in rows], [r[5] for r in rows]
-        return {"term": term, "department": department, "letter_type": letter_type, "tf": max(tfs), "n_terms": min(sizes), "ords": [r[3] for r in rows], "tfs": tfs, "sizes": sizes}
+    def closed(rows: pa.Table, starts: np.ndarray, n: int) -> pa.RecordBatch:
+        """The blocks of the first ``n`` rows, which begin at ``starts``."""
+        first, own = rows.take(pa.array(starts)), rows.slice(0, n)
+        ords, tfs, sizes = (own.column(i).combine_chunks() for i in (3, 4, 5))
+        offsets = pa.array(np.append(starts, n).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, x) for x in (ords, tfs, sizes)]
+        most, least = np.maximum.reduceat(tfs.to_numpy(), starts), np.minimum.reduceat(sizes.to_numpy(), starts)
+        return pa.RecordBatch.from_arrays([*(first.column(i).combine_chunks() for i in range(3)), pa.array(most), pa.array(least), *lists], schema=schema)
 
     def run(batches):
-        held: list[tuple] = []
+        held = None  # the block that further rows may belong to
         for batch in batches:
-            out = []
-            for r in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
-                if held and (held[0][:3] != r[:3] or len(held) == size):
-                    out.append(row(held))
-                    held = []
-                held.append(r)
-            yield pa.RecordBatch.from_pylist(out, schema)
-        if held:
-            yield pa.RecordBatch.from_pylist([row(held)], schema)
+            if not batch.num_rows:
+                continue
+            new = pa.Table.from_arrays([batch.column(i) for i in range(6)], names=list("abcdef"))
+            rows = (pa.concat_tables([held, new]) if held is not None else new).combine_chunks()
+            at, cut = np.arange(rows.num_rows), np.zeros(rows.num_rows, bool)
+            cut[0] = True
+            for i in range(3):
+                cut[1:] |= np.diff(rows.column(i).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()) != 0
+            starts = np.flatnonzero((at - np.maximum.accumulate(np.where(cut, at, 0))) % size == 0)
+            if len(starts) > 1:
+                yield closed(rows, starts[:-1], int(starts[-1]))
+            held = rows.slice(int(starts[-1]))
+        if held is not None:
+            yield closed(held, np.zeros(1, np.int64), held.num_rows)
 
     return run
 

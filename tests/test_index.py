@@ -1,10 +1,13 @@
 """Indexes that follow a store: their results are those of full scans, and they read little."""
 
 import random
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from letterloom.functions import text
 from letterloom.operators import index, retrieve
 from letterloom.operators import store as st
 from letterloom.operators.embed import HashEmbedder
@@ -109,3 +112,27 @@ def test_balls_skip_most_of_what_lies_apart(spark, tmp_path):
     told = check_balls(s, balls, centres[4], 10)
     assert told["measured"] < 0.2 * told["vectors"]
     assert s.rows().select(F.count("*")).first()[0] == 2000
+
+
+def test_a_letter_counts_its_own_words(spark):
+    rnd = random.Random(5)
+    texts = [None, "", "a", "b a b a b", *(" ".join(rnd.choices(WORDS, k=rnd.randrange(80))) for _ in range(60))]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", text.term_counts(text.tokenize("t")).alias("n"))
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    for r in df.collect():
+        want = None if texts[r.i] is None else sorted(Counter(texts[r.i].split()).items())
+        assert (r.n if r.n is None else [tuple(x) for x in r.n]) == want
+
+
+@pytest.mark.parametrize("cut", [1, 7, 1000])
+def test_blocks_do_not_depend_on_batches(cut):
+    rnd = random.Random(cut)
+    rows = sorted(((rnd.choice("abc"), rnd.choice([None, "x", "y"]), rnd.choice([None, "z"]), i, rnd.randrange(1, 9), rnd.randrange(9, 99)) for i in range(500)), key=lambda r: [str(x) for x in r[:3]])
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[i : i + cut], strict=True), [pa.string()] * 3 + [pa.int64()] + [pa.int32()] * 2, strict=True)], names=list("abcdef")) for i in range(0, 500, cut)]
+    want = []
+    for r in rows:
+        if not want or want[-1][0] != r[:3] or len(want[-1][1]) == 8:
+            want.append((r[:3], []))
+        want[-1][1].append(r[3:])
+    got = [x for b in index.blocks(8)(iter(batches)) for x in b.to_pylist()]
+    assert [((x["term"], x["department"], x["letter_type"]), list(zip(x["ords"], x["tfs"], x["sizes"], strict=True)), x["tf"], x["n_terms"]) for x in got] == [(k, own, max(o[1] for o in own), min(o[2] for o in own)) for k, own in want]
