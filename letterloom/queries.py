@@ -313,8 +313,8 @@ def store_changes(spark, sf_dir):
     held, rest = stored(spark, sf_dir)
     rest()
     rows = held.rows()
-    some = rows.where(F.col("letter_id").cast("long").between(100, 109)).withColumn("document", F.concat(F.lit("changed: "), F.col("document")))
-    last = rows.orderBy(F.desc("letter_id")).limit(1).withColumn("letter_id", F.lpad((F.col("letter_id").cast("long") + 1).cast("string"), 12, "0")).withColumn("document", F.lit("added")).withColumn("department", F.lit("new"))
+    some = rows.where(F.col("letter_id").between("000000000100", "000000000109")).withColumn("document", F.concat(F.lit("changed: "), F.col("document")))
+    last = rows.where(F.col("letter_id") == rows.agg(F.max("letter_id")).first()[0]).withColumn("letter_id", F.lpad((F.col("letter_id").cast("long") + 1).cast("string"), 12, "0")).withColumn("document", F.lit("added")).withColumn("department", F.lit("new"))
     held.upsert(some.unionByName(last).withColumn("pos", F.col("ord")).drop("ord"))
     held.keep_ids(held.rows().where((F.col("letter_id").cast("long") % 50 != 7) | (F.col("document") == "added")).select("letter_id"))
     return held.rows().select(F.col("letter_id").cast("long").alias("letter_id"), "department", F.md5("document").alias("body"))

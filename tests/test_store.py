@@ -206,3 +206,43 @@ def test_partitioned_folders(spark, tmp_path):
         s.upsert(batch(spark, (f"k{i:03d}", f"n{i}", "rev", "f", [1.0, 0.0])))
     got = {r.letter_id: (r.document, r.department) for r in s.rows().collect()}
     assert len(got) == 60 and got["k003"] == ("n3", "rev") and got["k041"] == ("t", "a b/c") and s.distinct("department") == ["a b/c", "edu", "rev"]
+
+
+def shuffled(df, column):
+    """How often a column goes through a shuffle."""
+    plan = df.sparkSession._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    parts = [p for p in plan.split("\n\n") if p.startswith("(") and p.split("\n")[0].endswith("Exchange")]
+    return sum(f"{column}#" in p.split("Arguments:")[0] for p in parts)
+
+
+def test_texts_are_shuffled_once_to_meet_their_numbers(spark, store):
+    rows = batch(spark, ("d", "x", "edu", "f3", [1.0, 1.0]), ("b", "old", "rev", "f1", [1.0, 0.0]), ("b", "new", "rev", "f1", [1.0, 0.0]), ("a", "y", "edu", "f3", [1.0, 1.0]))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        new = st.changes(store.rows(), rows)
+        assert shuffled(new, "document") == 1
+        got = {r.letter_id: (r.ord, r.document) for r in new.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    held = {r.letter_id: r.ord for r in store.rows().collect()}
+    assert set(got) == {"a", "b", "d"} and got["b"] == (held["b"], "new") and got["a"] == (held["a"], "y") and got["d"][0] > max(held.values())
+    same = rows.withColumn("pos", F.lit(None).cast("int"))  # no place at all: still one row of each
+    assert sorted(r.letter_id for r in st.changes(store.rows(), same).collect()) == ["a", "b", "d"]
+
+
+def test_many_files_are_read_as_a_folder(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(st, "NAMED", 3)
+    monkeypatch.setattr(st, "TASK_ROWS", 40)
+    s = st.Store(spark, str(tmp_path / "many"), "m", 2, file_rows=10)
+    s.upsert(batch(spark, *[(f"k{i:03d}", str(i), "edu", "f", [1.0, 0.0]) for i in range(200)]))
+    files = s._files(s._head()["chain"][0])
+    assert 20 <= len(files) <= 25 and max(f.n for f in files) <= 10  # tasks of 40 rows, each with one file that is not full
+    for left in (0, 2, 5):
+        own = files[left:]
+        got = s._read(own)
+        assert sorted(r.letter_id for r in got.collect()) == [f"k{i:03d}" for i in range(200 - sum(f.n for f in own), 200)]
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert ("InMemoryFileIndex(1 paths)" in plan) == (left < 5)
+    s.upsert(batch(spark, ("k150", "changed", "edu", "f", [1.0, 0.0])))
+    s.delete_ids(["k000"])
+    assert s.count() == 199 and s.get(["k150"]).first().document == "changed"
