@@ -8,7 +8,6 @@ only choose anchors and bring together what is then compared. What decides that
 from __future__ import annotations
 
 import os
-from itertools import repeat
 
 import numpy as np
 import xxhash
@@ -22,6 +21,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 #: What keeps the first n of eight bytes.
 FIRST = np.array([(1 << 8 * n) - 1 for n in range(9)], U)
+#: The first 56 bytes of the secret of XXH3, as numbers.
+SECRET = [0xBE4BA423396CFEB8, 0x1CAD21F72C81017C, 0xDB979083E96DD4DE, 0x1F67B3B7A4A44072, 0x78E5C0CC4EE679CB, 0x2172FFCC7DD05A82, 0x8E2443F7744608B8]
 
 
 #: A digest of 128 bits; compares as a whole, zeros at the end included.
@@ -41,8 +42,59 @@ def digests(text: bytes, start: np.ndarray, end: np.ndarray, key: int) -> np.nda
 
 def word_prints(text: bytes, offsets: np.ndarray, key: int) -> np.ndarray:
     """The keyed 64-bit hashes of all words, document by document: joins of these can't be steered by whoever does not know the key."""
-    out = [b"".join(map(xxhash.xxh3_64_digest, text[a:b].split(), repeat(key))) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-    return np.frombuffer(b"".join(out), ">u8").astype(U)
+    data = np.frombuffer(text, np.uint8)
+    return prints_of(data, *words(data, offsets)[:2], key)
+
+
+def prints_of(data: np.ndarray, start: np.ndarray, end: np.ndarray, key: int) -> np.ndarray:
+    """The 64-bit XXH3 under the seed ``key`` of all spans; those of up to 16 bytes by arithmetic on whole arrays, as nearly all words are so short."""
+    n = end - start
+    out, eight, flip = np.zeros(len(n), U), Eights(data), [U(x % (1 << 64)) for x in flips(key)]
+    some = np.flatnonzero((n >= 1) & (n <= 3))
+    a, length = start[some], n[some]
+    x = data[a].astype(U) << U(16) | data[a + length // 2].astype(U) << U(24) | data[a + length - 1].astype(U) | length.astype(U) << U(8)
+    x ^= flip[0]
+    out[some] = shifted(shifted(shifted(x, 33) * U(0xC2B2AE3D27D4EB4F), 29) * U(0x165667B19E3779F9), 32)
+    some = np.flatnonzero((n >= 4) & (n <= 8))
+    a, length, low = start[some], n[some], U(0xFFFFFFFF)
+    first = eight[a]
+    x = (first & low) << U(32)
+    x += first >> (U(8) * (length.astype(U) - U(4))) & low
+    x ^= flip[1]
+    x ^= (x << U(49) | x >> U(15)) ^ (x << U(24) | x >> U(40))
+    x *= U(0x9FB21C651E98DF25)
+    x ^= (x >> U(35)) + length.astype(U)
+    x *= U(0x9FB21C651E98DF25)
+    out[some] = shifted(x, 28)
+    some = np.flatnonzero((n >= 9) & (n <= 16))
+    a, length = start[some], n[some]
+    x = eight[a] ^ flip[2]
+    y = eight[a + length - 8] ^ flip[3]
+    mixed = length.astype(U) + x.byteswap() + y + (x * y ^ high(x, y))
+    out[some] = shifted(shifted(mixed, 37) * U(0x165667919E3779F9), 32)
+    some, digest = np.flatnonzero(n > 16), xxhash.xxh3_64_digest
+    if len(some):
+        text = data.tobytes()
+        out[some] = np.frombuffer(b"".join([digest(text[a:b], key) for a, b in zip(start[some].tolist(), end[some].tolist(), strict=True)]), ">u8")
+    return out
+
+
+def flips(key: int) -> list[int]:
+    """What XXH3 lays over spans of up to 3, 8 and 16 bytes (two numbers) under a seed."""
+    s, swapped = SECRET, int.from_bytes((key & 0xFFFFFFFF).to_bytes(4), "little")
+    return [(s[0] & 0xFFFFFFFF ^ s[0] >> 32) + key, (s[1] ^ s[2]) - (key ^ swapped << 32), (s[3] ^ s[4]) + key, (s[5] ^ s[6]) - key]
+
+
+def shifted(x: np.ndarray, by: int) -> np.ndarray:
+    return x ^ x >> U(by)
+
+
+def high(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The upper 64 bits of the products."""
+    half, low = U(32), U(0xFFFFFFFF)
+    a, b, c, d = x >> half, x & low, y >> half, y & low
+    middle = (b * d >> half) + (a * d & low) + b * c
+    return a * c + (a * d >> half) + (middle >> half)
 
 
 def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -80,6 +132,14 @@ class Eights:
         return self.view[at].view(U).ravel()
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different values in their order: a plain sort, which is faster here than :func:`numpy.unique`."""
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
 def grams(symbols: np.ndarray, k: int) -> np.ndarray:
     """The fingerprint of every k consecutive symbols, by doubling and one overlapping join."""
     if len(symbols) < k:

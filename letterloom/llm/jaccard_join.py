@@ -23,6 +23,7 @@ sequence is the one shingle; null ids are allowed (they take the least id of the
 from __future__ import annotations
 
 import hashlib
+import struct
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,6 @@ from pyspark.sql import functions as F
 
 from . import _packs as P
 from . import _prints as R
-from ._runs import Family
 from ._session import checkpoints
 from .graph import components
 
@@ -45,6 +45,8 @@ BLOCK = 1024
 SENT = 50_000
 #: Classes that one task of small units gets, about.
 SHARE = 256
+#: How many shingles a pack sends to a bucket, and how many of them stand in several of its documents.
+HEAD = "<ii"
 OUT = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("class", pa.binary()), ("shared", pa.binary()), ("n_prefix", pa.int32())])
 SCHEMA = "doc_id long, n_shingles long, class binary, shared binary, n_prefix int"
 
@@ -56,13 +58,13 @@ def shingle_sets(table: pa.Table, size: int, key: int) -> list[np.ndarray]:
     for a, b in P.chunks(offsets):
         at = offsets[a : b + 1] - offsets[a]
         part = R.LOW[data[offsets[a] : offsets[b]]]
-        first = R.words(part, at)[2]
-        word = R.word_prints(part.tobytes(), at, key)
+        start, end, first = R.words(part, at)
+        word = R.prints_of(part, start, end, key)
         grams = R.grams(word, size)
         short = np.flatnonzero((first[1:] > first[:-1]) & (first[1:] - first[:-1] < size))
         whole = dict(zip(short.tolist(), R.stretches(word, 1, first[short], first[short + 1])[:, None], strict=True))
         for k, (i, j) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-            out.append(np.unique(grams[i : j - size + 1]) if j - i >= size else whole.get(k, np.zeros(0, R.U)))
+            out.append(R.distinct(grams[i : j - size + 1]) if j - i >= size else whole.get(k, np.zeros(0, R.U)))
     return out
 
 
@@ -92,44 +94,54 @@ def classified(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     def own(table):
         sets = shingle_sets(table, size, secret)
-        key, count = np.unique(short(np.concatenate(sets)) if sets else np.zeros(0, R.U), return_counts=True)
-        return sets, key, count, P.stretches((key >> R.U(40)).astype(np.int64))
+        return sets, short(np.concatenate(sets)) if sets else np.zeros(0, R.U)
 
+    # A pack has a row for nearly each bucket, so on large inputs these are many and short: what is done for a row is a few slices of whole arrays.
     def ask(pack, table):
-        _, key, count, stands = own(table)
-        for b, s in stands.items():
-            k, m = key[s], count[s].astype(np.int32)
-            more = np.flatnonzero(m > 1).astype(np.int32)
-            yield b, np.array([len(k), len(more)], np.int32).tobytes() + more.tobytes() + m[more].tobytes() + k.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+        key, count = np.unique(own(table)[1], return_counts=True)
+        more = np.flatnonzero(count > 1)
+        often, five = count[more].astype(np.int32), key.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+        stands = P.stretches((key >> R.U(40)).astype(np.int64))
+        ends = np.searchsorted(more, [x for s in stands.values() for x in (s.start, s.stop)]).tolist()
+        for (b, s), i, j in zip(stands.items(), ends[::2], ends[1::2], strict=True):
+            yield b, struct.pack(HEAD, s.stop - s.start, j - i) + (more[i:j] - s.start).astype(np.int32).tobytes() + often[i:j].tobytes() + five[5 * s.start : 5 * s.stop]
 
     def answer(bucket, rows):
-        def fold(held, at, new):
-            held[0][at] += new[0]
-
         press = zstandard.ZstdCompressor(1).compress
-        runs, batches = Family(fold), []
-        for pack, blob in rows:
-            m, more = np.frombuffer(blob, np.int32, 2)
-            wide, count = np.zeros((m, 8), np.uint8), np.ones(m, np.int64)
-            wide[:, :5] = np.frombuffer(blob, np.uint8, 5 * m, 8 + 8 * more).reshape(-1, 5)
-            key = wide.view(R.U).ravel()
-            count[np.frombuffer(blob, np.int32, more, 8)] = np.frombuffer(blob, np.int32, more, 8 + 4 * more)
-            batches.append((pack, key))
-            runs.add(key, count)
-        for pack, key in batches:
-            count = runs.find(key, 0, 0)
-            at = np.flatnonzero(count > 1)
-            # As steps and low counts, which compress to a quarter.
-            yield pack, press(np.diff(at, prepend=0).astype(np.int32).tobytes() + np.minimum(count[at], 2**31 - 1).astype(np.int32).tobytes())
+        heads = [struct.unpack_from(HEAD, blob) for _, blob in rows]
+        ends = np.cumsum([0, *(m for m, _ in heads)])
+        key, count = np.zeros((ends[-1], 8), np.uint8), np.ones(ends[-1], np.int64)
+        key[:, :5] = np.frombuffer(b"".join(blob[8 + 8 * more :] for (_, blob), (_, more) in zip(rows, heads, strict=True)), np.uint8).reshape(-1, 5)
+        key = key.view(R.U).ravel()
+        for (_, blob), (_, more), a in zip(rows, heads, ends[:-1].tolist(), strict=True):
+            if more:
+                count[a + np.frombuffer(blob, np.int32, more, 8)] = np.frombuffer(blob, np.int32, more, 8 + 4 * more)
+        order = np.argsort(key)
+        key, count = key[order], count[order]
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+        total = np.empty(len(key), np.int64)
+        total[order] = np.repeat(np.add.reduceat(count, first) if len(first) else first, np.diff(first, append=len(key)))
+        at = np.flatnonzero(total > 1)
+        # As steps and low counts, which compress to a quarter.
+        count, step, begin = np.minimum(total[at], 2**31 - 1).astype(np.int32), np.diff(at, prepend=0), np.searchsorted(at, ends)
+        some = begin[:-1] < begin[1:]
+        step[begin[:-1][some]] = at[begin[:-1][some]] - ends[:-1][some]
+        step = step.astype(np.int32)
+        for (pack, _), i, j in zip(rows, begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+            yield pack, press(step[i:j].tobytes() + count[i:j].tobytes())
 
     def classify(pack, table, told):
-        sets, key, _, stands = own(table)
+        sets, flat = own(table)
+        key, index = np.unique(flat, return_inverse=True)
+        stands = P.stretches((key >> R.U(40)).astype(np.int64))
         frequency, unpress = np.ones(len(key), np.int64), zstandard.ZstdDecompressor().decompress
         for b, x in told[0].items():
             step, f = np.frombuffer(unpress(x), np.int32).reshape(2, -1)
             frequency[stands[b].start + np.cumsum(step)] = f
+        frequency, end = frequency[index], 0
         names, shared, n_prefix, seen = [], [], [], set()
         for s, text in zip(sets, table.column("text"), strict=True):
+            start, end = end, end + len(s)
             alone = len(s) * (100 - percent) < percent  # no other set can reach the similarity
             name = hashlib.blake2b(few(text.as_py(), size) if alone else s.tobytes(), digest_size=16).digest() if len(s) else None
             names.append(name)
@@ -137,7 +149,7 @@ def classified(docs: DataFrame, size: int, percent: int) -> DataFrame:
             if name is None or name in seen:
                 continue
             seen.add(name)
-            f = frequency[np.searchsorted(key, short(s))]
+            f = frequency[start:end]
             often = f > 1
             if (k := int(often.sum())) >= least_overlap(len(s), percent):
                 step = np.log2(f[often]).astype(R.U)
