@@ -1,8 +1,10 @@
 """Many queries at once against one by one."""
 
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from letterloom.operators import batch, retrieve
@@ -65,3 +67,24 @@ def test_heaps_and_places_like_sorting():
         marks = (-scores[order, j], ords[order])
         want = [sum((m, n) <= (-x, y) for m, n in zip(*marks, strict=True)) for x, y in zip(scores[:, j], ords, strict=True)]
         assert batch.places(scores[:, j], ords, marks).tolist() == want
+
+
+def test_memory_of_a_block(spark, letters):
+    """A task holds a block for all queries of a slice, however many rows come in a batch and however many terms the queries have."""
+    rng, n = np.random.default_rng(2), 20_000
+    terms = [f"t{i:05}" for i in range(6000)]
+    words = [rng.choice(terms, 8).tolist() for _ in range(600)]
+    scorer = batch.Scorer(words, rng.random((600, 8)), dict.fromkeys(terms, 1.5), 10.0, terms)
+    lists = lambda x, size: pa.ListArray.from_arrays(pa.array(np.arange(0, n * size + 1, size, dtype=np.int32)), pa.array(x))
+    held = lists(np.sort(rng.integers(0, 6000, (n, 2)), 1).ravel().astype(np.int32), 2)
+    rows = pa.record_batch({"n_terms": pa.array(np.full(n, 10, np.int32)), "embedding": lists(rng.random(8 * n).astype(np.float32), 8), "terms": held, "tfs": lists(np.ones(2 * n, np.int32), 2)})
+    tracemalloc.start()
+    for block in scorer.blocks(iter([rows.slice(0, 3), rows.slice(3)])):
+        assert all(scores.shape == (block.num_rows, 600) for _, scores in scorer.score(block))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+    before = spark.conf.get(batch.ARROW, None)
+    asking, kinds = asked(spark, 3)
+    batch.retrieve_many(letters, spark.createDataFrame(asking, kinds), 3).count()
+    assert spark.conf.get(batch.ARROW, None) == before
